@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import mixing, ogg
+from dialoom.llm import minhash, mixing, ogg
 from dialoom.llm.common import table
 
 
@@ -21,5 +21,10 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_mix_sources)}
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of each document."""
+    return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_mix_sources, op5_minhash_dedup)}
 ORACLES = {"op3_mix_sources": mixing.ORACLE}
