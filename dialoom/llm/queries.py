@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import minhash, mixing, ogg
+from dialoom.llm import minhash, mixing, ogg, recompression
 from dialoom.llm.common import table
 
 
@@ -26,5 +26,10 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_mix_sources, op5_minhash_dedup)}
+def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without word windows that start earlier."""
+    return recompression.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_mix_sources, op5_minhash_dedup, op6_recompression_dedup)}
 ORACLES = {"op3_mix_sources": mixing.ORACLE}
