@@ -34,6 +34,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dialoom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()  # shuffle files of finished jobs go once their handles are collected
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import minhash, mixing, ogg, recompression
+from dialoom.llm import minhash, mixing, ogg, recompression, suffixes
 from dialoom.llm.common import table
 
 
@@ -31,5 +31,10 @@ def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_mix_sources, op5_minhash_dedup, op6_recompression_dedup)}
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document without byte windows that start earlier."""
+    return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_mix_sources, op5_minhash_dedup, op6_recompression_dedup, op8_suffix_array_dedup)}
 ORACLES = {"op3_mix_sources": mixing.ORACLE}
