@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import minhash, mixing, ogg, recompression, suffixes
-from dialoom.llm.common import table
+from dialoom.llm import minhash, mixing, ogg, recompression, suffixes, toxicity
+from dialoom.llm.common import bucket_of, table
 
 
 def op1_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,5 +36,13 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op3_mix_sources, op5_minhash_dedup, op6_recompression_dedup, op8_suffix_array_dedup)}
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's toxicity; one fifth of the labels, by id, takes no part in training."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) != 0)
+    rows = toxicity.scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_toxicity, op3_mix_sources, op5_minhash_dedup, op6_recompression_dedup, op8_suffix_array_dedup)}
 ORACLES = {"op3_mix_sources": mixing.ORACLE}
