@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import minhash, mixing, ogg, recompression, suffixes, toxicity
+from dialoom.llm import minhash, mixing, ogg, packing, recompression, suffixes, toxicity
 from dialoom.llm.common import bucket_of, table
 
 
@@ -21,6 +21,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
+def op4_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where each piece of each document stands in the packed sequences."""
+    return packing.packed(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of each document."""
     return minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -44,5 +49,5 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_toxicity, op3_mix_sources, op5_minhash_dedup, op6_recompression_dedup, op8_suffix_array_dedup)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_toxicity, op3_mix_sources, op4_pack_sequences, op5_minhash_dedup, op6_recompression_dedup, op8_suffix_array_dedup)}
 ORACLES = {"op3_mix_sources": mixing.ORACLE}
