@@ -6,9 +6,11 @@ a chance of about 1e-6 (1e-5 for sets of a few shingles, whose minimum and maxim
 
 Work never pairs a whole group up. Equal shingle sets collapse into one representative first. In each
 band bucket, every member is paired with two leaders (the smallest id, and the smallest id hash of the
-band), and pairs are confirmed on full sets from the texts. What the confirmed links leave apart in a
-bucket is then compared across components on signatures, in blocks, and pairs that may reach the
-threshold (estimate of ``MAYBE`` at least, seven standard errors below) are confirmed as well.
+band), and pairs are confirmed on full sets from the texts. Buckets that then still hold several
+components are gathered into clusters (components of shared buckets), and a cluster's documents are
+compared across components in blocks of ``BLOCK``: signatures first (an estimate under ``MAYBE`` is five
+standard errors below the threshold), then full sets, and only links that join two components come out.
+Blocks of one large component are never compared with each other.
 
 Defined cases: letters A-Z are lowered, others not; fewer than five words make one shingle of all; null
 or blank texts have no shingles and link with nothing; rows with a null id link with nothing, get a null
@@ -31,9 +33,9 @@ from dialoom.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 80, 40
-MAYBE = 0.5
-#: Members of a bucket that one task compares at once when it holds several components.
-BLOCK = 2048
+MAYBE = 0.58
+#: Documents of a block, two of which one task compares.
+BLOCK = 512
 
 _FACTORS, _SHIFTS = A.ODD[:PERMUTATIONS], A.ODD[1000 : 1000 + PERMUTATIONS]
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -95,20 +97,25 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def own(text: bytes) -> np.ndarray:
-        return np.unique(shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
+def _set(text: bytes) -> np.ndarray:
+    """A text's shingle set, ordered."""
+    return np.unique(shingles(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0])
+
+
+def _linked(a: np.ndarray, b: np.ndarray) -> bool:
+    shared = len(np.intersect1d(a, b, assume_unique=True))
+    return shared > 0 and 100 * shared >= PERCENT * (len(a) + len(b) - shared)
 
+
+def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known: tuple[int | None, np.ndarray] = (None, np.zeros(0, A.U))
     for batch in batches:
         a, b, left, right = (batch.column(i) for i in range(4))
         good = np.zeros(len(a), bool)
         for i in range(len(a)):
             if known[0] != (leader := a[i].as_py()):
-                known = leader, own(left[i].as_py())
-            other = own(right[i].as_py())
-            shared = len(np.intersect1d(known[1], other, assume_unique=True))
-            good[i] = shared > 0 and 100 * shared >= PERCENT * (len(known[1]) + len(other) - shared)
+                known = leader, _set(left[i].as_py())
+            good[i] = _linked(known[1], _set(right[i].as_py()))
         yield pa.RecordBatch.from_arrays([a.filter(pa.array(good)), b.filter(pa.array(good))], names=["a", "b"])
 
 
@@ -121,19 +128,58 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _across(frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket, in different components, that may reach the threshold."""
-    part, other = frame[frame["side"] == 0], frame[frame["side"] == 1]
-    if not len(other):
-        other = part
-    out = []
-    sig_b = np.frombuffer(b"".join(other["sig"]), np.uint16).reshape(len(other), -1)
-    n_b, c_b, id_b = (other[x].to_numpy() for x in ("n", "component", "id"))
-    for n, c, i, sig in zip(part["n"], part["component"], part["id"], part["sig"]):
-        near = np.flatnonzero((c_b != c) & (100 * np.minimum(n, n_b) >= PERCENT * np.maximum(n, n_b)))
-        if len(near):
-            near = near[(sig_b[near] == np.frombuffer(sig, np.uint16)).mean(axis=1) >= MAYBE]
-            out.append(pd.DataFrame({"a": np.minimum(i, id_b[near]), "b": np.maximum(i, id_b[near])}))
-    return pd.concat(out).drop_duplicates() if out else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    """Confirmed links that join components of two blocks of a cluster (or of one block)."""
+    frame = frame.drop_duplicates("id")
+    part = frame if frame["one"].iloc[0] == frame["two"].iloc[0] else frame[frame["block"] == frame["one"].iloc[0]]
+    other = frame if len(part) == len(frame) else frame[frame["block"] == frame["two"].iloc[0]]
+    sig = np.frombuffer(b"".join(other["sig"]), np.uint16).reshape(len(other), -1)
+    n_b, id_b, root = other["n"].to_numpy(), other["id"].to_numpy(), other["component"].to_numpy().copy()
+    texts = list(other["text"])
+    sets: dict[int, np.ndarray] = {}
+    up: dict[int, int] = {}
+
+    def top(c: int) -> int:
+        while c in up:
+            c = up[c]
+        return c
+
+    links = []
+    for n, c, i, own, text in zip(part["n"], part["component"], part["id"], part["sig"], part["text"]):
+        c = top(c)
+        near = np.flatnonzero((root != c) & (100 * np.minimum(n, n_b) >= PERCENT * np.maximum(n, n_b)))
+        if not len(near):
+            continue
+        near = near[(sig[near] == np.frombuffer(own, np.uint16)).mean(axis=1) >= MAYBE]
+        mine = _set(text) if len(near) else None
+        for k in near:
+            if root[k] == c:
+                continue
+            if k not in sets:
+                sets[k] = _set(texts[k])
+            if _linked(mine, sets[k]):
+                links.append((i, id_b[k]))
+                up[root[k]] = c
+                root[root == root[k]] = c
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+
+
+def _clusters(now: DataFrame) -> DataFrame:
+    """(key, id, component) -> (cluster, id, component, block, one, two): what to compare with what."""
+    split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("lead")).where("x < y")
+    open_ = cut(now.join(split.select("key", "lead"), "key").select("id", "component", "lead").distinct())
+    cluster = components(open_.select(F.col("id").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("component", "cluster")
+    rows = open_.select("id", "component").distinct().join(cluster, "id")
+    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("m"))
+    large = F.col("m") > BLOCK
+    small = sizes.groupBy("cluster").agg(F.sum(F.when(~large, F.col("m"))).alias("rest"))
+    sizes = sizes.join(small, "cluster")
+    block = F.when(large, F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).alias("k"))).otherwise(F.struct(F.lit(-1).cast("long").alias("of"), F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / BLOCK)).alias("k")))
+    rows = cut(rows.join(sizes, ["cluster", "component"]).select("cluster", "id", "component", block.alias("block")))
+    blocks = rows.select("cluster", "block").distinct()
+    two = blocks.select("cluster", F.col("block").alias("one")).join(blocks.select("cluster", F.col("block").alias("two")), "cluster")
+    two = two.where((F.col("one") <= F.col("two")) & ((F.col("one.of") != F.col("two.of")) | (F.col("one.of") < 0)))
+    two = two.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
+    return rows.join(two, ["cluster", "block"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,15 +199,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     linked = cut(components(links.unionByName(members.select(F.col("rep").alias("a"), F.col("id").alias("b")))))
 
     now = buckets.select("key", "id").join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("m")).where("x < y")
-    open_ = now.join(split.select("key", F.ceil(F.col("m") / BLOCK).cast("int").alias("blocks")), "key")
-    sigs = base.select(F.col("doc_id").alias("id"), "n", "sig")
-    open_ = open_.join(sigs, "id").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    cells = F.expr("transform(sequence(0, blocks - 1), j -> struct(least(block, j) as i, greatest(block, j) as j, int(block > j) as side))")
-    more = open_.select("key", "id", "component", "n", "sig", F.inline(cells)).groupBy("key", "i", "j").applyInPandas(_across, "a long, b long")
-    more = cut(more.distinct().join(pairs, ["a", "b"], "left_anti"))
+    todo = _clusters(now).join(base.select(F.col("doc_id").alias("id"), "n", "sig"), "id").join(source, "id")
+    block_name = lambda c: F.concat_ws(":", F.col(f"{c}.of"), F.col(f"{c}.k"))
+    frames = todo.select("id", "component", "n", "sig", "text", F.col("cluster"), *[block_name(c).alias(c) for c in ("one", "two", "block")])
+    more = cut(frames.groupBy("cluster", "one", "two").applyInPandas(_across, "a long, b long"))
     if more.limit(1).count():
-        linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(confirmed(more, source)))
+        linked = components(linked.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more))
     final = linked.groupBy("id").agg(F.min("component").alias("component"))
     out = base.select("doc_id", F.col("n").alias("n_shingles")).join(final, F.col("doc_id") == F.col("id"), "left").withColumn("component_id", F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

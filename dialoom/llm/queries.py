@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import minhash, mixing, ogg, packing, recompression, suffixes, toxicity
+from dialoom.llm import licenses, minhash, mixing, ogg, packing, quality, recompression, suffixes, topk, toxicity
 from dialoom.llm.common import bucket_of, table
 
 
@@ -36,6 +36,11 @@ def op6_recompression_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recompression.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five largest products of every fiftieth vector with all others."""
+    return topk.search(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is left of each document without byte windows that start earlier."""
     return suffixes.deduplicated(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -49,5 +54,18 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (bucket_of("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_toxicity, op3_mix_sources, op4_pack_sequences, op5_minhash_dedup, op6_recompression_dedup, op8_suffix_array_dedup)}
-ORACLES = {"op3_mix_sources": mixing.ORACLE}
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of each document."""
+    return licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's quality; one third of the labels, by id, takes no part in training."""
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), bucket_of("doc_id", 3) != 1)
+    rows = quality.scored(docs.select("doc_id", "text"), model)
+    return rows.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_toxicity, op3_mix_sources, op4_pack_sequences, op5_minhash_dedup, op6_recompression_dedup, op7_exact_topk, op8_suffix_array_dedup, op9_license_scan, op10_quality)}
+ORACLES = {"op3_mix_sources": mixing.ORACLE, "op7_exact_topk": topk.ORACLE, "op9_license_scan": licenses.ORACLE}

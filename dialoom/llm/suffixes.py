@@ -284,3 +284,31 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     rows = source.join(repeats(source), "doc_id", "left").select("doc_id", "text", "ranges")
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
     return rows.mapInArrow(lambda it: _kept(it, names), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+
+
+def rewritten(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with texts (and n_chars, if there) without the bytes that start earlier.
+
+    A character of which a repeat leaves only a part goes as a whole; a null text stays null.
+    """
+    import pandas as pd
+
+    def rest(text: pd.Series, ranges: pd.Series) -> pd.Series:
+        out = []
+        for t, r in zip(text, ranges):
+            gone = np.zeros(len(t) + 1, np.int32)
+            for x in r if r is not None else ():
+                gone[x["at"]] += 1
+                gone[x["at"] + x["n"] + WINDOW - 1] -= 1
+            out.append(np.frombuffer(t, np.uint8)[np.cumsum(gone)[:-1] == 0].tobytes().decode("utf-8", "ignore"))
+        return pd.Series(out, dtype=object)
+
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
+    found = repeats(source).select(F.col("doc_id").alias("_id"), F.col("ranges").alias("_ranges"))
+    rows = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
+    some = F.col("_ranges").isNotNull()
+    rows = rows.withColumn("_kept", F.pandas_udf(rest, "string")(F.when(some, text_bytes("text")).otherwise(F.lit(b"")), "_ranges"))
+    rows = rows.withColumn("text", F.when(some, F.col("_kept")).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return rows.select(*docs.columns)
