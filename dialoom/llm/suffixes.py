@@ -25,6 +25,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -291,8 +292,6 @@ def rewritten(docs: DataFrame) -> DataFrame:
 
     A character of which a repeat leaves only a part goes as a whole; a null text stays null.
     """
-    import pandas as pd
-
     def rest(text: pd.Series, ranges: pd.Series) -> pd.Series:
         out = []
         for t, r in zip(text, ranges):
