@@ -34,4 +34,4 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _load() -> None:
-    from dialoom.plans import acts, candidates, context, lookups, manifests, metrics, retrieval, samples, states, streams, texts  # noqa: F401
+    from dialoom.plans import acts, candidates, context, lookups, manifests, metrics, retrieval, samples, stages, states, streams, texts  # noqa: F401
