@@ -3,7 +3,8 @@
 Every 100-byte window is handed to the least 24-byte gram in it (in a hash order), so equal windows share
 a gram. Consecutive windows of one gram make a stretch; grams that stand in one stretch only, once, can't
 hold a repeated window and end here. The other stretches, with the bytes of their windows, are dealt to
-shards by gram, which brings equal windows together. A shard
+shards by gram, which brings equal windows together. In a shard, equal stretches collapse into the earliest,
+whose copies are repeats as a whole. The shard then
 
 - sorts its suffixes by Larsson-Sadakane refinement: first by seven bytes, then each group of equal
   suffixes by the groups that stand 7, 14, 28, 56 bytes on, until prefixes of 100 bytes are told apart;
@@ -191,10 +192,24 @@ def _shard(table: pa.Table) -> pa.Table:
     text, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
     doc, at, n, key = (table[x].to_numpy() for x in ("doc_id", "at", "n", "key"))
     names, dense = np.unique(doc, return_inverse=True)
+    place = (dense.astype(np.int64) << 32) + at
+    # equal pieces: the earliest stands for all, and all windows of a later one start earlier too
+    sums = A.prefix(A.BYTE_KEYS[text])
+    whole = A.spans(sums, bounds[:-1], bounds[1:]) ^ n.astype(A.U)
+    by = np.lexsort((place, whole))
+    head = np.concatenate(([True], whole[by][1:] != whole[by][:-1]))[: len(by)]
+    lead = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))] if len(by) else by
+    copies = by[place[by] > place[lead]]
+    copied = np.repeat(place[copies] - np.cumsum(n[copies]) + n[copies], n[copies]) + np.arange(int(n[copies].sum()))
+    kept = np.sort(by[head])
+    size = np.diff(bounds)[kept]
+    text = text[np.repeat(bounds[:-1][kept] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+    bounds = np.concatenate(([0], np.cumsum(size)))
+    doc, at, n, key, place = doc[kept], at[kept], n[kept], key[kept], place[kept]
     piece = A.ids(bounds)
-    rank = (dense[piece] << 32) + at[piece] + np.arange(len(text)) - bounds[:-1][piece]
+    rank = place[piece] + np.arange(len(text)) - bounds[:-1][piece]
     again, early = later_windows(text, bounds, n, rank)
-    r = np.unique(rank[again])
+    r = np.unique(np.concatenate((rank[again], copied)))
     first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1] + 1))[: len(r)])
     count = np.diff(np.concatenate((first, [len(r)])))
     cols = [np.zeros(len(first), np.int32), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), names[r[first] >> 32], (r[first] & 0xFFFFFFFF).astype(np.int32), count.astype(np.int32)]
