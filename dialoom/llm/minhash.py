@@ -120,9 +120,7 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """Of (a, b) pairs, those whose full shingle sets reach the threshold."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = cut(texts.join(needed, "id", "left_semi"))
+    """Of (a, b) pairs, those whose full shingle sets reach the threshold; (id, text) has both texts."""
     rows = pairs.join(texts.select(F.col("id").alias("b"), F.col("text").alias("right")), "b").join(texts.select(F.col("id").alias("a"), F.col("text").alias("left")), "a")
     return rows.select("a", "b", "left", "right").mapInArrow(_confirm, "a long, b long")
 
@@ -195,11 +193,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     buckets = cut(rows.select("key", "id").join(leaders.select("key", "low", F.col("drawn.id").alias("drawn")), "key"))
     pairs = buckets.select("id", F.explode(F.array("low", "drawn")).alias("lead")).where("id <> lead")
     pairs = cut(pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
-    links = cut(confirmed(pairs, source))
+    texts = cut(source.join(buckets.select("id").distinct(), "id", "left_semi"))  # the only pass of whole texts over the network
+    links = cut(confirmed(pairs, texts))
     linked = cut(components(links.unionByName(members.select(F.col("rep").alias("a"), F.col("id").alias("b")))))
 
     now = buckets.select("key", "id").join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    todo = _clusters(now).join(base.select(F.col("doc_id").alias("id"), "n", "sig"), "id").join(source, "id")
+    todo = _clusters(now).join(base.select(F.col("doc_id").alias("id"), "n", "sig"), "id").join(texts, "id")
     block_name = lambda c: F.concat_ws(":", F.col(f"{c}.of"), F.col(f"{c}.k"))
     frames = todo.select("id", "component", "n", "sig", "text", F.col("cluster"), *[block_name(c).alias(c) for c in ("one", "two", "block")])
     more = cut(frames.groupBy("cluster", "one", "two").applyInPandas(_across, "a long, b long"))
