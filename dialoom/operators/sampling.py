@@ -5,20 +5,19 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dialoom.functions.text import portable_order
+from dialoom.operators.ranking import ranked
 
 
 def head_share(df: DataFrame, key: str, share: float, seed: int = 42) -> DataFrame:
     """int(n * share) rows: under 1 the first in shuffled order, over 1 whole copies and then the rest's head."""
-    whole, part = math.ceil(share) - 1 if share > 1 else int(share == 1), share
-    part = 0.0 if share == 1 else share - (math.ceil(share) - 1 if share > 1 else 0)
-    rows = df.crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))  # one row
-    ranked = rows.withColumn("_k", F.row_number().over(W.orderBy(portable_order(F.col(key), seed), key)))
-    copies = F.lit(whole) + (F.col("_k") <= F.floor(F.col("_n") * F.lit(part))).cast("int")
-    return ranked.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).drop("_n", "_k")
+    whole = math.ceil(share) - 1
+    part = share - whole
+    rows = ranked(df, key, seed, "_k", "_n")
+    copies = F.lit(whole) + (F.col("_k") <= F.floor(F.col("_n") * F.lit(float(part)))).cast("int")
+    return rows.withColumn("copy", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies)))).drop("_n", "_k")
 
 
 def mixture(parts: dict[str, tuple[DataFrame, float]], key: str, seed: int = 42) -> DataFrame:
@@ -42,10 +41,10 @@ def sample_groups(df: DataFrame, key: str, n: int, seed: int = 42, replacement:
     groups = df.select(key).distinct()
     if not replacement:
         return df.join(groups.orderBy(portable_order(F.col(key), seed), key).limit(n), key, "left_semi")
-    total = F.broadcast(groups.agg(F.count("*").alias("m")))
-    ranked = groups.withColumn("k", F.row_number().over(W.orderBy(key)) - 1)
-    draws = df.sparkSession.range(n).crossJoin(total).select((F.conv(portable_order(F.col("id"), seed), 16, 10).cast("long") % F.col("m")).cast("int").alias("k")).distinct()
-    return df.join(ranked.join(draws, "k").select(key), key, "left_semi")
+    m = groups.count()
+    places = ranked(groups, key, seed, "k").withColumn("k", F.col("k") - 1)
+    draws = df.sparkSession.range(n).select((F.conv(portable_order(F.col("id"), seed), 16, 10).cast("long") % max(m, 1)).alias("k")).distinct()
+    return df.join(places.join(draws, "k").select(key), key, "left_semi")
 
 
 def random_k(queries: DataFrame, pool: DataFrame, q: str, p: str, k: int, seed: int = 42) -> DataFrame:
@@ -56,10 +55,10 @@ def random_k(queries: DataFrame, pool: DataFrame, q: str, p: str, k: int, seed:
     n = pool.count()
     if not n:
         return queries.select(q).crossJoin(pool.select(p)).withColumn("rank", F.lit(0)).where("false")
-    ranked = pool.select(p, (F.row_number().over(W.orderBy(portable_order(F.col(p), seed), p)) - 1).alias("_k"))
+    places = ranked(pool.select(p), p, seed, "_k").withColumn("_k", F.col("_k") - 1)
     start = F.conv(portable_order(F.col(q), seed), 16, 10).cast("long") % n
-    wanted = queries.select(q, F.explode(F.sequence(F.lit(0), F.lit(min(k, n) - 1))).alias("_j"), start.alias("_s")).withColumn("_k", ((F.col("_s") + F.col("_j")) % n).cast("int"))
-    return wanted.join(ranked, "_k").select(q, p, (F.col("_j") + 1).alias("rank"))
+    wanted = queries.select(q, F.explode(F.sequence(F.lit(0), F.lit(min(k, n) - 1))).alias("_j"), start.alias("_s")).withColumn("_k", (F.col("_s") + F.col("_j")) % n)
+    return wanted.join(places, "_k").select(q, p, (F.col("_j") + 1).alias("rank"))
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
@@ -69,5 +68,5 @@ def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
 def jobs(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
     """``df`` with column chunk: groups dealt in shuffled order, ``size`` a chunk; for write.partitionBy."""
     groups = df.select(key).distinct()
-    chunk = groups.withColumn("chunk", F.floor((F.row_number().over(W.orderBy(portable_order(F.col(key), seed), key)) - 1) / size).cast("int"))
+    chunk = ranked(groups, key, seed, "_k").select(key, F.floor((F.col("_k") - 1) / size).cast("int").alias("chunk"))
     return df.join(chunk, key)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dialoom.functions.text import portable_order
+from dialoom.operators.ranking import ranked
 
 
 def previous(column: str, by: str, order: str) -> Column:
@@ -53,12 +53,9 @@ def waves(df: DataFrame, by: str, order: str, partitions: int = 1, batch: int =
     A part's first ``warmup`` turns are batches of one. Positions run over (turn, dialogue order) within a
     part; numbers come from two aggregated levels, so that no task sorts a whole part's rows.
     """
-    dialogues = df.select(by).distinct()
-    ranked = dialogues.withColumn("shuffled", portable_order(F.col(by), seed))
-    order_of = W.orderBy("shuffled", by)
-    size = F.count("*").over(W.partitionBy())
-    ranked = ranked.withColumn("n", F.row_number().over(order_of) - 1).withColumn("part", F.least(F.lit(partitions - 1), F.floor(F.col("n") / F.greatest(F.lit(1), F.floor(size / partitions)))).cast("int"))
-    rows = df.join(ranked.select(by, "part", "n"), by)
+    places = ranked(df.select(by).distinct(), by, seed, "n", "size").withColumn("n", F.col("n") - 1)
+    part = F.least(F.lit(partitions - 1), F.floor(F.col("n") / F.greatest(F.lit(1), F.floor(F.col("size") / partitions))))
+    rows = df.join(places.select(by, part.cast("int").alias("part"), "n"), by)
     starts = rows.groupBy("part", order).count().withColumn("before", F.coalesce(F.sum("count").over(W.partitionBy("part").orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("count")
     rows = rows.join(starts, ["part", order]).withColumn("position", F.col("before") + F.row_number().over(W.partitionBy("part", order).orderBy("n")) - 1)
     number = F.when(F.col("position") < warmup, F.col("position")).otherwise(warmup + F.floor((F.col("position") - warmup) / batch))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dialoom.catalog import register
 from dialoom.functions.text import short_hash
 from dialoom.operators import sampling as S
+from dialoom.operators.ranking import ranked
 
 _O = "substr(md5({0} || ':42'), 1, 8)"
 
@@ -50,7 +51,7 @@ def sampled_dialogues(spark, sf_dir):
 
 
 @register("sampled_with_replacement", f"""
-with g as (select conv_id, row_number() over (order by conv_id) - 1 as k, count(*) over () as m from (select distinct conv_id from conversations)),
+with g as (select conv_id, row_number() over (order by {_O.format('conv_id')}, conv_id) - 1 as k, count(*) over () as m from (select distinct conv_id from conversations)),
      d as (select distinct ('0x' || {_O.format('id')})::bigint % (select max(m) from g) as k from range(20) r(id))
 select conv_id, turn from conversations semi join (select conv_id from g join d using (k)) using (conv_id)
 """)
@@ -73,12 +74,7 @@ def random_examples(spark, sf_dir):
 @register("shuffle_order", f"select doc_id, row_number() over (order by {_O.format('doc_id')}, doc_id) as place from documents")
 def shuffle_order(spark, sf_dir):
     """A seeded shuffle."""
-    from pyspark.sql import Window as W
-
-    from dialoom.functions.text import portable_order
-
-    d = _read(spark, sf_dir, "documents")
-    return d.select("doc_id", F.row_number().over(W.orderBy(portable_order(F.col("doc_id")), "doc_id")).cast("long").alias("place"))
+    return ranked(_read(spark, sf_dir, "documents").select("doc_id"), "doc_id", number="place")
 
 
 @register("job_chunks", f"""
