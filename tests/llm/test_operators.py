@@ -240,7 +240,7 @@ def test_toxicity(spark, monkeypatch):
                 words[rng.randrange(80)] = w
         texts.append(" ".join(words)), labels.append(int(i % 3 == 0))
     model = toxicity.train(texts, np.array(labels))
-    held = [prose(60) for _ in range(30)] + [prose(30) + " trasch " + prose(20) + " idiotique" for _ in range(30)]
+    held = [prose(60) for _ in range(30)] + [prose(30) + " trashh scummyy " + prose(20) + " idiotics" for _ in range(30)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*held, None, ""])], "id int, text string")
     got = [r.score for r in toxicity.scored(df, model).orderBy("id").collect()]
     assert sum(s < 0.5 for s in got[:30]) >= 28 and sum(s >= 0.5 for s in got[30:60]) >= 28
