@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import arrays as A
-from dialoom.llm.common import text_bytes
+from dialoom.llm.common import labelled_sample, text_bytes
 
 PASSAGE, HIDDEN, GATE = 48, 16, 8
 ROWS, SAMPLE_CHARS = (2000, 2500), 12_000
@@ -145,12 +145,9 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 
 def fit(documents: DataFrame, labels: DataFrame, where: Column) -> Model | None:
-    """Train on a sample of the labelled documents for which ``where`` holds, the first of each class in a hash's order."""
-    rows = documents.where(where).select("doc_id", "text").join(labels.where(where).select("doc_id", "quality"), "doc_id")
-    rows = rows.where(F.length("text") <= SAMPLE_CHARS).select("quality", text_bytes("text").alias("text"))
-    parts = [rows.where(F.col("quality") == k).orderBy(F.md5("text"), "text").limit(ROWS[k]).toPandas() for k in (0, 1)]
-    got = pd.concat(parts, ignore_index=True)
-    return train([bytes(t) for t in got["text"]], got["quality"].to_numpy(np.int64))
+    """Train on a sample of the labelled documents for which ``where`` (of doc_id) holds."""
+    got = labelled_sample(documents, labels.where(where), "quality", ROWS, SAMPLE_CHARS)
+    return train([bytes(t) for t in got["text"]], got["label"].to_numpy(np.int64))
 
 
 def scored(docs: DataFrame, model: Model | None, score: str = "score", text: str = "text") -> DataFrame:

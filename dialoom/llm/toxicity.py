@@ -25,6 +25,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.llm.common import labelled_sample
+
 DIM = 8
 SHORTEST, LONGEST = 3, 5
 TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS, LEAST_SIGNAL = 1200, 2400, 10_000, 4.5
@@ -126,17 +128,10 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
     return Model(dict(zip(vocabulary, weights.tolist())), float(bias[1] - bias[0]))
 
 
-def sample(rows: DataFrame, label: str, most: tuple[int, int]) -> pd.DataFrame:
-    """At most so many rows (text, label) of each class, the first in the order of a hash of the text."""
-    short = rows.where(F.col(label).isin(0, 1) & (F.length("text") <= SAMPLE_CHARS)).select("text", F.col(label).cast("int").alias("label"))
-    parts = [short.where(F.col("label") == k).orderBy(F.md5("text"), "text").limit(most[k]).toPandas() for k in (0, 1)]
-    return pd.concat(parts, ignore_index=True)
-
-
 def fit(documents: DataFrame, labels: DataFrame, where: Column) -> Model | None:
-    """Train on the labelled documents for which ``where`` holds."""
-    got = sample(documents.where(where).select("doc_id", "text").join(labels.where(where).select("doc_id", "toxic"), "doc_id"), "toxic", (CLEAN_ROWS, TOXIC_ROWS))
-    return train(got["text"].tolist(), got["label"].to_numpy(np.int64))
+    """Train on a sample of the labelled documents for which ``where`` (of doc_id) holds."""
+    got = labelled_sample(documents, labels.where(where), "toxic", (CLEAN_ROWS, TOXIC_ROWS), SAMPLE_CHARS)
+    return train([bytes(t).decode("utf-8", "replace") for t in got["text"]], got["label"].to_numpy(np.int64))
 
 
 class _Numbers(dict):
