@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of bytes that are neither space nor one of tab, LF, VT, FF, CR.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Spark's setting that removes a query's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +31,20 @@ def shared_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back, which ends its lineage.
 
-    A lost executor costs a re-read of that table, never a recomputation from the source.
+    A lost executor costs a re-read of that table, never a recomputation from the source. The write's shuffle
+    files go when it ends, as nothing reads them again; while it runs, lost ones are made anew.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dialoom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()  # shuffle files of finished jobs go once their handles are collected
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
