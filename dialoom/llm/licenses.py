@@ -94,7 +94,8 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices=NOTICES
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
         F.when(F.col("plain") == "", F.lit(0)).otherwise(F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1).cast("long").alias("n_words"),
-        F.when(any_, _places(words, phrases)).alias("places"),
+        # the words are bound once; named in the predicate itself, they would be split anew at every place
+        F.when(any_, F.element_at(F.transform(F.array(words), lambda w: _places(w, phrases)), 1)).alias("places"),
         F.array_compact(F.array(*[F.when(has[p], F.lit(label)) for p, label in phrases.items()])).alias("base"),
         "known",
         F.when(enough, F.col("text")).alias("text"),
