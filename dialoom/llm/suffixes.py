@@ -138,7 +138,8 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, place
     start = np.concatenate(([True], ends[1:] != ends[:-1]))
     has = before >= 0
     reduced = np.zeros(n, bool)
-    reduced[1:] = has[1:] & has[:-1] & ~start[1:] & (before[:-1] + 1 == before[1:])
+    # the bytes on the left are equal, and neither they nor those here belong to different pieces
+    reduced[1:] = has[1:] & has[:-1] & ~start[1:] & ~start[before[1:]] & (before[:-1] + 1 == before[1:]) & (text[:-1] == text[before[:-1]])
     got = np.zeros(n, np.int64)
     todo = np.flatnonzero(has & ~reduced)
     most = np.minimum(ends[todo] - todo, ends[before[todo]] - before[todo])

@@ -108,6 +108,23 @@ def test_suffix_array():
         assert lcp.tolist() == want
 
 
+def test_common_prefixes_of_pieces():
+    passage = bytes(rng.randrange(99, 123) for _ in range(150))
+    # equal suffixes may stand in either order
+    for pieces in ([b"A" + passage, b"B" + passage], [b"B" + passage, b"A" + passage], [passage, b"A" + passage], [b"A" + passage, passage], [b"ab" * 80, b"b" + b"ab" * 80, b"a" * 130, b"a" * 130 + b"b"]):
+        text, bounds = b"".join(pieces), np.concatenate(([0], np.cumsum([len(p) for p in pieces])))
+        data, ends = np.frombuffer(text, np.uint8), np.repeat(bounds[1:], np.diff(bounds))
+        order, place = suffixes.suffix_array(data, ends)
+        tails = [text[i : ends[i]] for i in order]
+        assert suffixes.common_prefixes(data, ends, order, place).tolist() == [0] + [len(os.path.commonprefix(x)) for x in zip(tails[:-1], tails[1:])]
+        again, early = suffixes.later_windows(data, bounds, np.diff(bounds) - 99, np.arange(len(data)))
+        starts = [i for i in range(len(data)) if i + 100 <= ends[i]]
+        firsts = {}
+        for i in starts:
+            firsts.setdefault(text[i : i + 100], i)
+        assert sorted(early) == sorted(firsts.values()) and sorted(again) == [i for i in starts if i not in set(firsts.values())]
+
+
 def test_ogg_round_trip(docs, spark, empty):
     media = docs.select("doc_id", "text", ogg.media_column("text").alias("media"))
     got = {r.doc_id: r for r in media.select("doc_id", ogg.read_column(F.col("media")).alias("m")).select("doc_id", "m.*").collect()}
