@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm on islands.
 
-Tokens are those of a public byte-level BPE; each worker keeps the ids of recent pre-tokens, since the
-encoding of a text is that of its pre-tokens one after another. A text longer than
+Tokens are those of a public byte-level BPE, by ``tokenizers``; each worker keeps the ids of recent pre-tokens,
+since the encoding of a text is that of its pre-tokens one after another. A text longer than
 a sequence is cut into full pieces, of which the first may be shorter; full pieces are sequences already.
 
 The others are dealt by hash into groups of about ``GROUP`` pieces. A group's chromosome is a list of
@@ -44,51 +44,52 @@ ODD = r"[^\t\n\v\f\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]"
 END = b"\0\0\0\0"
 
 
-def _ranks(tokenizer) -> dict[bytes, int]:
-    """The vocabulary's tokens as bytes; a byte-level vocabulary writes the bytes that don't print as other characters."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    names = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in shown)}
-    special = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
-    return {bytes(names[c] for c in t): i for t, i in tokenizer.get_vocab().items() if t not in special}
-
-
 class Encoder:
     """Text -> token ids as little-endian 32-bit words, with id 0 at the end.
 
-    The ids are the tokenizer's. Pre-tokens that a worker doesn't remember are merged by a faster encoder
-    over the same vocabulary, which each worker first holds against the tokenizer on its first ``CHECKED``.
+    All ids are the tokenizer's. Texts are split here, which is faster, unless they hold a token that the
+    tokenizer adds to its vocabulary, or a character that it doesn't class as ``regex`` does: each character
+    out of the ordinary is tried when a worker first meets it. Such texts go to the tokenizer whole.
     """
 
-    CHECKED = 2000
-
     def __init__(self, path: str | None = None):
         import public_tokenizers
         import regex
-        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
-        self.tokenizer.encode_special_tokens = True
-        self.merge = tiktoken.Encoding("own", pat_str=PRETOKEN, mergeable_ranks=_ranks(self.tokenizer), special_tokens={})._encode_single_piece
-        self.full, self.plain, self.odd = regex.compile(PRETOKEN).findall, re.compile(PLAIN).findall, re.compile(ODD).search
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.full, self.plain, self.odd = regex.compile(PRETOKEN).findall, re.compile(PLAIN).findall, re.compile(ODD)
         self.known: dict[str, bytes] = {}
-        self.checked = 0
+        self.same: dict[str, bool] = {}
+
+    def _classed(self, c: str) -> bool:
+        """Whether the tokenizer joins a character to letters, digits and signs as ``regex`` does."""
+        if c not in self.same:
+            split = self.tokenizer.pre_tokenizer.pre_tokenize_str
+            self.same[c] = all(len(split(x + c)) == len(self.full(x + c)) for x in "a1!")
+        return self.same[c]
+
+    def _split(self, text: str) -> list[str] | None:
+        """A text's pre-tokens; None where the tokenizer has to find them."""
+        if any(a in text for a in self.added):
+            return None
+        if not self.odd.search(text):
+            return self.plain(text)
+        return self.full(text) if all(map(self._classed, set(self.odd.findall(text)))) else None
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [(self.full if self.odd(t) else self.plain)(t) for t in texts]
-        known, merge = self.known, self.merge
+        parts = [self._split(t) for t in texts]
+        whole = iter(self._encode([t for t, ps in zip(texts, parts) if ps is None]))
+        known = self.known
         if len(known) > KEPT:
             known.clear()
-        new = list(set(chain.from_iterable(parts)).difference(known))
-        for p in new:
-            known[p] = array("I", merge(p)).tobytes()
-        if self.checked < self.CHECKED:
-            some = new[: self.CHECKED - self.checked]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                if known[p] != array("I", e.ids).tobytes():
-                    raise ValueError(f"the encoders disagree on {p!r}")
-            self.checked += len(some)
-        return [b"".join(map(known.__getitem__, ps)) + END for ps in parts]
+        new = list(set(chain.from_iterable(ps for ps in parts if ps is not None)).difference(known))
+        known.update(zip(new, self._encode(new)))
+        return [(next(whole) if ps is None else b"".join(map(known.__getitem__, ps))) + END for ps in parts]
 
 
 _encoders: dict[str | None, Encoder] = {}

@@ -180,6 +180,21 @@ def test_packing(docs, empty, spark):
     assert twice.count() == 3 and twice.select("sequence_id", "offset").distinct().count() == 3
 
 
+def test_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    import public_tokenizers
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    encode = packing.Encoder()
+    points = [chr(c) for c in range(0x30000) if not 0xD800 <= c < 0xE000]
+    texts = [f"a{c}1{c}!{c} {c}b{c}{c}'s {c}'s  {c}" for c in points] + ["a <|endoftext|> b<|endoftext|>", "<|endoftext", "", "it''s  \n\n x's \t'll", prose(50) + "\u0558" + prose(50)]
+    for lo in range(0, len(texts), 20_000):
+        part = texts[lo : lo + 20_000]
+        want = tokenizer.encode_batch(part, add_special_tokens=False)
+        assert [t for t, w, g in zip(part, want, encode(part)) if np.frombuffer(g, "<u4").tolist() != w.ids + [0]] == []
+
+
 def test_genetic_packing_covers_all():
     lengths = [rng.randint(1, 2047) for _ in range(400)]
     g = np.random.default_rng(1)
