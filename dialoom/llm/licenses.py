@@ -1,7 +1,9 @@
 """License scan: phrases in place, and an exact set-similarity join of text blocks with license notices.
 
-A block is a line's set of words. It meets a notice when it holds ``CONTAINMENT`` of the notice's distinct
-words at least. Only the notices' words can match, so a block is its words out of these, put in the order
+A block is the set of words of consecutive lines, as notices may be wrapped: of each line and all lines after
+it that a notice starting in it can reach, so the lines between the first and the last hold two words less
+than the notice at most; lines without words don't count. It meets a notice when it holds ``CONTAINMENT`` of the
+notice's distinct words at least. Only the notices' words can match, so a block is its words out of these, put in the order
 of their frequency over all documents, rarest first. The join then needs few candidates, and loses none:
 
 - length: a block holds at least the ``need`` words that the notice asks for;
@@ -20,7 +22,7 @@ from __future__ import annotations
 import math
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.llm.common import cut
@@ -79,6 +81,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices=NOTICES
     """(doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     phrases = PHRASES if phrases is None else phrases
     wanted = [(label, sorted(set(text.split()))) for label, text in notices]
+    spans = [len(text.split()) for _, text in notices]
     vocabulary = sorted({w for _, words in wanted for w in words})
     words = F.split("plain", " ")
     inside = F.concat(F.lit(" "), F.col("plain"), F.lit(" "))
@@ -108,13 +111,22 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices=NOTICES
     prefixes = []
     for k, (label, ws) in enumerate(wanted):
         ws, least = sorted(ws, key=rank.__getitem__), need(len(ws), containment)
-        prefixes += [(w, k, label, ws, i, len(ws), least) for i, w in enumerate(ws[: len(ws) - least + 1])]
-    templates = docs.sparkSession.createDataFrame(prefixes, "word string, notice int, label string, ws array<string>, i int, size int, least int")
-
-    lines = rows.where("text is not null").select("row", F.explode(F.split("text", "\n")).alias("line")).select("row", F.split(_plain(F.col("line")), " ").alias("words"))
-    blocks = lines.select("row", F.monotonically_increasing_id().alias("line"), F.array_intersect(_strings(order), "words").alias("block")).withColumn("m", F.size("block"))
+        prefixes += [(w, spans[k], k, label, ws, i, len(ws), least) for i, w in enumerate(ws[: len(ws) - least + 1])]
+    templates = docs.sparkSession.createDataFrame(prefixes, "word string, span int, notice int, label string, ws array<string>, i int, size int, least int")
+
+    split = F.filter(F.transform(F.split("text", "\n"), lambda line: F.split(_plain(line), " ")), lambda ws: ws != F.array(F.lit("")))
+    lines = rows.where("text is not null").select("row", F.posexplode(split).alias("line", "words"))
+    # the words of a text before each line
+    before = F.sum(F.size("words")).over(Window.partitionBy("row").orderBy("line")) - F.size("words")
+    lines = lines.select("row", "line", F.size("words").alias("n"), before.alias("at"), F.array_intersect(_strings(order), "words").alias("known"))
+    after = Window.partitionBy("row").orderBy("line").rowsBetween(0, max(spans) - 1)
+    lines = lines.withColumn("next", F.collect_list(F.struct("at", "known")).over(after)).where(F.size("known") > 0)
+    lines = lines.withColumn("span", F.explode(F.array(*[F.lit(n) for n in sorted(set(spans))])))
+    run = F.filter("next", lambda x: x["at"] <= F.col("at") + F.col("n") + F.col("span") - 2)
+    together = F.flatten(F.transform(run, lambda x: x["known"]))
+    blocks = lines.select("row", "line", "span", F.array_intersect(_strings(order), together).alias("block")).withColumn("m", F.size("block"))
     smallest = min(need(len(ws), containment) for _, ws in wanted)
-    pairs = blocks.where(F.col("m") >= smallest).select("row", "line", "block", "m", F.posexplode(F.expr(f"slice(block, 1, m - {smallest} + 1)")).alias("j", "word")).join(F.broadcast(templates), "word")
+    pairs = blocks.where(F.col("m") >= smallest).select("row", "line", "span", "block", "m", F.posexplode(F.expr(f"slice(block, 1, m - {smallest} + 1)")).alias("j", "word")).join(F.broadcast(templates), ["word", "span"])
     pairs = pairs.where((F.col("m") >= F.col("least")) & (F.col("j") <= F.col("m") - F.col("least")) & (1 + F.least(F.col("size") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= F.col("least")))
     shared = F.size(F.array_intersect("block", "ws"))
     met = pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("least")).groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("met"), F.max(F.col("shared") / F.col("size")).alias("best"))

@@ -261,6 +261,20 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_wrapped_licenses(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files"
+    rows = [
+        (1, mit), (2, "x\n\n * some other words. " + mit.replace(", ", ",\n * \n * ") + " (the Software)\nand more"), (3, mit.replace(" ", "\n")), (4, mit.replace("copy\n", "copy\n" + "other words\n" * 15)),
+        (5, "released\nunder the\r\nMIT license"), (6, "released under the\nfour words between them\nMIT license"),
+    ]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1] == got[2] == got[3] == ("mit", 1.0) and got[4] == got[6] == ("", 0.0) and got[5] == ("mit", 1.0)
+    for k, (label, notice) in enumerate(licenses.NOTICES):
+        words = notice.split()
+        wrapped = [(i, "\n".join(" ".join(words[j : j + i]) for j in range(0, len(words), i))) for i in (1, 2, 5, 11)]
+        assert all(label in r.labels.split(",") and r.score == 1.0 for r in licenses.scan(spark.createDataFrame(wrapped, "doc_id long, text string"), {}, licenses.NOTICES[k : k + 1]).collect())
+
+
 def test_toxicity(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "EPOCHS", 60)
     bad = ["trash", "scummy", "idiotic"]
