@@ -38,6 +38,32 @@ def vector_distinct_top_k(spark, sf_dir):
     return got.select("q", "id", F.col("label").cast("long").alias("label"), F.col("place").cast("long").alias("place"))
 
 
+_SCORES_20 = _SCORES.replace("vec_id % 50 = 0", "vec_id % 20 = 0")
+
+
+def _both_20(spark, sf_dir):
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+
+
+@register("vector_top_k_20", _SCORES_20 + "select q, id, rank::bigint as rank, score from r where rank <= 10")
+def vector_top_k_20(spark, sf_dir):
+    """As ``vector_top_k``, for each twentieth vector."""
+    return R.top_k(*_both_20(spark, sf_dir), 10, digits=6).select("q", "id", F.col("rank").cast("long").alias("rank"), "score")
+
+
+@register("vector_distinct_top_k_20", _SCORES_20 + """
+, f as (select *, row_number() over (partition by q, label order by rank) = 1 as fresh from r where rank <= 20),
+  d as (select *, sum(fresh::int) over (partition by q order by rank) as nth from f),
+  p as (select *, row_number() over (partition by q order by (fresh and nth <= 4) desc, rank) as place from d)
+select q, id, label::bigint as label, place::bigint as place from p where place <= 8
+""")
+def vector_distinct_top_k_20(spark, sf_dir):
+    """As ``vector_distinct_top_k``, for each twentieth vector."""
+    got = R.distinct_top_k(*_both_20(spark, sf_dir), k=8, key="label", distinct=4, overfetch=20, digits=6)
+    return got.select("q", "id", F.col("label").cast("long").alias("label"), F.col("place").cast("long").alias("place"))
+
+
 @register("vector_norms", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm, 1.0::double as after from embeddings")
 def vector_norms(spark, sf_dir):
     """R2: lengths before and after normalisation."""
