@@ -96,6 +96,32 @@ def injected_prompts(spark, sf_dir):
     return d.select("doc_id", F.md5(R.inject(F.concat(F.substring("text", 1, 20), F.lit("# Example 1")), F.col("docs"))).alias("prompt"))
 
 
+@register("injected_whole_prompts")
+def injected_whole_prompts(spark, sf_dir):
+    """The three nearest benchmark texts of each document before the first example of its whole text.
+
+    A document has the vector of its id modulo the number of vectors, a benchmark text that of its own id.
+    """
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("id"), F.col("text").alias("found"))
+    n = e.count()
+    place = F.pmod(F.col("vec_id"), F.lit(n))
+    index = b.join(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v")), "id")
+    near = R.top_k(e.select(place.alias("q"), F.col("embedding").alias("qv")), index, 3, digits=6)
+    docs = near.groupBy("q").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "found"))), lambda x: x["found"]).alias("docs"))
+    d = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("q", F.pmod("doc_id", F.lit(n)))
+    prompt = R.inject(F.concat(F.coalesce("text", F.lit("")), F.lit("# Example 1")), F.coalesce("docs", F.expr("cast(array() as array<string>)")))
+    return d.join(docs, "q", "left").select("doc_id", F.md5(prompt).alias("prompt"))
+
+
+@register("grown_whole_index", "select label::bigint as label, 2 * count(*) as n, count(vec_id) as turns from embeddings group by label")
+def grown_whole_index(spark, sf_dir):
+    """As ``grown_index``, with all vectors appended."""
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    got = R.grown(R.warm(e, e.limit(1), 10), e.withColumn("turn", F.col("vec_id")))
+    return got.groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.count("turn").alias("turns"))
+
+
 @register("grown_index", "select label::bigint as label, count(*) as n, count(turn) as turns from (select label, null as turn from embeddings union all select label, vec_id from embeddings where vec_id < 100) group by label")
 def grown_index(spark, sf_dir):
     """An index with appended rows; columns that one side lacks are null."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 
 import pytest
@@ -16,3 +17,15 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_each_twentieth_vector(name, spark, duck):
     got = {r.q for r in catalog.queries()[name](spark, DATA).select("q").distinct().collect()}
     assert got == {r[0] for r in duck.execute("select vec_id from embeddings where vec_id % 20 = 0").fetchall()}
+
+
+def test_whole_prompts(spark, duck):
+    vectors = dict(duck.execute("select vec_id, embedding from embeddings").fetchall())
+    items = dict(duck.execute("select item_id, text from benchmark").fetchall())
+    want = {}
+    for i, text in duck.execute("select doc_id, text from documents").fetchall():
+        v = vectors[i % len(vectors)]
+        near = sorted(items, key=lambda k: (-round(sum(x * y for x, y in zip(v, vectors[k])), 6), k))[:3]
+        added = "".join(f'"""{items[k]}"""\n' for k in near) + "# Example 1"
+        want[i] = hashlib.md5((text + "# Example 1").replace("# Example 1", added).encode()).hexdigest()
+    assert {r.doc_id: r.prompt for r in catalog.queries()["injected_whole_prompts"](spark, DATA).collect()} == want
