@@ -39,6 +39,13 @@ def constraint_fuzzy(spark, sf_dir):
     return L.find(_venues(spark, sf_dir), "hotel", {"name": name}, least=100).select("id")
 
 
+@register("constraint_fuzzy_90")
+def constraint_fuzzy_90(spark, sf_dir):
+    """Names match approximately at the lookup's own threshold; the name lacks its third letter."""
+    name = spark.read.parquet(f"{sf_dir}/part.parquet").agg(F.min("p_name")).first()[0]
+    return L.find(_venues(spark, sf_dir), "hotel", {"name": name[:2] + name[3:]}).select("id")
+
+
 @register("constraint_join", """
 select c_custkey, count(*) as suppliers, min(s_suppkey) as first from customer, supplier
 where (c_mktsegment = 'BUILDING' or s_nationkey = c_nationkey) and s_acctbal >= c_acctbal group by c_custkey

@@ -7,6 +7,7 @@ import os
 
 import pytest
 from conftest import DATA
+from test_rules import _lcs
 
 from dialoom import catalog
 
@@ -29,3 +30,17 @@ def test_whole_prompts(spark, duck):
         added = "".join(f'"""{items[k]}"""\n' for k in near) + "# Example 1"
         want[i] = hashlib.md5((text + "# Example 1").replace("# Example 1", added).encode()).hexdigest()
     assert {r.doc_id: r.prompt for r in catalog.queries()["injected_whole_prompts"](spark, DATA).collect()} == want
+
+
+def test_fuzzy_lookup_at_90(spark, duck):
+    names = dict(duck.execute("select p_partkey, lower(p_name) from part").fetchall())
+    name = duck.execute("select lower(min(p_name)) from part").fetchone()[0]
+    name = name[:2] + name[3:]
+
+    def partial(a, b):
+        a, b = sorted((a, b), key=len)
+        return max(round(200 * _lcs(a, b[i : i + len(a)]) / (2 * len(a))) for i in range(len(b) - len(a) + 1))
+
+    want = {k for k, v in names.items() if partial(name, v) >= 90}
+    assert want and not any(name in v for v in names.values())
+    assert {r.id for r in catalog.queries()["constraint_fuzzy_90"](spark, DATA).collect()} == want
