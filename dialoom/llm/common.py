@@ -19,9 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a local one only where the cluster names none."""
+    """The folder that all executors share; a folder of this machine only if Spark runs in one process on it."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if found is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="dialoom-")
         spark.sparkContext.setCheckpointDir(f"file://{found}")
         found = spark.sparkContext.getCheckpointDir()
@@ -40,12 +42,61 @@ def cut(df: DataFrame) -> DataFrame:
     spark.conf.set(CLEANUP, "true")
     try:
         df.write.parquet(path)
+    except BaseException:
+        delete(spark, path)
+        raise
     finally:
         if before is None:
             spark.conf.unset(CLEANUP)
         else:
             spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete tables that ``cut`` wrote, once nothing reads them any more."""
+    for df in frames:
+        delete(df.sparkSession, df._cut_path)
+
+
+def free_name(df: DataFrame, wanted: str) -> str:
+    """``wanted``, or with underscores in front until no column of ``df`` is called so (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while wanted.lower() in taken:
+        wanted = f"_{wanted}"
+    return wanted
+
+
+def col(name: str) -> Column:
+    """A column by its exact name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def columns(df: DataFrame) -> list[Column]:
+    return [col(c) for c in df.columns]
+
+
+def identified(rows: DataFrame) -> DataFrame:
+    """(doc_id, text as bytes, ...) -> (doc_id, tag, text, ...); ``tag`` is 0, or the text's hash where another row has the same id.
+
+    (doc_id, tag) tells documents apart: rows that repeat an id with another text are documents of their own,
+    ordered by tag, and rows that repeat both are one. Ids that repeat are few or none as a rule; the table of
+    them is written first, so Spark knows its size and broadcasts it only if it is small.
+    """
+    order = ["doc_id", "tag", "text", *[c for c in rows.columns if c not in ("doc_id", "text")]]
+    twice = cut(rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    if not twice.limit(1).count():
+        release(twice)
+        return rows.withColumn("tag", F.lit(0).cast("long")).select(*order)
+    marked = rows.join(twice.withColumn("again", F.lit(True)), "doc_id", "left")
+    return marked.withColumn("tag", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0)).cast("long")).select(*order)
 
 
 def text_bytes(column: str = "text") -> Column:

@@ -1,10 +1,13 @@
 """Repeated word windows by recompression.
 
 Rounds rename a text's words: runs of one symbol become a symbol of (symbol, length), then pairs become
-a symbol wherever a coin drawn from the symbols' names says left, right. A name is a fingerprint of what
-it stands for, so it is the same in every task and for every text without a table of names. A symbol's
-existence depends on a few neighbours at each round, its context; where a context lies inside a window,
-equal windows hold equal symbols. Each window is handed to the highest-level symbol whose context it
+a symbol wherever a coin drawn from the symbols' names says left, right. A name is a hash of what it stands
+for, so each task can give it alone; each round is a Spark job that gathers the rules (name -> its two parts)
+of all tasks and checks that a name has one meaning in the whole corpus. If two meanings share a name, all
+rounds start again with other hashes. So equal symbols are equal words, in every text.
+
+A symbol's existence depends on a few neighbours at each round, its context; where a context lies inside a
+window, equal windows hold equal symbols. Each window is handed to the highest-level symbol whose context it
 holds (the least in a hash order, if several), named by the words of that context. Only names that occur
 more than once in the corpus can stand in repeated windows, and the stretches of windows that share such
 a symbol are compared in full:
@@ -13,11 +16,12 @@ a symbol are compared in full:
 2. stretches of one name with equal fingerprints: all but the first are repeats as a whole;
 3. first stretches of names with several fingerprints: their windows are compared one by one.
 
-Fingerprints that decide have 128 bits (two independent 64-bit ones). The text itself is read again only
-for documents that take part in step 3 or lose words.
+Fingerprints are two independent 64-bit numbers over independent word names. What they find is then held
+against the words themselves (see verify.py); a difference would end the query with an error.
 
 Defined cases: null or blank text has no words; fewer words than a window lose nothing; rows with a null
-id keep all and hide nothing; an empty table gives an empty result; a repeated id is ordered by its place.
+id keep all and hide nothing; rows that repeat an id with another text are documents of their own (ordered
+by the text's hash), rows that repeat both are one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +35,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import arrays as A
-from dialoom.llm.common import cut, text_bytes
+from dialoom.llm import verify
+from dialoom.llm.common import cut, identified, release, text_bytes
 
 WINDOW, ROUNDS = 20, 2
 WORD_BASE = 0x9E3779B97F4A7C15
-SECOND_BASE = 0xC2B2AE3D27D4EB4F
+SECOND_BASE = 0xC2B2AE3D27D4EB4D
+#: Sets of hashes to try; one clash in a corpus is unlikely, a second set with one more so.
+SEEDS = 4
 _O = [A.U(x) for x in A.ODD[3000:3032]]
+_KEYS = [[np.random.default_rng([seed, k]).integers(0, 1 << 64, 256, dtype=A.U) | A.U(1) for k in range(2)] for seed in range(SEEDS)]
+
 
+def levels(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, rules: list | None = None) -> list[tuple[np.ndarray, ...]]:
+    """For each round (name, context start, context end) of the symbols, in order; contexts that leave the document end outside it.
 
-def levels(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> list[tuple[np.ndarray, ...]]:
-    """For each round (name, context start, context end) of the symbols, in order; contexts that leave the document end outside it."""
+    ``rules`` gets each round's (name, left part or symbol, right part or length) of the symbols that it names.
+    """
     doc = A.ids(bounds)
     h, s, e = names, np.arange(len(names)), np.arange(1, len(names) + 1)
     cs, ce, d = s, e, doc
@@ -56,7 +67,9 @@ def levels(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> list[
         size = stop - at
         ncs = np.where(left, cs[np.maximum(at - 1, 0)], bounds[d[at]] - 1)
         nce = np.where(right, ce[np.minimum(stop, len(h) - 1)], bounds[d[at] + 1] + 1)
-        h = np.where(size > 1, A.mix(h[at] * _O[0] + size.astype(A.U)), h[at])
+        run, old = np.flatnonzero(size > 1), h[at]
+        h = np.where(size > 1, A.mix(old * _O[0] + size.astype(A.U)), old)
+        told = [(h[run], old[run], size[run].astype(A.U))]
         cs, ce, d = ncs, nce, d[at]
 
         joined = d[1:] == d[:-1]
@@ -67,6 +80,10 @@ def levels(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS) -> list[
         prv = np.concatenate(([bounds[0] - 1], np.where(joined, cs[:-1], bounds[d[1:]] - 1)))
         named = h.copy()
         named[:-1] = np.where(pair[:-1], A.mix(h[:-1] * _O[10] + h[1:] * _O[11] + _O[12]), h[:-1])
+        both = np.flatnonzero(pair)
+        told.append((named[both], h[both], h[both + 1]))
+        if rules is not None:
+            rules.append(tuple(np.concatenate(x) for x in zip(*told)))
         ce = np.where(pair, np.concatenate((ce[1:], [0])), np.where(coin == 0, nxt, ce))
         cs = np.where(~pair & (coin == 1), prv, cs)
         keep = ~second
@@ -115,95 +132,158 @@ def stretches(starts: np.ndarray, node: np.ndarray, bounds: np.ndarray) -> tuple
     return first, np.diff(np.concatenate((first, [len(starts)]))), doc[first]
 
 
-def _named(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _named(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words' names, their second names, and where each document's begin."""
     starts, ends, bounds = A.words(data, offsets)
-    return A.spans(A.prefix(A.BYTE_KEYS[data]), starts, ends), bounds, starts, ends
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for lo, hi, data, offsets in A.chunks(batch.column(1)):
-            names, bounds, _, _ = _named(data, offsets)
-            starts, key, node = anchors(names, bounds)
-            first, n, doc = stretches(starts, node, bounds)
-            at = starts[first]
-            one, two = A.spans(A.prefix(names, WORD_BASE), at, at + n + WINDOW - 1, WORD_BASE), A.spans(A.prefix(names, SECOND_BASE), at, at + n + WINDOW - 1, SECOND_BASE)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(A.signed(key[first])), pa.array(A.signed(A.mix(one + A.U(3) * two))), batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array((at - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
-                names=["key", "print", "doc_id", "at", "n"],
-            )
-
-
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, stretches) -> one row for each window of the stretches."""
-    for batch in batches:
-        rows = batch.column(2)
-        for lo, hi, data, offsets in A.chunks(batch.column(1)):
-            names, bounds, _, _ = _named(data, offsets)
-            part = rows.slice(lo, hi - lo)
-            doc = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))
-            flat = part.flatten()
-            key, at, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            which = np.repeat(np.arange(len(n)), n)
-            p = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            own = p + bounds[doc[which]]
-            one, two = A.spans(A.prefix(names, WORD_BASE), own, own + WINDOW, WORD_BASE), A.spans(A.prefix(names, SECOND_BASE), own, own + WINDOW, SECOND_BASE)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(key[which]), pa.array(A.signed(A.mix(one + A.U(3) * two))), batch.column(0).slice(lo, hi - lo).take(pa.array(doc[which])), pa.array(p.astype(np.int32))],
-                names=["key", "print", "doc_id", "at"],
-            )
-
-
-def _kept(batches: Iterator[pa.RecordBatch], schema_names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, ranges or null) -> digest of the words outside the ranges."""
-    for batch in batches:
-        out: list[tuple[int, int, str, bytes]] = []
-        texts, ranges = batch.column(1), batch.column(2)
-        for i in range(len(texts)):
-            text = texts[i].as_py()
-            words = text.translate(_TO_SPACE).split(b" ") if text else []
-            words = [w for w in words if w]
-            gone = np.zeros(len(words) + 1, np.int32)
-            if ranges[i].is_valid and len(ranges[i]):
-                flat = ranges[i].values
-                a, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                np.add.at(gone, a, 1)
-                np.add.at(gone, a + n + WINDOW - 1, -1)
-            keep = np.cumsum(gone)[:-1] == 0
-            text = b" ".join(w for w, k in zip(words, keep) if k) if not keep.all() else b" ".join(words)
-            out.append((len(words), len(words) - int(keep.sum()), hashlib.sha256(text).hexdigest(), text))
-        cols = list(zip(*out)) or [[]] * 4
-        found = {"doc_id": batch.column(0), "n_words": pa.array(cols[0], pa.int64()), "n_removed": pa.array(cols[1], pa.int64()), "kept_sha256": pa.array(cols[2], pa.string()), "kept": pa.array(cols[3], pa.binary())}
-        yield pa.RecordBatch.from_arrays([found[x] for x in schema_names], names=schema_names)
+    one, two = (A.spans(A.prefix(keys[data], base), starts, ends, base) for keys, base in zip(_KEYS[seed], (A.BASE, SECOND_BASE)))
+    return one, two + A.U(3) * (ends - starts).astype(A.U), bounds
+
+
+def _prints(one: np.ndarray, two: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+    """Both fingerprints of runs of words."""
+    return [pa.array(A.signed(A.spans(A.prefix(x, base), start, end, base))) for x, base in ((one, WORD_BASE), (two, SECOND_BASE))]
+
+
+def _rules(level: int, seed: int):
+    """The distinct rules of a round in each chunk of text; round 0 names the words."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, data, offsets in A.chunks(batch.column(2)):
+                one, two, bounds = _named(data, offsets, seed)
+                told: list = []
+                if level:
+                    levels(one, bounds, level, told)
+                name, left, right = told[level - 1] if len(told) >= level > 0 else (one, two, np.zeros(len(one), A.U)) if not level else [np.zeros(0, A.U)] * 3
+                by = np.lexsort((right, left, name))
+                name, left, right = name[by], left[by], right[by]
+                new = np.concatenate(([True], (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))[: len(name)]
+                yield pa.RecordBatch.from_arrays([pa.array(A.signed(np.ascontiguousarray(x[new]))) for x in (name, left, right)], names=["name", "a", "b"])
+
+    return of
+
+
+def clashes(rules: DataFrame) -> DataFrame:
+    """Names with more than one meaning."""
+    each = rules.groupBy("name").agg(*[f(c).alias(f"{k}_{c}") for c in "ab" for k, f in (("low", F.min), ("high", F.max))])
+    return each.where("low_a <> high_a or low_b <> high_b")
+
+
+def agreed(docs: DataFrame, rounds: int = ROUNDS) -> int:
+    """The first set of hashes under which each name of each round has one meaning in all texts of (doc_id, tag, text)."""
+    for seed in range(SEEDS):
+        for level in range(rounds + 1):
+            bad = cut(clashes(docs.mapInArrow(_rules(level, seed), "name long, a long, b long")).limit(1))
+            clash = bad.count()
+            release(bad)
+            if clash:
+                break
+        else:
+            return seed
+    raise RuntimeError("all sets of hashes give one name to two things")
+
+
+def _stretches(seed: int):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in A.chunks(batch.column(2)):
+                names, second, bounds = _named(data, offsets, seed)
+                starts, key, node = anchors(names, bounds)
+                first, n, doc = stretches(starts, node, bounds)
+                at = starts[first]
+                owner = pa.array(doc)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(A.signed(key[first])), *_prints(names, second, at, at + n + WINDOW - 1), *[batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)], pa.array((at - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    names=["key", "one", "two", "doc_id", "tag", "at", "n"],
+                )
+
+    return of
+
+
+def _windows(seed: int):
+    """(doc_id, tag, text, stretches) -> one row for each window of the stretches."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.column(3)
+            for lo, hi, data, offsets in A.chunks(batch.column(2)):
+                names, second, bounds = _named(data, offsets, seed)
+                part = rows.slice(lo, hi - lo)
+                doc = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))
+                flat = part.flatten()
+                key, at, n = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                which = np.repeat(np.arange(len(n)), n)
+                p = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+                own, owner = p + bounds[doc[which]], pa.array(doc[which])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key[which]), *_prints(names, second, own, own + WINDOW), *[batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)], pa.array(p.astype(np.int32))],
+                    names=["key", "one", "two", "doc_id", "tag", "at"],
+                )
+
+    return of
 
 
 _TO_SPACE = bytes(32 if A.SPACE[i] else i for i in range(256))
+KINDS = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "binary", "mine": verify.DIGESTS, "theirs": verify.DIGESTS}
+
+
+def _kept(names: list[str]):
+    """(doc_id, tag, text, own, wanted) -> digest of the words outside the repeats, and digests of repeats and of what others repeat."""
+    kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "mine": verify.DIGEST_LIST, "theirs": verify.DIGEST_LIST}
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, tag, text, own, wanted in zip(*[batch.column(i) for i in range(5)]):
+                text, own = text.as_py(), own.as_py()
+                words = [w for w in text.translate(_TO_SPACE).split(b" ") if w]
+                gone = np.zeros(len(words) + 1, np.int32)
+                for o in own or ():
+                    gone[o["at"]] += 1
+                    gone[o["at"] + o["len"]] -= 1
+                keep = np.cumsum(gone)[:-1] <= 0
+                kept = b" ".join(w for w, k in zip(words, keep) if k) if own else b" ".join(words)
+                found = verify.digests(lambda a, b: b" ".join(words[a:b]), doc_id.as_py(), tag.as_py(), own, wanted.as_py())
+                out.append((len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept, *found))
+            cols = list(zip(*out)) or [[]] * 6
+            found = {"doc_id": batch.column(0)} | {k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)}
+            yield pa.RecordBatch.from_arrays([found[x] for x in names], names=names)
+
+    return of
+
+
+PLACE = ["doc_id", "tag", "at"]
 
 
 def later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose ``by`` columns also stand at an earlier (doc_id, at)."""
-    first = rows.groupBy(*by).agg(F.min(F.struct("doc_id", "at")).alias("first"), F.count("*").alias("m")).where("m > 1")
-    return rows.join(first.select(*by, "first"), by).where(F.struct("doc_id", "at") > F.col("first"))
+    """The rows whose ``by`` columns also stand at an earlier (doc_id, tag, at), with the earliest as ``first``."""
+    first = rows.groupBy(*by).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("m")).where("m > 1")
+    return rows.join(first.select(*by, "first"), by).where(F.struct(*PLACE) > F.col("first"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with bytes -> (doc_id, ranges): stretches (first word, windows) whose windows all start earlier too."""
-    named = docs.where("doc_id is not null").mapInArrow(_stretches, "key long, print long, doc_id long, at int, n int")
+    """(doc_id, tag, text) with bytes -> (doc_id, tag, own, wanted): the runs of words that also stand earlier, and where (see verify.py)."""
+    docs = docs.where("doc_id is not null")
+    seed = agreed(docs)
+    named = docs.mapInArrow(_stretches(seed), "key long, one long, two long, doc_id long, tag long, at int, n int")
     twice = named.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
     flagged = cut(named.join(twice, "key"))
-    whole = later(flagged, ["key", "print"]).select("doc_id", "at", "n")
-    firsts = flagged.groupBy("key", "print").agg(F.min(F.struct("doc_id", "at", "n")).alias("f"))
+    match = F.struct("at", "n", F.col("first.doc_id").alias("src"), F.col("first.tag").alias("src_tag"), F.col("first.at").alias("src_at")).alias("match")
+    whole = later(flagged, ["key", "one", "two"]).select("doc_id", "tag", match)
+    firsts = flagged.groupBy("key", "one", "two").agg(F.min(F.struct(*PLACE, "n")).alias("f"))
     several = firsts.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    todo = firsts.join(several, "key").select("f.doc_id", F.struct("key", "f.at", "f.n").alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("rows"))
-    windows = cut(docs.join(todo, "doc_id").select("doc_id", "text", "rows").mapInArrow(_windows, "key long, print long, doc_id long, at int"))
-    single = later(windows, ["key", "print"]).select("doc_id", "at", F.lit(1).alias("n"))
-    return cut(whole.unionByName(single).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("ranges")))
+    todo = firsts.join(several, "key").select("f.doc_id", "f.tag", F.struct("key", "f.at", "f.n").alias("r")).groupBy("doc_id", "tag").agg(F.collect_list("r").alias("rows"))
+    windows = cut(docs.join(todo, ["doc_id", "tag"]).select("doc_id", "tag", "text", "rows").mapInArrow(_windows(seed), "key long, one long, two long, doc_id long, tag long, at int"))
+    single = later(windows, ["key", "one", "two"]).withColumn("n", F.lit(1)).select("doc_id", "tag", match)
+    matches = cut(whole.unionByName(single).groupBy("doc_id", "tag").agg(F.collect_list("match").alias("matches")))
+    release(flagged, windows)
+    return verify.asked(matches, WINDOW)
 
 
 def deduplicated(docs: DataFrame, text: bool = False) -> DataFrame:
     """(doc_id, text) -> doc_id, n_words, n_removed, kept_sha256 and, if asked, the kept text's bytes."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
+    source = identified(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text")))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if text else [])]
-    rows = source.join(repeats(source), "doc_id", "left").select("doc_id", "text", "ranges")
-    kinds = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256": "string", "kept": "binary"}
-    return rows.mapInArrow(lambda it: _kept(it, names), ", ".join(f"{n} {kinds[n]}" for n in names))
+    every = [*names, "mine", "theirs"]
+    rows = source.join(repeats(source), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "own", "wanted")
+    return verify.finished(rows.mapInArrow(_kept(every), ", ".join(f"{n} {KINDS[n]}" for n in every)), names)

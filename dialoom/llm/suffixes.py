@@ -12,12 +12,14 @@ whose copies are repeats as a whole. The shard then
   neighbour's has its predecessor's common prefix less one, so only the others compare bytes;
 - cuts the suffix array where the common prefix is under 100 and keeps the earliest window of each part.
 
-A gram with more than ``HOT`` stretches is dealt over several shards by document. Each such shard gives
-its earliest window of each kind, ordered by fingerprint, and the shards are merged by binary search.
+A gram with more than ``SHARD_BYTES`` of stretches is dealt over several shards. Each such shard gives its
+earliest window of each kind, in the order of a 128-bit fingerprint, and the shards are merged by binary
+search; what a merge takes for equal is then held against the text itself (see verify.py). In a shard,
+bytes decide: copies that collapse are compared with the stretch that stands for them.
 
 Defined cases: null text has no bytes; texts under 100 bytes lose nothing; rows with a null id keep all
-and hide nothing; rows that repeat an id are one document, whose equal places don't hide each other; an
-empty table gives an empty result.
+and hide nothing; rows that repeat an id with another text are documents of their own (ordered by the text's
+hash), rows that repeat both are one; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,12 +34,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import arrays as A
-from dialoom.llm.common import cut, text_bytes
+from dialoom.llm import verify
+from dialoom.llm.common import col, cut, identified, release, text_bytes
 
 WINDOW, GRAM = 100, 24
-#: Stretches of one gram that a shard takes; bytes of text that a shard of many grams aims at.
-HOT, SHARD_BYTES = 4096, 1 << 20
+#: Bytes of stretches that a shard aims at; a gram with more is dealt over several shards.
+SHARD_BYTES = 1 << 20
+#: Windows of a stretch; where more follow one gram (in a long run of one byte), they are another stretch.
+LONGEST = 4096
 FIRST_DEPTH = 7
+SECOND_BASE = 0xA24BAED4963EE405
 
 
 def slide(values: np.ndarray, width: int) -> np.ndarray:
@@ -68,21 +74,25 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     key = least[p]
     leaves = gram[p] == key
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (p[1:] != p[:-1] + 1)))
+    here = np.arange(len(p))
+    new |= (here - np.maximum.accumulate(np.where(new, here, 0))) % LONGEST == 0
     # windows of two documents are never neighbours, as a document's last 99 places start none
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate((first, [len(p)])))
     last = first + n - 1
     inner = np.concatenate(([0], np.cumsum(leaves)))
-    places = inner[last] - inner[first] + 1
+    places = inner[last] - inner[first] + 1 + (n == LONGEST)
     doc = np.searchsorted(offsets, p[first], "right") - 1
     return key[first], doc, p[first] - offsets[doc], n, places
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in A.chunks(batch.column(1)):
+        for lo, hi, data, offsets in A.chunks(batch.column(2)):
             key, doc, at, n, places = stretches(data, offsets)
-            yield pa.RecordBatch.from_arrays([pa.array(A.signed(key)), batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))], names=["key", "doc_id", "at", "n", "m"])
+            owner = pa.array(doc)
+            own = [batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([pa.array(A.signed(key)), *own, pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(places.astype(np.int32))], names=["key", "doc_id", "tag", "at", "n", "m"])
 
 
 def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +193,38 @@ def later_windows(text: np.ndarray, bounds: np.ndarray, windows: np.ndarray, ran
     return pos[~early], pos[early]
 
 
-OUT = "kind int, key long, print long, doc_id long, at int, n int"
+OUT = "kind int, key long, one long, two long, sub int, doc_id long, tag long, at int, n int"
+
+
+def _ranks(*columns_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's place in the order of its columns, and a row of each place; equal rows share one."""
+    by = np.lexsort(columns_[::-1])
+    new = np.zeros(len(by), bool)
+    new[:1] = True
+    for c in columns_:
+        new[1:] |= c[by][1:] != c[by][:-1]
+    rank = np.empty(len(by), np.int64)
+    rank[by] = np.cumsum(new) - 1
+    return rank, by[new]
+
+
+def copies_of(text: np.ndarray, bounds: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For each piece, the earliest one with the same windows and bytes (itself, if there is none before)."""
+    size, here = np.diff(bounds), np.arange(len(n))
+    whole = A.spans(A.prefix(A.BYTE_KEYS[text]), bounds[:-1], bounds[1:])
+    by = np.lexsort((place, whole, n))
+    head = np.concatenate(([True], (whole[by][1:] != whole[by][:-1]) | (n[by][1:] != n[by][:-1])))[: len(by)]
+    lead = np.empty(len(n), np.int64)
+    lead[by] = by[np.maximum.accumulate(np.where(head, here, 0))]
+    other = here[(lead != here) & (size == size[lead])]
+    if len(other):
+        steps = np.arange(int(size[other].sum())) - np.repeat(np.cumsum(size[other]) - size[other], size[other])
+        differs = text[np.repeat(bounds[other], size[other]) + steps] != text[np.repeat(bounds[lead[other]], size[other]) + steps]
+        first = np.concatenate(([0], np.cumsum(size[other])[:-1]))
+        other = other[~np.logical_or.reduceat(differs, first)]
+    out = here.copy()
+    out[other] = lead[other]
+    return out
 
 
 def _shard(table: pa.Table) -> pa.Table:
@@ -191,139 +232,172 @@ def _shard(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     data, bounds = A.binary(table["bytes"].chunk(0) if table.num_rows else pa.array([], pa.binary()))
     text, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
-    doc, at, n, key = (table[x].to_numpy() for x in ("doc_id", "at", "n", "key"))
-    names, dense = np.unique(doc, return_inverse=True)
-    place = (dense.astype(np.int64) << 32) + at
+    doc, tag, at, n, key = (table[x].to_numpy() for x in ("doc_id", "tag", "at", "n", "key"))
+    dense, some = _ranks(doc, tag)
+    place = (dense << 32) + at
     # equal pieces: the earliest stands for all, and all windows of a later one start earlier too
-    sums = A.prefix(A.BYTE_KEYS[text])
-    whole = A.spans(sums, bounds[:-1], bounds[1:]) ^ n.astype(A.U)
-    by = np.lexsort((place, whole))
-    head = np.concatenate(([True], whole[by][1:] != whole[by][:-1]))[: len(by)]
-    lead = by[np.maximum.accumulate(np.where(head, np.arange(len(by)), 0))] if len(by) else by
-    copies = by[place[by] > place[lead]]
+    lead = copies_of(text, bounds, n, place)
+    copies = np.flatnonzero(place > place[lead])
     copied = np.repeat(place[copies] - np.cumsum(n[copies]) + n[copies], n[copies]) + np.arange(int(n[copies].sum()))
-    kept = np.sort(by[head])
+    kept = np.flatnonzero(lead == np.arange(len(n)))
     size = np.diff(bounds)[kept]
     text = text[np.repeat(bounds[:-1][kept] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
     bounds = np.concatenate(([0], np.cumsum(size)))
-    doc, at, n, key, place = doc[kept], at[kept], n[kept], key[kept], place[kept]
+    n, key, place = n[kept], key[kept], place[kept]
     piece = A.ids(bounds)
     rank = place[piece] + np.arange(len(text)) - bounds[:-1][piece]
     again, early = later_windows(text, bounds, n, rank)
     r = np.unique(np.concatenate((rank[again], copied)))
     first = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1] + 1))[: len(r)])
     count = np.diff(np.concatenate((first, [len(r)])))
-    cols = [np.zeros(len(first), np.int32), np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), names[r[first] >> 32], (r[first] & 0xFFFFFFFF).astype(np.int32), count.astype(np.int32)]
-    if table.num_rows and table["sub"][0].as_py() > 0:
-        prints = A.signed(A.spans(A.prefix(A.BYTE_KEYS[text]), early, early + WINDOW))
-        by = np.argsort(prints)
+    zero = np.zeros(len(first), np.int64)
+    owner = some[r[first] >> 32]
+    cols = [zero, zero, zero, zero, zero, doc[owner], tag[owner], r[first] & 0xFFFFFFFF, count]
+    sub = table["sub"][0].as_py() if table.num_rows else 0
+    if sub:
+        prints = [A.spans(A.prefix(A.mix(A.BYTE_KEYS[text] + A.U(k)), base), early, early + WINDOW, base) for k, base in enumerate((A.BASE, SECOND_BASE))]
+        by = np.lexsort((prints[1], prints[0]))
         e = early[by]
-        more = [np.ones(len(e), np.int32), key[piece[e]], prints[by], doc[piece[e]], (rank[e] & 0xFFFFFFFF).astype(np.int32), np.ones(len(e), np.int32)]
+        owner = some[rank[e] >> 32]
+        one = np.ones(len(e), np.int64)
+        more = [one, key[piece[e]], A.signed(prints[0][by]), A.signed(prints[1][by]), one * sub, doc[owner], tag[owner], rank[e] & 0xFFFFFFFF, one]
         cols = [np.concatenate(x) for x in zip(cols, more)]
-    return pa.Table.from_arrays([pa.array(x) for x in cols], names=["kind", "key", "print", "doc_id", "at", "n"])
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=[x.split()[0] for x in OUT.split(", ")])
 
 
 def _merge(table: pa.Table) -> pa.Table:
-    """Earliest windows of several shards of hot grams -> those that start earlier in another shard."""
-    prints, key, doc, at = (table[x].to_numpy() for x in ("print", "key", "doc_id", "at"))
-    by = np.lexsort((at, doc, key, prints))
-    prints, key, doc, at = prints[by], key[by], doc[by], at[by]
-    head = np.concatenate(([True], (prints[1:] != prints[:-1]) | (key[1:] != key[:-1])))
-    heads = np.flatnonzero(head)
-    own = heads[np.searchsorted(heads, np.arange(len(prints)), "right") - 1]
-    late = (doc > doc[own]) | (at > at[own])
-    late &= ~head
-    return pa.Table.from_arrays([pa.array(doc[late]), pa.array(at[late].astype(np.int32)), pa.array(np.ones(int(late.sum()), np.int32))], names=["doc_id", "at", "n"])
+    """Earliest windows of several shards of hot grams -> those that start earlier in another shard, and where.
+
+    A shard's windows are looked up by binary search in those of the shards before, and the new ones are put in.
+    """
+    key, one, two, sub, doc, tag, at = (table[x].to_numpy() for x in ("key", "one", "two", "sub", "doc_id", "tag", "at"))
+    kind, _ = _ranks(key, one, two)
+    place, row_of = _ranks(doc, tag, at)
+    by = np.lexsort((kind, sub))
+    cuts_ = np.flatnonzero(sub[by][1:] != sub[by][:-1]) + 1
+    known, first, late = np.zeros(0, np.int64), np.zeros(0, np.int64), []
+    for part in np.split(by, cuts_):
+        mine, where = kind[part], place[part]
+        slot = np.searchsorted(known, mine)
+        hit = np.zeros(len(mine), bool)
+        inside = slot < len(known)
+        hit[inside] = known[slot[inside]] == mine[inside]
+        old = first[slot[hit]]
+        late.append(np.stack((mine[hit], np.maximum(old, where[hit]))))
+        first[slot[hit]] = np.minimum(old, where[hit])
+        known, first = np.insert(known, slot[~hit], mine[~hit]), np.insert(first, slot[~hit], where[~hit])
+    late = np.concatenate(late, 1) if late else np.zeros((2, 0), np.int64)
+    a, b = row_of[late[1]], row_of[first[np.searchsorted(known, late[0])]]
+    cols = {"doc_id": doc[a], "tag": tag[a], "at": at[a], "src": doc[b], "src_tag": tag[b], "src_at": at[b]}
+    return pa.table({k: pa.array(v, pa.int32() if k.endswith("at") else pa.int64()) for k, v in cols.items()})
 
 
 def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, stretches) -> one row for each stretch, with the bytes of its windows."""
+    """(doc_id, tag, text, stretches) -> one row for each stretch, with the bytes of its windows."""
     for batch in batches:
-        for lo, hi, data, offsets in A.chunks(batch.column(1)):
-            part = batch.column(2).slice(lo, hi - lo)
+        for lo, hi, data, offsets in A.chunks(batch.column(2)):
+            part = batch.column(3).slice(lo, hi - lo)
             doc = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))
-            flat = part.flatten()
+            flat, owner = part.flatten(), pa.array(doc)
             at, n = flat.field(3).to_numpy(zero_copy_only=False), flat.field(4).to_numpy(zero_copy_only=False)
             whole = data.tobytes()
             a = offsets[doc] + at
             bytes_ = pa.array([whole[x : x + y + WINDOW - 1] for x, y in zip(a.tolist(), n.tolist())], pa.binary())
-            yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), flat.field(2), batch.column(0).slice(lo, hi - lo).take(pa.array(doc)), flat.field(3), flat.field(4), bytes_], names=["shard", "sub", "key", "doc_id", "at", "n", "bytes"])
+            own = [batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), flat.field(2), *own, flat.field(3), flat.field(4), bytes_], names=["shard", "sub", "key", "doc_id", "tag", "at", "n", "bytes"])
+
+
+RANGES = "array<struct<at: int, n: int>>"
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """(doc_id, text) with bytes -> (doc_id, ranges): (first window, windows) that start earlier too."""
-    marks = docs.where("doc_id is not null").mapInArrow(_stretches, "key long, doc_id long, at int, n int, m int")
-    twice = marks.groupBy("key").agg(F.sum("m").alias("m"), F.count("*").alias("rows")).where("m > 1").select("key", "rows")
+    """(doc_id, tag, text) with bytes -> those ids with ranges (first window, windows) that start earlier too, and what to verify."""
+    docs = docs.where("doc_id is not null")
+    marks = docs.mapInArrow(_stretches, "key long, doc_id long, tag long, at int, n int, m int")
+    width = F.col("n") + F.lit(WINDOW - 1).cast("long")
+    twice = marks.groupBy("key").agg(F.sum("m").alias("m"), F.sum(width).alias("size")).where("m > 1").select("key", "size")
     flagged = cut(marks.drop("m").join(twice, "key"))
-    size = flagged.agg(F.coalesce(F.sum(F.col("n") + F.lit(WINDOW - 1).cast("long")), F.lit(0))).first()[0]
+    size = flagged.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
-    hot = F.col("rows") > HOT
+    hot = F.col("size") > SHARD_BYTES
     r = F.struct(
         F.when(hot, F.col("key")).otherwise(F.pmod("key", F.lit(shards))).alias("shard"),
-        F.when(hot, F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("rows") / HOT)) + 1).otherwise(F.lit(0)).cast("int").alias("sub"),
+        F.when(hot, F.pmod(F.xxhash64("doc_id", "tag", "at"), F.ceil(F.col("size") / SHARD_BYTES)) + 1).otherwise(F.lit(0)).cast("int").alias("sub"),
         "key", "at", "n",
     )
-    todo = flagged.select("doc_id", r.alias("r")).groupBy("doc_id").agg(F.collect_list("r").alias("rows"))
-    pieces = docs.join(todo, "doc_id").select("doc_id", "text", "rows").mapInArrow(_pieces, "shard long, sub int, key long, doc_id long, at int, n int, bytes binary")
+    todo = flagged.select("doc_id", "tag", r.alias("r")).groupBy("doc_id", "tag").agg(F.collect_list("r").alias("rows"))
+    pieces = docs.join(todo, ["doc_id", "tag"]).select("doc_id", "tag", "text", "rows").mapInArrow(_pieces, "shard long, sub int, key long, doc_id long, tag long, at int, n int, bytes binary")
     found = cut(pieces.groupBy("shard", "sub").applyInArrow(_shard, OUT))
-    hot_rows = found.where("kind = 1").withColumn("part", F.pmod("print", F.lit(shards)))
-    merged = hot_rows.groupBy("part").applyInArrow(_merge, "doc_id long, at int, n int")
-    return cut(found.where("kind = 0").select("doc_id", "at", "n").unionByName(merged).groupBy("doc_id").agg(F.collect_list(F.struct("at", "n")).alias("ranges")))
-
-
-def _kept(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, ranges or null) -> digest of the bytes outside the ranges."""
-    for batch in batches:
-        out: list[tuple] = []
-        texts, ranges = batch.column(1), batch.column(2)
-        for i in range(len(texts)):
-            text = texts[i].as_py()
-            size, runs = len(text), 0
-            if ranges[i].is_valid and len(ranges[i]):
-                flat = ranges[i].values
-                a, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
-                gone = np.zeros(size + 1, np.int32)
-                np.add.at(gone, a, 1)
-                np.add.at(gone, a + n + WINDOW - 1, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
-                text = np.frombuffer(text, np.uint8)[~gone].tobytes()
-            out.append((size, size - len(text), runs, hashlib.sha256(text).hexdigest(), text))
-        cols = list(zip(*out)) or [[]] * 5
-        kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
-        found = {"doc_id": batch.column(0)} | {k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)}
-        yield pa.RecordBatch.from_arrays([found[x] for x in names], names=names)
+    release(flagged)
+    hot_rows = found.where("kind = 1").select("key", "one", "two", "sub", "doc_id", "tag", "at").withColumn("part", F.pmod("one", F.lit(shards)))
+    merged = cut(hot_rows.groupBy("part").applyInArrow(_merge, "doc_id long, tag long, at int, src long, src_tag long, src_at int"))
+    ranges = found.where("kind = 0").select("doc_id", "tag", "at", "n").unionByName(merged.select("doc_id", "tag", "at", F.lit(1).alias("n")))
+    out = cut(ranges.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", "n")).alias("ranges")))
+    release(found)
+    if not merged.limit(1).count():
+        return out.select("*", F.lit(None).cast(verify.OWN).alias("own"), F.lit(None).cast("array<struct<at: int, len: int>>").alias("wanted"))
+    matches = merged.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("at", F.lit(1).alias("n"), "src", "src_tag", "src_at")).alias("matches"))
+    return out.join(verify.asked(matches, WINDOW), ["doc_id", "tag"], "full")
+
+
+def _kept(names: list[str]):
+    """(doc_id, tag, text, ranges, own, wanted, row) -> digest of the bytes outside the ranges, and digests to compare."""
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "mine": verify.DIGEST_LIST, "theirs": verify.DIGEST_LIST}
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            ranges = batch.column(3)
+            for i, (doc_id, tag, text, own, wanted) in enumerate(zip(*[batch.column(k) for k in (0, 1, 2, 4, 5)])):
+                text = text.as_py()
+                found = verify.digests(lambda a, b: text[a:b], doc_id.as_py(), tag.as_py(), own.as_py(), wanted.as_py())
+                size, runs, rest = len(text), 0, text
+                if ranges[i].is_valid and len(ranges[i]):
+                    flat = ranges[i].values
+                    a, n = flat.field(0).to_numpy(), flat.field(1).to_numpy()
+                    gone = np.zeros(size + 1, np.int32)
+                    np.add.at(gone, a, 1)
+                    np.add.at(gone, a + n + WINDOW - 1, -1)
+                    gone = np.cumsum(gone)[:-1] > 0
+                    runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
+                    rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
+                out.append((size, size - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if "kept" in names else None, *found))
+            cols = list(zip(*out)) or [[]] * 7
+            done = {"doc_id": batch.column(0), "row": batch.column(batch.num_columns - 1)} | {k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)}
+            yield pa.RecordBatch.from_arrays([done[x] for x in names], names=names)
+
+    return of
+
+
+def _results(source: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, text, row if asked for) -> the columns ``names``, once what merges found is verified."""
+    kinds = {"doc_id": "long", "n_bytes": "long", "n_removed": "long", "n_spans": "long", "kept_sha256": "string", "kept": "string", "mine": verify.DIGESTS, "theirs": verify.DIGESTS}
+    if "row" in names:
+        kinds["row"] = source.schema["row"].dataType.simpleString()
+    every, source = [*names, "mine", "theirs"], identified(source)
+    rows = source.join(repeats(source.select("doc_id", "tag", "text")), ["doc_id", "tag"], "left").select("doc_id", "tag", "text", "ranges", "own", "wanted", *(["row"] if "row" in names else []))
+    return verify.finished(rows.mapInArrow(_kept(every), ", ".join(f"{n} {kinds[n]}" for n in every)), names)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """(doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
-    rows = source.join(repeats(source), "doc_id", "left").select("doc_id", "text", "ranges")
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    return rows.mapInArrow(lambda it: _kept(it, names), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _results(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text")), ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
 def rewritten(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with texts (and n_chars, if there) without the bytes that start earlier.
+    """The rows of ``docs``, all columns, with texts (and n_chars, if there) without the bytes that start earlier.
 
-    A character of which a repeat leaves only a part goes as a whole; a null text stays null.
+    A character of which a repeat leaves only a part goes as a whole; a null text stays null, and a text that
+    loses nothing keeps its n_chars.
     """
-    def rest(text: pd.Series, ranges: pd.Series) -> pd.Series:
-        out = []
-        for t, r in zip(text, ranges):
-            gone = np.zeros(len(t) + 1, np.int32)
-            for x in r if r is not None else ():
-                gone[x["at"]] += 1
-                gone[x["at"] + x["n"] + WINDOW - 1] -= 1
-            out.append(np.frombuffer(t, np.uint8)[np.cumsum(gone)[:-1] == 0].tobytes().decode("utf-8", "ignore"))
-        return pd.Series(out, dtype=object)
-
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"))
-    found = repeats(source).select(F.col("doc_id").alias("_id"), F.col("ranges").alias("_ranges"))
-    rows = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    some = F.col("_ranges").isNotNull()
-    rows = rows.withColumn("_kept", F.pandas_udf(rest, "string")(F.when(some, text_bytes("text")).otherwise(F.lit(b"")), "_ranges"))
-    rows = rows.withColumn("text", F.when(some, F.col("_kept")).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(some, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    row = F.struct(*[col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c != "text"], F.col("text").isNull().alias("blank"))
+    done = _results(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes("text").alias("text"), row.alias("row")), ["n_removed", "kept", "row"])
+    text = F.when(~F.col("row.blank"), F.col("kept"))
+    changed = F.col("n_removed") > 0
+
+    def of(i: int, c: str):
+        own = F.col(f"row.c{i}") if c != "text" else text
+        return F.when(changed, F.length("kept").cast(docs.schema[c].dataType)).otherwise(own) if c == "n_chars" else own
+
+    return done.select(*[of(i, c).alias(c) for i, c in enumerate(docs.columns)])

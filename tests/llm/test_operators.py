@@ -92,11 +92,66 @@ def test_byte_repeats(docs, empty):
 
 
 def test_hot_grams(docs, monkeypatch):
-    monkeypatch.setattr(suffixes, "HOT", 4)  # grams are dealt over several shards, and merged
+    monkeypatch.setattr(suffixes, "SHARD_BYTES", 800)  # grams are dealt over several shards, and merged
     got = {r[0]: tuple(r[1:]) for r in suffixes.deduplicated(docs).collect()}
     assert got == brute.byte_repeats(PAIRS)
 
 
+#: Rows that repeat an id: with the same text, and with others.
+TWINS = [(1, "long " * 70 + "x"), (1, "short"), (1, "long " * 70 + "x"), (2, None), (3, "long " * 90), (3, prose(80)), (4, prose(50)), (4, ""), (None, "long " * 60)]
+
+
+def twins(brute_of):
+    """By the definition: documents are (id, text) in the order of id and the text's hash, equal ones are one."""
+    import xxhash
+
+    def tag(t):
+        return int.from_bytes(xxhash.xxh64((t or "").encode(), seed=42).digest(), "big", signed=True)
+
+    once = sorted({(i, t or "") for i, t in TWINS if i is not None}, key=lambda r: (r[0], tag(r[1])))
+    found = brute_of([(k, t) for k, (_, t) in enumerate(once)])
+    return sorted(((i, *found[once.index((i, t or ""))]) for i, t in TWINS if i is not None), key=repr)
+
+
+@pytest.mark.parametrize("operator, plain", [(recompression, brute.word_repeats), (suffixes, brute.byte_repeats)])
+def test_repeated_ids(operator, plain, spark):
+    got = sorted((tuple(r) for r in operator.deduplicated(spark.createDataFrame(TWINS, "doc_id long, text string")).collect()), key=repr)
+    want = twins(plain)
+    assert [r for r in got if r[0] is not None] == want
+    assert [r[2] for r in got if r[0] is None] == [0]
+
+
+def test_names_have_one_meaning(spark):
+    rows = spark.createDataFrame([(1, 2, 3), (1, 2, 3), (4, 2, 3), (4, 2, 5)], "name long, a long, b long")
+    assert [r.name for r in recompression.clashes(rows).collect()] == [4]
+
+
+def test_verification():
+    from dialoom.llm import verify
+
+    match = tuple(np.array(x) for x in ([5, 6, 40], [1, 1, 300], [7, 7, 7], [0, 0, 0], [250, 251, 0]))
+    assert sorted(verify.pieces(match, 20)) == [(7, 0, 0, 256, 40), (7, 0, 250, 6, 5), (7, 0, 256, 15, 11), (7, 0, 256, 63, 296)]
+
+
+def test_verification_finds_differences(spark):
+    from dialoom.llm import verify
+
+    one = {"src": 1, "src_tag": 0, "src_at": 5, "len": 9}
+    rows = lambda a, b: spark.createDataFrame([([one | {"digest": a}], [one | {"digest": b}])], f"mine {verify.DIGESTS}, theirs {verify.DIGESTS}")
+    verify.agree(rows(b"x", b"x"))
+    with pytest.raises(RuntimeError):
+        verify.agree(rows(b"x", b"y"))
+
+
+def test_rewritten_keeps_all_columns(spark):
+    rows = [(1, prose(60), 5, "a", None), (2, None, 6, "b", 0), (3, "", 7, None, 0)]
+    rows += [(4, rows[0][1] + " more", 8, "c", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, `a.b` long, row string, n_chars long")
+    got = {r[0]: tuple(r) for r in suffixes.rewritten(docs).collect()}
+    assert suffixes.rewritten(docs).columns == docs.columns
+    assert got == {1: rows[0], 2: rows[1], 3: rows[2], 4: (4, " more", 8, "c", 5)}
+
+
 def test_suffix_array():
     for text in (b"banana" * 40, bytes(rng.randrange(3) for _ in range(500)), b"a" * 300):
         data = np.frombuffer(text, np.uint8)
