@@ -1,19 +1,23 @@
 """Exact top-k search by inner product with norm buckets.
 
 Vectors are grouped by length, longest first, and each group is cut into blocks. Queries, in blocks of
-their own, meet first the longest group: the k-th best product there is a query's threshold. Against each
-further block a query then needs a cosine of threshold / (its length * the block's largest length). Where
-that is above 1 the block is left out (length pruning inside a block keeps the vectors that are long
-enough); where it is high, products over the query's heaviest coordinates plus the Cauchy-Schwarz bound of
-the rest drop vectors first (coordinate pruning); what is left is multiplied in full, in exact integers.
-
-The query set is stated, so all of it meets all rows, block by block; each pair of blocks is one row of an
-equi-join on a block number, and comes back as at most k rows a query.
+their own, meet the groups in waves, the longest first: the k-th best product so far is a query's threshold.
+A query needs a cosine of threshold / (its length * a block's largest length) in a further block. Where that
+is above 1 for all queries of a block of queries, the pair of blocks is left out before any vector moves
+(length pruning; inside a block it keeps the vectors that are long enough). Where it is high, products over
+the query's heaviest coordinates plus the Cauchy-Schwarz bound of the rest drop vectors first (coordinate
+pruning); what is left is multiplied in full, in exact integers. Queries that need the same cosine or so
+share a block, so that a pair of blocks is kept for few queries' sake.
+
+The query set is stated, so all of it meets all rows that may count, block by block; each pair of blocks is
+one row of an equi-join on block numbers, and comes back as at most k rows a query. Numbers are made of the
+group and a hash, so no task orders the blocks.
 
 Components become floor(256 * x). Defined cases: null vectors and those with null or non-finite components
 take no part; vectors of different sizes are compared as if padded with zeros; a query isn't its own
-candidate (by id); ties go to the smaller id; fewer than k candidates give fewer rows; an empty table gives
-an empty result.
+candidate (by id); rows that repeat an id count as one, with the least of their vectors; ties go to the
+smaller id; fewer than k candidates give fewer rows; an empty table gives an empty result; components of
+2**54 and more, or products that 64 bits can't hold, end the query with an error.
 """
 
 from __future__ import annotations
@@ -26,11 +30,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import cut
+from dialoom.llm.common import cut, release
 
 BLOCK, QUERY_BLOCK, K = 4096, 1024, 5
-#: Quantiles of the lengths that bound the groups.
+#: Quantiles of the lengths that bound the groups; the groups of each wave but the last.
 GROUPS = 8
+WAVES = ((0,), (1, 2))
+NO_LEAST = -1e300
 #: From this needed cosine on, coordinates are pruned; so many of the heaviest are tried.
 COSINE, HEAVY = 0.5, 16
 
@@ -56,7 +62,10 @@ def _match(frames: Iterator[pd.DataFrame], k: int) -> Iterator[pd.DataFrame]:
             by = np.argsort(-x_len, kind="stable")
             x, x_len, ids = x[by], x_len[by], ids[by]
             top = x_len[0] if len(x_len) else 0.0
-            exact = bool(len(x)) and width * np.abs(q).max(initial=0) * np.abs(x).max(initial=0) < 2**53
+            reached = width * np.abs(q).max(initial=0) * np.abs(x).max(initial=0)
+            if reached >= 2**62:
+                raise OverflowError("inner products of these vectors don't fit 64 bits")
+            exact = reached < 2**53
             out = []
             for i in range(len(q_ids)):
                 reach = q_len[i] * top
@@ -89,37 +98,54 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """(vec_id, asks, v) with one row for each id: the least vector's. Ids that repeat are few or none as a rule."""
+    twice = cut(rows.groupBy("vec_id").agg(F.count("*").alias("rows")).where("rows > 1").select("vec_id"))
+    if not twice.limit(1).count():
+        release(twice)
+        return rows
+    some = rows.join(twice, "vec_id").groupBy("vec_id").agg(F.min_by("asks", "v").alias("asks"), F.min("v").alias("v"))
+    return rows.join(twice, "vec_id", "left_anti").unionByName(some)
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(vec_id, embedding) -> query_id, rank, vec_id, score: the ``k`` largest integer products of each query."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & F.coalesce(fine, F.lit(False)))
-    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), is_query.alias("asks"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long")).alias("v"))
-    rows = cut(rows.withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))))
+    small = F.forall("embedding", lambda x: F.abs(x.cast("double")) < 2.0**54)
+    rows = rows.where(F.assert_true(small, "a vector has a component of 2**54 or more").isNull())
+    rows = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.coalesce(is_query, F.lit(False)).alias("asks"), F.transform("embedding", lambda x: F.floor(F.lit(256.0) * x.cast("double")).cast("long")).alias("v"))
+    rows = cut(_once(rows).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))))
     bounds = rows.approxQuantile("length", [i / GROUPS for i in range(1, GROUPS)], 0.01)  # GROUPS - 1 numbers
     group = F.lit(GROUPS - 1) - sum((F.col("length") >= b).cast("int") for b in bounds) if bounds else F.lit(0)
     dealt = rows.withColumn("group", group)
-    sizes = dealt.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    dealt = dealt.join(F.broadcast(sizes), "group").withColumn("part", F.pmod(F.xxhash64("vec_id"), F.col("parts")))
-    blocks = dealt.groupBy("group", "part").agg(F.collect_list(F.struct("vec_id", "v")).alias("r"))
-    blocks = cut(blocks.select(F.row_number().over(W.orderBy("group", "part")).alias("block"), "group", F.col("r.vec_id").alias("ids"), F.col("r.v").alias("vectors")))
-    first = blocks.agg(F.min("group")).first()[0]
-    if first is None:
-        return rows.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score")).where("false")
-    queries = rows.where("asks").select("vec_id", "v")
-    parts = F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))
-
-    def meet(asked: DataFrame, some: DataFrame) -> DataFrame:
-        numbers = some.agg(F.collect_list("block").alias("blocks"))  # one number for each BLOCK rows
-        asked = asked.withColumn("q", F.pmod(F.xxhash64("vec_id"), parts)).groupBy("q").agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("r"))
-        asked = asked.select(F.col("r.vec_id").alias("q_ids"), F.col("r.v").alias("queries"), F.col("r.least").alias("least"))
-        spread = asked.join(F.broadcast(numbers), F.lit(True)).withColumn("block", F.explode("blocks")).drop("blocks")
-        return spread.join(some.select("block", "ids", "vectors"), "block").mapInPandas(lambda it: _match(it, k), "query_id long, vec_id long, score long")
-
-    some = cut(_best(meet(queries.withColumn("least", F.lit(-1e300)), blocks.where(F.col("group") == first)), k))
-    least = some.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).otherwise(F.lit(-1e300)).alias("least"))
-    asked = queries.join(least, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", F.coalesce("least", F.lit(-1e300)).alias("least"))
-    rest = meet(asked, blocks.where(F.col("group") != first))
-    return _best(some.drop("rank").unionByName(rest), k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    sizes = dealt.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))  # GROUPS rows
+    dealt = dealt.join(F.broadcast(sizes), "group").withColumn("block", F.col("group") * F.lit(1 << 32) + F.pmod(F.xxhash64("vec_id"), F.col("parts")))
+    blocks = dealt.groupBy("group", "block").agg(F.collect_list(F.struct("vec_id", "v")).alias("r"), F.max("length").alias("top"))
+    blocks = cut(blocks.select("block", "group", "top", F.col("r.vec_id").alias("ids"), F.col("r.v").alias("vectors")))
+    found = rows.select(F.col("vec_id").alias("query_id"), "vec_id", F.lit(0).cast("long").alias("score")).where("false")
+    present = sorted(r.group for r in sizes.collect())  # GROUPS numbers
+    if not present:
+        return _best(found, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    queries = rows.where("asks").select("vec_id", "v", "length")
+    parts = max(1, -(-queries.count() // QUERY_BLOCK))
+    waves = [w for w in WAVES if set(w) & set(present)]
+    waves.append(tuple(set(present).difference(*waves)))
+    for wave in filter(None, waves):
+        least = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score").cast("double")).alias("least"))
+        asked = queries.join(least, F.col("vec_id") == F.col("query_id"), "left").select("vec_id", "v", "length", F.coalesce("least", F.lit(NO_LEAST)).alias("least"))
+        # the length from which on a vector may count
+        asked = asked.withColumn("from", F.when(F.col("least") <= 0, 0.0).when(F.col("length") > 0, F.col("least") / F.col("length")).otherwise(F.lit(float("inf"))))
+        edges = asked.approxQuantile("from", [i / parts for i in range(1, parts)], 0.01) if 1 < parts <= 1024 else []  # at most 1024 numbers
+        by_need = F.pmod(F.xxhash64("vec_id"), F.lit(parts)) if not edges else sum((F.col("from") >= e).cast("int") for e in sorted(set(edges))) * F.lit(1 << 20) + F.pmod(F.xxhash64("vec_id"), F.lit(max(1, parts // (len(set(edges)) + 1))))
+        asked = asked.withColumn("q", by_need.cast("long")).groupBy("q").agg(F.collect_list(F.struct("vec_id", "v", "least")).alias("r"), F.min("from").alias("from"))
+        asked = cut(asked.select("q", "from", F.col("r.vec_id").alias("q_ids"), F.col("r.v").alias("queries"), F.col("r.least").alias("least")))
+        numbers = asked.select("q", "from", F.explode(F.array(*[F.lit(g) for g in wave])).alias("group"))
+        pairs = numbers.join(blocks.select("group", "block", "top"), "group").where(F.col("top") * (1 + 1e-9) >= F.col("from")).select("q", "block")
+        met = pairs.join(asked.drop("from"), "q").join(blocks.select("block", "ids", "vectors"), "block").select("q_ids", "queries", "least", "ids", "vectors")
+        got = met.mapInPandas(lambda it: _match(it, k), "query_id long, vec_id long, score long")
+        found = cut(_best(found.select("query_id", "vec_id", "score").unionByName(got), k))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 ORACLE = f"""

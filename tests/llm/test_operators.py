@@ -298,6 +298,33 @@ def test_top_k(spark):
     assert got == sorted(want)
     assert topk.search(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.search(df.where("vec_id < 3"), F.col("vec_id") == 0).count() == 2
+    plan = topk.search(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().toString()
+    assert "SinglePartition" not in plan
+
+
+def test_top_k_waves(spark, monkeypatch):
+    """Many blocks, so that pairs of them are left out, against all products; repeated ids and ties."""
+    monkeypatch.setattr(topk, "BLOCK", 16)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    g = np.random.default_rng(8)
+    v = (g.normal(size=(600, 6)) * g.exponential(size=(600, 1)) ** 2).astype("float32")
+    v[100:130] = v[99]
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)]
+    df = spark.createDataFrame([*rows, rows[7], (20, [9e9] * 6), (None, rows[3][1])], "vec_id long, embedding array<float>")
+    got = sorted((r.query_id, r.rank, r.vec_id, r.score) for r in topk.search(df, F.col("vec_id") % 10 == 0).collect())
+    x = np.floor(256 * v.astype(np.float64)).astype(np.int64)
+    want = []
+    for q in range(0, 600, 10):
+        order = sorted((-int(x[q] @ x[i]), i) for i in range(600) if i != q)[:5]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(order)]
+    assert got == sorted(want)
+
+
+def test_top_k_refuses_overflow(spark):
+    for big in (1e17, 1e12):
+        df = spark.createDataFrame([(0, [big] * 4), (1, [big] * 4)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="2\\*\\*54|64 bits"):
+            topk.search(df, F.col("vec_id") == 0).collect()
 
 
 def test_licenses(spark, empty):
