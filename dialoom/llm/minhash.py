@@ -8,17 +8,24 @@ Work never pairs a whole group up. Equal shingle sets collapse into one represen
 band bucket, every member is paired with two leaders (the smallest id, and the smallest id hash of the
 band), and pairs are confirmed on full sets from the texts. Buckets that then still hold several
 components are gathered into clusters (components of shared buckets), and a cluster's documents are
-compared across components in blocks of ``BLOCK``: signatures first (an estimate under ``MAYBE`` is five
-standard errors below the threshold), then full sets, and only links that join two components come out.
-Blocks of one large component are never compared with each other.
+compared across components in blocks of at most about ``BLOCK`` documents and ``BLOCK_SHINGLES`` shingles:
+signatures first (an estimate under ``MAYBE`` is five standard errors below the threshold), then full sets,
+and only links that join two components come out. A block holds one class of set sizes, each class a third
+larger than the one before, and only blocks of the same or neighbouring classes meet, as sets further apart
+can't be linked. Blocks of one large component are never compared with each other.
+
+Sets are sets of 64-bit fingerprints; equal sets are told by their size and two 64-bit sums over two mixes
+of these. Texts travel for documents that share a bucket only, once to be kept and once for each pair.
 
 Defined cases: letters A-Z are lowered, others not; fewer than five words make one shingle of all; null
 or blank texts have no shingles and link with nothing; rows with a null id link with nothing, get a null
-component and are kept; rows that repeat an id are one document; an empty table gives an empty result.
+component and are kept; rows that repeat an id are one document, for which the text with the least hash
+stands (each row has its own n_shingles); an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,19 +35,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import arrays as A
-from dialoom.llm.common import cut, text_bytes
+from dialoom.llm.common import col, columns, cut, free_name, identified, text_bytes
 from dialoom.llm.components import components
 
 SHINGLE, PERCENT = 5, 75
 PERMUTATIONS, BANDS = 80, 40
 MAYBE = 0.58
-#: Documents of a block, two of which one task compares.
-BLOCK = 512
+#: Documents, and shingles, of a block, two of which one task compares.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 18
+#: Size classes grow by this, a little more than the ratio of sizes that can be linked.
+CLASS_RATIO = 1.001 * 100 / PERCENT
 
 _FACTORS, _SHIFTS = A.ODD[:PERMUTATIONS], A.ODD[1000 : 1000 + PERMUTATIONS]
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-BASE_SCHEMA = "doc_id long, n long, sa long, sb long, keys array<long>, sig binary"
+BASE_SCHEMA = "doc_id long, tag long, n long, sa long, sb long, keys array<long>, sig binary"
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -66,7 +75,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, data, offsets in A.chunks(batch.column(1)):
+        for lo, hi, data, offsets in A.chunks(batch.column(2)):
             got, bounds = shingles(data, offsets)
             n, sa, sb = (np.zeros(hi - lo, t) for t in (np.int64, A.U, A.U))
             for i in np.flatnonzero(np.diff(bounds)):
@@ -89,11 +98,11 @@ def _base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lengths = np.where(n > 0, BANDS, 0)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).slice(lo, hi - lo), pa.array(n), pa.array(A.signed(sa)), pa.array(A.signed(sb)),
+                    batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(n), pa.array(A.signed(sa)), pa.array(A.signed(sb)),
                     pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32)), pa.array(A.signed(np.ascontiguousarray(keys)).ravel())),
                     pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(np.concatenate(([0], np.cumsum(np.where(n > 0, 4 * PERMUTATIONS, 0)))).astype(np.int32)), pa.py_buffer(brief.tobytes())]),
                 ],
-                names=["doc_id", "n", "sa", "sb", "keys", "sig"],
+                names=["doc_id", "tag", "n", "sa", "sb", "keys", "sig"],
             )
 
 
@@ -162,44 +171,60 @@ def _across(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def _clusters(now: DataFrame) -> DataFrame:
-    """(key, id, component) -> (cluster, id, component, block, one, two): what to compare with what."""
+    """(key, id, component, n) -> (cluster, id, component, block, one, two): what to compare with what."""
     split = now.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.min("id").alias("lead")).where("x < y")
-    open_ = cut(now.join(split.select("key", "lead"), "key").select("id", "component", "lead").distinct())
+    open_ = cut(now.join(split.select("key", "lead"), "key").select("id", "component", "n", "lead").distinct())
     cluster = components(open_.select(F.col("id").alias("a"), F.col("lead").alias("b"))).withColumnRenamed("component", "cluster")
-    rows = open_.select("id", "component").distinct().join(cluster, "id")
-    sizes = rows.groupBy("cluster", "component").agg(F.count("*").alias("m"))
-    large = F.col("m") > BLOCK
-    small = sizes.groupBy("cluster").agg(F.sum(F.when(~large, F.col("m"))).alias("rest"))
-    sizes = sizes.join(small, "cluster")
-    block = F.when(large, F.struct(F.col("component").alias("of"), F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).alias("k"))).otherwise(F.struct(F.lit(-1).cast("long").alias("of"), F.pmod(F.xxhash64("component"), F.ceil(F.col("rest") / BLOCK)).alias("k")))
-    rows = cut(rows.join(sizes, ["cluster", "component"]).select("cluster", "id", "component", block.alias("block")))
-    blocks = rows.select("cluster", "block").distinct()
-    two = blocks.select("cluster", F.col("block").alias("one")).join(blocks.select("cluster", F.col("block").alias("two")), "cluster")
-    two = two.where((F.col("one") <= F.col("two")) & ((F.col("one.of") != F.col("two.of")) | (F.col("one.of") < 0)))
+    # sets of n and m can be linked only if 4 * min(n, m) >= 3 * max(n, m), so their classes differ by 1 at most
+    rows = open_.select("id", "component", "n").distinct().join(cluster, "id").withColumn("class", F.floor(F.log(F.col("n")) / math.log(CLASS_RATIO)))
+    sizes = rows.groupBy("cluster", "component", "class").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    blocks_of = lambda m, total: F.greatest(F.lit(1), F.ceil(m / BLOCK), F.ceil(total / BLOCK_SHINGLES))
+    large = blocks_of(F.col("m"), F.col("total")) > 1
+    small = sizes.where(~large).groupBy("cluster", "class").agg(F.sum("m").alias("rest"), F.sum("total").alias("rest_total"))
+    sizes = sizes.join(small, ["cluster", "class"], "left")
+    block = F.when(large, F.struct(F.col("component").alias("of"), "class", F.pmod(F.xxhash64("id"), blocks_of(F.col("m"), F.col("total"))).alias("k"))).otherwise(
+        F.struct(F.lit(-1).cast("long").alias("of"), "class", F.pmod(F.xxhash64("component"), blocks_of(F.col("rest"), F.col("rest_total"))).alias("k"))
+    )
+    rows = cut(rows.join(sizes, ["cluster", "component", "class"]).select("cluster", "id", "component", block.alias("block")))
+    blocks = rows.select("cluster", "block", F.col("block.class").alias("class")).distinct()
+    two = blocks.select("cluster", F.explode(F.array("class", F.col("class") + 1)).alias("class"), F.col("block").alias("one")).join(blocks.select("cluster", "class", F.col("block").alias("two")), ["cluster", "class"])
+    two = two.where(((F.col("one.class") < F.col("two.class")) | (F.col("one") <= F.col("two"))) & ((F.col("one.of") != F.col("two.of")) | (F.col("one.of") < 0))).drop("class")
     two = two.withColumn("block", F.explode(F.array_distinct(F.array("one", "two"))))
     return rows.join(two, ["cluster", "block"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept): one row for each row of ``docs``."""
-    source = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("text"))
+    source = identified(docs.select(col(id_col).cast("long").alias("doc_id"), text_bytes(text_col).alias("text")))
     base = cut(source.mapInArrow(_base, BASE_SCHEMA))
-    shape = base.where("n > 0 and doc_id is not null").select(F.col("doc_id").alias("id"), "sa", "sb", "n")
-    members = cut(shape.join(shape.groupBy("sa", "sb", "n").agg(F.min("id").alias("rep")), ["sa", "sb", "n"]).select("id", "rep"))
-    chosen = members.where("id = rep").select("id").distinct()
-    rows = base.select(F.col("doc_id").alias("id"), "keys").join(chosen, "id", "left_semi").select("id", F.posexplode("keys").alias("band", "key"))
+    again = cut(base.where("tag <> 0").groupBy("doc_id").agg(F.min("tag").alias("tag")))  # one row for each id that repeats
+    repeated = again.limit(1).count()
+
+    def once(rows: DataFrame) -> DataFrame:
+        """One row for each id."""
+        if not repeated:
+            return rows.where("doc_id is not null")
+        return rows.where("tag = 0 and doc_id is not null").unionByName(rows.join(again, ["doc_id", "tag"]).dropDuplicates(["doc_id"]))
+
+    one = once(base)
+    shape = one.where("n > 0").select(F.col("doc_id").alias("id"), "sa", "sb", "n")
+    # written first, so that a group with very many copies is a skewed side of a plain join, which Spark splits
+    copies = cut(shape.groupBy("sa", "sb", "n").agg(F.min("id").alias("rep"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    members = cut(shape.join(copies, ["sa", "sb", "n"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep")))
+    chosen = members.where("id = rep").select("id", "n")
+    rows = one.select(F.col("doc_id").alias("id"), "keys").join(chosen.select("id"), "id", "left_semi").select("id", F.posexplode("keys").alias("band", "key"))
     spread = F.xxhash64("id", "band")
     leaders = rows.groupBy("key").agg(F.min("id").alias("low"), F.min(F.struct(spread, "id")).alias("drawn"), F.max("id").alias("high")).where("low < high")
     buckets = cut(rows.select("key", "id").join(leaders.select("key", "low", F.col("drawn.id").alias("drawn")), "key"))
     pairs = buckets.select("id", F.explode(F.array("low", "drawn")).alias("lead")).where("id <> lead")
     pairs = cut(pairs.select(F.least("id", "lead").alias("a"), F.greatest("id", "lead").alias("b")).distinct())
-    texts = cut(source.join(buckets.select("id").distinct(), "id", "left_semi"))  # the only pass of whole texts over the network
+    texts = cut(once(source).select(F.col("doc_id").alias("id"), "text").join(buckets.select("id").distinct(), "id", "left_semi"))
     links = cut(confirmed(pairs, texts))
     linked = cut(components(links.unionByName(members.select(F.col("rep").alias("a"), F.col("id").alias("b")))))
 
-    now = buckets.select("key", "id").join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    todo = _clusters(now).join(base.select(F.col("doc_id").alias("id"), "n", "sig"), "id").join(texts, "id")
-    block_name = lambda c: F.concat_ws(":", F.col(f"{c}.of"), F.col(f"{c}.k"))
+    now = buckets.select("key", "id").join(linked, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(chosen, "id")
+    todo = _clusters(now).join(one.select(F.col("doc_id").alias("id"), "n", "sig"), "id").join(texts, "id")
+    block_name = lambda c: F.concat_ws(":", F.col(f"{c}.of"), F.col(f"{c}.class"), F.col(f"{c}.k"))
     frames = todo.select("id", "component", "n", "sig", "text", F.col("cluster"), *[block_name(c).alias(c) for c in ("one", "two", "block")])
     more = cut(frames.groupBy("cluster", "one", "two").applyInPandas(_across, "a long, b long"))
     if more.limit(1).count():
@@ -210,6 +235,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document stands for its class."""
-    gone = classes(docs.select("doc_id", "text")).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of ``docs``, all columns, whose document stands for its class."""
+    at = free_name(docs, "_gone")
+    gone = classes(docs.select("doc_id", "text")).where("not kept").select(F.col("doc_id").alias(at)).distinct()
+    return docs.join(gone, col("doc_id").cast("long") == F.col(at), "left_anti").select(*columns(docs))

@@ -67,6 +67,22 @@ def test_near_duplicates(docs, empty, spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {k for k, v in got.items() if v[1] == k}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b = prose(60), prose(60)
+    rows = [(1, a), (1, a), (2, a + " x"), (3, b), (3, prose(70)), (4, None), (5, ""), (None, a), (6, "a b c"), (7, "A b\nc")]
+    frame = spark.createDataFrame([(*r, "x", 1.5) for r in rows], "doc_id long, text string, `_gone` string, `a.b` double")
+    got = sorted(((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in minhash.classes(frame).collect()))
+    assert got == sorted([(1, 56, 1, True), (1, 56, 1, True), (2, 57, 1, False), (3, 56, 3, True), (3, 66, 3, True), (4, 0, 4, True), (5, 0, 5, True), (0, 56, None, True), (6, 1, 6, True), (7, 1, 6, False)])
+    kept = minhash.deduplicated(frame)
+    assert kept.columns == frame.columns and sorted(r[0] or 0 for r in kept.collect()) == [0, 1, 1, 3, 3, 4, 5, 6]
+
+
+def test_near_duplicates_in_blocks(docs, monkeypatch):
+    monkeypatch.setattr(minhash, "BLOCK", 2)  # clusters of many blocks
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.classes(docs).collect()}
+    assert got == brute.near_classes(PAIRS)
+
+
 def test_signatures_are_unbiased():
     a, b = prose(400).split(), prose(400).split()
     one, two = " ".join(a), " ".join(a[:340] + b[:60])
