@@ -7,7 +7,8 @@ sequence numbers, rebuilds packets from lacing values across pages, splits the s
 number and derives each packet's time from granule positions.
 
 Defined cases: null text is the empty text; the payload of an empty text is 192 spaces; equal texts
-give equal media; a damaged page is dropped and counted, with the packets that it leaves open.
+give equal media; a damaged page is dropped and counted, with the packets that it leaves open; a stream's
+header is what its page 0 holds, if that begins with the stream's magic, and n_bytes is null if it is lost.
 Memory is bounded by one text at a time besides the Arrow batch.
 """
 
@@ -23,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import text_bytes
+from dialoom.llm.common import col, text_bytes
 
 UNIT = 192
 PACKET = 5 * UNIT
@@ -94,6 +95,7 @@ class Stream:
     lost: int = 0
     ended: bool = False
     number: int = -1
+    first: int = -1
     rest: bytes | None = None
 
 
@@ -114,8 +116,10 @@ def demux(media: bytes, spans=len) -> tuple[dict[int, Stream], int]:
             bad, at = bad + 1, media.find(b"OggS", at + 4)
             continue
         s = streams.setdefault(serial, Stream())
+        if s.first < 0:
+            s.first = number
         if number != s.number + 1:
-            s.lost, s.rest = s.lost + number - s.number - 1, None
+            s.lost, s.rest = s.lost + max(0, number - s.number - 1), None
         open_ = s.rest if flags & CONTINUED else b""
         done: list[bytes] = []
         pos, size = body, 0
@@ -136,19 +140,27 @@ def demux(media: bytes, spans=len) -> tuple[dict[int, Stream], int]:
     return streams, bad
 
 
+def _headed(s: Stream, magic: bytes, size: int) -> tuple[bytes | None, list[tuple[bytes, int]]]:
+    """A stream's header, or None if it is lost, and its other packets."""
+    if s.first == 0 and s.packets and len(s.packets[0][0]) == size and s.packets[0][0].startswith(magic):
+        return s.packets[0][0], s.packets[1:]
+    return None, s.packets
+
+
 def read(media: bytes) -> dict:
     """What one media value holds; ``intact`` tells whether all pages, packets and marks agree."""
     streams, bad = demux(media)
     samples, marks = streams.get(SAMPLES, Stream()), streams.get(MARKS, Stream())
-    payload = b"".join(p for p, _ in samples.packets[1:])
-    told = [_MARK.unpack(p) for p, _ in marks.packets[1:] if len(p) == _MARK.size]
-    intact = not bad and samples.ended and told == [(g, zlib.crc32(p)) for p, g in samples.packets[1:]]
-    n_bytes = struct.unpack("<Q", marks.packets[0][0][8:16])[0] if marks.packets else 0
+    (head, parts), (mark, checks) = _headed(samples, b"PCM8SAMP", _SAMPLE_HEAD.size), _headed(marks, b"PCM8MARK", 16)
+    payload = b"".join(p for p, _ in parts)
+    told = [_MARK.unpack(p) for p, _ in checks if len(p) == _MARK.size]
+    intact = not bad and head is not None and mark is not None and samples.ended and told == [(g, zlib.crc32(p)) for p, g in parts]
+    n_bytes = None if mark is None else struct.unpack("<Q", mark[8:16])[0]
     x = np.frombuffer(payload, np.uint8).astype(np.float64) - 128.0
     rms = float(np.sqrt(np.mean(x * x))) if len(x) else 0.0
     crossings = int(np.count_nonzero((x[1:] < 0) != (x[:-1] < 0)))
     last = samples.packets[-1][1] if samples.packets else 0
-    starts = [g - len(p) for p, g in samples.packets[1:]]
+    starts = [g - len(p) for p, g in parts]
     feature = f"streams={len(streams)};pages={samples.pages + marks.pages};packets={len(samples.packets) + len(marks.packets)};bad={bad};lost={samples.lost + marks.lost};intact={int(intact)};seconds={last / RATE:.6f};last_start={(starts or [0])[-1] / RATE:.6f};rms={rms:.6f};crossings={crossings}"
     return {
         "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-16:]),
@@ -164,7 +176,8 @@ def _encode(text: pd.Series) -> pd.Series:
 
 
 def _read(media: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read(bytes(x)) for x in media], columns=[x.split()[0] for x in READ_SCHEMA.split(", ")])
+    found = pd.DataFrame([read(bytes(x)) for x in media], columns=[x.split()[0] for x in READ_SCHEMA.split(", ")])
+    return found.astype({"n_bytes": "Int64"})
 
 
 def _packets(media: pd.Series) -> pd.Series:
@@ -184,5 +197,5 @@ def read_column(media: Column) -> Column:
 def packet_rows(df: DataFrame, media: str = "media") -> DataFrame:
     """One row for each packet of each logical stream: the columns but ``media``, serial, packet, granule, seconds."""
     rest = [c for c in df.columns if c != media]
-    rows = F.pandas_udf(_packets, "array<struct<serial: long, packet: binary, granule: long, seconds: double>>")(F.col(media))
-    return df.select(*rest, F.inline(rows))
+    rows = F.pandas_udf(_packets, "array<struct<serial: long, packet: binary, granule: long, seconds: double>>")(col(media))
+    return df.select(*map(col, rest), F.inline(rows))

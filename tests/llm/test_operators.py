@@ -222,6 +222,17 @@ def test_ogg_damage():
     media[20_000] ^= 1
     got = ogg.read(bytes(media))
     assert not got["intact"] and "bad=1" in got["feature"] and got["payload_bytes"] < 45_000
+    whole = ogg.encode(b"word " * 900)
+    at = [i for i in range(len(whole)) if whole.startswith(b"OggS", i)]
+    lost = ogg.read(whole[at[1] :])  # without the samples' header: all samples are there
+    assert (lost["n_bytes"], lost["payload_bytes"], lost["intact"]) == (4500, 4608, False)
+    for page, flip in ((0, 30), (1, 30), (1, 24), (2, 60)):
+        hurt = bytearray(whole)
+        hurt[at[page] + flip] ^= 1
+        got = ogg.read(bytes(hurt))
+        assert not got["intact"] and got["n_bytes"] == (None if page == 1 else 4500) and got["payload_bytes"] == (4608 if page < 2 else 4608 - 4608 % 960 if got["payload_bytes"] else 0)
+    for i in range(0, len(whole), 7):  # cut and bent anywhere
+        ogg.read(whole[:i]), ogg.read(whole[i:])
     assert not ogg.read(b"")["intact"] and not ogg.read(b"OggS" * 9)["intact"]
 
 
@@ -289,8 +300,18 @@ def test_mixing(docs, empty, spark):
     again = mixing.mixed(docs)
     assert again.columns == docs.columns and again.count() == sum(r.copies for r in rows)
     assert mixing.mix(empty).count() == 0 and mixing.mixed(empty).count() == 0
-    clash = spark.createDataFrame([(1, "a b", "x", 9, 9), (1, "a b", "x", 9, 9)], "doc_id long, text string, source string, size long, mix long")
+    clash = spark.createDataFrame([(1, "a b", "x", 9, 9, 7, 8), (1, "a b", "x", 9, 9, 7, 8)], "doc_id long, text string, source string, size long, mix long, `a.b` long, c0 long")
     assert mixing.mix(clash).select("size", "mix.copies").collect() == [(9, 1), (9, 1)]
+    assert mixing.mixed(clash).columns == clash.columns and [tuple(r) for r in mixing.mixed(clash).collect()] == [(1, "a b", "x", 9, 9, 7, 8)] * 2
+
+
+def test_mixing_meets_targets(spark):
+    rows = [(i, "w " * (5000 if i % 41 == 0 else rng.randint(1, 400)), f"s{i % 5 if i % 3 else 0}") for i in range(300)]
+    taken = {}
+    for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).select("source", "mix.*").collect():
+        s = taken.setdefault(r.source, [r.target, 0])
+        s[1] += r.size * r.copies
+    assert all(abs(w - t) <= 0.1 * t for t, w in taken.values()), taken
 
 
 def test_targets(spark):
