@@ -16,7 +16,7 @@ a symbol are compared in full:
 2. stretches of one name with equal fingerprints: all but the first are repeats as a whole;
 3. first stretches of names with several fingerprints: their windows are compared one by one.
 
-Fingerprints are two independent 64-bit numbers over independent word names. What they find is then held
+Fingerprints are two 64-bit numbers with different bases over the words' names. What they find is then held
 against the words themselves (see verify.py); a difference would end the query with an error.
 
 Defined cases: null or blank text has no words; fewer words than a window lose nothing; rows with a null
@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -132,68 +133,90 @@ def stretches(starts: np.ndarray, node: np.ndarray, bounds: np.ndarray) -> tuple
     return first, np.diff(np.concatenate((first, [len(starts)]))), doc[first]
 
 
-def _named(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words' names, their second names, and where each document's begin."""
+def _named(data: np.ndarray, offsets: np.ndarray, seed: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words' names, where each document's begin, and where each word starts and ends."""
     starts, ends, bounds = A.words(data, offsets)
-    one, two = (A.spans(A.prefix(keys[data], base), starts, ends, base) for keys, base in zip(_KEYS[seed], (A.BASE, SECOND_BASE)))
-    return one, two + A.U(3) * (ends - starts).astype(A.U), bounds
+    return A.spans(A.prefix(_KEYS[seed][0][data]), starts, ends), bounds, starts, ends
 
 
-def _prints(one: np.ndarray, two: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
+def _prints(names: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Array]:
     """Both fingerprints of runs of words."""
-    return [pa.array(A.signed(A.spans(A.prefix(x, base), start, end, base))) for x, base in ((one, WORD_BASE), (two, SECOND_BASE))]
+    return [pa.array(A.signed(A.spans(A.prefix(names, base), start, end, base))) for base in (WORD_BASE, SECOND_BASE)]
 
 
-def _rules(level: int, seed: int):
-    """The distinct rules of a round in each chunk of text; round 0 names the words."""
+#: The level under which the names of windows' symbols are counted.
+SYMBOLS = -1
+
+
+def _names(level: int, seed: int):
+    """The distinct rules of a round in each chunk of text. Round 1 also names the words (level 0); the last also counts windows' symbols."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, data, offsets in A.chunks(batch.column(2)):
-                one, two, bounds = _named(data, offsets, seed)
+                names, bounds, starts, ends = _named(data, offsets, seed)
                 told: list = []
-                if level:
-                    levels(one, bounds, level, told)
-                name, left, right = told[level - 1] if len(told) >= level > 0 else (one, two, np.zeros(len(one), A.U)) if not level else [np.zeros(0, A.U)] * 3
-                by = np.lexsort((right, left, name))
-                name, left, right = name[by], left[by], right[by]
-                new = np.concatenate(([True], (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))[: len(name)]
-                yield pa.RecordBatch.from_arrays([pa.array(A.signed(np.ascontiguousarray(x[new]))) for x in (name, left, right)], names=["name", "a", "b"])
+                levels(names, bounds, level, told)
+                found = [(level, *told[level - 1])] if len(told) == level else []
+                if level == 1:
+                    other = A.spans(A.prefix(_KEYS[seed][1][data], SECOND_BASE), starts, ends, SECOND_BASE)
+                    found.append((0, names, other, (ends - starts).astype(A.U)))
+                for k, name, left, right in found:
+                    by = np.argsort(name)
+                    name, left, right = name[by], left[by], right[by]
+                    new = np.concatenate(([True], (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))[: len(name)]
+                    rows = [A.signed(x[new]) for x in (name, left, right)]
+                    yield _rule_rows(k, *rows, np.ones(len(rows[0]), np.int64))
+                if level == ROUNDS:
+                    key, count = np.unique(_chunk_stretches(names, bounds)[0], return_counts=True)
+                    zero = np.zeros(len(key), np.int64)
+                    yield _rule_rows(SYMBOLS, A.signed(key), zero, zero, count)
 
     return of
 
 
-def clashes(rules: DataFrame) -> DataFrame:
-    """Names with more than one meaning."""
-    each = rules.groupBy("name").agg(*[f(c).alias(f"{k}_{c}") for c in "ab" for k, f in (("low", F.min), ("high", F.max))])
-    return each.where("low_a <> high_a or low_b <> high_b")
+def _rule_rows(level: int, name, a, b, count) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(name), level, np.int32)), *map(pa.array, (name, a, b, count))], names=["level", "name", "a", "b", "m"])
+
 
+def names_of(rules: DataFrame) -> DataFrame:
+    """(level, name, a, b, m) -> (level, name, m, clash): how often a name was told, and whether with more than one meaning."""
+    each = rules.groupBy("level", "name").agg(F.min("a").alias("low_a"), F.max("a").alias("high_a"), F.min("b").alias("low_b"), F.max("b").alias("high_b"), F.sum("m").alias("m"))
+    return each.select("level", "name", "m", ((F.col("low_a") != F.col("high_a")) | (F.col("low_b") != F.col("high_b"))).alias("clash"))
 
-def agreed(docs: DataFrame, rounds: int = ROUNDS) -> int:
-    """The first set of hashes under which each name of each round has one meaning in all texts of (doc_id, tag, text)."""
+
+def named(docs: DataFrame, rounds: int = ROUNDS) -> tuple[int, DataFrame]:
+    """The first set of hashes under which each name of each round has one meaning in all texts of (doc_id, tag, text),
+    and (key) the windows' symbols that stand more than once."""
     for seed in range(SEEDS):
-        for level in range(rounds + 1):
-            bad = cut(clashes(docs.mapInArrow(_rules(level, seed), "name long, a long, b long")).limit(1))
-            clash = bad.count()
-            release(bad)
-            if clash:
+        for level in range(1, rounds + 1):
+            rules = docs.mapInArrow(_names(level, seed), "level int, name long, a long, b long, m long")
+            kept = cut(names_of(rules).where(F.col("clash") | ((F.col("level") == SYMBOLS) & (F.col("m") > 1))))
+            if kept.where("clash").limit(1).count():
+                release(kept)
                 break
-        else:
-            return seed
+            if level == rounds:
+                return seed, kept.select(F.col("name").alias("key"))
+            release(kept)
     raise RuntimeError("all sets of hashes give one name to two things")
 
 
+def _chunk_stretches(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(key, first window, windows, document) of the stretches."""
+    starts, key, node = anchors(names, bounds)
+    first, n, doc = stretches(starts, node, bounds)
+    return key[first], starts[first], n, doc
+
+
 def _stretches(seed: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in A.chunks(batch.column(2)):
-                names, second, bounds = _named(data, offsets, seed)
-                starts, key, node = anchors(names, bounds)
-                first, n, doc = stretches(starts, node, bounds)
-                at = starts[first]
+                names, bounds, _, _ = _named(data, offsets, seed)
+                key, at, n, doc = _chunk_stretches(names, bounds)
                 owner = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(A.signed(key[first])), *_prints(names, second, at, at + n + WINDOW - 1), *[batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)], pa.array((at - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
+                    [pa.array(A.signed(key)), *_prints(names, at, at + n + WINDOW - 1), *[batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)], pa.array((at - bounds[doc]).astype(np.int32)), pa.array(n.astype(np.int32))],
                     names=["key", "one", "two", "doc_id", "tag", "at", "n"],
                 )
 
@@ -207,7 +230,7 @@ def _windows(seed: int):
         for batch in batches:
             rows = batch.column(3)
             for lo, hi, data, offsets in A.chunks(batch.column(2)):
-                names, second, bounds = _named(data, offsets, seed)
+                names, bounds, _, _ = _named(data, offsets, seed)
                 part = rows.slice(lo, hi - lo)
                 doc = np.repeat(np.arange(hi - lo), pa.compute.list_value_length(part).to_numpy(zero_copy_only=False))
                 flat = part.flatten()
@@ -216,7 +239,7 @@ def _windows(seed: int):
                 p = at[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
                 own, owner = p + bounds[doc[which]], pa.array(doc[which])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(key[which]), *_prints(names, second, own, own + WINDOW), *[batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)], pa.array(p.astype(np.int32))],
+                    [pa.array(key[which]), *_prints(names, own, own + WINDOW), *[batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)], pa.array(p.astype(np.int32))],
                     names=["key", "one", "two", "doc_id", "tag", "at"],
                 )
 
@@ -229,24 +252,25 @@ KINDS = {"doc_id": "long", "n_words": "long", "n_removed": "long", "kept_sha256"
 
 def _kept(names: list[str]):
     """(doc_id, tag, text, own, wanted) -> digest of the words outside the repeats, and digests of repeats and of what others repeat."""
-    kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary(), "mine": verify.DIGEST_LIST, "theirs": verify.DIGEST_LIST}
+    kinds = {"n_words": pa.int64(), "n_removed": pa.int64(), "kept_sha256": pa.string(), "kept": pa.binary()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for doc_id, tag, text, own, wanted in zip(*[batch.column(i) for i in range(5)]):
-                text, own = text.as_py(), own.as_py()
-                words = [w for w in text.translate(_TO_SPACE).split(b" ") if w]
-                gone = np.zeros(len(words) + 1, np.int32)
-                for o in own or ():
-                    gone[o["at"]] += 1
-                    gone[o["at"] + o["len"]] -= 1
-                keep = np.cumsum(gone)[:-1] <= 0
-                kept = b" ".join(w for w, k in zip(words, keep) if k) if own else b" ".join(words)
-                found = verify.digests(lambda a, b: b" ".join(words[a:b]), doc_id.as_py(), tag.as_py(), own, wanted.as_py())
-                out.append((len(words), len(words) - int(keep.sum()), hashlib.sha256(kept).hexdigest(), kept, *found))
-            cols = list(zip(*out)) or [[]] * 6
-            found = {"doc_id": batch.column(0)} | {k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)}
+            out, digests = [], verify.Digests(batch)
+            for i, text in enumerate(batch.column(2)):
+                words = [w for w in text.as_py().translate(_TO_SPACE).split(b" ") if w]
+                own = digests.add(i, lambda a, b: b" ".join(words[a:b]))  # noqa: B023
+                left = len(words)
+                if len(own[0]):
+                    gone = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(gone, own[0], 1)
+                    np.add.at(gone, own[0] + own[1], -1)
+                    keep = np.cumsum(gone)[:-1] == 0
+                    words, left = list(compress(words, keep)), int(keep.sum())
+                kept = b" ".join(words)
+                out.append((len(keep) if len(own[0]) else left, (len(keep) - left) if len(own[0]) else 0, hashlib.sha256(kept).hexdigest(), kept))
+            cols = list(zip(*out)) or [[]] * 4
+            found = {"doc_id": batch.column(0)} | {k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)} | digests.columns()
             yield pa.RecordBatch.from_arrays([found[x] for x in names], names=names)
 
     return of
@@ -264,10 +288,9 @@ def later(rows: DataFrame, by: list[str]) -> DataFrame:
 def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, tag, text) with bytes -> (doc_id, tag, own, wanted): the runs of words that also stand earlier, and where (see verify.py)."""
     docs = docs.where("doc_id is not null")
-    seed = agreed(docs)
-    named = docs.mapInArrow(_stretches(seed), "key long, one long, two long, doc_id long, tag long, at int, n int")
-    twice = named.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    flagged = cut(named.join(twice, "key"))
+    seed, twice = named(docs)
+    every = docs.mapInArrow(_stretches(seed), "key long, one long, two long, doc_id long, tag long, at int, n int")
+    flagged = cut(every.join(twice, "key"))
     match = F.struct("at", "n", F.col("first.doc_id").alias("src"), F.col("first.tag").alias("src_tag"), F.col("first.at").alias("src_at")).alias("match")
     whole = later(flagged, ["key", "one", "two"]).select("doc_id", "tag", match)
     firsts = flagged.groupBy("key", "one", "two").agg(F.min(F.struct(*PLACE, "n")).alias("f"))

@@ -343,15 +343,15 @@ def repeats(docs: DataFrame) -> DataFrame:
 
 def _kept(names: list[str]):
     """(doc_id, tag, text, ranges, own, wanted, row) -> digest of the bytes outside the ranges, and digests to compare."""
-    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string(), "mine": verify.DIGEST_LIST, "theirs": verify.DIGEST_LIST}
+    kinds = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept_sha256": pa.string(), "kept": pa.string()}
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
-            ranges = batch.column(3)
-            for i, (doc_id, tag, text, own, wanted) in enumerate(zip(*[batch.column(k) for k in (0, 1, 2, 4, 5)])):
+            ranges, digests = batch.column(3), verify.Digests(batch)
+            for i, text in enumerate(batch.column(2)):
                 text = text.as_py()
-                found = verify.digests(lambda a, b: text[a:b], doc_id.as_py(), tag.as_py(), own.as_py(), wanted.as_py())
+                digests.add(i, lambda a, b: text[a:b])  # noqa: B023
                 size, runs, rest = len(text), 0, text
                 if ranges[i].is_valid and len(ranges[i]):
                     flat = ranges[i].values
@@ -362,9 +362,9 @@ def _kept(names: list[str]):
                     gone = np.cumsum(gone)[:-1] > 0
                     runs = int(gone[0]) + int(np.count_nonzero(gone[1:] & ~gone[:-1]))
                     rest = np.frombuffer(text, np.uint8)[~gone].tobytes()
-                out.append((size, size - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if "kept" in names else None, *found))
-            cols = list(zip(*out)) or [[]] * 7
-            done = {"doc_id": batch.column(0), "row": batch.column(batch.num_columns - 1)} | {k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)}
+                out.append((size, size - len(rest), runs, hashlib.sha256(rest).hexdigest(), rest.decode("utf-8", "ignore") if "kept" in names else None))
+            cols = list(zip(*out)) or [[]] * 5
+            done = {"doc_id": batch.column(0), "row": batch.column(batch.num_columns - 1)} | {k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)} | digests.columns()
             yield pa.RecordBatch.from_arrays([done[x] for x in names], names=names)
 
     return of

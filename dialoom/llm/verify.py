@@ -77,15 +77,49 @@ def asked(matches: DataFrame, window: int) -> DataFrame:
     return own.join(wanted, ["doc_id", "tag"], "full")
 
 
-_DIGEST = pa.struct([("src", pa.int64()), ("src_tag", pa.int64()), ("src_at", pa.int32()), ("len", pa.int32()), ("digest", pa.binary())])
-DIGEST_LIST = pa.list_(_DIGEST)
-
-
-def digests(unit: Callable[[int, int], bytes], doc_id: int, tag: int, own: list | None, wanted: list | None) -> tuple[list, list]:
-    """Digests of a document's own pieces, under the places that they repeat, and of those asked of it."""
-    one = lambda a, n: hashlib.sha256(unit(a, a + n)).digest()[:16]
-    mine = [{"src": o["src"], "src_tag": o["src_tag"], "src_at": o["src_at"], "len": o["len"], "digest": one(o["at"], o["len"])} for o in own or ()]
-    return mine, [{"src": doc_id, "src_tag": tag, "src_at": w["at"], "len": w["len"], "digest": one(w["at"], w["len"])} for w in wanted or ()]
+_FIELDS = (("src", pa.int64()), ("src_tag", pa.int64()), ("src_at", pa.int32()), ("len", pa.int32()), ("digest", pa.binary()))
+
+
+class Digests:
+    """Columns ``mine`` and ``theirs`` for the documents of a batch (doc_id, tag, ..., own, wanted, ...)."""
+
+    def __init__(self, batch: pa.RecordBatch):
+        at = batch.schema.get_field_index
+        self.ids, self.tags, self.own, self.wanted = (batch.column(at(c)) for c in ("doc_id", "tag", "own", "wanted"))
+        self.rows: tuple[list, list] = ([], [])
+        self.ends: tuple[list, list] = ([0], [0])
+
+    def _put(self, side: int, rows: list) -> None:
+        self.rows[side].extend(rows)
+        self.ends[side].append(len(self.rows[side]))
+
+    def add(self, i: int, unit: Callable[[int, int], bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Digest row ``i``'s own pieces, under the places that they repeat, and those asked of it; (first unit, units) of its own."""
+        none = np.zeros(0, np.int64)
+        digest = lambda a, n: hashlib.sha256(unit(a, a + n)).digest()[:16]
+        own, wanted = self.own[i], self.wanted[i]
+        place = none, none
+        if own.is_valid and len(own):
+            src, tag, src_at, n, at = (own.values.field(k).to_numpy(zero_copy_only=False) for k in range(5))
+            self._put(0, list(zip(src.tolist(), tag.tolist(), src_at.tolist(), n.tolist(), map(digest, at.tolist(), n.tolist()))))
+            place = at, n
+        else:
+            self._put(0, [])
+        if wanted.is_valid and len(wanted):
+            doc_id, doc_tag = self.ids[i].as_py(), self.tags[i].as_py()
+            at, n = (wanted.values.field(k).to_numpy(zero_copy_only=False).tolist() for k in range(2))
+            self._put(1, [(doc_id, doc_tag, a, m, digest(a, m)) for a, m in zip(at, n)])
+        else:
+            self._put(1, [])
+        return place
+
+    def columns(self) -> dict[str, pa.Array]:
+        out = {}
+        for name, rows, ends in zip(("mine", "theirs"), self.rows, self.ends):
+            fields = list(zip(*rows)) or [()] * len(_FIELDS)
+            flat = pa.StructArray.from_arrays([pa.array(x, t) for x, (_, t) in zip(fields, _FIELDS)], names=[k for k, _ in _FIELDS])
+            out[name] = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+        return out
 
 
 def agree(rows: DataFrame) -> None:

@@ -17,6 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute
 from conftest import DATA, rows_of
 
+from dialoom.llm import arrays as A
 from dialoom.llm import licenses, minhash, mixing, ogg, packing, quality, queries, recompression, suffixes, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -138,8 +139,34 @@ def test_repeated_ids(operator, plain, spark):
 
 
 def test_names_have_one_meaning(spark):
-    rows = spark.createDataFrame([(1, 2, 3), (1, 2, 3), (4, 2, 3), (4, 2, 5)], "name long, a long, b long")
-    assert [r.name for r in recompression.clashes(rows).collect()] == [4]
+    rows = spark.createDataFrame([(1, 1, 2, 3, 1), (1, 1, 2, 3, 1), (1, 4, 2, 3, 1), (1, 4, 2, 5, 1), (0, 4, 9, 9, 2)], "level int, name long, a long, b long, m long")
+    assert sorted(tuple(r) for r in recompression.names_of(rows).collect()) == [(0, 4, 2, False), (1, 1, 2, False), (1, 4, 2, True)]
+
+
+def test_another_set_of_hashes_after_a_clash(docs, monkeypatch):
+    clash, seen = recompression.names_of, []
+
+    def names_of(rules):
+        seen.append(1)
+        return clash(rules).withColumn("clash", F.lit(len(seen) == 2))
+
+    monkeypatch.setattr(recompression, "names_of", names_of)
+    assert {r[0]: tuple(r[1:]) for r in recompression.deduplicated(docs).collect()} == brute.word_repeats(PAIRS) and len(seen) == 4
+
+
+def test_rules_spell_out_symbols():
+    names = A.mix(np.array([rng.randrange(1, 5) for _ in range(400)], dtype=A.U))
+    told: list = []
+    last = recompression.levels(names, np.array([0, 150, 150, 400]), 3, told)[-1]
+    meaning = {n: (a, b) for level in told for n, a, b in zip(*(x.tolist() for x in level))}
+
+    def spell(n):
+        if n not in meaning:
+            return [n]
+        a, b = meaning[n]
+        return spell(a) * b if b < 400 else spell(a) + spell(b)
+
+    assert sum((spell(n) for n in last[0].tolist()), []) == names.tolist()
 
 
 def test_verification():
