@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A word is a run of bytes that are neither space nor one of tab, LF, VT, FF, CR.
@@ -109,18 +109,19 @@ def bucket_of(column: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], longest: int):
-    """A pandas frame (text as bytes, label) of at most ``most[k]`` labelled documents of each class k.
+def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], value: Column):
+    """A pandas frame (value, label) of at most ``most[k]`` labelled documents of each class k; ``value`` is made of their text.
 
     Rows are drawn by a hash of their id: those under a share that the class counts give, so no more than
     about 1.3 times the bound leave the label table, whatever its size; they are broadcast to find their
-    texts (of at most ``longest`` characters), and the first in hash order stay.
+    texts, and the first in hash order stay.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label"), F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long").alias("drawn"))
     counts = {r.label: r["count"] for r in known.groupBy("label").count().collect()}  # two rows
     under = F.lit(False)
     for k in (0, 1):
         under = under | ((F.col("label") == k) & (F.col("drawn") < int(min(1.0, 1.3 * most[k] / max(counts.get(k, 0), 1)) * (1 << 32))))
-    rows = documents.select("doc_id", "text").join(F.broadcast(known.where(under)), "doc_id").where(F.length("text") <= longest)
-    got = rows.select("label", "drawn", "doc_id", text_bytes("text").alias("text")).toPandas().sort_values(["drawn", "doc_id"], kind="stable")
-    return got[got.groupby("label").cumcount() < got["label"].map(dict(enumerate(most)))].reset_index(drop=True)
+    rows = documents.select("doc_id", "text").join(F.broadcast(known.where(under)), "doc_id")
+    order = Window.partitionBy("label").orderBy("drawn", "doc_id", F.xxhash64("text"))
+    chosen = rows.withColumn("place", F.row_number().over(order)).where((F.col("place") <= most[0]) & (F.col("label") == 0) | (F.col("place") <= most[1]) & (F.col("label") == 1))
+    return chosen.select("label", "place", value.alias("value")).toPandas().sort_values(["label", "place"], ignore_index=True)

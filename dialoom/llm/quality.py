@@ -1,13 +1,15 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded (from counts of its letters,
-marks and repeated words, through a hidden layer), a gate tanh(V h) * sigmoid(U h) gives it an attention
-weight within its document, and the weighted sum of the encodings is scored. All layers are trained
-together, in numpy on the driver, from document labels alone, on a bounded sample (``ROWS`` of each class,
-texts of at most ``SAMPLE_CHARS`` characters); scoring reads every passage of every text.
+A document is a bag of passages of ``PASSAGE`` words. Every passage is encoded by a hidden layer over the mean
+of its words' learned vectors (each word has one in a hashed table, and one for how it ends) and counts of its
+letters, marks and repeated words. A gate tanh(V h) * sigmoid(U h) gives it an attention weight within its
+document, and the weighted sum of the encodings is scored. All layers, vectors included, are trained together,
+in numpy on the driver, from document labels alone, on a bounded sample (``ROWS`` of each class, of any length);
+scoring reads every passage of every text.
 
 Defined cases: null, empty and blank texts are one passage without words; without labels of both classes
-every text scores 0; other columns are kept; rows that repeat are scored each.
+every text scores 0; other columns are kept, the score column replaces one of its name; rows that repeat are
+scored each, as are those without an id; labels other than 0 and 1 aren't learned from.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from dialoom.llm import arrays as A
 from dialoom.llm.common import labelled_sample, text_bytes
 
 PASSAGE, HIDDEN, GATE = 48, 16, 8
-ROWS, SAMPLE_CHARS = (2000, 2500), 12_000
-EPOCHS, BATCH, RATE = 30, 64, 0.01
+#: Buckets of the table of vectors (a power of two, half for words, half for endings), numbers of a vector.
+BUCKETS, DIM = 1 << 14, 8
+ROWS = (2000, 2500)
+EPOCHS, BATCH, RATE = 15, 64, 0.01
 
 _CLASSES = [range(65, 91), range(48, 58), range(128, 256), map(ord, ".,;:"), map(ord, "!?"), [10], [x for x in range(33, 127) if not chr(x).isalnum() and chr(x) not in ".,;:!?"]]
 _IS = np.zeros((len(_CLASSES), 256), np.uint8)
@@ -34,8 +38,9 @@ for _k, _c in enumerate(_CLASSES):
 FEATURES = len(_CLASSES) + 8
 
 
-def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Features of all passages of the documents, and where each document's begin (one passage at least)."""
+def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of all passages of the documents, where each document's begin (one passage at least), the words' buckets
+    (two for each word, one after another), and where each passage's begin."""
     starts, ends, first = A.words(data, offsets)
     count = np.diff(first)
     per = np.maximum(1, -(-count // PASSAGE))
@@ -70,7 +75,10 @@ def passages(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     x[:, k + 5] = np.sqrt(np.maximum((square[b] - square[a]) / m - mean**2, 0))
     x[:, k + 6] = np.log1p(count[doc])
     x[:, k + 7] = np.log1p(np.diff(offsets)[doc] / np.maximum(count[doc], 1))
-    return x, bounds
+    half = A.U(BUCKETS // 2 - 1)
+    last = A.spans(A.prefix(A.BYTE_KEYS[data], A.BASE), np.maximum(starts, ends - 3), ends)
+    ids = np.stack(((A.mix(names) & half).astype(np.int64), (A.mix(last) & half).astype(np.int64) + BUCKETS // 2), 1).ravel()
+    return x, bounds, ids, 2 * np.concatenate((a, first[-1:]))
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -83,18 +91,20 @@ class Model:
     def __init__(self, rng: np.random.Generator, mean: np.ndarray, scale: np.ndarray):
         self.mean, self.scale = mean, scale
         init = lambda *s: rng.normal(0, 1 / np.sqrt(s[0]), s)
-        self.w = {"enc": init(FEATURES, HIDDEN), "enc0": np.zeros(HIDDEN), "V": init(HIDDEN, GATE), "U": init(HIDDEN, GATE), "att": init(GATE), "out": init(HIDDEN), "out0": np.zeros(1)}
+        self.w = {"words": rng.normal(0, 0.1, (BUCKETS, DIM)), "enc": init(FEATURES + DIM, HIDDEN), "enc0": np.zeros(HIDDEN), "V": init(HIDDEN, GATE), "U": init(HIDDEN, GATE), "att": init(GATE), "out": init(HIDDEN), "out0": np.zeros(1)}
 
-    def forward(self, x: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
+    def forward(self, x: np.ndarray, bounds: np.ndarray, ids: np.ndarray, first: np.ndarray) -> dict[str, np.ndarray]:
         w, bag, at = self.w, A.ids(bounds), bounds[:-1]
-        x = np.clip((x - self.mean) / self.scale, -8, 8)
+        size = np.maximum(np.diff(first), 1)
+        sums = np.concatenate((np.zeros((1, DIM)), np.cumsum(w["words"][ids], 0)))
+        x = np.concatenate((np.clip((x - self.mean) / self.scale, -8, 8), (sums[first[1:]] - sums[first[:-1]]) / size[:, None]), 1)
         h = np.tanh(x @ w["enc"] + w["enc0"])
         t, s = np.tanh(h @ w["V"]), _sigmoid(h @ w["U"])
         e = (t * s) @ w["att"]
         e = np.exp(e - np.maximum.reduceat(e, at)[bag])
         a = e / np.add.reduceat(e, at)[bag]
         z = np.add.reduceat(a[:, None] * h, at)
-        return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "p": _sigmoid(z @ w["out"] + w["out0"]), "bag": bag}
+        return {"x": x, "h": h, "t": t, "s": s, "a": a, "z": z, "p": _sigmoid(z @ w["out"] + w["out0"]), "bag": bag, "ids": ids, "passage": np.repeat(np.arange(len(size)), np.diff(first)), "size": size}
 
     def gradients(self, f: dict[str, np.ndarray], y: np.ndarray, bounds: np.ndarray) -> dict[str, np.ndarray]:
         w, bag, at = self.w, f["bag"], bounds[:-1]
@@ -106,7 +116,9 @@ class Model:
         ds = de[:, None] * w["att"] * f["t"] * f["s"] * (1 - f["s"])
         dh = f["a"][:, None] * dz[bag] + dt @ w["V"].T + ds @ w["U"].T
         dx = dh * (1 - f["h"] ** 2)
-        return {"enc": f["x"].T @ dx, "enc0": dx.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "att": (f["t"] * f["s"]).T @ de, "out": f["z"].T @ d, "out0": d.sum(keepdims=True)}
+        dm = (dx @ w["enc"][FEATURES:].T) / f["size"][:, None]
+        words = np.stack([np.bincount(f["ids"], dm[f["passage"], k], BUCKETS) for k in range(DIM)], 1)
+        return {"words": words, "enc": f["x"].T @ dx, "enc0": dx.sum(0), "V": f["h"].T @ dt, "U": f["h"].T @ ds, "att": (f["t"] * f["s"]).T @ de, "out": f["z"].T @ d, "out0": d.sum(keepdims=True)}
 
 
 def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model | None:
@@ -117,6 +129,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model | Non
     x = np.concatenate([p[0] for p in parts])
     sizes = np.concatenate([np.diff(p[1]) for p in parts])
     first = np.concatenate(([0], np.cumsum(sizes)))
+    ids = np.concatenate([p[2] for p in parts])
+    counts = np.concatenate([np.diff(p[3]) for p in parts])
+    begins = np.concatenate(([0], np.cumsum(counts)))
     rng = np.random.default_rng(seed)
     model = Model(rng, x.mean(0), x.std(0) + 1e-3)
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.w.items()}
@@ -128,7 +143,9 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 11) -> Model | Non
             pick = order[i : i + BATCH]
             bounds = np.concatenate(([0], np.cumsum(sizes[pick])))
             rows = np.repeat(first[pick] - bounds[:-1], sizes[pick]) + np.arange(bounds[-1])
-            grads = model.gradients(model.forward(x[rows], bounds), labels[pick], bounds)
+            begin = np.concatenate(([0], np.cumsum(counts[rows])))
+            own = ids[np.repeat(begins[rows] - begin[:-1], counts[rows]) + np.arange(begin[-1])]
+            grads = model.gradients(model.forward(x[rows], bounds, own, begin), labels[pick], bounds)
             step += 1
             for k, g in grads.items():
                 m, v = moments[k]
@@ -146,8 +163,8 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def fit(documents: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     """Train on a sample of the labelled documents for which ``where`` (of doc_id) holds."""
-    got = labelled_sample(documents, labels.where(where), "quality", ROWS, SAMPLE_CHARS)
-    return train([bytes(t) for t in got["text"]], got["label"].to_numpy(np.int64))
+    got = labelled_sample(documents, labels.where(where), "quality", ROWS, text_bytes("text"))
+    return train([bytes(t) for t in got["value"]], got["label"].to_numpy(np.int64))
 
 
 def scored(docs: DataFrame, model: Model | None, score: str = "score", text: str = "text") -> DataFrame:

@@ -1,16 +1,18 @@
 """Toxicity by subword bags: embeddings of words' character n-grams, averaged over a text, in a linear softmax.
 
-Embeddings and softmax are trained jointly, in numpy on the driver, on a bounded sample of labelled
-texts (``TOXIC_ROWS`` and ``CLEAN_ROWS`` rows at most, of at most ``SAMPLE_CHARS`` characters; all other
-texts are scored whole, whatever their length). The n-grams whose presence differs between
-the classes by ``LEAST_SIGNAL`` standard errors have a vector, all others a zero one: a misspelling that was
-never seen shares n-grams with the word that it distorts, and what stands in a few texts by chance can't be
-learned by heart. A text's vector is the
-mean of its words' vectors, and a word's the mean of its n-grams', so with the trained model a word adds
-one number; each worker keeps those of its recent words.
+A word's n-grams (and the word itself) fall into ``BUCKETS`` buckets by a hash; each bucket has a vector. A
+text's vector is the mean of its words' vectors, and a word's the mean of its n-grams', so a misspelling that
+was never seen shares vectors with the word that it distorts. Vectors and softmax are trained jointly, in
+numpy on the driver, by cross-entropy. All n-grams of the training texts take part, each heard as far as its
+presence tells the classes apart (see ``trust``), so that what a few texts hold by chance isn't learned by heart.
+
+The sample has at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows, of any length; their bags are made where
+the texts are, so the driver gets at most ``BUCKETS`` numbers for a text. All texts are scored whole. With the
+trained model a word adds one number; each worker keeps those of its recent words.
 
 Defined cases: null and wordless texts score as the trained bias alone; without labels of both classes
-every text scores 0; other columns are kept; rows that repeat are scored each.
+every text scores 0; other columns are kept, the score column replaces one of its name; rows that repeat are
+scored each, as are those without an id; labels other than 0 and 1 aren't learned from.
 """
 
 from __future__ import annotations
@@ -25,12 +27,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import labelled_sample
+from dialoom.llm import arrays as A
+from dialoom.llm.common import col, labelled_sample
 
 DIM = 8
 SHORTEST, LONGEST = 3, 5
-TOXIC_ROWS, CLEAN_ROWS, SAMPLE_CHARS, LEAST_SIGNAL = 1200, 2400, 10_000, 4.5
-EPOCHS, BATCH, RATE = 12, 32, 0.03
+BUCKET_BITS = 17
+BUCKETS = 1 << BUCKET_BITS
+TOXIC_ROWS, CLEAN_ROWS = 1200, 2400
+EPOCHS, BATCH, RATE = 6, 32, 0.03
+#: An n-gram whose presence differs by so many standard errors is half heard.
+DOUBT = 5.0
+#: Added to the root of the second moment: gradients far below it, those of n-grams that are hardly heard, move little.
+EPSILON = 1e-4
 #: Texts hold few telling words; their mean is scaled so that these are heard.
 SCALE = np.float32(30.0)
 #: Words whose number a worker keeps.
@@ -38,63 +47,74 @@ KEPT_WORDS = 400_000
 WORDS = re.compile(r"\w+")
 
 
-def grams(word: str) -> list[str]:
-    """Character n-grams of a word with marked ends."""
-    w = f"<{word}>"
-    return [w[i : i + n] for n in range(SHORTEST, LONGEST + 1) for i in range(len(w) - n + 1)]
+def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the character n-grams of words with marked ends and of the words themselves, and where each word's begin."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(A.U)
+    ends = np.cumsum([len(w) + 2 for w in words], dtype=np.int64)
+    starts = ends - np.diff(ends, prepend=0)
+    word = np.repeat(np.arange(len(words)), ends - starts)
+    here = np.arange(len(points))
+    found, owner = [], []
+    for n in range(SHORTEST, min(LONGEST, len(points)) + 1):
+        h = np.full(len(points), A.U(n))
+        for k in range(n):
+            h[: len(points) - k] += points[k:] * A.ODD[2500 + k]
+        some = np.flatnonzero(here + n <= ends[word])
+        found.append(h[some]), owner.append(word[some])
+    whole = A.spans(A.prefix(points), starts, ends) if len(words) else np.zeros(0, A.U)
+    found.append(whole), owner.append(np.arange(len(words)))
+    owner, found = np.concatenate(owner), A.mix(np.concatenate(found)) >> A.U(64 - BUCKET_BITS)
+    by = np.argsort(owner, kind="stable")
+    return found[by].astype(np.int64), np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(words)))))
+
+
+def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """A text's buckets, once each, with their shares of its mean."""
+    words = Counter(WORDS.findall(text.lower()))
+    if not words:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32)
+    found, bounds = grams(list(words))
+    size = np.diff(bounds)
+    share = np.repeat(np.fromiter(words.values(), float, len(words)) / words.total() / size, size)
+    ids, at = np.unique(found, return_inverse=True)
+    return ids.astype(np.int32), np.bincount(at, share).astype(np.float32)
 
 
 @dataclass
 class Model:
-    """weights: of each n-gram for class 1 against class 0; bias: the same of the softmax."""
+    """weights: of each bucket for class 1 against class 0; bias: the same of the softmax."""
 
-    weights: dict[str, float]
+    weights: np.ndarray
     bias: float
 
-    def word(self, w: str) -> float:
-        found = grams(w)
-        get = self.weights.get
-        return sum([get(g, 0.0) for g in found]) / len(found)
-
-
-def bags(texts: list[str], labels: np.ndarray) -> tuple[dict[str, int], list[tuple[np.ndarray, np.ndarray]]]:
-    """Numbers of the n-grams that have a vector, and each text's n-grams with their shares of its mean."""
-    words = [Counter(WORDS.findall(t.lower())) for t in texts]
-    seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
-    cache: dict[str, list[str]] = {}
-    for w, y in zip(words, labels):
-        own: set[str] = set()
-        for x in w:
-            if (found := cache.get(x)) is None:
-                found = cache[x] = grams(x)
-            own.update(found)
-        seen[y].update(own)
+    def words(self, words: list[str]) -> np.ndarray:
+        """What each word adds: the mean of its n-grams' weights."""
+        if not words:
+            return np.zeros(0)
+        found, bounds = grams(words)
+        return np.add.reduceat(self.weights[found], bounds[:-1]) / np.diff(bounds)
+
+
+def trust(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int) -> np.ndarray:
+    """How far each of ``n`` buckets is heard, 0 to 1: z**4 / (z**4 + DOUBT**4), z being by how many standard errors
+    its presence differs between the classes. What stands in a few texts by chance is heard little, but heard."""
     of = np.bincount(labels, minlength=2)
-    names = sorted(g for g in seen[0].keys() | seen[1].keys() if seen[0][g] + seen[1][g] >= 5)
-    k = np.array([[seen[0][g], seen[1][g]] for g in names], float).reshape(-1, 2)
+    k = np.stack([np.bincount(np.concatenate([rows[i][0] for i in np.flatnonzero(labels == c)]), minlength=n) for c in (0, 1)], 1)
     pooled = (k.sum(1) + 1) / (of.sum() + 2)
-    signal = np.abs(k[:, 1] / of[1] - k[:, 0] / of[0]) / np.sqrt(pooled * (1 - pooled) * (1 / of).sum())
-    ids = {g: i for i, g in enumerate(np.array(names, object)[signal >= LEAST_SIGNAL])}
-    out = []
-    for w in words:
-        share: dict[int, float] = {}
-        total = sum(w.values())
-        for x, n in w.items():
-            found = cache[x]
-            for g in found:
-                if (i := ids.get(g)) is not None:
-                    share[i] = share.get(i, 0.0) + n / (total * len(found))
-        out.append((np.fromiter(share, np.int32, len(share)), np.fromiter(share.values(), np.float32, len(share))))
-    return ids, out
-
-
-def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
-    """Adam on the softmax loss; None without both classes."""
+    z = (k[:, 1] / of[1] - k[:, 0] / of[0]) / np.sqrt(pooled * (1 - pooled) * (1 / of).sum())
+    return (z**4 / (z**4 + DOUBT**4)).astype(np.float32)
+
+
+def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: int = 7) -> Model | None:
+    """Adam on the softmax loss of bags; None without both classes."""
     if not np.bincount(labels, minlength=2).all():
         return None
-    vocabulary, rows = bags(texts, labels)
+    used = np.unique(np.concatenate([b[0] for b in bags]))
+    rows = [(np.searchsorted(used, ids), share) for ids, share in bags]
+    heard = trust(rows, labels, len(used))
+    rows = [(ids, share * heard[ids]) for ids, share in rows]
     rng = np.random.default_rng(seed)
-    emb = rng.uniform(-0.01, 0.01, (len(vocabulary), DIM)).astype(np.float32)
+    emb = rng.uniform(-0.01, 0.01, (len(used), DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
     moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (emb, soft, bias)]
     step = 0
@@ -102,7 +122,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
     def adam(x, g, m, v, rows=slice(None)):
         m[rows] = 0.9 * m[rows] + 0.1 * g
         v[rows] = 0.99 * v[rows] + 0.01 * g * g
-        x[rows] -= RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-6)
+        x[rows] -= RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + EPSILON)
 
     for _ in range(EPOCHS):
         order = rng.permutation(len(rows))
@@ -124,42 +144,55 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 7) -> Model | None:
             adam(soft, mean.T @ err, *moments[1])
             adam(bias, err.sum(0), *moments[2])
             adam(emb, grad, *moments[0], rows=local)
-    weights = SCALE * (emb @ (soft[:, 1] - soft[:, 0]))
-    return Model(dict(zip(vocabulary, weights.tolist())), float(bias[1] - bias[0]))
+    weights = np.zeros(BUCKETS)
+    weights[used] = SCALE * heard * (emb @ (soft[:, 1] - soft[:, 0]))
+    return Model(weights, float(bias[1] - bias[0]))
+
+
+def _bags(texts: pd.Series) -> pd.DataFrame:
+    found = [bag(t) for t in texts]
+    return pd.DataFrame({"ids": [b[0] for b in found], "shares": [b[1] for b in found]})
 
 
 def fit(documents: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     """Train on a sample of the labelled documents for which ``where`` (of doc_id) holds."""
-    got = labelled_sample(documents, labels.where(where), "toxic", (CLEAN_ROWS, TOXIC_ROWS), SAMPLE_CHARS)
-    return train([bytes(t).decode("utf-8", "replace") for t in got["text"]], got["label"].to_numpy(np.int64))
+    bags = F.pandas_udf(_bags, "ids array<int>, shares array<float>")(F.coalesce(F.col("text"), F.lit("")))
+    got = labelled_sample(documents, labels.where(where), "toxic", (CLEAN_ROWS, TOXIC_ROWS), bags)
+    return train([(np.asarray(b["ids"], np.int32), np.asarray(b["shares"], np.float32)) for b in got["value"]], got["label"].to_numpy(np.int64))
 
 
 class _Numbers(dict):
-    """Words' numbers, learned as they come, at most ``KEPT_WORDS`` at a time."""
+    """Words' numbers, at most about ``KEPT_WORDS`` at a time; new ones of a batch are found together."""
 
     def __init__(self, model: Model):
         self.model = model
 
-    def __missing__(self, word: str) -> float:
-        if len(self) >= KEPT_WORDS:
+    def learn(self, texts: list[list[str]]) -> None:
+        new = list({w for words in texts for w in words}.difference(self))
+        if len(self) + len(new) > KEPT_WORDS:
             self.clear()
-        got = self[word] = self.model.word(word)
-        return got
+            new = list({w for words in texts for w in words})
+        for i in range(0, len(new), 1 << 16):
+            part = new[i : i + (1 << 16)]
+            self.update(zip(part, self.model.words(part).tolist()))
 
 
 def scored(docs: DataFrame, model: Model | None, score: str = "score", text: str = "text") -> DataFrame:
     """``docs`` with a column of scores from 0 to 1."""
     if model is None:
         return docs.withColumn(score, F.lit(0.0))
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's n-grams
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         numbers = _Numbers(shared.value)
+        bias = shared.value.bias
         for batch in batches:
             out = np.empty(len(batch))
-            for i, t in enumerate(batch):
-                words = WORDS.findall(t.lower())
-                out[i] = numbers.model.bias + (sum(map(numbers.__getitem__, words)) / len(words) if words else 0.0)
+            for lo in range(0, len(batch), 256):
+                found = [WORDS.findall(t.lower()) for t in batch.iloc[lo : lo + 256]]
+                numbers.learn(found)
+                for i, words in enumerate(found, lo):
+                    out[i] = bias + (sum(map(numbers.__getitem__, words)) / len(words) if words else 0.0)
             yield pd.Series(1.0 / (1.0 + np.exp(-np.clip(out, -500, 500))))
 
-    return docs.withColumn(score, F.pandas_udf(of, "double")(F.coalesce(F.col(text), F.lit(""))))
+    return docs.withColumn(score, F.pandas_udf(of, "double")(F.coalesce(col(text), F.lit(""))))

@@ -422,7 +422,7 @@ def test_wrapped_licenses(spark):
 
 
 def test_toxicity(spark, monkeypatch):
-    monkeypatch.setattr(toxicity, "EPOCHS", 60)
+    monkeypatch.setattr(toxicity, "EPOCHS", 30)
     bad = ["trash", "scummy", "idiotic"]
     texts, labels = [], []
     for i in range(360):
@@ -431,13 +431,54 @@ def test_toxicity(spark, monkeypatch):
             for w in rng.sample(bad, 2):
                 words[rng.randrange(80)] = w
         texts.append(" ".join(words)), labels.append(int(i % 3 == 0))
-    model = toxicity.train(texts, np.array(labels))
+    model = toxicity.train([toxicity.bag(t) for t in texts], np.array(labels))
     held = [prose(60) for _ in range(30)] + [prose(30) + " trashh scummyy " + prose(20) + " idiotics" for _ in range(30)]
     df = spark.createDataFrame([(i, t) for i, t in enumerate([*held, None, ""])], "id int, text string")
     got = [r.score for r in toxicity.scored(df, model).orderBy("id").collect()]
     assert sum(s < 0.5 for s in got[:30]) >= 28 and sum(s >= 0.5 for s in got[30:60]) >= 28
     assert got[60] == got[61] and 0 <= got[60] <= 1
-    assert toxicity.train(texts[:1], np.array([1])) is None and toxicity.scored(df, None).first().score == 0.0
+    assert toxicity.train([toxicity.bag(texts[0])], np.array([1])) is None and toxicity.scored(df, None).first().score == 0.0
+
+
+def test_grams():
+    words = ["a", "añb", "trash", "trassh", "x" * 40]
+    found, bounds = toxicity.grams(words)
+    sets = [set(found[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    for w, got in zip(words, np.diff(bounds).tolist()):
+        marked = f"<{w}>"
+        assert got == 1 + sum(max(0, len(marked) - n + 1) for n in range(3, 6))
+    one = [toxicity.grams([w])[0].tolist() for w in words]
+    assert [sorted(x) for x in one] == [sorted(found[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])]
+    assert len(sets[2] & sets[3]) >= 4 and toxicity.grams([])[1].tolist() == [0]
+    ids, share = toxicity.bag("Trash trash a")
+    assert share.sum() == pytest.approx(1.0) and toxicity.bag(" ,")[0].size == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no tables")
+@pytest.mark.parametrize("sf, recall, false, right", [("sf0.01", 0.6, 0.03, 0.97), ("sf0.1", 0.88, 0.02, 0.99)])
+def test_held_out(sf, recall, false, right, spark):
+    """Of both classifiers, by their queries, on the labels that they don't learn from."""
+    labels = spark.read.parquet(f"/root/testdata/{sf}/labels.parquet")
+    seen = queries.op2_toxicity(spark, f"/root/testdata/{sf}").join(labels, "doc_id").where("held_out and toxic is not null").toPandas()
+    assert seen["predicted"].isin([0, 1]).all() and seen["score"].between(0, 1).all() and ((seen["score"] >= 0.5) == (seen["predicted"] == 1)).all()
+    toxic = seen[seen["toxic"] == 1]
+    assert toxic["predicted"].mean() >= recall and seen[seen["toxic"] == 0]["predicted"].mean() <= false
+    seen = queries.op10_quality(spark, f"/root/testdata/{sf}").join(labels, "doc_id").where("held_out and quality is not null").toPandas()
+    assert (seen["predicted"] == seen["quality"]).mean() >= right
+
+
+@pytest.mark.parametrize("operator, label", [(toxicity, "toxic"), (quality, "quality")])
+def test_classifiers_on_odd_rows(operator, label, spark, empty):
+    rows = [(i, ("trash scum " if i % 2 else "") + prose(40)) for i in range(40)] + [(0, prose(9)), (0, prose(9)), (None, "x"), (90, None), (91, ""), (92, "long " * 200_000)]
+    docs = spark.createDataFrame([(*r, 1.0, "k") for r in rows], "doc_id long, text string, score double, `a.b` string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)] + [(None, 1), (1, None), (2, 7), (92, 0)], f"doc_id long, {label} int")
+    model = operator.fit(docs, labels, F.lit(True))
+    got = operator.scored(docs, model)
+    assert got.columns == docs.columns and got.count() == len(rows) and got.where("score between 0 and 1").count() == len(rows)
+    again = operator.scored(docs, operator.fit(docs, labels, F.lit(True)))
+    assert sorted(r.score for r in got.collect()) == sorted(r.score for r in again.collect())
+    assert operator.fit(empty, labels, F.lit(True)) is None and operator.scored(empty, model).count() == 0
+    assert operator.fit(docs, labels.limit(0), F.lit(True)) is None
 
 
 def test_quality(spark):
@@ -455,18 +496,21 @@ def test_quality(spark):
 def test_attention_gradients():
     g = np.random.default_rng(2)
     x, bounds, y = g.normal(size=(9, quality.FEATURES)), np.array([0, 2, 3, 9]), np.array([1, 0, 1])
+    first = np.array([0, 4, 4, 10, 12, 14, 16, 18, 20, 24])
+    ids = g.integers(0, 5, 24)
     model = quality.Model(g, np.zeros(quality.FEATURES), np.ones(quality.FEATURES))
-    loss = lambda: -np.mean(np.where(y == 1, np.log(p := model.forward(x, bounds)["p"]), np.log(1 - p)))
-    grads = model.gradients(model.forward(x, bounds), y, bounds)
+    run = lambda: model.forward(x, bounds, ids, first)
+    loss = lambda: -np.mean(np.where(y == 1, np.log(p := run()["p"]), np.log(1 - p)))
+    grads = model.gradients(run(), y, bounds)
     for k, w in model.w.items():
-        at = tuple(0 for _ in w.shape)
-        old = w[at]
-        w[at] = old + 1e-5
-        up = loss()
-        w[at] = old - 1e-5
-        down = loss()
-        w[at] = old
-        assert grads[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
+        for at in {tuple(0 for _ in w.shape), tuple(min(3, n - 1) for n in w.shape)}:
+            old = w[at]
+            w[at] = old + 1e-5
+            up = loss()
+            w[at] = old - 1e-5
+            down = loss()
+            w[at] = old
+            assert grads[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
