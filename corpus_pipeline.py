@@ -5,6 +5,11 @@ return the columns of documents; the last returns the packed pieces (doc_id, pie
 ids_crc32, sequence_id, offset). ``run`` hands frames on; a caller may write each stage's result and read
 it again, as the stages keep no state. A document that the mix takes more than once is packed as often.
 
+Odd rows: a null text is scored, deduplicated, mixed and packed as the empty one (and stays null until it is
+packed); a null id has no label and no duplicates; rows that repeat an id are one document to the near-duplicate
+stage (all of them stay, or go) and documents of their own to the others; columns of any name pass through to the
+last stage; an empty table passes through all stages.
+
 ORACLE_SQL is None: scores, tokens and packing aren't SQL; the stages are tested against plain versions.
 """
 
@@ -14,13 +19,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import minhash, mixing, packing, suffixes, toxicity
-from dialoom.llm.common import bucket_of, cut, table
+from dialoom.llm.common import bucket_of, columns, cut, free_name, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. The model learns from labelled documents of this stage's input."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), bucket_of("doc_id", 5) != 0)
-    return toxicity.scored(docs, model, "_toxic").where(F.col("_toxic") < 0.5).select(*docs.columns)
+    score = free_name(docs, "_toxic")
+    return toxicity.scored(docs, model, score).where(F.col(score) < 0.5).select(*columns(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
