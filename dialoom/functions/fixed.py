@@ -36,7 +36,9 @@ UNPREFIXED = ("parking", "internet", "openhours")
 # fixed values: columns that a venue table drops, and that a constraint matches approximately
 IGNORED_COLUMNS = {"attraction": ("location", "openhours"), "hotel": ("location", "price", "takesbookings"), "restaurant": ("location", "introduction", "signature")}
 FUZZY_COLUMNS = {"hotel": ("name",), "attraction": ("name",), "restaurant": ("name", "food"), "train": ("departure", "destination")}
-INDIFFERENT = ("dontcare", "do n't care", "don't care", "dont care", "doesn't matter")
+#: Domains with a venue table, and constraints that hold for any venue.
+TABLES = ("hotel", "restaurant", "attraction", "train")
+ANY_VALUE = ("dontcare", "not mentioned", "don't care", "dont care", "do n't care", "do not care")
 EVALUATED_SERVICES = ("attraction", "hotel", "restaurant", "taxi", "train")
 
 # fixed values: evaluation slot -> names that mean it
@@ -100,5 +102,6 @@ TEXT_VALUES = {
     "churchill college": "churchills college", "sat": "saturday", "saint johns chop shop house": "saint johns chop house",
     "good luck chinese food takeaway": "good luck", "asian": "asian oriental", "gallery at 12": "gallery at 12 a high street",
 }
+TIME_SLOTS = ("leave at", "arrive by", "book time")
 NAME_PREFIXES = ("the ",)
 NAME_SUFFIXES = (" hotel", " restaurant", " cinema", " guest house", " theatre", " airport", " street", " gallery", " museum", " train station")

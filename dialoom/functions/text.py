@@ -149,8 +149,8 @@ def placeholder(slot: Column, evaluation: bool = False) -> Column:
     """``[value_<slot>]``; in evaluation by its other names, some without prefix."""
     if not evaluation:
         return F.concat(F.lit("[value_"), F.replace(slot, F.lit(" "), F.lit("_")), F.lit("]"))
-    s = lookup(slot, fixed.PLACEHOLDERS)
-    return F.when(s.isin(*fixed.UNPREFIXED), F.concat(F.lit("["), s, F.lit("]"))).otherwise(F.concat(F.lit("[value_"), F.replace(s, F.lit(" "), F.lit("_")), F.lit("]")))
+    name = F.replace(slot, F.lit("_"), F.lit(" "))
+    return F.when(name.isin(*fixed.UNPREFIXED), F.concat(F.lit("["), name, F.lit("]"))).otherwise(F.concat(F.lit("[value_"), lookup(name, fixed.PLACEHOLDERS), F.lit("]")))
 
 
 def schema_slot(slot: Column, service: Column) -> Column:

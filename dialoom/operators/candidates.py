@@ -15,6 +15,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dialoom.operators import acts as A
+from dialoom.operators import state as S
+
 
 def best_n(candidates: DataFrame, n: int) -> DataFrame:
     """The n best rows of each item; equal completions then collapse into the one with the best score."""
@@ -203,3 +206,31 @@ def parsed_state(text: Column, prior: Column) -> Column:
         return pd.Series(out, dtype=object)
 
     return F.from_json(F.pandas_udf(of, "string")(text, F.to_json(prior)), "map<string, map<string, string>>")
+
+
+def unread(text: Column) -> Column:
+    """Whether a completion can't be read as calls (a failed parse; ``[]`` and calls that change nothing can)."""
+    return (F.size(F.from_json(parsed_acts(text), "array<string>")) == 0) & (F.regexp_replace(F.coalesce(text, F.lit("")), r"[\[\]\s]", "") != "")
+
+
+def schema_names(state: Column, names: dict[str, dict[str, str]]) -> Column:
+    """Slots that prompts write otherwise back to the schema's names (service -> {written: slot}); others stay."""
+    pairs = [F.lit(x) for service, slots in names.items() for written, slot in slots.items() for x in (f"{service}\t{written}", slot)]
+    if not pairs:
+        return state
+    table = F.create_map(*pairs)
+    own = lambda s, k: F.coalesce(F.try_element_at(table, F.concat(s, F.lit("\t"), k)), k)
+    # a slot that stands under both names keeps the schema's
+    return F.transform_values(state, lambda s, m: F.map_concat(F.transform_keys(F.map_filter(m, lambda k, _: (own(s, k) != k) & ~F.map_contains_key(m, own(s, k))), lambda k, _: own(s, k)), F.map_filter(m, lambda k, _: own(s, k) == k)))
+
+
+def canonical_completion(text: Column, prior: Column, intents: list[tuple[str, str, list[str]]], normalise=None, names: dict[str, dict[str, str]] | None = None, prefix: str = "[agent.") -> Column:
+    """A completion as the canonical call of the change that it makes: read, brought to the schema's names, normalised, rendered.
+
+    ``normalise`` is a function of a state column. A completion without ``prefix`` gets it.
+    """
+    whole = F.when(text.startswith(prefix), text).otherwise(F.concat(F.lit(prefix), text))
+    state = parsed_state(whole, prior)
+    state = schema_names(state, names) if names else state
+    state = normalise(state) if normalise else state
+    return A.intent_call(S.compute_delta(prior, state), intents)

@@ -22,7 +22,7 @@ def active_domains(states: list[dict[str, dict[str, str]]]) -> list[list[str]]:
 
     A turn with new (slot, value) pairs activates the changed domain, or stays with the current one if it
     is among several; otherwise the changed domain with most slots, the first by name on ties. A turn
-    without any keeps the current domain, unless the turn before changed several: then the next of those
+    without any keeps the current domain, unless the turn right before changed several: then the next of those
     that is still in the state. Before the first change there is none.
     """
     out, before, current, changed_before = [], {}, None, []
@@ -38,7 +38,7 @@ def active_domains(states: list[dict[str, dict[str, str]]]) -> list[list[str]]:
         elif current not in changed:
             current = max(changed, key=lambda d: (len(state[d]), [-ord(c) for c in d]))
         out.append([current])
-        before, changed_before = state, changed or changed_before
+        before, changed_before = state, changed
     return out
 
 
@@ -48,7 +48,8 @@ def judge(turns: list[dict], goal: dict[str, dict], booked: list[list[str]]) ->
     A turn: slots (evaluation slots that the response mentions), domains (active), venues (domain -> ids that
     meet the state now), found earlier. The goal: domain -> informable, requestable, venues (ids).
     An offer is made when a name (or a train's id) is mentioned, and replaced only when some venue of the old
-    one no longer meets the state. References count only in turns where the domain is booked.
+    one no longer meets the state; where none does, that withdraws the offer. References count only in turns
+    where the domain is booked.
     """
     offered: dict[str, list] = {d: [] for d in goal}
     given: dict[str, set] = {d: set() for d in goal}
@@ -59,7 +60,7 @@ def judge(turns: list[dict], goal: dict[str, dict], booked: list[list[str]]) ->
             said = set(turn["slots"])
             if d not in AUTOMATIC and ("TRAINID" if d == "train" else "NAME") in said:
                 now = turn["venues"].get(d) or []
-                if now and (not offered[d] or set(offered[d]) - set(now)):
+                if not offered[d] or set(offered[d]) - set(now):
                     offered[d] = now
             for slot in REQUESTABLE:
                 if slot in said and (slot != "REFERENCE" or d in books):

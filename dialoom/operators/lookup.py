@@ -7,23 +7,27 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dialoom.functions import fixed
+from dialoom.functions.aliases import aliases
 from dialoom.functions.fuzzy import partial_column, ratio_column
-from dialoom.functions.text import database_slot, fuzzy_key, minutes
+from dialoom.functions.text import canonical_value, database_slot, fuzzy_key, is_valid_time, minutes
 
 
 def find(venues: DataFrame, domain: str, constraints: dict[str, str | None], least: int = 90) -> DataFrame:
     """The rows of a venue table that meet all constraints.
 
     A null, empty or indifferent constraint holds always, as does a cell ``?``; names that aren't columns
-    are ignored; ``arrive`` is an upper and ``leave`` a lower bound in minutes; columns that are matched
-    approximately need a partial ratio of ``least``; all others are equal.
+    are ignored; values are canonical by the rule of their slot; ``arrive`` is an upper and ``leave`` a lower
+    bound in minutes; columns that are matched approximately need a partial ratio of ``least``; all others are
+    equal. A domain without a venue table has no venues.
     """
+    if domain not in fixed.TABLES:
+        return venues.where("false")
     out = venues
     for name, value in constraints.items():
         name = {"arriveby": "arrive", "leaveat": "leave"}.get(name.lower().replace(" ", ""), name.lower().replace(" ", ""))
-        if name not in venues.columns or not value or value.lower() in fixed.INDIFFERENT:
+        if name not in venues.columns or not value or value.lower() in fixed.ANY_VALUE:
             continue
-        cell, want = F.col(name), F.lit(value.lower())
+        cell, want = F.col(name), canonical_value(F.lit(name), F.lit(value.lower()))
         if name == "arrive":
             test = minutes(cell) <= minutes(want)
         elif name == "leave":
@@ -101,6 +105,18 @@ def is_bool(values: Column) -> Column:
     return F.size(F.array_except(values, F.array(*map(F.lit, ("yes", "no", "free", "dontcare"))))) == 0
 
 
+def slot_rows(slots: DataFrame) -> DataFrame:
+    """``slots_of`` rows with what each slot is: categorical, a name, a number, a yes or no, and its type hint."""
+    values = F.col("possible_values")
+    return slots.select("service", "slot", F.coalesce("is_categorical", F.lit(False)).alias("categorical"), (F.col("slot") == "name").alias("is_name"), is_numeric(values).alias("numeric"), is_bool(values).alias("bool"), type_hint(values).alias("hint"))
+
+
+def valid_slots(rows: DataFrame, slots: DataFrame) -> DataFrame:
+    """``rows`` (service, slot, ...) with valid: whether the schema has that slot of that service."""
+    known = slots.select("service", "slot").distinct().withColumn("valid", F.lit(True))
+    return rows.join(known, ["service", "slot"], "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
+
+
 def type_hint(values: Column) -> Column:
     whole = F.forall(F.filter(values, lambda v: v != "dontcare"), lambda v: v.rlike(r"^\d+$"))
     return F.when(is_numeric(values), F.when(whole, F.lit("int")).otherwise(F.lit("float"))).otherwise(F.lit("str"))
@@ -115,32 +131,29 @@ def known_values(schema_slots: DataFrame, venue_values: DataFrame) -> DataFrame:
     return listed.unionByName(venue_values.select("service", "slot", fuzzy_key(F.col("value")).alias("value"))).distinct()
 
 
-def aliases(value: Column) -> Column:
-    """Other ways to write a name: with a prefix, with or without one of the usual endings."""
-    bare = F.array(value, *[F.regexp_replace(value, f"{s}$", "") for s in fixed.NAME_SUFFIXES])
-    ended = F.array_union(bare, F.array(*[F.concat(value, F.lit(s)) for s in fixed.NAME_SUFFIXES]))
-    plain = F.array_union(ended, F.transform(ended, lambda x: F.regexp_replace(x, "^the ", "")))
-    return F.array_sort(F.filter(F.array_union(plain, F.transform(plain, lambda x: F.concat(F.lit(fixed.NAME_PREFIXES[0]), x))), lambda x: x != ""))
-
-
-def alias_rows(values: DataFrame) -> DataFrame:
-    return values.select("service", "slot", "value", F.explode(aliases(F.col("value"))).alias("alias"))
-
-
-def canonical(asked: DataFrame, values: DataFrame, least: int = 95) -> DataFrame:
+def canonical(asked: DataFrame, values: DataFrame, least: int = 90) -> DataFrame:
     """``asked`` (id, service, slot, text) with canonical: the known value that the text stands for, or null.
 
-    First the value itself, then an alias (of several the smallest value), then the only value with an alias
-    at a ratio of ``least`` or more; if several values reach it there is none. Slots match first, so the near
-    comparison meets only the values of a slot.
+    First the value itself, then an alias of the text that is known (of several the smallest), then the one
+    value that is nearest to the text's aliases at a ratio of ``least`` or more; if they are nearest to several,
+    there is none. Time slots have no list: H:MM becomes HH:MM, and what isn't a time goes. Each distinct text is
+    looked up once, against the values of its slot only.
     """
     text = asked.withColumn("text", F.lower(F.trim("text")))
-    own = text.join(values.withColumn("text", F.col("value")), ["service", "slot", "text"], "left").select("id", "service", "slot", "text", F.col("value").alias("exact"))
-    names = alias_rows(values)
-    by_alias = own.where("exact is null").join(names.withColumnRenamed("alias", "text"), ["service", "slot", "text"]).groupBy("id").agg(F.min("value").alias("aliased"))
-    rest = own.where("exact is null").join(by_alias, "id", "left_anti").join(names, ["service", "slot"]).withColumn("score", ratio_column("text", "alias"))
-    near = rest.where(F.col("score") >= least).groupBy("id").agg(F.min("value").alias("low"), F.max("value").alias("high")).select("id", F.when(F.col("low") == F.col("high"), F.col("low")).alias("near"))
-    return own.join(by_alias, "id", "left").join(near, "id", "left").select("id", "service", "slot", "text", F.coalesce("exact", "aliased", "near").alias("canonical"))
+    timed = F.col("slot").isin(*fixed.TIME_SLOTS)
+    padded = F.when(F.col("text").contains(":") & (F.length("text") < 5), F.concat(F.lit("0"), F.col("text"))).otherwise(F.col("text"))
+    clock = F.when(is_valid_time(padded) | (padded == "dontcare"), padded)
+    distinct = text.where(~timed & F.col("text").isNotNull()).select("service", "slot", "text").distinct()
+    key = ["service", "slot", "text"]
+    known = values.select("service", "slot", "value").distinct()
+    own = distinct.join(known.withColumn("text", F.col("value")), key, "left").withColumnRenamed("value", "exact")
+    names = own.where("exact is null").select(*key, F.explode(aliases(F.col("text"))).alias("alias"))
+    by_alias = names.join(known.withColumn("alias", F.col("value")), ["service", "slot", "alias"]).groupBy(*key).agg(F.min("value").alias("aliased"))
+    rest = names.join(by_alias, key, "left_anti").join(known, ["service", "slot"]).withColumn("score", ratio_column("alias", "value")).where(F.col("score") >= least)
+    best = rest.groupBy(*key, "alias").agg(F.min(F.struct((-F.col("score")).alias("s"), "value")).alias("b"))
+    near = best.groupBy(*key).agg(F.min("b.value").alias("low"), F.max("b.value").alias("high")).select(*key, F.when(F.col("low") == F.col("high"), F.col("low")).alias("near"))
+    found = own.join(by_alias, key, "left").join(near, key, "left").select(*key, F.coalesce("exact", "aliased", "near").alias("found"))
+    return text.join(found, key, "left").select("id", "service", "slot", "text", F.when(timed, clock).otherwise(F.col("found")).alias("canonical"))
 
 
 def fuzzy_vocabulary(values: DataFrame, vocabulary: DataFrame, least: int = 90) -> DataFrame:
@@ -154,17 +167,20 @@ def fuzzy_vocabulary(values: DataFrame, vocabulary: DataFrame, least: int = 90)
 def normalise_states(rows: DataFrame, slots: DataFrame, least: int = 90) -> DataFrame:
     """(id, service, slot, value) -> rows whose service and slot nearly stand in the schema, with its names.
 
-    A categorical value must nearly be one of the possible ones; other values stay as they are.
+    A categorical value must nearly be one of the possible ones; other values stay as they are. A service that
+    keeps no slot stays with a row whose slot and value are null.
     """
     services = fuzzy_vocabulary(rows.select(F.col("service").alias("value")), slots.select(F.col("service").alias("entry")).distinct(), least)
     rows = rows.join(services.select(F.col("value").alias("service"), F.col("match").alias("_s")), "service").where("_s is not null")
+    services = rows.select("id", F.col("_s").alias("service")).distinct()
     names = fuzzy_vocabulary(rows.select(F.col("slot").alias("value")), slots.select(F.col("slot").alias("entry")).distinct(), least)
     rows = rows.join(names.select(F.col("value").alias("slot"), F.col("match").alias("_n")), "slot").where("_n is not null")
     rows = rows.select("id", F.col("_s").alias("service"), F.col("_n").alias("slot"), "value").join(slots, ["service", "slot"])
     options = rows.where("is_categorical").select("id", "service", "slot", "value", F.explode("possible_values").alias("option"))
     options = options.where(ratio_column(fuzzy_key(F.col("value")), fuzzy_key(F.col("option"))) >= least).groupBy("id", "service", "slot", "value").agg(F.min("option").alias("option"))
     free = rows.where("not is_categorical").select("id", "service", "slot", "value")
-    return options.select("id", "service", "slot", F.col("option").alias("value")).unionByName(free)
+    kept = options.select("id", "service", "slot", F.col("option").alias("value")).unionByName(free)
+    return services.join(kept, ["id", "service"], "left")
 
 
 def prune_act_keys(entity: Column, valid: list[str]) -> tuple[Column, Column]:

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from dialoom.functions.fuzzy import partial, ratio
+from dialoom.functions.fuzzy import partial, partial_column
 from dialoom.functions.text import ngrams
+from dialoom.operators import acts as A
 
 
 def prf(rows: DataFrame, *by: str) -> DataFrame:
@@ -23,22 +24,29 @@ def set_counts(predicted: Column, gold: Column) -> tuple[Column, Column, Column]
     return F.size(F.array_intersect(predicted, gold)), F.size(F.array_except(predicted, gold)), F.size(F.array_except(gold, predicted))
 
 
-def slot_f1(gold: DataFrame, predicted: DataFrame, *key: str) -> DataFrame:
+def slot_f1(gold: DataFrame, predicted: DataFrame, *key: str, turns: DataFrame | None = None, least: int = 95) -> DataFrame:
     """State precision, recall, f1 and joint accuracy from (key..., slot, value) rows of both sides.
 
-    A slot that both set with different values is a false positive and a false negative; misses of gold
-    values that say nothing ('', '?', 'dontcare') don't count. 1e-10 is added to denominators; f1 and joint
-    accuracy are per cent, precision and recall are not.
+    Values agree if their partial ratio is over ``least``. A slot that both set with values that don't is a false
+    positive and a false negative; misses of gold values that say nothing ('', '?', 'dontcare') don't count, but
+    a turn matches jointly only if both sides set the same slots, those included. ``turns`` (key...) are all
+    turns, those without any slot too, which match; without it, turns are those that some side has a slot in.
+    1e-10 is added to denominators; f1 and joint accuracy are per cent, precision and recall are not.
     """
-    both = gold.withColumnRenamed("value", "g").join(predicted.withColumnRenamed("value", "p"), [*key, "slot"], "full")
-    same = F.col("g").isNotNull() & F.col("p").isNotNull() & (F.col("g") == F.col("p"))
-    counted = F.col("g").isNotNull() & ~F.col("g").isin("", "?", "dontcare")
-    turns = both.groupBy(*key).agg(
-        F.sum(same.cast("int")).alias("tp"), F.sum((F.col("p").isNotNull() & ~same).cast("int")).alias("fp"), F.sum((counted & ~same).cast("int")).alias("fn")
-    )
-    total = turns.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.avg(((F.col("fp") == 0) & (F.col("fn") == 0)).cast("double")).alias("joint"))
+    both = gold.withColumnRenamed("value", "g").withColumn("in_g", F.lit(True)).join(predicted.withColumnRenamed("value", "p").withColumn("in_p", F.lit(True)), [*key, "slot"], "full")
+    paired = F.col("in_g").isNotNull() & F.col("in_p").isNotNull()
+    same = F.when(paired, F.when(F.col("g") == F.col("p"), True).otherwise(F.coalesce(partial_column("g", "p") > least, F.lit(False)))).otherwise(False)
+    rows = both.select(*key, "in_g", "in_p", "g", paired.alias("paired"), same.alias("same"))
+    counted = F.col("in_g").isNotNull() & ~F.coalesce(F.col("g").isin("", "?", "dontcare"), F.lit(False))
+    each = rows.groupBy(*key).agg(
+        F.sum(F.col("same").cast("int")).alias("tp"), F.sum((F.col("in_p").isNotNull() & ~F.col("same")).cast("int")).alias("fp"),
+        F.sum((counted & ~F.col("same")).cast("int")).alias("fn"), F.min(F.col("same").cast("int")).alias("joint"),
+    )
+    if turns is not None:
+        each = turns.select(*key).distinct().join(each, list(key), "left").na.fill({"tp": 0, "fp": 0, "fn": 0, "joint": 1})
+    total = each.agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum("joint").alias("joint"), F.count("*").alias("n"))
     p, r = F.col("tp") / (F.col("tp") + F.col("fp") + 1e-10), F.col("tp") / (F.col("tp") + F.col("fn") + 1e-10)
-    return total.select(p.alias("precision"), r.alias("recall"), (100 * 2 * p * r / (p + r + 1e-10)).alias("f1"), (100 * F.col("joint")).alias("joint_accuracy"))
+    return total.select(p.alias("precision"), r.alias("recall"), (100 * 2 * p * r / (p + r + 1e-10)).alias("f1"), (100 * F.col("joint") / (F.col("n") + 1e-10)).alias("joint_accuracy"))
 
 
 def joint_goal(predicted: Column, gold: Column, least: int = 95) -> Column:
@@ -57,20 +65,42 @@ def _pairs(entries) -> dict[str, str]:
 
 
 def folded(predicted: Column, gold: Column, least: int = 90) -> Column:
-    """The predicted set with each value that nearly equals a gold one replaced by it (the first gold one in order)."""
+    """The predicted set with each value that a gold one nearly holds, or is held in, replaced by it (the first gold one in order)."""
     import pandas as pd
 
     def of(a: pd.Series, b: pd.Series) -> pd.Series:
         out = []
         for x, y in zip(a, b):
             gold_ = sorted(y) if y is not None else []
-            out.append(sorted({next((g for g in gold_ if ratio(p, g) >= least), p) for p in (x if x is not None else [])}))
+            out.append(sorted({next((g for g in gold_ if partial(p, g) >= least), p) for p in (x if x is not None else [])}))
         return pd.Series(out, dtype=object)
 
     of.__annotations__ = {"a": pd.Series, "b": pd.Series, "return": pd.Series}
     return F.pandas_udf(of, "array<string>")(predicted, gold)
 
 
+def act_scores(turns: DataFrame, least: int = 90) -> DataFrame:
+    """One row of precision, recall and f1 of a corpus, for the acts' names, slots and values apart.
+
+    ``turns`` has act lists ``pred`` and ``gold``; null is no act. Each turn's predicted set is folded onto its gold set.
+    """
+    none = F.expr(f"cast(array() as array<{A.ACT}>)")
+    sides = turns.select(F.coalesce("pred", none).alias("pred"), F.coalesce("gold", none).alias("gold"))
+    counts = []
+    for kind, of in (("acts", A.act_names), ("slots", A.slot_names), ("values", A.slot_values)):
+        got = set_counts(folded(of(F.col("pred")), of(F.col("gold")), least), of(F.col("gold")))
+        counts.append(F.array(*[c.cast("long") for c in got]).alias(kind))
+    rows = sides.select(*counts)
+    total = rows.agg(*[F.sum(F.col(kind)[i]).alias(f"{kind}_{n}") for kind in ("acts", "slots", "values") for i, n in enumerate(("tp", "fp", "fn"))])
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    out = []
+    for kind in ("acts", "slots", "values"):
+        tp, fp, fn = (F.coalesce(F.col(f"{kind}_{n}"), F.lit(0)) for n in ("tp", "fp", "fn"))
+        p, r = safe(tp, tp + fp), safe(tp, tp + fn)
+        out += [p.alias(f"{kind}_precision"), r.alias(f"{kind}_recall"), safe(2 * p * r, p + r).alias(f"{kind}_f1")]
+    return total.select(*out)
+
+
 def bleu_counts(rows: DataFrame, candidate: str, reference: str, order: int = 4) -> DataFrame:
     """(n, matched, total, cand_len, ref_len) of a corpus: clipped n-gram matches of token arrays, by n."""
     base = rows.select(F.monotonically_increasing_id().alias("row"), candidate, reference)

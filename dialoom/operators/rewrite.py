@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import string
 
@@ -20,20 +21,23 @@ def _key(x: str) -> str:
 
 
 def replace_fuzzy(text: str, value: str, replacement: str, least: int = 90) -> str:
-    """All places of the word n-gram that is nearest to ``value`` (the first of the nearest), at ``least`` or more.
+    """All places of the word n-gram that is nearest to ``value``, at ``least`` or more; the first of the nearest by start, then length.
 
-    Places right after ``[value_`` stay. N-grams whose cleaned length rules the ratio out aren't compared.
+    Places right after ``[value_`` stay. N-grams grow with their words, so each start ends where its n-gram has
+    become too long for a better ratio, and those whose length rules it out otherwise aren't compared.
     """
     want = _key(value)
     words = text.split(" ")
     best, found = least - 1, None
-    for size in range(1, len(words) + 1):
-        for i in range(len(words) - size + 1):
-            gram = " ".join(words[i : i + size])
+    for i in range(len(words)):
+        for stop in range(i + 1, len(words) + 1):
+            gram = " ".join(words[i:stop])
             got = _key(gram)
-            if not got or 200 * min(len(got), len(want)) < (best + 0.5) * (len(got) + len(want)):
+            if 200 * min(len(got), len(want)) < (best + 0.5) * (len(got) + len(want)):
+                if len(got) > len(want):
+                    break
                 continue
-            if (score := ratio(got, want)) > best:
+            if gram and (score := ratio(got, want)) > best:
                 best, found = score, gram
     if found is None:
         return text
@@ -41,11 +45,17 @@ def replace_fuzzy(text: str, value: str, replacement: str, least: int = 90) -> s
 
 
 def name_of(slot: str, evaluation: bool = False) -> str:
-    if evaluation:
-        slot = fixed.PLACEHOLDERS.get(slot, slot)
-        if slot in fixed.UNPREFIXED:
-            return f"[{slot}]"
-    return f"[value_{slot.replace(' ', '_')}]"
+    if not evaluation:
+        return f"[value_{slot.replace(' ', '_')}]"
+    slot = slot.replace("_", " ")
+    return f"[{slot}]" if slot in fixed.UNPREFIXED else f"[value_{fixed.PLACEHOLDERS.get(slot, slot)}]"
+
+
+def placeholders_fixed(text: str, evaluation: bool = False) -> str:
+    """A text's own ``[slot]`` and ``[value_slot]`` under the names that delexicalising gives."""
+    for own in re.findall(r"\[\w+\]", text):
+        text = text.replace(own, name_of(own[1:-1].removeprefix("value_"), evaluation))
+    return text
 
 
 def delexicalise(text: str, pairs: list[tuple[str, str]], evaluation: bool = False, least: int = 90) -> str:
@@ -55,23 +65,41 @@ def delexicalise(text: str, pairs: list[tuple[str, str]], evaluation: bool = Fal
     return text
 
 
+def _values(value: str | None) -> list[str]:
+    """A slot's value, or the values of a JSON list."""
+    if value and value.startswith("["):
+        try:
+            return [str(v) for v in json.loads(value)]
+        except ValueError:
+            pass
+    return [] if value is None else [value]
+
+
 def delexicalised(text: Column, acts: Column, evaluation: bool = False) -> Column:
-    """``text`` with the values of its acts' entities as placeholders; requests have none."""
+    """``text`` with the values of its acts' entities as placeholders; requests have none.
+
+    Placeholders that it has already, as a predicted text may, get their names first; without acts nothing changes.
+    """
     pairs = F.flatten(F.transform(F.filter(acts, lambda a: (a["type"] != "Request") & a["entity"].isNotNull()), lambda a: F.map_entries(a["entity"])))
 
-    def of(texts: pd.Series, many: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else delexicalise(t, [(p["key"], p["value"]) for p in (ps if ps is not None else [])], evaluation) for t, ps in zip(texts, many)], dtype=object)
+    def of(texts: pd.Series, some: pd.Series, many: pd.Series) -> pd.Series:
+        out = []
+        for t, any_, ps in zip(texts, some, many):
+            if t and any_:
+                t = delexicalise(placeholders_fixed(t, evaluation), [(p["key"], v) for p in (ps if ps is not None else []) for v in _values(p["value"])], evaluation)
+            out.append(t)
+        return pd.Series(out, dtype=object)
+
+    return F.pandas_udf(of, "string")(text, F.coalesce(F.size(acts) > 0, F.lit(False)), pairs)
+
 
-    return F.pandas_udf(of, "string")(text, pairs)
+def fix_placeholders(text: Column, evaluation: bool = True) -> Column:
+    """Placeholders that a text already has, by their names in evaluation (or in plain delexicalising)."""
 
+    def of(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else placeholders_fixed(t, evaluation))
 
-def fix_placeholders(text: Column) -> Column:
-    """Placeholders that a text already has, by their evaluation names."""
-    out = text
-    for slot, name in fixed.PLACEHOLDERS.items():
-        s, n = slot.replace(" ", "_"), name
-        out = F.regexp_replace(out, rf"\[(?:value_)?{s}\]", f"[{n}]" if n in fixed.UNPREFIXED else f"[value_{n}]")
-    return out
+    return F.pandas_udf(of, "string")(text)
 
 
 def by_spans(text: Column, spans: Column) -> Column:

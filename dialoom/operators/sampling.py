@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.text import portable_order
@@ -50,15 +50,19 @@ def sample_groups(df: DataFrame, key: str, n: int, seed: int = 42, replacement:
 def random_k(queries: DataFrame, pool: DataFrame, q: str, p: str, k: int, seed: int = 42) -> DataFrame:
     """(q, p, rank): ``k`` pool rows for each query, without replacement, fewer if the pool is smaller.
 
-    Each query walks the pool's one shuffled order from a hashed start, so it meets k pool rows, not all.
+    Each query draws places in the pool's shuffled order by hashes of its own and keeps its first ``k`` distinct
+    ones of 4 k + 32, so it meets that many pool rows, not all. A pool of no more rows is ordered for each query.
     """
-    n = pool.count()
-    if not n:
-        return queries.select(q).crossJoin(pool.select(p)).withColumn("rank", F.lit(0)).where("false")
+    n, draws = pool.count(), 4 * k + 32
+    if n <= draws:
+        each = queries.select(q).join(pool.select(p), F.lit(True))  # at most ``draws`` rows a query
+        place = Window.partitionBy(q).orderBy(portable_order(F.concat_ws(":", F.col(q), F.col(p)), seed), p)
+        return each.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     places = ranked(pool.select(p), p, seed, "_k").withColumn("_k", F.col("_k") - 1)
-    start = F.conv(portable_order(F.col(q), seed), 16, 10).cast("long") % n
-    wanted = queries.select(q, F.explode(F.sequence(F.lit(0), F.lit(min(k, n) - 1))).alias("_j"), start.alias("_s")).withColumn("_k", (F.col("_s") + F.col("_j")) % n)
-    return wanted.join(places, "_k").select(q, p, (F.col("_j") + 1).alias("rank"))
+    drawn = queries.select(q, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_j"))
+    drawn = drawn.withColumn("_k", F.conv(portable_order(F.concat_ws(":", F.col(q), F.col("_j")), seed), 16, 10).cast("long") % n)
+    first = drawn.groupBy(q, "_k").agg(F.min("_j").alias("_j")).withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy("_j"))).where(F.col("rank") <= k)
+    return first.join(places, "_k").select(q, p, "rank")
 
 
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:

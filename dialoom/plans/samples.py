@@ -62,8 +62,9 @@ def sampled_with_replacement(spark, sf_dir):
 
 @register("random_examples", f"""
 with p as (select vec_id, row_number() over (order by {_O.format('vec_id')}, vec_id) - 1 as k, count(*) over () as n from embeddings),
-     q as (select conv_id, ('0x' || {_O.format('conv_id')})::bigint % (select max(n) from p) as s, (select max(n) from p) as n from (select distinct conv_id from conversations))
-select conv_id, vec_id, j + 1 as rank from q, range(5) r(j) join p on p.k = (s + j) % q.n
+     q as (select conv_id, j, ('0x' || substr(md5(conv_id || ':' || j || ':42'), 1, 8))::bigint % (select max(n) from p) as k from (select distinct conv_id from conversations), range(52) r(j)),
+     f as (select conv_id, k, row_number() over (partition by conv_id order by min(j)) as rank from q group by conv_id, k)
+select conv_id, vec_id, rank from f join p using (k) where rank <= 5
 """)
 def random_examples(spark, sf_dir):
     """Five pool rows for each query, without replacement."""

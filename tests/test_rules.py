@@ -85,6 +85,7 @@ def test_active_domains():
     both = {"hotel": {"area": "west", "name": "x"}, "train": {"day": "monday"}}
     assert folds.active_domains([both, both]) == [["hotel"], ["train"]]
     assert folds.active_domains([{"b": {"x": "1"}, "a": {"x": "1"}}]) == [["a"]]
+    assert folds.active_domains([both] * 4) == [["hotel"], ["train"], ["train"], ["train"]]  # it moves on once
 
 
 def test_judge():
@@ -93,6 +94,9 @@ def test_judge():
     assert folds.judge([turn], goal, [["hotel"]]) == {"hotel": (True, True)}
     assert folds.judge([turn], goal, [[]]) == {"hotel": (True, False)}
     assert folds.judge([turn | {"venues": {"hotel": ["3"]}}], goal, [["hotel"]]) == {"hotel": (False, False)}
+    # a mention that nothing meets withdraws the offer
+    assert folds.judge([turn, turn | {"venues": {"hotel": []}}], goal, [["hotel"], ["hotel"]]) == {"hotel": (False, False)}
+    assert folds.judge([turn, turn | {"venues": {"hotel": []}}, turn], goal, [["hotel"]] * 3) == {"hotel": (True, True)}
     named = {"hotel": {"informable": {"name": "x"}, "requestable": [], "venues": []}}
     assert folds.judge([], named, []) == {"hotel": (True, True)}
     train = {"train": {"informable": {}, "requestable": [], "venues": ["T1"]}}
@@ -103,4 +107,107 @@ def test_rewriting():
     assert rewrite.replace_fuzzy("stay at acorn guset house now", "Acorn Guest House", "[value_name]") == "stay at [value_name] now"
     assert rewrite.replace_fuzzy("nothing here", "acorn guest house", "[x]") == "nothing here"
     assert rewrite.delexicalise("the west and [value_area] west", [("area", "west")]).count("[value_area]") == 3
+    assert rewrite.replace_fuzzy("- west", "west", "[v]") == "[v]"  # the first start, then the shortest
+    assert rewrite.replace_fuzzy("in the west", "west", "[v]") == "in the [v]"
+    assert rewrite.placeholders_fixed("[name] at [address], [value_parking], [value_price_range] [trainid] [x y]", True) == "[value_name] at [value_address], [parking], [value_price] [value_id] [x y]"
+    assert rewrite.placeholders_fixed("[name] [value_area]") == "[value_name] [value_area]"
+    assert rewrite._values('["a", "b"]') == ["a", "b"] and rewrite._values("[x") == ["[x"] and rewrite._values(None) == []
     assert rewrite.name_of("entrance fee", True) == "[value_price]" and rewrite.name_of("parking", True) == "[parking]"
+
+
+def test_delexicalised(spark):
+    from pyspark.sql import functions as F
+
+    from dialoom.operators.acts import ACT
+
+    acts = [("Inform", "hotel", {"name": '["acorn house", "ely lodge"]', "area": "west"}, None), ("Request", "hotel", None, ["stars"])]
+    rows = spark.createDataFrame([("Acorn House or ely lodge, in the west of [area]", acts), ("acorn house", []), (None, acts), ("the stars", acts[1:])], f"t string, a array<{ACT}>")
+    got = [r[0] for r in rows.select(rewrite.delexicalised(F.col("t"), F.col("a"))).collect()]
+    assert got == ["[value_name] or [value_name] in the [value_area] of [value_area]", "acorn house", None, "the stars"]
+
+
+def test_slot_f1(spark):
+    from dialoom.operators.metrics import slot_f1
+
+    gold = [(1, "a", "the acorn house"), (1, "b", "dontcare"), (2, "a", "west"), (3, "a", "x")]
+    pred = [(1, "a", "acorn house"), (2, "a", "east"), (3, "a", "x"), (3, "c", "y")]
+    turns = spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "k int")
+    of = lambda rows: spark.createDataFrame(rows, "k int, slot string, value string")
+    r = slot_f1(of(gold), of(pred), "k", turns=turns).first()
+    # tp: 1a, 3a; fp: 2a, 3c; fn: 2a; turn 1 misses a slot that says nothing, so only the empty turn 4 matches jointly
+    assert (round(r.precision, 6), round(r.recall, 6), round(r.joint_accuracy, 6)) == (0.5, round(2 / 3, 6), 25.0)
+
+
+def test_numbers_as_words():
+    from dialoom.functions import aliases as N
+
+    said = {0: "zero", 17: "seventeen", 40: "forty", 99: "ninety-nine", 100: "one hundred", 121: "one hundred and twenty-one", 1005: "one thousand and five", 1200: "one thousand, two hundred", 2_000_000: "two million"}
+    assert {n: N.number_words(n) for n in said} == said
+    assert N.numerals("restaurant 17") == {"restaurant 17", "restaurant seventeen", "restaurant one seven"}
+    assert {"restaurant two two", "restaurant 2 two", "restaurant two 2"} <= N.numerals("restaurant 2 2")
+    assert {"acorn", "the acorn", "acorn guest house", "acorn hotel", "the acorn hotel"} <= set(N.names_of("the acorn guest house"))
+
+
+def test_canonical(spark):
+    from dialoom.operators.lookup import canonical
+
+    known = spark.createDataFrame([("r", "name", v) for v in ("restaurant one seven", "acorn guest house", "pizza hut fen ditton", "aaaa bbbb", "aaaa bbbc")], "service string, slot string, value string")
+    asked = {"Acorn Guest House": "acorn guest house", "the acorn hotel": "acorn guest house", "restaurant 17": "restaurant one seven", "pizza hut fenditton": "pizza hut fen ditton", "nowhere": None, "": None}
+    rows = [(i, "r", "name", t) for i, t in enumerate(asked)] + [(90, "r", "leave at", "9:05"), (91, "r", "leave at", "25:99"), (92, "r", "book time", "dontcare"), (93, "r", "name", None), (0, "r", "name", "acorn guest house")]
+    got = {(r.id, r.text): r.canonical for r in canonical(spark.createDataFrame(rows, "id int, service string, slot string, text string"), known).collect()}
+    assert got == {(i, t.lower()): c for i, (t, c) in enumerate(asked.items())} | {(90, "9:05"): "09:05", (91, "25:99"): None, (92, "dontcare"): "dontcare", (93, None): None, (0, "acorn guest house"): "acorn guest house"}
+
+
+def test_find(spark):
+    from dialoom.operators.lookup import find
+
+    v = spark.createDataFrame([("1", "west", "guesthouse"), ("2", "east", "?")], "id string, area string, type string")
+    ids = lambda d, c: sorted(r.id for r in find(v, d, c).collect())
+    assert ids("hotel", {"area": "not mentioned", "type": "do not care"}) == ["1", "2"]
+    assert ids("hotel", {"type": "Guest House", "area": "west"}) == ["1"] and ids("taxi", {}) == []
+
+
+def test_random_k(spark):
+    from dialoom.operators.sampling import random_k
+
+    q = spark.createDataFrame([(i,) for i in range(40)], "q int")
+    pool = spark.createDataFrame([(i,) for i in range(400)], "p int")
+    got = {}
+    for r in random_k(q, pool, "q", "p", 5).collect():
+        got.setdefault(r.q, []).append(r.p)
+    assert len(got) == 40 and all(len(set(x)) == 5 for x in got.values())
+    assert sum(len(set(got[a]) & set(got[b])) for a in range(40) for b in range(a)) < 200  # by chance about 50
+    few = random_k(q, pool.where("p < 3"), "q", "p", 5).collect()
+    assert len(few) == 120 and random_k(q, pool.limit(0), "q", "p", 5).count() == 0
+
+
+def test_prompts(spark):
+    from pyspark.sql import functions as F
+
+    from dialoom.operators import prompts as P
+
+    row = spark.createDataFrame([("BeliefState()", "hi \"x\"", None, "agent.no_change()")], "belief_state string, last_system_utterance string, user_utterance string, user_intent string")
+    args = {c: F.col(c) for c in row.columns}
+    got = row.select(P.prompt("causal_dst", args, F.array(F.struct(*row.columns)), "# task").alias("p")).first().p
+    one = "    response = agent.handle_turn(\n        belief_state=BeliefState(),\n        last_system_utterance=\"hi \\\"x\\\"\",\n        user_utterance=None,\n        user_intent="
+    assert got == "# task\n\n    # Example 1\n" + one + "agent.no_change()\n    )\n\n    # Example 2\n" + one + "[agent."
+    pairs = P.training_pairs(row.withColumn("user_intent", F.lit("[agent.no_change()]")), "causal_dst", args).collect()
+    assert [p.completion for p in pairs] == ["no_change()]"]
+    said = spark.createDataFrame([(["", "b", "d", "f"], ["a", "c", "e", "g"])], "s array<string>, u array<string>")
+    assert said.select(P.history(F.col("s"), F.col("u"))).first()[0] == ["c", "d", "e", "f", "g"]
+    with pytest.raises(ValueError):
+        P.weighed({"causal_dst": row}, {"other": 2.0})
+
+
+def test_canonical_completion(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["find_hotel(price_range='cheap', area='west')]", "[agent.find_hotel(area='west')", "no_change()]", "find_hotel(area=", "find_train(day='monday')"]
+    rows = spark.createDataFrame([(i, t, {"hotel": {"area": "west"}}) for i, t in enumerate(texts)], f"i int, t string, prior {S.STATE}")
+    call = C.canonical_completion(F.col("t"), F.col("prior"), [("find_hotel", "hotel", ["area", "price range"])], names={"hotel": {"price range": "price range"}})
+    got = {r.i: r.c for r in rows.select("i", call.alias("c")).collect()}
+    assert got == {0: 'find_hotel(price_range="cheap")', 1: "agent.no_change()", 2: "agent.no_change()", 3: "agent.no_change()", 4: None}
+    bad = {r.i: r.b for r in rows.select("i", C.unread(F.col("t")).alias("b")).collect()}
+    assert bad == {0: False, 1: False, 2: False, 3: True, 4: False}
+    state = spark.createDataFrame([({"hotel": {"cost": "1", "area": "x"}, "bus": {"cost": "2"}},)], f"s {S.STATE}")
+    assert state.select(C.schema_names(F.col("s"), {"hotel": {"cost": "price range"}})).first()[0] == {"hotel": {"price range": "1", "area": "x"}, "bus": {"cost": "2"}}
