@@ -157,32 +157,42 @@ def _names(level: int, seed: int):
                 names, bounds, starts, ends = _named(data, offsets, seed)
                 told: list = []
                 levels(names, bounds, level, told)
-                found = [(level, *told[level - 1])] if len(told) == level else []
+                found = [(level, told[level - 1][0], _meaning(*told[level - 1][1:]))] if len(told) == level else []
                 if level == 1:
                     other = A.spans(A.prefix(_KEYS[seed][1][data], SECOND_BASE), starts, ends, SECOND_BASE)
-                    found.append((0, names, other, (ends - starts).astype(A.U)))
-                for k, name, left, right in found:
-                    by = np.argsort(name)
-                    name, left, right = name[by], left[by], right[by]
-                    new = np.concatenate(([True], (name[1:] != name[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1])))[: len(name)]
-                    rows = [A.signed(x[new]) for x in (name, left, right)]
-                    yield _rule_rows(k, *rows, np.ones(len(rows[0]), np.int64))
+                    found.append((0, names, other + (ends - starts).astype(A.U)))
+                for k, name, meaning in found:
+                    yield _rule_rows(k, *_distinct(name, meaning), 1)
                 if level == ROUNDS:
                     key, count = np.unique(_chunk_stretches(names, bounds)[0], return_counts=True)
-                    zero = np.zeros(len(key), np.int64)
-                    yield _rule_rows(SYMBOLS, A.signed(key), zero, zero, count)
+                    yield _rule_rows(SYMBOLS, key, np.zeros(len(key), A.U), count)
 
     return of
 
 
-def _rule_rows(level: int, name, a, b, count) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(name), level, np.int32)), *map(pa.array, (name, a, b, count))], names=["level", "name", "a", "b", "m"])
+def _meaning(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """What a rule says, by a hash that has nothing to do with the one that gives its name."""
+    return A.mix(A.mix(left + _O[28]) * _O[29] + A.mix(right + _O[30]))
+
+
+def _distinct(name: np.ndarray, meaning: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each name once, and once more wherever it means something else."""
+    codes = pa.array(A.signed(np.ascontiguousarray(name))).dictionary_encode().indices.to_numpy()
+    first = np.empty(codes.max(initial=-1) + 1, np.int64)
+    first[codes[::-1]] = np.arange(len(codes))[::-1]
+    keep = np.concatenate((first, np.flatnonzero(meaning != meaning[first[codes]])))
+    return name[keep], meaning[keep]
+
+
+def _rule_rows(level: int, name: np.ndarray, meaning: np.ndarray, count) -> pa.RecordBatch:
+    m = np.broadcast_to(np.int64(count), len(name)) if np.isscalar(count) else count
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(name), level, np.int32)), *[pa.array(A.signed(np.ascontiguousarray(x))) for x in (name, meaning)], pa.array(np.ascontiguousarray(m))], names=["level", "name", "meaning", "m"])
 
 
 def names_of(rules: DataFrame) -> DataFrame:
-    """(level, name, a, b, m) -> (level, name, m, clash): how often a name was told, and whether with more than one meaning."""
-    each = rules.groupBy("level", "name").agg(F.min("a").alias("low_a"), F.max("a").alias("high_a"), F.min("b").alias("low_b"), F.max("b").alias("high_b"), F.sum("m").alias("m"))
-    return each.select("level", "name", "m", ((F.col("low_a") != F.col("high_a")) | (F.col("low_b") != F.col("high_b"))).alias("clash"))
+    """(level, name, meaning, m) -> (level, name, m, clash): how often a name was told, and whether with more than one meaning."""
+    each = rules.groupBy("level", "name").agg(F.min("meaning").alias("low"), F.max("meaning").alias("high"), F.sum("m").alias("m"))
+    return each.select("level", "name", "m", (F.col("low") != F.col("high")).alias("clash"))
 
 
 def named(docs: DataFrame, rounds: int = ROUNDS) -> tuple[int, DataFrame]:
@@ -190,7 +200,7 @@ def named(docs: DataFrame, rounds: int = ROUNDS) -> tuple[int, DataFrame]:
     and (key) the windows' symbols that stand more than once."""
     for seed in range(SEEDS):
         for level in range(1, rounds + 1):
-            rules = docs.mapInArrow(_names(level, seed), "level int, name long, a long, b long, m long")
+            rules = docs.mapInArrow(_names(level, seed), "level int, name long, meaning long, m long")
             kept = cut(names_of(rules).where(F.col("clash") | ((F.col("level") == SYMBOLS) & (F.col("m") > 1))))
             if kept.where("clash").limit(1).count():
                 release(kept)

@@ -139,7 +139,9 @@ def test_repeated_ids(operator, plain, spark):
 
 
 def test_names_have_one_meaning(spark):
-    rows = spark.createDataFrame([(1, 1, 2, 3, 1), (1, 1, 2, 3, 1), (1, 4, 2, 3, 1), (1, 4, 2, 5, 1), (0, 4, 9, 9, 2)], "level int, name long, a long, b long, m long")
+    rows = spark.createDataFrame([(1, 1, 2, 1), (1, 1, 2, 1), (1, 4, 2, 1), (1, 4, 5, 1), (0, 4, 9, 2)], "level int, name long, meaning long, m long")
+    some = recompression._distinct(np.array([7, 8, 7, 7], A.U), np.array([1, 2, 1, 3], A.U))
+    assert sorted(zip(*(x.tolist() for x in some))) == [(7, 1), (7, 3), (8, 2)] and len(recompression._distinct(np.zeros(0, A.U), np.zeros(0, A.U))[0]) == 0
     assert sorted(tuple(r) for r in recompression.names_of(rows).collect()) == [(0, 4, 2, False), (1, 1, 2, False), (1, 4, 2, True)]
 
 
