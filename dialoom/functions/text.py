@@ -160,6 +160,11 @@ def schema_slot(slot: Column, service: Column) -> Column:
     return lookup(first, fixed.SLOTS)
 
 
+def is_schema_slot(slot: Column) -> Column:
+    """Whether the schema's vocabulary has a slot."""
+    return slot.isin(*fixed.SCHEMA_SLOTS)
+
+
 def prompt_slot(slot: Column) -> Column:
     """Trimmed, and ``bookX`` as ``book X``."""
     return F.regexp_replace(F.trim(slot), r"^book(\S)", "book $1")

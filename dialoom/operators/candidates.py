@@ -220,8 +220,9 @@ def schema_names(state: Column, names: dict[str, dict[str, str]]) -> Column:
         return state
     table = F.create_map(*pairs)
     own = lambda s, k: F.coalesce(F.try_element_at(table, F.concat(s, F.lit("\t"), k)), k)
-    # a slot that stands under both names keeps the schema's
-    return F.transform_values(state, lambda s, m: F.map_concat(F.transform_keys(F.map_filter(m, lambda k, _: (own(s, k) != k) & ~F.map_contains_key(m, own(s, k))), lambda k, _: own(s, k)), F.map_filter(m, lambda k, _: own(s, k) == k)))
+    renamed = lambda s, m: F.transform_keys(F.map_filter(m, lambda k, _: own(s, k) != k), lambda k, _: own(s, k))
+    # what was written last, under the other name, counts
+    return F.transform_values(state, lambda s, m: F.map_concat(F.map_filter(m, lambda k, _: (own(s, k) == k) & ~F.map_contains_key(renamed(s, m), k)), renamed(s, m)))
 
 
 def canonical_completion(text: Column, prior: Column, intents: list[tuple[str, str, list[str]]], normalise=None, names: dict[str, dict[str, str]] | None = None, prefix: str = "[agent.") -> Column:

@@ -114,12 +114,19 @@ def bleu_counts(rows: DataFrame, candidate: str, reference: str, order: int = 4)
 
 
 def bleu(rows: DataFrame, candidate: str, reference: str, order: int = 4) -> DataFrame:
-    """One row (bleu): the geometric mean of clipped precisions, without smoothing, times the brevity penalty, in per cent."""
+    """One row (bleu): the geometric mean of clipped precisions times the brevity penalty, in per cent.
+
+    An order without matches counts as 1 / 2**k matches, k being how many orders up to it have none; orders that the
+    candidates are too short for are left out; without any words it is 0.
+    """
     c = bleu_counts(rows, candidate, reference, order)
     lengths = rows.agg(F.sum(F.size(candidate)).alias("cl"), F.sum(F.size(reference)).alias("rl"))
-    mean = c.agg(F.when(F.min("matched") > 0, F.exp(F.sum(F.log(F.col("matched") / F.col("total"))) / order)).otherwise(0.0).alias("mean"))
+    empty = F.sum((F.col("matched") == 0).cast("int")).over(W.orderBy("n"))  # ``order`` rows
+    c = c.where("total > 0").withColumn("hits", F.when(F.col("matched") > 0, F.col("matched").cast("double")).otherwise(F.pow(F.lit(2.0), -empty)))
+    mean = c.agg(F.coalesce(F.exp(F.avg(F.log(F.col("hits") / F.col("total")))), F.lit(0.0)).alias("mean"))
     both = mean.crossJoin(lengths)  # one row each
-    return both.select((100 * F.col("mean") * F.when(F.col("cl") >= F.col("rl"), F.lit(1.0)).otherwise(F.exp(1 - F.col("rl") / F.col("cl")))).alias("bleu"))
+    brevity = F.when(F.col("cl") >= F.col("rl"), F.lit(1.0)).when(F.col("cl") > 0, F.exp(1 - F.col("rl") / F.col("cl"))).otherwise(F.lit(0.0))
+    return both.select((100 * F.col("mean") * brevity).alias("bleu"))
 
 
 def richness(turns: DataFrame, words: str) -> DataFrame:

@@ -7,7 +7,7 @@ import re
 import string
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.functions import fixed
@@ -112,3 +112,10 @@ def by_spans(text: Column, spans: Column) -> Column:
         return F.when(s["start"] < acc["at"], acc).otherwise(moved)
 
     return F.aggregate(ordered, zero, step, lambda acc: F.concat(acc["text"], F.substr(text, acc["at"] + 1, F.length(text))))
+
+
+def with_spans(turns: DataFrame, spans: DataFrame, *key: str, text: str = "text") -> DataFrame:
+    """``turns`` with the annotated spans (key..., slot, value, start, stop) of each replaced in its text; turns without any stay."""
+    found = spans.groupBy(*key).agg(F.collect_list(F.struct("slot", "value", "start", "stop")).alias("_spans"))
+    joined = turns.join(found, list(key), "left")
+    return joined.withColumn(text, F.when(F.col("_spans").isNotNull(), by_spans(F.col(text), F.col("_spans"))).otherwise(F.col(text))).drop("_spans")

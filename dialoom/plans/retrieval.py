@@ -10,14 +10,14 @@ from dialoom.operators import retrieve as R
 _SCORES = """
 with s as (
   select q.vec_id as q, i.vec_id as id, i.label, round(list_sum(list_transform(list_zip(q.embedding, i.embedding), lambda z: z[1]::double * z[2]::double)), 6) as score
-  from embeddings q, embeddings i where q.vec_id % 50 = 0
+  from embeddings q, embeddings i where q.vec_id % 20 = 0
 ), r as (select *, row_number() over (partition by q order by score desc, id) as rank from s)
 """
 
 
 def _both(spark, sf_dir):
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
 
 
 @register("vector_top_k", _SCORES + "select q, id, rank::bigint as rank, score from r where rank <= 10")
@@ -38,32 +38,6 @@ def vector_distinct_top_k(spark, sf_dir):
     return got.select("q", "id", F.col("label").cast("long").alias("label"), F.col("place").cast("long").alias("place"))
 
 
-_SCORES_20 = _SCORES.replace("vec_id % 50 = 0", "vec_id % 20 = 0")
-
-
-def _both_20(spark, sf_dir):
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    return e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("embedding").alias("qv")), e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
-
-
-@register("vector_top_k_20", _SCORES_20 + "select q, id, rank::bigint as rank, score from r where rank <= 10")
-def vector_top_k_20(spark, sf_dir):
-    """As ``vector_top_k``, for each twentieth vector."""
-    return R.top_k(*_both_20(spark, sf_dir), 10, digits=6).select("q", "id", F.col("rank").cast("long").alias("rank"), "score")
-
-
-@register("vector_distinct_top_k_20", _SCORES_20 + """
-, f as (select *, row_number() over (partition by q, label order by rank) = 1 as fresh from r where rank <= 20),
-  d as (select *, sum(fresh::int) over (partition by q order by rank) as nth from f),
-  p as (select *, row_number() over (partition by q order by (fresh and nth <= 4) desc, rank) as place from d)
-select q, id, label::bigint as label, place::bigint as place from p where place <= 8
-""")
-def vector_distinct_top_k_20(spark, sf_dir):
-    """As ``vector_distinct_top_k``, for each twentieth vector."""
-    got = R.distinct_top_k(*_both_20(spark, sf_dir), k=8, key="label", distinct=4, overfetch=20, digits=6)
-    return got.select("q", "id", F.col("label").cast("long").alias("label"), F.col("place").cast("long").alias("place"))
-
-
 @register("vector_norms", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm, 1.0::double as after from embeddings")
 def vector_norms(spark, sf_dir):
     """R2: lengths before and after normalisation."""
@@ -84,20 +58,8 @@ def pooled_vectors(spark, sf_dir):
     return g.select(F.col("label").cast("long").alias("label"), F.round(F.aggregate(pooled, F.lit(0.0), lambda s, x: s + x), 5).alias("total"))
 
 
-@register("injected_prompts", """
-with d as (select string_agg('\"\"\"' || text || '\"\"\"' || chr(10), '' order by item_id) as docs from benchmark where item_id < 3)
-select doc_id, md5(replace(substr(text, 1, 20) || '# Example 1', '# Example 1', docs || '# Example 1')) as prompt from documents, d
-""")
+@register("injected_prompts")
 def injected_prompts(spark, sf_dir):
-    """Documents before the first example of a prompt."""
-    b = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("item_id < 3")
-    docs = b.agg(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]).alias("docs"))  # three rows
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet").crossJoin(F.broadcast(docs))
-    return d.select("doc_id", F.md5(R.inject(F.concat(F.substring("text", 1, 20), F.lit("# Example 1")), F.col("docs"))).alias("prompt"))
-
-
-@register("injected_whole_prompts")
-def injected_whole_prompts(spark, sf_dir):
     """The three nearest benchmark texts of each document before the first example of its whole text.
 
     A document has the vector of its id modulo the number of vectors, a benchmark text that of its own id.
@@ -114,18 +76,9 @@ def injected_whole_prompts(spark, sf_dir):
     return d.join(docs, "q", "left").select("doc_id", F.md5(prompt).alias("prompt"))
 
 
-@register("grown_whole_index", "select label::bigint as label, 2 * count(*) as n, count(vec_id) as turns from embeddings group by label")
-def grown_whole_index(spark, sf_dir):
-    """As ``grown_index``, with all vectors appended."""
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    got = R.grown(R.warm(e, e.limit(1), 10), e.withColumn("turn", F.col("vec_id")))
-    return got.groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.count("turn").alias("turns"))
-
-
-@register("grown_index", "select label::bigint as label, count(*) as n, count(turn) as turns from (select label, null as turn from embeddings union all select label, vec_id from embeddings where vec_id < 100) group by label")
+@register("grown_index", "select label::bigint as label, 2 * count(*) as n, count(vec_id) as turns from embeddings group by label")
 def grown_index(spark, sf_dir):
-    """An index with appended rows; columns that one side lacks are null."""
+    """An index with appended rows, all its own once more; columns that one side lacks are null."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    more = e.where("vec_id < 100").withColumn("turn", F.col("vec_id"))
-    got = R.grown(R.warm(e, e.limit(1), 10), more)
+    got = R.grown(R.warm(e, e.limit(1), 10), e.withColumn("turn", F.col("vec_id")))
     return got.groupBy(F.col("label").cast("long").alias("label")).agg(F.count("*").alias("n"), F.count("turn").alias("turns"))

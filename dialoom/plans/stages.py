@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from dialoom.catalog import register
 from dialoom.functions import text as X
 from dialoom.operators import acts as A
+from dialoom.operators import candidates as C
 from dialoom.operators import lookup as L
+from dialoom.operators import prompts as P
 from dialoom.operators import stages as G
 from dialoom.operators import state as S
 from dialoom.operators.folds import judged
 from dialoom.operators.metrics import rates
+from dialoom.plans.states import snapshots
 
 
 def _events(spark, sf_dir):
@@ -22,52 +26,95 @@ def _one(service, slot, value):
     return F.create_map(F.lit(service), F.create_map(F.lit(slot), value))
 
 
-@register("intent_calls", "select event_id, case when event_id % 3 = 0 then 'agent.no_change()' when event_id % 3 = 1 then 'find_hotel(price_range=\"' || json_extract_string(props, '$.k') || '\")' end as call from events")
+_STATES = """
+with e as (
+  select user_id, event_id, ts, event_type, case when coalesce(json_extract_string(props, '$.k'), '')::int % 5 = 0 then '' else json_extract_string(props, '$.k') end as k, floor(value)::bigint::varchar as v from events
+), s as (select *, lag(event_type) over w as pt, lag(k) over w as pk, lag(v) over w as pv from e window w as (partition by user_id order by ts, event_id)),
+a as (select event_id, event_type as service, 'k' as slot, k as value from s where k <> '' union all select event_id, event_type, 'v', v from s where v <> ''),
+b as (select event_id, pt as service, 'k' as slot, pk as value from s where pk <> '' union all select event_id, pt, 'v', pv from s where pv <> ''),
+d as (select event_id, service, slot, coalesce(a.value, '[DELETE]') as value from b full join a using (event_id, service, slot) where a.value is distinct from b.value)
+"""
+
+
+@register("intent_calls", _STATES + """
+, own as (select event_id, list(slot order by slot) as slots, string_agg(slot || '="' || value || '"', ', ' order by slot) as args from d where service = 'click' group by event_id),
+other as (select event_id, list(slot order by slot) as slots, string_agg(slot || '="' || value || '"', ', ' order by slot) as args from d where service = 'view' group by event_id),
+any_ as (select distinct event_id from d)
+select s.event_id, case when any_.event_id is null then 'agent.no_change()' when own.slots = ['k'] then 'find_click(' || own.args || ')' when other.args is not null then 'find_view(' || other.args || ')' when own.args is not null then 'book_click(' || own.args || ')' end as call
+from s left join own using (event_id) left join other using (event_id) left join any_ using (event_id)
+""")
 def intent_calls(spark, sf_dir):
-    """A10: the call that a change of state stands for."""
-    k = F.col("event_id") % 3
-    delta = F.when(k == 0, S.empty()).when(k == 1, _one("hotel", "price range", F.col("k"))).otherwise(_one("taxi", "type", F.col("k")))
-    return _events(spark, sf_dir).select("event_id", A.intent_call(delta, [("find_hotel", "hotel", ["area", "price range"]), ("find_train", "train", ["day"])]).alias("call"))
+    """A10: the call that an event's change of state stands for: the first intent whose slots hold the changed ones."""
+    s = snapshots(spark, sf_dir)
+    delta = S.compute_delta(F.col("before"), F.col("after"))
+    intents = [("find_click", "click", ["k"]), ("find_view", "view", ["k", "v"]), ("book_click", "click", ["k", "v"])]
+    return s.select("event_id", A.intent_call(delta, intents).alias("call"))
 
 
-@register("delta_acts", "select event_id, 'Inform' as act, 'hotel' as service, 'area' as slot, json_extract_string(props, '$.k') as value from events")
+@register("delta_acts", _STATES + "select event_id, 'Inform' as act, service, slot, value from d")
 def delta_acts(spark, sf_dir):
-    """A change of state as informing acts."""
-    e = _events(spark, sf_dir).select("event_id", A.acts_of_delta(_one("hotel", "area", F.col("k"))).alias("acts"))
-    return A.tuples(e, "acts", "event_id")
+    """An event's change of state as informing acts."""
+    s = snapshots(spark, sf_dir).select("event_id", A.acts_of_delta(S.compute_delta(F.col("before"), F.col("after"))).alias("acts"))
+    return A.tuples(s, "acts", "event_id").where("slot is not null")
 
 
-@register("value_mentions", "select p_partkey, p_size % 3 < 2 as mentioned from part")
+@register("canonical_calls", _STATES + """
+select s.event_id, case when s.k = '' or s.pt = 'click' and s.pk = s.k then 'agent.no_change()' else 'find_click(k="' || s.k || '")' end as call from s where s.event_type = 'click' and s.pt = 'click'
+""")
+def canonical_calls(spark, sf_dir):
+    """Completions read, brought to the schema's slot names, and rendered as the call of the change that they make."""
+    s = snapshots(spark, sf_dir).where(F.map_contains_key("before", F.lit("click")) & F.map_contains_key("after", F.lit("click")))
+    k = F.col("after")["click"]["k"]
+    text = F.when(k == "", F.lit("no_change()]")).otherwise(F.concat(F.lit("find_click(the_k='"), k, F.lit("')")))
+    prior = S.remove_blank_values(F.transform_values("before", lambda _, m: F.map_filter(m, lambda x, _: x == "k")))
+    return s.select("event_id", C.canonical_completion(text, prior, [("find_click", "click", ["k"])], S.remove_blank_values, {"click": {"the k": "k"}}).alias("call"))
+
+
+@register("value_mentions", """
+with v as (select p_partkey, lower(p_type || ' ' || p_name || ' of ' || p_brand) as s, case p_partkey % 4 when 0 then lower(p_name) when 1 then substr(lower(p_name), 1, 3) || 'q' || substr(lower(p_name), 6) when 2 then 'x' || lower(p_brand) when 3 then replace(lower(p_name), ' ', 'xyz') end as v from part),
+m as (select *, length(v) as n, case when length(v) < 6 then 1 else 2 end as most from v),
+w as (select p_partkey, most, v, unnest(list_transform(range(1, greatest(1, length(s) - n - k + 1) + 1), lambda i: substr(s, i, n + k))) as w from m, (values (-1), (0), (1), (2)) t(k))
+select p_partkey, bool_or(levenshtein(w, v) <= most) as mentioned from w group by p_partkey
+""")
 def value_mentions(spark, sf_dir):
-    """Values that an utterance says, nearly."""
-    k = F.col("p_size") % 3
-    said = F.when(k == 0, F.lit("At the Acorn Guest House please")).when(k == 1, F.lit("at the acorn guset house")).otherwise(F.lit("anywhere will do"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", S.mentions(said, F.lit("acorn guest house")).alias("mentioned"))
-
-
-@register("value_references", "select p_partkey, case p_size % 4 when 0 then 'hotel.name' when 1 then null when 2 then 'train.people' else null end as ref from part")
+    """Whether an utterance says a value nearly: a part's name as it is, with letters changed or put in, and its brand with one more."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("n", F.lower("p_name"))
+    k = F.col("p_partkey") % 4
+    value = F.when(k == 0, F.col("n")).when(k == 1, F.concat(F.substring("n", 1, 3), F.lit("q"), F.substring("n", 6, 1000))).when(k == 2, F.concat(F.lit("x"), F.lower("p_brand"))).otherwise(F.replace("n", F.lit(" "), F.lit("xyz")))
+    return p.select("p_partkey", S.mentions(F.concat_ws(" ", "p_type", "p_name", F.lit("of"), "p_brand"), value).alias("mentioned"))
+
+
+@register("value_references", """
+with p as (select p_partkey, lower(p_name) as name, p_size::varchar as people, case p_partkey % 5 when 0 then lower(p_name) when 1 then 'Cold Widget' when 2 then p_size::varchar when 3 then 'dontcare' else lower(p_name) end as value,
+  p_partkey % 5 = 2 as literal, case when p_partkey % 5 = 4 then 'at ' || p_name || ' then' else 'for ' || (p_size % 4) || ' there' end as said from part)
+select p_partkey, case when value = 'dontcare' then null when literal then case when not contains(' ' || said || ' ', ' ' || value || ' ') then 'train.people' end
+  when p_partkey % 5 <> 4 and lower(value) = name then 'hotel.name' end as ref from p
+""")
 def value_references(spark, sf_dir):
-    """Which other slot a value refers to."""
-    k = F.col("p_size") % 4
-    state = F.create_map(F.lit("hotel"), F.create_map(F.lit("name"), F.lit("Acorn Guest House")), F.lit("train"), F.create_map(F.lit("people"), F.lit("3")))
-    value = F.when(k < 2, F.lit("acorn guest house")).when(k == 2, F.lit("3")).otherwise(F.lit("dontcare"))
+    """Which other slot a value refers to: by the state's values, unless the turn says the value itself."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("name", F.lower("p_name")).withColumn("people", F.col("p_size").cast("string"))
+    k = F.col("p_partkey") % 5
+    state = F.create_map(F.lit("hotel"), F.create_map(F.lit("name"), F.col("p_name")), F.lit("train"), F.create_map(F.lit("people"), F.col("people")))
+    value = F.when(k == 1, F.lit("Cold Widget")).when(k == 2, F.col("people")).when(k == 3, F.lit("dontcare")).otherwise(F.col("name"))
     slot = F.when(k == 2, F.lit("people")).otherwise(F.lit("destination"))
-    said = F.when(k == 1, F.lit("to acorn guest house")).otherwise(F.lit("to the hotel"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", S.reference_of(state, F.lit("taxi"), slot, value, said, k == 2).alias("ref"))
+    said = F.when(k == 4, F.concat(F.lit("at "), F.col("p_name"), F.lit(" then"))).otherwise(F.concat(F.lit("for "), (F.col("p_size") % 4).cast("string"), F.lit(" there")))
+    return p.select("p_partkey", S.reference_of(state, F.lit("taxi"), slot, value, said, k == 2).alias("ref"))
 
 
 @register("normalised_states", """
-select event_id as id, case event_id % 3 when 0 then 'name' else 'area' end as slot, case event_id % 3 when 0 then json_extract_string(props, '$.k') else 'centre' end as value from events where event_id % 3 < 2
+with e as (select event_id as id, ['hotel', 'hotel', 'restaurant', null][event_id % 4 + 1] as service, ['area', 'name', 'price range', null][user_id % 4 + 1] as slot, json_extract_string(props, '$.k')::int as k from events),
+v as (select *, case when slot = 'name' then 'k' || k when k % 3 = 0 then case when slot = 'area' then 'centre' else 'cheap' end when k % 3 = 1 and slot = 'area' then 'east' end as value from e)
+select id, service, case when value is not null and (service = 'hotel' or slot = 'price range') then slot end as slot, case when slot is not null and (service = 'hotel' or slot = 'price range') then value end as value from v where service is not null
 """)
 def normalised_states(spark, sf_dir):
-    """Near service, slot and value names by the schema; values that no option is near go."""
-    k = F.col("event_id") % 3
-    rows = _events(spark, sf_dir).select(
-        F.col("event_id").alias("id"), F.lit("Hotels").alias("service"), F.when(k == 0, F.lit("name")).otherwise(F.lit("area:")).alias("slot"),
-        F.when(k == 0, F.col("k")).when(k == 1, F.lit("Centre!")).otherwise(F.lit("norwich")).alias("value"),
-    )
-    slots = spark.createDataFrame([("hotel", "area", ["centre", "east"], True), ("hotel", "name", [], False)], "service string, slot string, possible_values array<string>, is_categorical boolean")
-    return L.normalise_states(rows, slots).select("id", "slot", "value")
+    """Near service, slot and value names by the schema; what no name or option is near goes, services stay."""
+    e = _events(spark, sf_dir)
+    pick = lambda items, by: F.element_at(F.array(*map(F.lit, items)), (by + 1).cast("int"))
+    k, slot = F.col("k").cast("int"), pick(("area:", "Name", "price-range", "colour"), F.col("user_id") % 4)
+    value = F.when(slot == "Name", F.concat(F.lit("k"), F.col("k"))).when(k % 3 == 0, F.when(slot == "area:", F.lit("Centre!")).otherwise(F.lit("cheapp"))).when(k % 3 == 1, F.lit("East ")).otherwise(F.concat(F.lit("q"), F.col("k")))
+    rows = e.select(F.col("event_id").alias("id"), pick(("Hotels", "hotel.", "Restaurant", "submarine"), F.col("event_id") % 4).alias("service"), slot.alias("slot"), value.alias("value"))
+    slots = spark.createDataFrame([("hotel", "area", ["centre", "east"], True), ("hotel", "name", [], False), ("hotel", "price range", ["cheap", "dear"], True), ("restaurant", "price range", ["cheap", "dear"], True)], "service string, slot string, possible_values array<string>, is_categorical boolean")
+    return L.normalise_states(rows, slots)
 
 
 @register("pruned_acts", "select event_id, 'book_day,name' as kept, 'service_name' as gone from events")
@@ -96,11 +143,38 @@ def stage_inputs(spark, sf_dir):
     return seen.select("dialogue_id", "turn_id", F.lit(",".join(sorted(seen.columns))).alias("seen"))
 
 
-@register("stage_prompts", "select conv_id, turn, 'Say what changed.' || chr(10) || 'track(' || chr(10) || '    turn=' || turn || ',' || chr(10) || '    role=\"' || role || '\"' || chr(10) || ') -> ' as prompt from conversations")
+_LITERAL = "replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't')"
+
+
+@register("stage_prompts", f"""
+with c as (select conv_id, turn, role, '"' || {_LITERAL} || '"' as said from conversations),
+s as (select *, lag(said) over w as before, lag(said, 2) over w as second, lag(said, 3) over w as third from c window w as (partition by conv_id order by turn))
+select conv_id, turn, md5('# say it' || repeat(chr(10), 2) || case when third is null then '' else '    # Example 1' || chr(10) || '    response = agent.handle_turn(' || chr(10) || '        system_response=' || third || ',' || chr(10) || '        system_acts=[]' || chr(10) || '    )' || repeat(chr(10), 2) end
+  || '    # Example ' || case when third is null then 1 else 2 end || chr(10) || '    response = agent.handle_turn(' || chr(10) || '        system_response=' || coalesce(before, 'None') || ',' || chr(10) || '        system_acts=[') as prompt from s
+""")
 def stage_prompts(spark, sf_dir):
-    """Prompts of a stage; training uses the same."""
+    """Prompts of act tagging: a solved example where there is one, and the turn before."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return c.select("conv_id", "turn", G.prompt("track", {"turn": F.col("turn"), "role": F.col("role")}, instruction="Say what changed.").alias("prompt"))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = c.withColumn("before", F.lag("text").over(w)).withColumn("third", F.lag("text", 3).over(w))
+    none = F.expr("cast(array() as array<struct<system_response: string, system_acts: string>>)")
+    examples = F.when(F.col("third").isNotNull(), F.array(F.struct(F.col("third").alias("system_response"), F.lit("[]").alias("system_acts")))).otherwise(none)
+    return c.select("conv_id", "turn", F.md5(P.prompt("non_causal_sys_act_resp_only", {"system_response": F.col("before")}, examples, "# say it")).alias("prompt"))
+
+
+@register("prompt_histories", """
+with c as (select conv_id, turn, role, text from conversations)
+select conv_id, turn, (select array_to_string(list(h.text order by h.turn), '|') from c h where h.conv_id = c.conv_id and h.turn <= c.turn and h.turn > c.turn - 5) as history from c
+where turn % 2 = 0 and (select count(*) from c h where h.conv_id = c.conv_id and h.turn < c.turn) = turn
+""")
+def prompt_histories(spark, sf_dir):
+    """The last five utterances of both sides at each user turn."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("pair", F.floor((F.col("turn") + 1) / 2))
+    both = c.groupBy("conv_id", "pair").agg(F.max(F.when(F.col("turn") % 2 == 0, F.col("text"))).alias("user"), F.max(F.when(F.col("turn") % 2 == 1, F.col("text"))).alias("system"), F.max("turn").alias("turn"))
+    w = Window.partitionBy("conv_id").orderBy("pair")
+    rows = both.withColumn("system", F.coalesce("system", F.lit(""))).withColumn("u", F.collect_list("user").over(w)).withColumn("s", F.collect_list("system").over(w))
+    rows = rows.where(F.col("user").isNotNull() & (F.size("u") == F.col("pair") + 1))
+    return rows.select("conv_id", "turn", F.array_join(P.history(F.col("s"), F.col("u")), "|").alias("history"))
 
 
 @register("recorded_turns", "select event_id, event_id % 2 = 0 as jga, event_id % 2 = 0 as turn_accuracy from events")
@@ -112,16 +186,26 @@ def recorded_turns(spark, sf_dir):
 
 
 @register("joined_success", """
-select 'hotel' as domain, 100.0::double as inform, round_even(100 * avg(case when conv_id % 2 = 0 then 1 else 0 end), 1)::double as success from (select distinct conv_id from conversations)
-union all select 'total', 100.0, round_even(100 * avg(case when conv_id % 2 = 0 then 1 else 0 end), 1)::double from (select distinct conv_id from conversations)
+with c as (select conv_id as i, list(length(text) order by turn) as n from conversations group by conv_id),
+t as (select i, n[1] % 4 as a, coalesce(n[2], 0) % 4 as b, coalesce(n[3], 0) % 5 as g, n[1] % 3 = 0 as phone from c),
+o as (select *, range(1, a + 1) as first, range(1 + a // 2, 1 + b) as second, range(1, g + 1) as goal from t),
+l as (select *, case when len(first) = 0 or len(list_filter(first, lambda x: not list_contains(second, x))) > 0 then second else first end as last from o),
+j as (select i, len(last) > 0 and len(list_filter(last, lambda x: not list_contains(goal, x))) = 0 as m, phone from l),
+k as (select i, m, m and phone as s from j)
+select 'hotel' as domain, round_even(100 * avg(m::int), 1)::double as inform, round_even(100 * avg(s::int), 1)::double as success from k
+union all select 'total', round_even(100 * avg(m::int), 1)::double, round_even(100 * avg(s::int), 1)::double from k
 """)
 def joined_success(spark, sf_dir):
-    """Offered venues and requests over each dialogue, then rates."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id").distinct()
-    said = F.when(F.col("conv_id") % 2 == 0, F.lit('"NAME", "PHONE"')).otherwise(F.lit('"NAME"'))
-    turns = F.concat(F.lit('[{"slots": ['), said, F.lit('], "domains": ["hotel"], "venues": {"hotel": ["1", "2"]}}]'))
-    goal = F.lit('{"hotel": {"informable": {"area": "west"}, "requestable": ["PHONE"], "venues": ["1", "2", "3"]}}')
-    return rates(judged(c.select(F.col("conv_id").cast("string").alias("dialogue"), turns.alias("turns"), goal.alias("goal"), F.lit("[[]]").alias("booked"))))
+    """Offers that later turns keep, replace or withdraw, and requests, over each dialogue; then rates."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("n"))
+    at = lambda i: F.coalesce(F.try_element_at("n", F.lit(i)), F.lit(0))
+    a, b, g = at(1) % 4, at(2) % 4, at(3) % 5
+    upto = lambda lo, hi: F.to_json(F.transform(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.expr("cast(array() as array<int>)")), lambda x: x.cast("string")))
+    turn = lambda slots, venues: F.concat(F.lit('{"slots": '), slots, F.lit(', "domains": ["hotel"], "venues": {"hotel": '), venues, F.lit("}}"))
+    first = turn(F.when(at(1) % 3 == 0, F.lit('["NAME", "PHONE"]')).otherwise(F.lit('["NAME"]')), upto(F.lit(1), a))
+    turns = F.concat(F.lit("["), first, F.lit(", "), turn(F.lit('["NAME"]'), upto(F.floor(a / 2).cast("int") + 1, b)), F.lit("]"))
+    goal = F.concat(F.lit('{"hotel": {"informable": {"area": "west"}, "requestable": ["PHONE"], "venues": '), upto(F.lit(1), g), F.lit("}}"))
+    return rates(judged(c.select(F.col("conv_id").cast("string").alias("dialogue"), turns.alias("turns"), goal.alias("goal"), F.lit("[[], []]").alias("booked"))))
 
 
 @register("venue_columns", "select p_partkey::varchar as id, lower(p_name) as name, p_size::varchar as arrive from part")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoom.catalog import register
+from dialoom.functions import fixed
 from dialoom.functions import text as X
 from dialoom.functions.fuzzy import partial_column, ratio_column
 from dialoom.operators import rewrite as D
@@ -50,79 +51,143 @@ def canonical_times(spark, sf_dir):
     return e.select("event_id", X.canonical_time(said).alias("time"))
 
 
-@register("canonical_slots", "select p_partkey, case p_size % 4 when 0 then 'mediterranean' when 1 then 'limehouse' when 2 then 'yes' else 'guesthouse' end as value from part")
-def canonical_slots(spark, sf_dir):
-    """Values by the rule of their slots."""
-    p = _read(spark, sf_dir, "part")
-    k = F.col("p_size") % 4
-    slot = F.when(k == 0, F.lit("food")).when(k == 1, F.lit("name")).when(k == 2, F.lit("parking")).otherwise(F.lit("type"))
-    value = F.when(k == 0, F.lit(" Eriterean")).when(k == 1, F.lit("Lime House ")).when(k == 2, F.lit("free")).otherwise(F.lit("guest house"))
-    return p.select("p_partkey", X.canonical_value(slot, value).alias("value"))
+def _pick(items: list[str], by):
+    """The item whose number is ``by`` modulo their count."""
+    return F.element_at(F.array(*map(F.lit, items)), (F.pmod(by, F.lit(len(items))) + 1).cast("int"))
+
+
+def _sql(items) -> str:
+    return "[" + ", ".join("'" + x.replace("'", "''") + "'" for x in items) + "]"
+
+
+def _picked(items, by: str) -> str:
+    return f"({_sql(items)})[{by} % {len(items)} + 1]"
 
 
-@register("slot_tokens", "select p_partkey, case p_size % 4 when 0 then 'TIME' when 1 then 'REFERENCE' when 2 then 'NAME' else '' end as token from part")
+_RULES = [*((k, v, "food") for k, v in fixed.FOODS.items()), *((k, v, "name") for k, v in fixed.NAMES.items()), *((k, v, "type") for k, v in fixed.TYPES.items())]
+
+
+@register("canonical_slots", f"""
+select event_id, case event_id % 4 when 0 then {_picked([v for _, v, _ in _RULES], 'event_id // 4')} when 1 then 'no ' || json_extract_string(props, '$.k') || ' and sons'
+       when 2 then case when json_extract_string(props, '$.k')::int % 2 = 0 then 'yes' else 'k' || json_extract_string(props, '$.k') end else event_type || chr(39) || 's b and b' end as value from events
+""")
+def canonical_slots(spark, sf_dir):
+    """Values by the rule of their slots: all listed spellings, and unlisted names, parking, and punctuation."""
+    e = _read(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k"))
+    r, i = F.col("event_id") % 4, F.floor(F.col("event_id") / 4)
+    slot = F.when(r == 0, _pick([x for _, _, x in _RULES], i)).when(r == 2, F.lit("parking")).otherwise(F.lit("name"))
+    even = F.col("k").cast("int") % 2 == 0
+    value = (
+        F.when(r == 0, F.when(slot == "type", _pick([k for k, _, _ in _RULES], i)).otherwise(F.concat(F.lit(" "), F.initcap(_pick([k for k, _, _ in _RULES], i)))))
+        .when(r == 1, F.concat(F.lit("No "), F.col("k"), F.lit(" & Sons ")))
+        .when(r == 2, F.when(even, F.lit("free")).otherwise(F.concat(F.lit("k"), F.col("k"))))
+        .otherwise(F.concat("event_type", F.lit(" 's bed and breakfast")))
+    )
+    return e.select("event_id", X.canonical_value(slot, value).alias("value"))
+
+
+_TOKENS = [(s, k) for k, names in fixed.SLOT_TOKENS.items() for s in names]
+
+
+@register("slot_tokens", f"""
+select event_id, case event_id % 3 when 0 then {_picked([k for _, k in _TOKENS], 'event_id // 3')}
+       when 1 then {_picked([k for _, k in fixed.SLOT_PARTS], 'event_id // 3')} else '' end as token from events
+""")
 def slot_tokens(spark, sf_dir):
-    """Slot names in evaluation, by table and by part."""
-    k = F.col("p_size") % 4
-    name = F.when(k == 0, F.lit("Leave at")).when(k == 1, F.lit("the_reference_number_2")).when(k == 2, F.lit("_nickname-")).otherwise(F.lit("xyz"))
-    return _read(spark, sf_dir, "part").select("p_partkey", X.slot_token(name).alias("token"))
+    """Slot names in evaluation: all listed names, all known parts in other names, and unknown names."""
+    r, i = F.col("event_id") % 3, F.floor(F.col("event_id") / 3)
+    part = _pick(["zz" + "qq".join(p) + "xx" for p, _ in fixed.SLOT_PARTS], i)
+    name = F.when(r == 0, F.concat(F.lit("_"), F.upper(_pick([n for n, _ in _TOKENS], i)), F.lit("2-"))).when(r == 1, part).otherwise(F.concat(F.lit("x"), F.get_json_object("props", "$.k")))
+    return _read(spark, sf_dir, "events").select("event_id", X.slot_token(name).alias("token"))
 
 
-@register("normalised_responses", "select p_partkey, 'the NAME is a PRICE place ' || p_size as response from part")
+@register("normalised_responses", f"""
+select conv_id, turn, regexp_replace(replace(replace('the ' || {_picked([k for _, k in _TOKENS], '(conv_id * 31 + turn)')} || ' is ' || lower(text), '-s', ''), '-ly', ''), ' +', ' ', 'g') as response
+from conversations where not regexp_matches(text, '[\\[\\]]')
+""")
 def normalised_responses(spark, sf_dir):
-    """Slots in responses."""
-    text = F.concat(F.lit("The [hotel_name]s is a [value_pricerange] place-ly "), F.col("p_size").cast("string"))
-    return _read(spark, sf_dir, "part").select("p_partkey", X.normalise_response(text).alias("response"))
+    """Slots in responses of which the rest is a turn's text."""
+    c = _read(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"[\[\]]"))
+    name = _pick([n for n, _ in _TOKENS], F.col("conv_id") * 31 + F.col("turn"))
+    return c.select("conv_id", "turn", X.normalise_response(F.concat(F.lit("The ["), name, F.lit("]s is "), F.col("text"))).alias("response"))
 
 
-@register("placeholders", "select p_partkey, case p_size % 3 when 0 then '[value_leave]' when 1 then '[parking]' else '[value_area]' end as eval, case p_size % 3 when 0 then '[value_leave_at]' when 1 then '[value_parking]' else '[value_area]' end as plain from part")
+_PLACED = [*fixed.PLACEHOLDERS, *fixed.UNPREFIXED, "area", "name", "book ref"]
+
+
+@register("placeholders", f"""
+with p as (select p_partkey, {_picked(_PLACED, 'p_partkey')} as slot, {_picked([fixed.PLACEHOLDERS.get(s, s) for s in _PLACED], 'p_partkey')} as other from part)
+select p_partkey, case when slot in {tuple(fixed.UNPREFIXED)} then '[' || slot || ']' else '[value_' || other || ']' end as eval, '[value_' || replace(slot, ' ', '_') || ']' as plain from p
+""")
 def placeholders(spark, sf_dir):
-    """Placeholders of slots."""
-    k = F.col("p_size") % 3
-    slot = F.when(k == 0, F.lit("leave at")).when(k == 1, F.lit("parking")).otherwise(F.lit("area"))
+    """Placeholders of all slots with another name, and of some without."""
+    slot = _pick(_PLACED, F.col("p_partkey"))
     return _read(spark, sf_dir, "part").select("p_partkey", X.placeholder(slot, True).alias("eval"), X.placeholder(slot).alias("plain"))
 
 
-@register("fixed_placeholders", "select p_partkey, 'at [value_leave] from [value_area] ' || p_size as text from part")
-def fixed_placeholders(spark, sf_dir):
-    """D3: placeholders that a text already has."""
-    return _read(spark, sf_dir, "part").select("p_partkey", D.fix_placeholders(F.concat(F.lit("at [leave_at] from [value_area] "), F.col("p_size").cast("string"))).alias("text"))
+_NAMED = [s.replace(" ", "_") for s in _PLACED]
+_NAMES = [f"[{s}]" if s in fixed.UNPREFIXED else f"[value_{fixed.PLACEHOLDERS.get(s, s)}]" for s in _PLACED]
 
 
-@register("span_delex", "select item_id, '[a]' || substr(text, 4, 6) || '[b]' || substr(text, 16) as text from benchmark")
-def span_delex(spark, sf_dir):
-    """Spans replaced; an overlapping one and ``dontcare`` stay."""
-    s = lambda slot, value, a, b: F.struct(F.lit(slot).alias("slot"), F.lit(value).alias("value"), F.lit(a).alias("start"), F.lit(b).alias("stop"))
-    spans = F.array(s("b", "x", 9, 15), s("a", "x", 0, 3), s("c", "x", 2, 5), s("d", "dontcare", 20, 22))
-    return _read(spark, sf_dir, "benchmark").select("item_id", D.by_spans(F.col("text"), spans).alias("text"))
+@register("fixed_placeholders", f"""
+select p_partkey, p_name || ' ' || {_picked(_NAMES, 'p_partkey')} || ' [x ' || {_picked(_NAMES, '(p_partkey // 7)')} || ']' as text from part
+""")
+def fixed_placeholders(spark, sf_dir):
+    """D3: placeholders that a text already has, with and without prefix."""
+    one, two = _pick(_NAMED, F.col("p_partkey")), _pick(_NAMED, F.floor(F.col("p_partkey") / 7))
+    text = F.concat("p_name", F.lit(" ["), one, F.lit("] [x [value_"), two, F.lit("]]"))
+    return _read(spark, sf_dir, "part").select("p_partkey", D.fix_placeholders(text).alias("text"))
 
 
-@register("fuzzy_delex", "select p_partkey, 'stay at [value_name] in the [value_area] ' || p_size as text from part")
+@register("span_delex", """
+with t as (select item_id, text, strpos(text, ' ') as a, strpos(text, '. ') as b, length(text) as n from benchmark),
+s as (select *, case when b > a + 1 then b else 0 end as c from t)
+select item_id, case when a > 1 then '[first]' else substr(text, 1, greatest(a, 0)) end || case when c > 0 then substr(text, greatest(a, 1), c - greatest(a, 1)) || '[stop]' || substr(text, c + 1) else substr(text, greatest(a, 1)) end as text from s
+""")
+def span_delex(spark, sf_dir):
+    """Annotated spans, joined by turn, replaced: the first word, and the first full stop; one that overlaps and ``dontcare`` stay."""
+    b = _read(spark, sf_dir, "benchmark")
+    gap, stop = F.instr("text", " "), F.instr("text", ". ")
+    span = lambda slot, value, a, z: F.struct(F.lit(slot).alias("slot"), F.lit(value).alias("value"), a.cast("int").alias("start"), z.cast("int").alias("stop"))
+    found = F.filter(F.array(
+        F.when(stop > gap + 1, span("stop", "x", stop - 1, stop)), F.when(gap > 1, span("first", "x", F.lit(0), gap - 1)),
+        F.when(gap > 3, span("inside", "x", F.lit(1), gap - 2)), span("last", "dontcare", F.length("text") - 2, F.length("text")),
+    ), lambda x: x.isNotNull())
+    spans = b.select("item_id", F.explode(found).alias("span")).select("item_id", "span.*")
+    return D.with_spans(b.select("item_id", "text"), spans, "item_id").select("item_id", "text")
+
+
+@register("fuzzy_delex")
 def fuzzy_delex(spark, sf_dir):
-    """Misspelt values become placeholders."""
-    act = F.struct(F.lit("Inform").alias("type"), F.lit("hotel").alias("service"), F.create_map(F.lit("name"), F.lit("acorn guest house"), F.lit("area"), F.lit("west")).alias("entity"), F.expr("cast(null as array<string>)").alias("values"))
-    text = F.concat(F.lit("stay at Acorn guest houses in the west "), F.col("p_size").cast("string"))
-    return _read(spark, sf_dir, "part").select("p_partkey", D.delexicalised(text, F.array(act)).alias("text"))
+    """Values become placeholders: two words of a turn's text without a letter, and its last word."""
+    c = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "text", F.split("text", " ").alias("w"))
+    at = (F.pmod(F.col("conv_id") * 7 + F.col("turn"), F.greatest(F.lit(1), F.size("w") - 1)) + 1).cast("int")
+    two = F.concat_ws(" ", F.try_element_at("w", at), F.try_element_at("w", at + 1))
+    entity = F.create_map(F.lit("name"), F.concat(F.substring(two, 1, 3), F.substring(two, 5, 1000)), F.lit("area"), F.element_at("w", -1))
+    act = F.struct(F.lit("Inform").alias("type"), F.lit("hotel").alias("service"), entity.alias("entity"), F.expr("cast(null as array<string>)").alias("values"))
+    return c.select("conv_id", "turn", D.delexicalised(F.col("text"), F.array(act)).alias("text"))
 
 
-@register("fuzzy_ratios", "select p_partkey, 100::bigint as same, 94::bigint as near, 62::bigint as far, 100::bigint as inside from part")
+@register("fuzzy_ratios")
 def fuzzy_ratios(spark, sf_dir):
-    """4.3, N2: ratios of fixed pairs, for each row."""
+    """4.3, N2: ratios of each part's name with its type and its brand, and partial ratios with the next part's name."""
     p = _read(spark, sf_dir, "part")
-    return p.select(
-        "p_partkey", ratio_column(F.col("p_name"), F.col("p_name")).cast("long").alias("same"),
-        ratio_column(F.concat(F.lit("acorn guesthouse"), F.substring("p_name", 1, 0)), F.concat(F.lit("acron guesthouse"), F.substring("p_name", 1, 0))).cast("long").alias("near"),
-        ratio_column(F.concat(F.lit("kitten"), F.substring("p_name", 1, 0)), F.concat(F.lit("sitting"), F.substring("p_name", 1, 0))).cast("long").alias("far"),
-        partial_column(F.substring("p_name", 2, 4), F.col("p_name")).cast("long").alias("inside"),
-    )
+    after = p.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("p_name").alias("other"))
+    both = p.join(after, "p_partkey").select("p_partkey", F.lower("p_name").alias("a"), F.lower("p_type").alias("b"), F.lower("p_brand").alias("c"), "other")
+    return both.select("p_partkey", ratio_column("a", "b").cast("long").alias("type"), ratio_column("a", "c").cast("long").alias("brand"), partial_column("a", "other").cast("long").alias("next"))
 
 
-@register("schema_slots", "select p_partkey, case p_size % 3 when 0 then 'duration' when 1 then 'arrive by' else 'food' end as slot from part")
+_WRITTEN = [*((s, k, v) for s, names in fixed.SERVICE_SLOTS.items() for k, v in names.items()), *(("hotel", k, v) for k, v in fixed.SLOTS.items()), ("train", "food", "food"), ("hotel", "time", "time")]
+
+
+@register("schema_slots", f"""
+select p_partkey, {_picked([v for *_, v in _WRITTEN], 'p_partkey')} as slot, {_picked([v for *_, v in _WRITTEN], 'p_partkey')} in {tuple(fixed.SCHEMA_SLOTS)} as known from part
+""")
 def schema_slots(spark, sf_dir):
-    """Written slots as the schema's."""
-    k = F.col("p_size") % 3
-    slot = F.when(k == 0, F.lit("time")).when(k == 1, F.lit("arriveby")).otherwise(F.lit("food"))
-    return _read(spark, sf_dir, "part").select("p_partkey", X.schema_slot(slot, F.lit("train")).alias("slot"))
+    """All written slots as the schema's, and whether the schema has them."""
+    service, slot = _pick([s for s, _, _ in _WRITTEN], F.col("p_partkey")), _pick([k for _, k, _ in _WRITTEN], F.col("p_partkey"))
+    got = X.schema_slot(slot, service)
+    return _read(spark, sf_dir, "part").select("p_partkey", got.alias("slot"), X.is_schema_slot(got).alias("known"))
 
 
 @register("result_summaries", """

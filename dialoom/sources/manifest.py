@@ -32,11 +32,18 @@ def group(spark: SparkSession, path: str, group_id: str) -> DataFrame:
 
 
 def _rewrite(spark: SparkSession, path: str, rows: DataFrame) -> None:
-    """Replace the groups that ``rows`` holds, by way of a written copy, as they are read from the same table."""
+    """Replace the groups that ``rows`` holds, by way of a written copy, as they are read from the same table.
+
+    The copy goes once the groups are replaced; if that fails, it stays and the error names it.
+    """
     aside = f"{path}.{uuid.uuid4().hex}"
     rows.write.parquet(aside)
     kept = spark.read.schema(rows.schema).parquet(aside)
-    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group_id").parquet(path)
+    try:
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("group_id").parquet(path)
+    except Exception as e:
+        e.add_note(f"the groups' rows are kept in {aside}")
+        raise
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(aside)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
@@ -97,6 +104,26 @@ def card(name: str, facts: dict[str, str]) -> str:
     return "\n".join([f"# {name}", "", *[f"- {k}: {v}" for k, v in sorted(facts.items())], ""])
 
 
+def publish_group(spark: SparkSession, path: str, group_id: str, root: str, out: str, split: str = "train", label=None) -> tuple[str, str]:
+    """A group's logs, checked against its entries, labelled by ``label`` (a frame-to-frame function) and written as a split of a
+    dataset under ``out``; its name and card. Publishing again replaces the split."""
+    found = logs(spark, group(spark, path, group_id), root)
+    labelled = label(found) if label else found
+    name = dataset_name(group_id, labelled)
+    publish(labelled, f"{out}/{name}", split)
+    return name, card(name, {"group": group_id, "split": split, "runs": str(found.select("run_id").distinct().count()), "logs": str(labelled.count())})
+
+
+def publish_mixture(parts: dict[str, tuple[DataFrame, float]], key: str, out: str, name: str, held: int = 0, group_key: str | None = None, seed: int = 42) -> dict[str, int]:
+    """A training mixture (mode -> rows and share) as splits of the dataset ``name``; with ``held``, so many groups of ``group_key`` go to validation."""
+    from dialoom.operators import sampling
+
+    rows = sampling.mixture(parts, key, seed)
+    rows = sampling.split(rows, group_key, held, seed) if held and group_key else rows.withColumn("split", F.lit("train"))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("split").parquet(f"{out}/{name}")
+    return {r.split: r["count"] for r in rows.sparkSession.read.parquet(f"{out}/{name}").groupBy("split").count().collect()}  # two splits
+
+
 def checkpoint_logs(wave: DataFrame, path: str, run_id: str, turn: int) -> None:
     """Append a wave's logs; a wave that is written again replaces itself."""
     out = wave.withColumn("run_id", F.lit(run_id)).withColumn("wave", F.lit(turn))

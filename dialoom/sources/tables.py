@@ -38,6 +38,58 @@ def lines(spark: SparkSession, path: str, strip: bool = True) -> DataFrame:
     return rows.select(F.trim("value").alias("value")) if strip else rows
 
 
+def dialogue_files(spark: SparkSession, folder: str, acts: str | None = None) -> tuple[DataFrame, dict[str, int]]:
+    """Dialogues of ``folder``/<fold>/dialogues_*.json (each file an array) with their fold, and the count by fold.
+
+    ``acts`` names a JSON lines table (dialogue_id, turn_id, acts) to join as an array by turn number; dialogues
+    without any have null.
+    """
+    files = spark.read.option("multiLine", True).json(f"{folder}/*/dialogues_*.json", pathGlobFilter="dialogues_*.json")
+    rows = files.withColumn("fold", F.element_at(F.split(F.input_file_name(), "/"), -2))
+    if acts is not None:
+        own = spark.read.json(acts).groupBy("dialogue_id").agg(F.array_sort(F.collect_list(F.struct("turn_id", "acts"))).alias("acts"))
+        rows = rows.join(own, "dialogue_id", "left")
+    return rows, {r.fold: r["count"] for r in rows.groupBy("fold").count().collect()}  # a few folds
+
+
+def json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
+    reader = spark.read
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
+def artifact(spark: SparkSession, root: str, name: str, file: str, prefix: str = "") -> DataFrame:
+    """A JSON file of the artifact ``name``; where that isn't there, of the one under ``prefix`` + ``name``."""
+    try:
+        return json_file(spark, f"{root}/{name}/{file}")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND" or not prefix:
+            raise
+        return json_file(spark, f"{root}/{prefix}{name}/{file}")
+
+
+def all_to_folder(spark: SparkSession, artifacts: DataFrame, run_id: str, folder: str) -> int:
+    """Copy all artifact folders (name, run_id, path) of a run into ``folder``, by name; how many there were."""
+    rows = artifacts.where(F.col("run_id") == run_id).select("name", "path").collect()  # one row an artifact of one run
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for r in rows:
+        a, b = (jvm.org.apache.hadoop.fs.Path(p) for p in (r.path, f"{folder}/{r.name}"))
+        jvm.org.apache.hadoop.fs.FileUtil.copy(a.getFileSystem(conf), a, b.getFileSystem(conf), b, False, True, conf)
+    return len(rows)
+
+
+def strict(kind: type, values: dict):
+    """An instance of a dataclass from a configuration: unknown names and missing ones are errors, nested dataclasses are made too."""
+    import dataclasses
+    import typing
+
+    fields, hints = {f.name: f for f in dataclasses.fields(kind)}, typing.get_type_hints(kind)
+    unknown = sorted(set(values) - set(fields))
+    missing = sorted(n for n, f in fields.items() if n not in values and f.default is dataclasses.MISSING and f.default_factory is dataclasses.MISSING)
+    if unknown or missing:
+        raise ValueError(f"{kind.__name__}: unknown {unknown}, missing {missing}")
+    return kind(**{k: strict(hints[k], v) if isinstance(v, dict) and dataclasses.is_dataclass(hints[k]) else v for k, v in values.items()})
+
+
 def resource(package: str, name: str):
     """A JSON file that ships with a package (small, on the driver)."""
     return json.loads(resources.files(package).joinpath(name).read_text())

@@ -47,15 +47,40 @@ def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
+def replay(logged: DataFrame, recorders: list[Callable[[DataFrame], None]]) -> int:
+    """Hand all logged turns to each recorder, as if they had just been predicted; how many there are.
+
+    Recorders are frame-to-nothing functions (metrics, an index, a viewer); resuming calls this before new turns.
+    """
+    for record in recorders:
+        record(logged)
+    return logged.count()
+
+
+def resumed(turns: DataFrame, logged: DataFrame | None, recorders: list[Callable[[DataFrame], None]], *key: str) -> DataFrame:
+    """The turns still to do, once those logged are replayed into the recorders."""
+    from dialoom.operators.turns import resume
+
+    if logged is None:
+        return turns
+    replay(logged, recorders)
+    return resume(turns, logged, *key)
+
+
 def waves(turns: DataFrame, index: DataFrame, predict: Callable[[DataFrame, DataFrame], DataFrame], path: str, order: str = "turn") -> DataFrame:
-    """Turn by turn: predictions of a wave, written to ``path``, are examples of the next; waves found there are skipped."""
+    """Turn by turn: predictions of a wave, written to ``path``, are examples of the next; waves found there are skipped.
+
+    A wave is one write of its own partition, which replaces what a failed attempt may have left there.
+    """
     from dialoom.sources.tables import optional
 
     spark = turns.sparkSession
-    for t in [r[0] for r in turns.select(order).distinct().orderBy(order).collect()]:  # turn numbers of a dialogue
-        done = optional(spark, path)
-        if done is not None and done.where(F.col("wave") == t).limit(1).count():
+    before = optional(spark, path)
+    have = set() if before is None else {r[0] for r in before.select("wave").distinct().collect()}  # turn numbers of a dialogue
+    for t in [r[0] for r in turns.select(order).distinct().orderBy(order).collect()]:
+        if t in have:
             continue
+        done = optional(spark, path)
         grown = index if done is None else index.unionByName(done.drop("wave"), allowMissingColumns=True)
-        predict(turns.where(F.col(order) == t), grown).withColumn("wave", F.lit(t)).write.mode("append").partitionBy("wave").parquet(path)
+        predict(turns.where(F.col(order) == t), grown).withColumn("wave", F.lit(t)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wave").parquet(path)
     return spark.read.parquet(path)

@@ -110,3 +110,79 @@ def test_split_is_disjoint(spark):
     got = sampling.split(spark.range(50).selectExpr("id % 10 as g", "id"), "g", 3)
     groups = {s: {r.g for r in got.where(F.col("split") == s).collect()} for s in ("train", "validation")}
     assert len(groups["validation"]) == 3 and not groups["train"] & groups["validation"]
+
+
+def test_dialogue_files(spark, tmp_path):
+    import json
+
+    from dialoom.sources import tables as T
+
+    for fold, ids in (("train", ["a", "b"]), ("test", ["c"])):
+        (tmp_path / fold).mkdir()
+        for k, i in enumerate(ids):
+            (tmp_path / fold / f"dialogues_{k:03}.json").write_text(json.dumps([{"dialogue_id": i, "turns": [{"n": 0}]}], indent=1))
+        (tmp_path / fold / "other.json").write_text("[]")
+    (tmp_path / "acts.json").write_text("".join(json.dumps({"dialogue_id": "a", "turn_id": t, "acts": [f"x{t}"]}) + "\n" for t in (1, 0)))
+    rows, counts = T.dialogue_files(spark, str(tmp_path), str(tmp_path / "acts.json"))
+    got = {r.dialogue_id: (r.fold, r.acts and [x.acts for x in r.acts]) for r in rows.collect()}
+    assert counts == {"train": 2, "test": 1} and got == {"a": ("train", [["x0"], ["x1"]]), "b": ("train", None), "c": ("test", None)}
+
+
+def test_artifacts(spark, tmp_path):
+    import dataclasses
+
+    from dialoom.sources import tables as T
+
+    (tmp_path / "old-run" / "x").mkdir(parents=True)
+    (tmp_path / "old-run" / "log.json").write_text('[{"a": 1}, {"a": 2}]')
+    (tmp_path / "lines.json").write_text('{"a": 1}\n{"a": 3}\n')
+    assert T.artifact(spark, str(tmp_path), "run", "log.json", "old-").count() == 2
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        T.artifact(spark, str(tmp_path), "run", "log.json")
+    assert [r.a for r in T.json_lines(spark, str(tmp_path / "lines.json")).orderBy("a").collect()] == [1, 3]
+    rows = spark.createDataFrame([("one", "r", str(tmp_path / "old-run")), ("two", "s", "nowhere")], "name string, run_id string, path string")
+    assert T.all_to_folder(spark, rows, "r", str(tmp_path / "out")) == 1 and (tmp_path / "out" / "one" / "log.json").exists()
+
+    @dataclasses.dataclass
+    class Inner:
+        k: int
+
+    @dataclasses.dataclass
+    class Outer:
+        name: str
+        inner: dict
+        size: int = 3
+
+    assert T.strict(Outer, {"name": "x", "inner": {"k": 1}}) == Outer("x", {"k": 1}, 3)
+    for bad in ({"name": "x"}, {"name": "x", "inner": {}, "other": 1}):
+        with pytest.raises(ValueError):
+            T.strict(Outer, bad)
+
+
+def test_publishing(spark, tmp_path):
+    from dialoom.sources import manifest as M
+
+    path, root, out = (str(tmp_path / x) for x in ("manifest", "logs", "out"))
+    for run, n in (("r1", 2), ("r2", 3)):
+        spark.createDataFrame([(f"{run}-{i}", run, i) for i in range(n)], "dialogue_id string, run_id string, turn int").write.parquet(f"{root}/{run}")
+    M.add(spark, path, spark.createDataFrame([("g", "r1", 2, "d", "train"), ("g", "r2", 3, "d", "train")], M.SCHEMA))
+    name, text = M.publish_group(spark, path, "g", root, out, "train", lambda f: f.withColumn("label", F.lit(1)))
+    again, _ = M.publish_group(spark, path, "g", root, out, "train", lambda f: f.withColumn("label", F.lit(1)))
+    got = spark.read.parquet(f"{out}/{name}")
+    assert name == again and name.startswith("g_5_") and "- logs: 5" in text and got.count() == 5 and {r.split for r in got.collect()} == {"train"}
+    M.add(spark, path, spark.createDataFrame([("h", "r1", 9, "d", "train")], M.SCHEMA))
+    with pytest.raises(ValueError):
+        M.publish_group(spark, path, "h", root, out)
+    rows = spark.range(40).select("id", (F.col("id") % 10).alias("d"))
+    counts = M.publish_mixture({"a": (rows, 1.0), "b": (rows, 0.5)}, "id", out, "mix", held=2, group_key="d")
+    assert sum(counts.values()) == 60 and set(counts) == {"train", "validation"}
+
+
+def test_replay(spark):
+    from dialoom.streaming import jobs
+
+    turns = spark.createDataFrame([("a", t, f"x{t}") for t in range(5)], "d string, t int, x string")
+    seen = []
+    left = jobs.resumed(turns, turns.where("t < 2"), [lambda f: seen.append(f.count()), lambda f: seen.append(sorted(r.x for r in f.collect()))], "d", "t")
+    assert sorted(r.t for r in left.collect()) == [2, 3, 4] and seen == [2, ["x0", "x1"]]
+    assert jobs.resumed(turns, None, [], "d", "t").count() == 5
