@@ -10,8 +10,9 @@ of their frequency over all documents, rarest first. The join then needs few can
 - prefix: if ``need`` words are shared, then one stands among the first ``size - need + 1`` words of either side;
 - position: with a first shared word at places i and j, at most 1 + min(what follows i, what follows j) are shared.
 
-What is left is compared in full. The notices are a short fixed list, so their side is broadcast. The
-texts are read once; those that hold enough words of a notice (a few per cent) are kept with the counts.
+What is left is compared in full. The notices are a short fixed list, so their side is broadcast. The texts
+are read twice: for the words' frequencies, and to look up the notices that a text's own rare words lead to;
+texts that hold enough words of one of these (a few per cent) are kept for the blocks.
 
 Defined cases: null or wordless text has no words, places or labels, and score 0; rows that repeat are
 scanned each; an empty table gives an empty result.
@@ -89,10 +90,26 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices=NOTICES
     any_ = F.lit(False)
     for c in has.values():
         any_ = any_ | c
-    enough = F.lit(False)
-    for _, ws in wanted:
-        enough = enough | (F.size(F.array_intersect("known", _strings(ws))) >= need(len(ws), containment))
-    rows = docs.select("doc_id", "text", _plain(F.col("text")).alias("plain")).withColumn("known", F.array_intersect(_strings(vocabulary), words))
+    plain = docs.select("doc_id", "text", _plain(F.col("text")).alias("plain"))
+    known = F.array_intersect(_strings(vocabulary), words)
+    # how many documents hold each notice word: one row for each at most
+    order = [r.word for r in plain.select(F.explode(known).alias("word")).groupBy("word").count().orderBy("count", "word").collect()]
+    order = [w for w in vocabulary if w not in order] + order
+    rank = {w: i for i, w in enumerate(order)}
+    prefixes, index = [], {}
+    for k, (label, ws) in enumerate(wanted):
+        ws, least = sorted(ws, key=rank.__getitem__), need(len(ws), containment)
+        prefixes += [(w, spans[k], k, label, ws, i, len(ws), least) for i, w in enumerate(ws[: len(ws) - least + 1])]
+        for w in ws[: len(ws) - least + 1]:
+            index.setdefault(w, []).append(k)
+    templates = docs.sparkSession.createDataFrame(prefixes, "word string, span int, notice int, label string, ws array<string>, i int, size int, least int")
+
+    # a document takes part if it holds enough words of a notice that one of its words leads to
+    leads = F.create_map(*[x for w, ks in index.items() for x in (F.lit(w), F.array(*map(F.lit, ks)))])
+    met_by = F.array_distinct(F.flatten(F.transform(F.array_intersect("known", _strings(index)), lambda w: F.element_at(leads, w))))
+    notices_words, needs = F.array(*[_strings(ws) for _, ws in wanted]), F.array(*[F.lit(need(len(ws), containment)) for _, ws in wanted])
+    enough = F.exists(met_by, lambda k: F.size(F.array_intersect("known", F.element_at(notices_words, k + 1))) >= F.element_at(needs, k + 1))
+    rows = plain.withColumn("known", known)
     rows = rows.select(
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
@@ -104,16 +121,6 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices=NOTICES
         F.when(enough, F.col("text")).alias("text"),
     )
     rows = cut(rows)
-    # at most one row for each word of the notices
-    order = [r.word for r in rows.select(F.explode("known").alias("word")).groupBy("word").count().orderBy("count", "word").collect()]
-    order = [w for w in vocabulary if w not in order] + order
-    rank = {w: i for i, w in enumerate(order)}
-    prefixes = []
-    for k, (label, ws) in enumerate(wanted):
-        ws, least = sorted(ws, key=rank.__getitem__), need(len(ws), containment)
-        prefixes += [(w, spans[k], k, label, ws, i, len(ws), least) for i, w in enumerate(ws[: len(ws) - least + 1])]
-    templates = docs.sparkSession.createDataFrame(prefixes, "word string, span int, notice int, label string, ws array<string>, i int, size int, least int")
-
     split = F.filter(F.transform(F.split("text", "\n"), lambda line: F.split(_plain(line), " ")), lambda ws: ws != F.array(F.lit("")))
     lines = rows.where("text is not null").select("row", F.posexplode(split).alias("line", "words"))
     # the words of a text before each line
