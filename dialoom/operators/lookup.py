@@ -43,17 +43,26 @@ def find(venues: DataFrame, domain: str, constraints: dict[str, str | None], lea
 def matching(queries: DataFrame, venues: DataFrame, equal: dict[str, str], upper: dict[str, str] | None = None, lower: dict[str, str] | None = None) -> DataFrame:
     """Batch form: each query row with each venue that meets its constraints (query column -> venue column).
 
-    The first equality that every query sets may be a hash join; a null constraint holds always. Venue
-    tables are reference data; Spark broadcasts them while they are small and joins by key otherwise.
+    A null constraint holds always, a cell ``?`` meets any. Queries that set the first equality are hash joined by
+    it, and meet the ``?`` cells apart; only those that leave it open meet all venues.
     """
-    test = F.lit(True)
-    for q, v in equal.items():
-        test = test & (F.col(q).isNull() | (F.col(v) == "?") | (F.col(q) == F.col(v)))
-    for q, v in (upper or {}).items():
-        test = test & (F.col(q).isNull() | (F.col(v) <= F.col(q)))
-    for q, v in (lower or {}).items():
-        test = test & (F.col(q).isNull() | (F.col(v) >= F.col(q)))
-    return queries.join(venues, test)
+    def test(keys: dict[str, str]) -> Column:
+        out = F.lit(True)
+        for q, v in keys.items():
+            out = out & (F.col(q).isNull() | (F.col(v) == "?") | (F.col(q) == F.col(v)))
+        for q, v in (upper or {}).items():
+            out = out & (F.col(q).isNull() | (F.col(v) <= F.col(q)))
+        for q, v in (lower or {}).items():
+            out = out & (F.col(q).isNull() | (F.col(v) >= F.col(q)))
+        return out
+
+    if not equal:
+        return queries.join(venues, test({}))
+    (q, v), rest = next(iter(equal.items())), dict(list(equal.items())[1:])
+    some, none = queries.where(F.col(q).isNotNull()), queries.where(F.col(q).isNull())
+    keyed = some.join(venues.where(F.col(v) != "?"), (F.col(q) == F.col(v)) & test(rest))
+    any_ = some.join(venues.where(F.col(v) == "?"), test(rest))
+    return keyed.unionByName(any_).unionByName(none.join(venues, test(rest)))
 
 
 def request(constraints: Column) -> Column:
@@ -158,8 +167,13 @@ def canonical(asked: DataFrame, values: DataFrame, least: int = 90) -> DataFrame
 
 def fuzzy_vocabulary(values: DataFrame, vocabulary: DataFrame, least: int = 90) -> DataFrame:
     """(value, match): the vocabulary's only entry near the value after cleaning; null if none or several."""
-    pairs = values.select("value").distinct().join(vocabulary.select(F.col("entry")), F.lit(True))
-    near = pairs.where(ratio_column(fuzzy_key(F.col("value")), fuzzy_key(F.col("entry"))) >= least)
+    # a ratio of ``least`` bounds the lengths' ratio, so only entries of such lengths are compared
+    x = (least - 0.5) / 100
+    own = values.select("value").distinct().withColumn("k", fuzzy_key(F.col("value"))).withColumn("n", F.length("k"))
+    lengths = F.sequence(F.ceil(F.col("n") * (x / (2 - x))).cast("int"), F.floor(F.col("n") * ((2 - x) / x)).cast("int"))
+    entries = vocabulary.select("entry", fuzzy_key(F.col("entry")).alias("e")).withColumn("m", F.length("e"))
+    pairs = own.select("value", "k", F.explode(lengths).alias("m")).join(entries, "m")
+    near = pairs.where(ratio_column("k", "e") >= least)
     hits = near.groupBy("value").agg(F.min("entry").alias("low"), F.max("entry").alias("high"))
     return values.select("value").distinct().join(hits, "value", "left").select("value", F.when(F.col("low") == F.col("high"), F.col("low")).alias("match"))
 

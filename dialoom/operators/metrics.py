@@ -134,23 +134,33 @@ def richness(turns: DataFrame, words: str) -> DataFrame:
 
     Both of the conditional entropy's denominators come from unigram counts.
     """
-    grams = lambda n: turns.select(F.explode(ngrams(F.col(words), n)).alias("g")).groupBy("g").count()
-    one, two = grams(1), grams(2)
+    each = F.flatten(F.array(*[F.transform(ngrams(F.col(words), n), lambda g: F.struct(F.lit(n).alias("k"), g.alias("g"))) for n in (1, 2, 3)]))  # noqa: B023
+    counts = turns.select(F.inline(each)).groupBy("k", "g").agg(F.count("*").alias("c"))
     total = turns.agg(F.avg(F.size(words)).alias("avg_tokens"), F.sum(F.size(words)).alias("n"))
-    h1 = one.crossJoin(total.select("n")).agg(F.count("*").alias("unigrams"), (-F.sum(F.col("count") / F.col("n") * F.log2(F.col("count") / F.col("n")))).alias("entropy"))
-    first = two.select(F.substring_index("g", " ", 1).alias("w"), "g", F.col("count").alias("c")).join(one.select(F.col("g").alias("w"), F.col("count").alias("cw")), "w").crossJoin(total.select("n"))
-    h2 = first.agg(F.count("*").alias("bigrams"), (-F.sum(F.col("c") / F.col("n") * F.log2(F.col("c") / F.col("cw")))).alias("conditional_entropy"))
-    h3 = grams(3).agg(F.count("*").alias("trigrams"))
-    return total.select("avg_tokens").crossJoin(h1).crossJoin(h2).crossJoin(h3)  # one row each
+    one = counts.where("k = 1").select(F.col("g").alias("w"), F.col("c").alias("cw"))
+    rows = counts.withColumn("w", F.when(F.col("k") == 2, F.substring_index("g", " ", 1))).join(one, "w", "left").crossJoin(total)  # total is one row
+    p = F.col("c") / F.col("n")
+    kinds = [F.sum((F.col("k") == n).cast("long")).alias(name) for n, name in ((1, "unigrams"), (2, "bigrams"), (3, "trigrams"))]
+    h1, h2 = -F.sum(F.when(F.col("k") == 1, p * F.log2(p))), -F.sum(F.when(F.col("k") == 2, p * F.log2(F.col("c") / F.col("cw"))))
+    got = rows.groupBy("avg_tokens").agg(*kinds, h1.alias("entropy"), h2.alias("conditional_entropy"))
+    return got.select("avg_tokens", "unigrams", "entropy", "bigrams", "conditional_entropy", "trigrams")
 
 
-def msttr(turns: DataFrame, words: str, *order: str, segment: int = 50) -> DataFrame:
+def msttr(turns: DataFrame, words: str, *order: str, segment: int = 50, bucket: int = 4096) -> DataFrame:
     """One row (msttr): the mean type-token ratio of full segments of the turns' concatenation.
 
-    A token's place is its turn's offset (a prefix sum of turn sizes) plus its place in the turn.
+    A token's place is its turn's offset plus its place in the turn. Offsets are prefix sums at three levels, so that
+    no task orders all turns: of buckets of ``bucket`` values of the first order column (an integer), of its values
+    in a bucket, and of the turns of a value.
     """
-    sized = turns.withColumn("_n", F.size(words))
-    placed = sized.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
+    first = order[0]
+    sized = turns.withColumn("_n", F.size(words)).withColumn("_b", F.floor(F.col(first) / bucket))
+    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    groups = sized.groupBy("_b", first).agg(F.sum("_n").alias("_g"))
+    buckets = groups.groupBy("_b").agg(F.sum("_g").alias("_s")).select("_b", before(W.orderBy("_b"), "_s").alias("_x"))  # a row for each bucket
+    groups = groups.join(buckets, "_b").select(F.col(first).alias("_v"), (F.col("_x") + before(W.partitionBy("_b").orderBy(first), "_g")).alias("_y"))
+    placed = sized.join(groups, F.col(first).eqNullSafe(F.col("_v")))
+    placed = placed.withColumn("_before", F.col("_y") + before(W.partitionBy(first).orderBy(*order[1:]), "_n"))
     each = placed.select(F.posexplode(words).alias("k", "w"), "_before").select(F.floor((F.col("_before") + F.col("k")) / segment).alias("s"), "w")
     parts = each.groupBy("s").agg(F.count("*").alias("n"), F.countDistinct("w").alias("d")).where(F.col("n") == segment)
     return parts.agg(F.avg(F.col("d") / segment).alias("msttr"))
