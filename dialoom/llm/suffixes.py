@@ -74,11 +74,12 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     key = least[p]
     leaves = gram[p] == key
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (p[1:] != p[:-1] + 1)))
-    here = np.arange(len(p))
-    new |= (here - np.maximum.accumulate(np.where(new, here, 0))) % LONGEST == 0
     # windows of two documents are never neighbours, as a document's last 99 places start none
     first = np.flatnonzero(new)
     n = np.diff(np.concatenate((first, [len(p)])))
+    if n.max() > LONGEST:
+        first = np.concatenate([np.arange(a, a + m, LONGEST) for a, m in zip(first.tolist(), n.tolist())])
+        n = np.diff(np.concatenate((first, [len(p)])))
     last = first + n - 1
     inner = np.concatenate(([0], np.cumsum(leaves)))
     places = inner[last] - inner[first] + 1 + (n == LONGEST)
@@ -102,11 +103,12 @@ def suffix_array(text: np.ndarray, ends: np.ndarray, depth: int = WINDOW) -> tup
     """
     n = len(text)
     left = ends - np.arange(n)
-    code = np.zeros(n, np.int64)
-    for j in range(FIRST_DEPTH):
-        own = np.zeros(n, np.int64)
-        own[: n - j] = text[j:].astype(np.int64) + 1
-        code = code * 257 + np.where(left > j, own, 0)
+    # seven bytes, zeros after the end, and how many there are, so that what ends sorts first
+    eight = np.lib.stride_tricks.sliding_window_view(np.concatenate((text, np.zeros(8, np.uint8))), 8)[:n]
+    code = np.ascontiguousarray(eight).view(">u8").ravel().astype(A.U)
+    short = np.flatnonzero(left < FIRST_DEPTH)
+    code[short] &= ~A.U(0) << (A.U(8) * (A.U(8) - left[short].astype(A.U)))
+    code = (code & ~A.U(255)) | np.minimum(left, FIRST_DEPTH).astype(A.U)
     order = np.argsort(code)
     code = code[order]
 
@@ -217,11 +219,9 @@ def copies_of(text: np.ndarray, bounds: np.ndarray, n: np.ndarray, place: np.nda
     lead = np.empty(len(n), np.int64)
     lead[by] = by[np.maximum.accumulate(np.where(head, here, 0))]
     other = here[(lead != here) & (size == size[lead])]
-    if len(other):
-        steps = np.arange(int(size[other].sum())) - np.repeat(np.cumsum(size[other]) - size[other], size[other])
-        differs = text[np.repeat(bounds[other], size[other]) + steps] != text[np.repeat(bounds[lead[other]], size[other]) + steps]
-        first = np.concatenate(([0], np.cumsum(size[other])[:-1]))
-        other = other[~np.logical_or.reduceat(differs, first)]
+    raw, at = memoryview(text.tobytes()), bounds.tolist()
+    same = [raw[at[i] : at[i + 1]] == raw[at[j] : at[j + 1]] for i, j in zip(other.tolist(), lead[other].tolist())]
+    other = other[np.asarray(same, bool)]
     out = here.copy()
     out[other] = lead[other]
     return out
@@ -240,9 +240,9 @@ def _shard(table: pa.Table) -> pa.Table:
     copies = np.flatnonzero(place > place[lead])
     copied = np.repeat(place[copies] - np.cumsum(n[copies]) + n[copies], n[copies]) + np.arange(int(n[copies].sum()))
     kept = np.flatnonzero(lead == np.arange(len(n)))
-    size = np.diff(bounds)[kept]
-    text = text[np.repeat(bounds[:-1][kept] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-    bounds = np.concatenate(([0], np.cumsum(size)))
+    raw, starts, stops = text.tobytes(), bounds[:-1][kept], bounds[1:][kept]
+    text = np.frombuffer(b"".join([raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]), np.uint8)
+    bounds = np.concatenate(([0], np.cumsum(stops - starts)))
     n, key, place = n[kept], key[kept], place[kept]
     piece = A.ids(bounds)
     rank = place[piece] + np.arange(len(text)) - bounds[:-1][piece]

@@ -197,6 +197,22 @@ def test_rewritten_keeps_all_columns(spark):
     assert got == {1: rows[0], 2: rows[1], 3: rows[2], 4: (4, " more", 8, "c", 5)}
 
 
+def test_copies_are_compared():
+    text = np.frombuffer(b"abcdeabcdeabcdxabcde", np.uint8)
+    got = suffixes.copies_of(text, np.array([0, 5, 10, 15, 20]), np.array([1, 1, 1, 2]), np.array([9, 3, 1, 0]))
+    assert got.tolist() == [1, 1, 2, 3]  # equal bytes with as many windows, the earliest place stands
+    assert suffixes.copies_of(text[:0], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
+def test_merging_shards():
+    import pyarrow as pa
+
+    rows = [(1, 5, 5, 1, 3, 0, 10), (1, 5, 5, 2, 2, 0, 40), (1, 5, 5, 3, 2, 0, 7), (1, 6, 5, 2, 1, 0, 0), (2, 5, 5, 3, 9, 0, 1)]
+    cols = dict(zip(("key", "one", "two", "sub", "doc_id", "tag", "at"), map(list, zip(*rows))))
+    got = suffixes._merge(pa.table({k: pa.array(v, pa.int32() if k in ("sub", "at") else pa.int64()) for k, v in cols.items()})).to_pylist()
+    assert sorted((r["doc_id"], r["at"], r["src"], r["src_at"]) for r in got) == [(2, 40, 2, 7), (3, 10, 2, 7)]
+
+
 def test_suffix_array():
     for text in (b"banana" * 40, bytes(rng.randrange(3) for _ in range(500)), b"a" * 300):
         data = np.frombuffer(text, np.uint8)
@@ -515,6 +531,28 @@ def test_attention_gradients():
             assert grads[k][at] == pytest.approx((up - down) / 2e-5, abs=1e-5)
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+@pytest.mark.parametrize("name, plain", [("op5_minhash_dedup", brute.near_classes), ("op6_recompression_dedup", brute.word_repeats), ("op8_suffix_array_dedup", brute.byte_repeats)])
+def test_queries_by_brute_force(name, plain, spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    want = plain(rows)
+    columns = {"op5_minhash_dedup": ("n_shingles", "component_id"), "op6_recompression_dedup": ("n_words", "n_removed", "kept_sha256"), "op8_suffix_array_dedup": ("n_bytes", "n_removed", "n_spans", "kept_sha256")}[name]
+    got = queries.QUERIES[name](spark, DATA).collect()
+    assert {r.doc_id: tuple(r[c] for c in columns) for r in got} == want and len(got) == len(rows)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_media_and_packing_queries(spark):
+    rows = {r.doc_id: r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = queries.op1_ogg_media(spark, DATA).collect()
+    for r in got:
+        raw = (rows[r.doc_id] or "").encode()
+        payload = raw + b" " * (-len(raw) % 192 if raw else 192)
+        assert (r.n_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:])) and "intact=1" in r.feature
+    packed = queries.op4_pack_sequences(spark, DATA).groupBy("doc_id").agg(F.sum("length").alias("n"), F.min("start").alias("a")).collect()
+    assert len(got) == len(packed) == len(rows) and all(r.a == 0 and r.n >= 1 for r in packed)
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 @pytest.mark.parametrize("name", sorted(queries.ORACLES))
 def test_oracles(name, spark, duck):
