@@ -290,9 +290,13 @@ PLACE = ["doc_id", "tag", "at"]
 
 
 def later(rows: DataFrame, by: list[str]) -> DataFrame:
-    """The rows whose ``by`` columns also stand at an earlier (doc_id, tag, at), with the earliest as ``first``."""
-    first = rows.groupBy(*by).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("m")).where("m > 1")
-    return rows.join(first.select(*by, "first"), by).where(F.struct(*PLACE) > F.col("first"))
+    """The rows whose ``by`` columns also stand at an earlier (doc_id, tag, at), with the earliest as ``first``.
+
+    The earliest places are written first, so that the rows of one very frequent value are a skewed side of a plain
+    join, which Spark splits.
+    """
+    first = cut(rows.groupBy(*by).agg(F.min(F.struct(*PLACE)).alias("first"), F.count("*").alias("m")).where("m > 1").drop("m"))
+    return rows.join(first, by).where(F.struct(*PLACE) > F.col("first"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:

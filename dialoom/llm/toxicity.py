@@ -99,7 +99,9 @@ def trust(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int)
     """How far each of ``n`` buckets is heard, 0 to 1: z**4 / (z**4 + DOUBT**4), z being by how many standard errors
     its presence differs between the classes. What stands in a few texts by chance is heard little, but heard."""
     of = np.bincount(labels, minlength=2)
-    k = np.stack([np.bincount(np.concatenate([rows[i][0] for i in np.flatnonzero(labels == c)]), minlength=n) for c in (0, 1)], 1)
+    k = np.zeros((n, 2))
+    for (ids, _), c in zip(rows, labels):
+        k[ids, c] += 1  # a bag has each bucket once
     pooled = (k.sum(1) + 1) / (of.sum() + 2)
     z = (k[:, 1] / of[1] - k[:, 0] / of[0]) / np.sqrt(pooled * (1 - pooled) * (1 / of).sum())
     return (z**4 / (z**4 + DOUBT**4)).astype(np.float32)
@@ -109,8 +111,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     """Adam on the softmax loss of bags; None without both classes."""
     if not np.bincount(labels, minlength=2).all():
         return None
-    used = np.unique(np.concatenate([b[0] for b in bags]))
-    rows = [(np.searchsorted(used, ids), share) for ids, share in bags]
+    used = np.flatnonzero(sum(np.bincount(ids, minlength=BUCKETS) for ids, _ in bags))
+    rows = [(np.searchsorted(used, ids).astype(np.int32), share) for ids, share in bags]
     heard = trust(rows, labels, len(used))
     rows = [(ids, share * heard[ids]) for ids, share in rows]
     rng = np.random.default_rng(seed)
@@ -149,16 +151,21 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     return Model(weights, float(bias[1] - bias[0]))
 
 
-def _bags(texts: pd.Series) -> pd.DataFrame:
-    found = [bag(t) for t in texts]
-    return pd.DataFrame({"ids": [b[0] for b in found], "shares": [b[1] for b in found]})
+def _bags(texts: pd.Series) -> pd.Series:
+    """Bags as bytes: all buckets, then all shares."""
+    return texts.map(lambda t: b"".join(x.tobytes() for x in bag(t)))
+
+
+def _bag(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(packed) // 8
+    return np.frombuffer(packed, np.int32, n), np.frombuffer(packed, np.float32, n, 4 * n)
 
 
 def fit(documents: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     """Train on a sample of the labelled documents for which ``where`` (of doc_id) holds."""
-    bags = F.pandas_udf(_bags, "ids array<int>, shares array<float>")(F.coalesce(F.col("text"), F.lit("")))
+    bags = F.pandas_udf(_bags, "binary")(F.coalesce(F.col("text"), F.lit("")))
     got = labelled_sample(documents, labels.where(where), "toxic", (CLEAN_ROWS, TOXIC_ROWS), bags)
-    return train([(np.asarray(b["ids"], np.int32), np.asarray(b["shares"], np.float32)) for b in got["value"]], got["label"].to_numpy(np.int64))
+    return train([_bag(bytes(b)) for b in got["value"]], got["label"].to_numpy(np.int64))
 
 
 class _Numbers(dict):
