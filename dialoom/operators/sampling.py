@@ -65,6 +65,15 @@ def random_k(queries: DataFrame, pool: DataFrame, q: str, p: str, k: int, seed:
     return first.join(places, "_k").select(q, p, "rank")
 
 
+def at_positions(df: DataFrame, positions: tuple[int, ...], *order: str) -> DataFrame:
+    """The rows at ``positions`` (from 0) of the order; of the rest no task sees more than the last position asked for."""
+    if not positions:
+        return df.limit(0)
+    head = df.orderBy(*order).limit(max(positions) + 1)
+    place = F.row_number().over(Window.orderBy(*order)) - 1
+    return head.withColumn("_place", place).where(F.col("_place").isin(*positions)).drop("_place")
+
+
 def shuffled(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(portable_order(F.col(key), seed), key)
 

@@ -53,17 +53,18 @@ def joint_texts(spark, sf_dir):
 
 
 @register("stop_trimmed", """
-select doc_id, case when strpos(text, '.') > 0 then substr(text, 1, strpos(text, '.') - 1) else text end as completion,
-       case when strpos(text, '.') > 0 then -(0.5 * (case when strpos(text, '.') > 1 then 1 else 0 end)) else 0.0 end::double as score
-from documents
+with w as (select conv_id, turn, text, string_split(text, ' ') as w, strpos(text, '.') as pos from conversations),
+e as (select *, list_transform(w, lambda x: length(x) / -10.0::double) as p, list_transform(range(1, len(w) + 1), lambda i: length(array_to_string(w[1 : i], ' '))) as ends from w),
+n as (select *, len(list_filter(ends, lambda x: x < pos)) + (pos > 1)::int as n from e)
+select conv_id, turn, case when pos > 0 then substr(text, 1, pos - 1) else text end as completion, round(case when pos > 0 then coalesce(list_sum(p[1 : n]), 0) else 0 end, 6)::double as score from n
 """)
 def stop_trimmed(spark, sf_dir):
-    """Texts up to the first stop sequence; of two tokens, one before and one after it, the first counts."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    at = F.instr("text", ".")
-    ends = F.array(at + 5, at + 9)
-    text, score = C.trim_stop(F.col("text"), F.array(F.lit(-0.5), F.lit(-2.0)), r"\.", ends)
-    return d.select("doc_id", text.alias("completion"), score.alias("score"))
+    """Texts up to the first stop sequence, scored by the tokens (words here) up to the one in which it starts."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("w", F.split("text", " "))
+    logprobs = F.transform("w", lambda x: F.length(x) / F.lit(-10.0))
+    ends = F.transform(F.sequence(F.lit(1), F.size("w")), lambda i: F.length(F.array_join(F.slice("w", F.lit(1), i), " ")))
+    text, score = C.trim_stop(F.col("text"), logprobs, r"\.", ends)
+    return c.select("conv_id", "turn", text.alias("completion"), F.round(score, 6).alias("score"))
 
 
 @register("parsed_completions", """

@@ -73,6 +73,6 @@ def evaluation_rows(spark, sf_dir):
     """Turns with their dialogue's goal and their booked domains."""
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.concat(F.lit("MUL"), F.col("conv_id").cast("string"), F.lit(".json")).alias("dialogue_id"), "conv_id", F.col("turn").cast("int").alias("turn_id"))
     goals = c.where("conv_id % 3 = 0").select(F.regexp_replace(F.lower("dialogue_id"), ".json", "").alias("dialogue_id"), F.col("conv_id").alias("goal")).distinct()
-    booked = c.select("dialogue_id", F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: i % 2).alias("booked")).distinct()
+    booked = c.groupBy("dialogue_id").agg(F.transform(F.sequence(F.lit(0), F.max("turn_id")), lambda i: i % 2).alias("booked"))
     got = S.evaluation_input(c.select("dialogue_id", "turn_id"), goals, booked)
     return got.select("dialogue_id", F.col("turn_id").cast("long").alias("turn_id"), "goal", F.col("booked").cast("long").alias("booked"))

@@ -121,8 +121,4 @@ def short_documents(spark, sf_dir):
 @register("position_slice", "select doc_id from (select doc_id, row_number() over (order by doc_id) - 1 as k from documents) where k in (0, 5, 17, 99)")
 def position_slice(spark, sf_dir):
     """Rows by their positions."""
-    d = _read(spark, sf_dir, "documents").select("doc_id")
-    first = d.orderBy("doc_id").limit(100)  # no position beyond 99 is asked for
-    from pyspark.sql import Window as W
-
-    return first.withColumn("k", F.row_number().over(W.orderBy("doc_id")) - 1).where(F.col("k").isin(0, 5, 17, 99)).select("doc_id")
+    return S.at_positions(_read(spark, sf_dir, "documents").select("doc_id"), (0, 5, 17, 99), "doc_id")
