@@ -110,7 +110,7 @@ def bucket_of(column: str, mod: int) -> Column:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: tuple[int, int], value: Column):
-    """A pandas frame (value, label) of at most ``most[k]`` labelled documents of each class k; ``value`` is made of their text.
+    """An Arrow table (label, place, value) of at most ``most[k]`` labelled documents of each class k; ``value`` is made of their text.
 
     Rows are drawn by a hash of their id: those under a share that the class counts give, so no more than
     about 1.3 times the bound leave the label table, whatever its size; they are broadcast to find their
@@ -124,4 +124,4 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, label: str, most: t
     rows = documents.select("doc_id", "text").join(F.broadcast(known.where(under)), "doc_id")
     order = Window.partitionBy("label").orderBy("drawn", "doc_id", F.xxhash64("text"))
     chosen = rows.withColumn("place", F.row_number().over(order)).where((F.col("place") <= most[0]) & (F.col("label") == 0) | (F.col("place") <= most[1]) & (F.col("label") == 1))
-    return chosen.select("label", "place", value.alias("value")).toPandas().sort_values(["label", "place"], ignore_index=True)
+    return chosen.select("label", "place", value.alias("value")).toArrow().sort_by([("label", "ascending"), ("place", "ascending")])

@@ -24,6 +24,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,13 +96,13 @@ class Model:
         return np.add.reduceat(self.weights[found], bounds[:-1]) / np.diff(bounds)
 
 
-def trust(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, n: int) -> np.ndarray:
+def trust(ids: np.ndarray, bounds: np.ndarray, labels: np.ndarray, n: int) -> np.ndarray:
     """How far each of ``n`` buckets is heard, 0 to 1: z**4 / (z**4 + DOUBT**4), z being by how many standard errors
     its presence differs between the classes. What stands in a few texts by chance is heard little, but heard."""
     of = np.bincount(labels, minlength=2)
     k = np.zeros((n, 2))
-    for (ids, _), c in zip(rows, labels):
-        k[ids, c] += 1  # a bag has each bucket once
+    for a, b, c in zip(bounds[:-1], bounds[1:], labels):
+        k[ids[a:b], c] += 1  # a bag has each bucket once
     pooled = (k.sum(1) + 1) / (of.sum() + 2)
     z = (k[:, 1] / of[1] - k[:, 0] / of[0]) / np.sqrt(pooled * (1 - pooled) * (1 / of).sum())
     return (z**4 / (z**4 + DOUBT**4)).astype(np.float32)
@@ -111,10 +112,17 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     """Adam on the softmax loss of bags; None without both classes."""
     if not np.bincount(labels, minlength=2).all():
         return None
-    used = np.flatnonzero(sum(np.bincount(ids, minlength=BUCKETS) for ids, _ in bags))
-    rows = [(np.searchsorted(used, ids).astype(np.int32), share) for ids, share in bags]
-    heard = trust(rows, labels, len(used))
-    rows = [(ids, share * heard[ids]) for ids, share in rows]
+    bounds = np.concatenate(([0], np.cumsum([len(b[0]) for b in bags])))
+    return _train(np.concatenate([b[0] for b in bags]), np.concatenate([b[1] for b in bags]), bounds, labels, seed)
+
+
+def _train(ids: np.ndarray, shares: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
+    used = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
+    number = np.zeros(BUCKETS, np.int32)
+    number[used] = np.arange(len(used))
+    ids = number[ids]
+    heard = trust(ids, bounds, labels, len(used))
+    shares = shares * heard[ids]
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-0.01, 0.01, (len(used), DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -127,13 +135,13 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
         x[rows] -= RATE * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + EPSILON)
 
     for _ in range(EPOCHS):
-        order = rng.permutation(len(rows))
+        order = rng.permutation(len(labels))
         for b in range(0, len(order), BATCH):
             pick = order[b : b + BATCH]
             step += 1
-            ids, share = (np.concatenate([rows[i][k] for i in pick]) for k in (0, 1))
-            doc = np.repeat(np.arange(len(pick)), [len(rows[i][0]) for i in pick])
-            local, at = np.unique(ids, return_inverse=True)
+            share = np.concatenate([shares[bounds[i] : bounds[i + 1]] for i in pick])
+            doc = np.repeat(np.arange(len(pick)), (bounds[1:] - bounds[:-1])[pick])
+            local, at = np.unique(np.concatenate([ids[bounds[i] : bounds[i + 1]] for i in pick]), return_inverse=True)
             own = emb[local]
             mean = np.stack([np.bincount(doc, own[at, d] * share, len(pick)) for d in range(DIM)], 1).astype(np.float32) * SCALE
             logit = mean @ soft + bias
@@ -156,16 +164,20 @@ def _bags(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: b"".join(x.tobytes() for x in bag(t)))
 
 
-def _bag(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(packed) // 8
-    return np.frombuffer(packed, np.int32, n), np.frombuffer(packed, np.float32, n, 4 * n)
-
-
 def fit(documents: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     """Train on a sample of the labelled documents for which ``where`` (of doc_id) holds."""
     bags = F.pandas_udf(_bags, "binary")(F.coalesce(F.col("text"), F.lit("")))
     got = labelled_sample(documents, labels.where(where), "toxic", (CLEAN_ROWS, TOXIC_ROWS), bags)
-    return train([_bag(bytes(b)) for b in got["value"]], got["label"].to_numpy(np.int64))
+    known = got["label"].to_numpy().astype(np.int64)
+    if not np.bincount(known, minlength=2).all():
+        return None
+    data, offsets = A.binary(pa.concat_arrays(got["value"].chunks))
+    del got
+    half = np.diff(offsets) // 2
+    ids = np.concatenate([data[a : a + n] for a, n in zip(offsets, half)]).view(np.int32)
+    shares = np.concatenate([data[a + n : a + 2 * n] for a, n in zip(offsets, half)]).view(np.float32)
+    del data
+    return _train(ids, shares, np.concatenate(([0], np.cumsum(half // 4))), known)
 
 
 class _Numbers(dict):
