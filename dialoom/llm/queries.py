@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import divergence, licenses, minhash, mixing, ogg, packing, quality, recompression, spelling, suffixes, topk, toxicity
+from dialoom.llm import bpe, divergence, licenses, minhash, mixing, ogg, packing, quality, recompression, spelling, suffixes, topk, toxicity
 from dialoom.llm.common import bucket_of, table
 
 
@@ -67,6 +67,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", (bucket_of("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's token ids and what they decode to."""
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Divergences between the sources of a language, and the terms that each overuses."""
     return divergence.audited(table(spark, sf_dir, "documents").select("text", "lang", "source"))
@@ -77,5 +82,5 @@ def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_toxicity, op3_mix_sources, op4_pack_sequences, op5_minhash_dedup, op6_recompression_dedup, op7_exact_topk, op8_suffix_array_dedup, op9_license_scan, op10_quality, op12_source_divergence, op13_spelling_variants)}
+QUERIES = {f.__name__: f for f in (op1_ogg_media, op2_toxicity, op3_mix_sources, op4_pack_sequences, op5_minhash_dedup, op6_recompression_dedup, op7_exact_topk, op8_suffix_array_dedup, op9_license_scan, op10_quality, op11_bpe_codec, op12_source_divergence, op13_spelling_variants)}
 ORACLES = {"op3_mix_sources": mixing.ORACLE, "op7_exact_topk": topk.ORACLE, "op9_license_scan": licenses.ORACLE, "op12_source_divergence": divergence.ORACLE}
