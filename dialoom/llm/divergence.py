@@ -32,7 +32,7 @@ from dialoom.llm.common import cut, text_bytes
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST_DOCUMENTS, TOP, SALT = 3, 200, 16
 #: Matches that a task holds before it adds them up.
-HELD = 6_000_000
+HELD = 2_000_000
 COUNTS = "lang string, term string, n long, docs long, parts array<struct<source: string, n: long>>"
 #: Bytes of a term, lower-cased; all others become 0.
 _BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 0 for b in range(256))
