@@ -1,8 +1,10 @@
-"""Other ways to write a name: without or with the usual beginnings and endings, numerals as words."""
+"""Other ways to write a name: without or with the usual beginnings and endings, numerals as words.
 
-from __future__ import annotations
+Two writings of a name share a key: what is left without a beginning and an ending, its numerals said. A text and
+a known value that share one are held against each other word by word, so nothing is enumerated.
+"""
 
-import itertools
+from __future__ import annotations
 
 import pandas as pd
 from pyspark.sql import Column
@@ -35,30 +37,72 @@ def digit_words(token: str) -> str:
     return " ".join(_ONES[int(d)] for d in token)
 
 
-def numerals(text: str) -> set[str]:
-    """``text`` with every subset of its numerals as words, whole or digit by digit."""
-    tokens = text.split()
-    places = [i for i, t in enumerate(tokens) if t.isascii() and t.isdigit() and len(t) <= 12]
-    out = set()
-    for size in range(len(places) + 1):
-        for some in itertools.combinations(places, size):
-            for say in (lambda t: number_words(int(t)), digit_words):
-                out.add(" ".join(say(t) if i in some else t for i, t in enumerate(tokens)))
-    return out
+#: Ways to say a numeral: as it is, as a number, or digit by digit.
+SAY = (str, lambda t: number_words(int(t)), digit_words)
+
+
+def is_numeral(token: str) -> bool:
+    return token.isascii() and token.isdigit() and len(token) <= 12
+
+
+def said(text: str, say) -> str:
+    """``text`` with its numerals in one way."""
+    return " ".join(say(t) if is_numeral(t) else t for t in text.split()) if any(map(is_numeral, text.split())) else text
+
+
+def stems(text: str) -> set[str]:
+    """``text`` with and without a usual beginning and ending."""
+    begun = [text, *(text[len(p) :] for p in fixed.NAME_PREFIXES if text.startswith(p))]
+    return {*begun, *(x[: len(x) - len(s)] for x in begun for s in fixed.NAME_SUFFIXES if x.endswith(s))}
+
+
+def keys(text: str) -> list[str]:
+    """What all writings of a name have in common: its stems, all numerals said as numbers, or all digit by digit."""
+    return sorted({f"{k}{said(stem, SAY[k])}" for stem in stems(text) for k in (1, 2)})
+
+
+def says(stem: str, other: str) -> bool:
+    """Whether ``other`` is ``stem`` but for numerals that are said, all in one way; others may stand as they are."""
+
+    def follows(say) -> bool:
+        want = other.split()
+        at = 0
+        for token in stem.split():
+            words = say(token).split() if is_numeral(token) else [token]
+            if want[at : at + 1] != [token] and want[at : at + len(words)] != words:
+                return False
+            at += 1 if want[at : at + 1] == [token] else len(words)
+        return at == len(want)
+
+    return stem == other or any(map(is_numeral, stem.split())) and any(map(follows, SAY[1:]))
+
+
+def is_written(text: str, value: str) -> bool:
+    """Whether ``value`` is another writing of ``text``: other beginning or ending, numerals said."""
+    return any(says(stem, other) for stem in stems(text) for other in stems(value))
+
+
+def writings(text: str) -> list[str]:
+    """The texts that a misspelled name is compared by: each stem with each beginning and ending, numerals in each of the three ways."""
+    begun = {b + stem for stem in stems(text) for b in ("", *(p for p in fixed.NAME_PREFIXES if not stem.startswith(p)))}
+    ended = {x + e for x in begun for e in ("", *(s for s in fixed.NAME_SUFFIXES if not x.endswith(s)))}
+    return sorted({said(x, say) for x in ended for say in SAY} - {""})
+
+
+def _column(f, returns: str):
+    def of(*columns: pd.Series) -> pd.Series:
+        return pd.Series([None if None in row else f(*row) for row in zip(*columns)], dtype=object)
+
+    return lambda *columns: F.pandas_udf(of, returns)(*columns)
 
 
-def names_of(text: str) -> list[str]:
-    """All aliases in order, the text itself included."""
-    cut = {text} | {text.removeprefix(p) for p in fixed.NAME_PREFIXES}
-    cut |= {x.removesuffix(s) for x in cut for s in fixed.NAME_SUFFIXES}
-    begun = cut | {p + x for x in cut for p in fixed.NAME_PREFIXES if not x.startswith(p)}
-    ended = begun | {x + s for x in begun for s in fixed.NAME_SUFFIXES if not x.endswith(s)}
-    return sorted({y for x in ended for y in numerals(x)} | {x for x in ended if x.strip()} - {""})
+def key_column(text: Column) -> Column:
+    return _column(keys, "array<string>")(text)
 
 
-def _lists(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [] if t is None else names_of(t))
+def written_column(text: Column, value: Column) -> Column:
+    return _column(is_written, "boolean")(text, value)
 
 
-def aliases(text: Column) -> Column:
-    return F.pandas_udf(_lists, "array<string>")(text)
+def writings_column(text: Column) -> Column:
+    return _column(writings, "array<string>")(text)

@@ -7,9 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dialoom.functions import fixed
-from dialoom.functions.aliases import aliases
-from dialoom.functions.fuzzy import partial_column, ratio_column
+from dialoom.functions.aliases import key_column, writings_column, written_column
+from dialoom.functions.fuzzy import partial_column
 from dialoom.functions.text import canonical_value, database_slot, fuzzy_key, is_valid_time, minutes
+from dialoom.operators.near import near_pairs
 
 
 def find(venues: DataFrame, domain: str, constraints: dict[str, str | None], least: int = 90) -> DataFrame:
@@ -143,10 +144,10 @@ def known_values(schema_slots: DataFrame, venue_values: DataFrame) -> DataFrame:
 def canonical(asked: DataFrame, values: DataFrame, least: int = 90) -> DataFrame:
     """``asked`` (id, service, slot, text) with canonical: the known value that the text stands for, or null.
 
-    First the value itself, then an alias of the text that is known (of several the smallest), then the one
-    value that is nearest to the text's aliases at a ratio of ``least`` or more; if they are nearest to several,
+    First the value itself, then another writing of the text that is known (of several the smallest), then the one
+    value that is nearest to the text's writings at a ratio of ``least`` or more; if they are nearest to several,
     there is none. Time slots have no list: H:MM becomes HH:MM, and what isn't a time goes. Each distinct text is
-    looked up once, against the values of its slot only.
+    looked up once: writings by the keys that they share, near values by an index of letter pairs.
     """
     text = asked.withColumn("text", F.lower(F.trim("text")))
     timed = F.col("slot").isin(*fixed.TIME_SLOTS)
@@ -156,26 +157,25 @@ def canonical(asked: DataFrame, values: DataFrame, least: int = 90) -> DataFrame
     key = ["service", "slot", "text"]
     known = values.select("service", "slot", "value").distinct()
     own = distinct.join(known.withColumn("text", F.col("value")), key, "left").withColumnRenamed("value", "exact")
-    names = own.where("exact is null").select(*key, F.explode(aliases(F.col("text"))).alias("alias"))
-    by_alias = names.join(known.withColumn("alias", F.col("value")), ["service", "slot", "alias"]).groupBy(*key).agg(F.min("value").alias("aliased"))
-    rest = names.join(by_alias, key, "left_anti").join(known, ["service", "slot"]).withColumn("score", ratio_column("alias", "value")).where(F.col("score") >= least)
-    best = rest.groupBy(*key, "alias").agg(F.min(F.struct((-F.col("score")).alias("s"), "value")).alias("b"))
+    other = own.where("exact is null").select(*key)
+    keyed = other.select(*key, F.explode(key_column(F.col("text"))).alias("key"))
+    met = keyed.join(known.select("service", "slot", "value", F.explode(key_column(F.col("value"))).alias("key")), ["service", "slot", "key"]).select(*key, "value").distinct()
+    by_writing = met.where(written_column(F.col("text"), F.col("value"))).groupBy(*key).agg(F.min("value").alias("written"))
+    rest = other.join(by_writing, key, "left_anti").select(*key, F.explode(writings_column(F.col("text"))).alias("writing"))
+    pairs = near_pairs(rest, known, "writing", "value", ["service", "slot"], least)
+    best = rest.join(pairs, ["service", "slot", "writing"]).groupBy(*key, "writing").agg(F.min(F.struct((-F.col("score")).alias("s"), "value")).alias("b"))
     near = best.groupBy(*key).agg(F.min("b.value").alias("low"), F.max("b.value").alias("high")).select(*key, F.when(F.col("low") == F.col("high"), F.col("low")).alias("near"))
-    found = own.join(by_alias, key, "left").join(near, key, "left").select(*key, F.coalesce("exact", "aliased", "near").alias("found"))
+    found = own.join(by_writing, key, "left").join(near, key, "left").select(*key, F.coalesce("exact", "written", "near").alias("found"))
     return text.join(found, key, "left").select("id", "service", "slot", "text", F.when(timed, clock).otherwise(F.col("found")).alias("canonical"))
 
 
 def fuzzy_vocabulary(values: DataFrame, vocabulary: DataFrame, least: int = 90) -> DataFrame:
     """(value, match): the vocabulary's only entry near the value after cleaning; null if none or several."""
-    # a ratio of ``least`` bounds the lengths' ratio, so only entries of such lengths are compared
-    x = (least - 0.5) / 100
-    own = values.select("value").distinct().withColumn("k", fuzzy_key(F.col("value"))).withColumn("n", F.length("k"))
-    lengths = F.sequence(F.ceil(F.col("n") * (x / (2 - x))).cast("int"), F.floor(F.col("n") * ((2 - x) / x)).cast("int"))
-    entries = vocabulary.select("entry", fuzzy_key(F.col("entry")).alias("e")).withColumn("m", F.length("e"))
-    pairs = own.select("value", "k", F.explode(lengths).alias("m")).join(entries, "m")
-    near = pairs.where(ratio_column("k", "e") >= least)
+    own = values.select("value").distinct().withColumn("k", fuzzy_key(F.col("value")))
+    entries = vocabulary.select("entry", fuzzy_key(F.col("entry")).alias("e"))
+    near = own.join(near_pairs(own, entries, "k", "e", least=least), "k").join(entries, "e")
     hits = near.groupBy("value").agg(F.min("entry").alias("low"), F.max("entry").alias("high"))
-    return values.select("value").distinct().join(hits, "value", "left").select("value", F.when(F.col("low") == F.col("high"), F.col("low")).alias("match"))
+    return own.select("value").join(hits, "value", "left").select("value", F.when(F.col("low") == F.col("high"), F.col("low")).alias("match"))
 
 
 def normalise_states(rows: DataFrame, slots: DataFrame, least: int = 90) -> DataFrame:
@@ -191,7 +191,9 @@ def normalise_states(rows: DataFrame, slots: DataFrame, least: int = 90) -> Data
     rows = rows.join(names.select(F.col("value").alias("slot"), F.col("match").alias("_n")), "slot").where("_n is not null")
     rows = rows.select("id", F.col("_s").alias("service"), F.col("_n").alias("slot"), "value").join(slots, ["service", "slot"])
     options = rows.where("is_categorical").select("id", "service", "slot", "value", F.explode("possible_values").alias("option"))
-    options = options.where(ratio_column(fuzzy_key(F.col("value")), fuzzy_key(F.col("option"))) >= least).groupBy("id", "service", "slot", "value").agg(F.min("option").alias("option"))
+    options = options.withColumn("k", fuzzy_key(F.col("value"))).withColumn("e", fuzzy_key(F.col("option")))
+    options = options.join(near_pairs(options, options, "k", "e", ["service", "slot"], least), ["service", "slot", "k", "e"])
+    options = options.groupBy("id", "service", "slot", "value").agg(F.min("option").alias("option"))
     free = rows.where("not is_categorical").select("id", "service", "slot", "value")
     kept = options.select("id", "service", "slot", F.col("option").alias("value")).unionByName(free)
     return services.join(kept, ["id", "service"], "left")

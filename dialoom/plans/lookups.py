@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoom.catalog import register
+from dialoom.functions.aliases import number_words
 from dialoom.functions.text import is_valid_time
 from dialoom.operators import lookup as L
+from dialoom.operators.near import near_pairs
+
+
+def _quoted(items: list[str]) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in items) + "]"
 
 
 def _venues(spark, sf_dir):
@@ -86,18 +92,55 @@ def known_values(spark, sf_dir):
     return L.known_values(schema, p.select(F.col("p_brand").alias("service"), F.lit("type").alias("slot"), F.col("p_type").alias("value")))
 
 
-@register("canonical_values", """
-with n as (select distinct n_name from nation) select s_suppkey as id, lower(n_name) as canonical from supplier join nation on n_nationkey = s_nationkey
+_NUMBERS = [number_words(n) for n in range(51)]
+
+
+@register("canonical_values", f"""
+with n as (select lower(n_name) as name, n_nationkey as k from nation),
+a as (select s_suppkey as id, s_suppkey % 8 as form, name, length(name) as len from supplier join n on k = s_nationkey)
+select id * 2 as id, case when form = 4 then case when len >= 6 then name end when form = 5 then null else name end as canonical from a
+union all
+select p_partkey * 2 + 1, case p_partkey % 6 when 0 then 'hall ' || ({_quoted(_NUMBERS)})[p_size + 1] when 1 then 'hall ' || ({_quoted(_NUMBERS)})[p_size + 1]
+  when 2 then case when p_size < 10 then 'hall ' || ({_quoted(_NUMBERS)})[p_size + 1] end
+  when 3 then lpad((p_size % 10)::varchar, 2, '0') || ':30' when 4 then null else 'dontcare' end from part
 """)
 def canonical_values(spark, sf_dir):
-    """A nation written as "the <name> hotel" is the nation."""
-    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(n, F.col("s_nationkey") == F.col("n_nationkey"))
-    values = n.select(F.lit("x").alias("service"), F.lit("name").alias("slot"), F.lower("n_name").alias("value")).distinct()
-    asked = s.select(F.col("s_suppkey").alias("id"), F.lit("x").alias("service"), F.lit("name").alias("slot"), F.concat(F.lit("The "), "n_name", F.lit(" hotel")).alias("text"))
+    """Names as they are, with other beginnings and endings, misspelled or unknown; numerals said or not; times."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").alias("k"), F.lower("n_name").alias("name"))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").join(n, F.col("k") == F.col("s_nationkey"))
+    form, less = F.col("s_suppkey") % 8, F.concat(F.substring("name", 1, 2), F.expr("substring(name, 4)"))
+    text = (
+        F.when(form == 0, F.upper("name")).when(form == 1, F.concat(F.lit("The "), "name", F.lit(" hotel"))).when(form == 2, F.concat("name", F.lit(" train station")))
+        .when(form == 3, F.concat(F.lit(" the "), "name")).when(form == 4, less).when(form == 5, F.concat(F.lit("q7 "), F.reverse("name"))).otherwise(F.concat("name", F.lit(" museum")))
+    )
+    asked = s.select((F.col("s_suppkey") * 2).alias("id"), F.lit("x").alias("service"), F.lit("name").alias("slot"), text.alias("text"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    form, size = F.col("p_partkey") % 6, F.col("p_size").cast("string")
+    spelled = F.element_at(F.array(*map(F.lit, _NUMBERS)), F.col("p_size").cast("int") + 1)
+    digits = F.array_join(F.transform(F.filter(F.split(size, ""), lambda c: c != ""), lambda c: F.element_at(F.array(*map(F.lit, _NUMBERS[:10])), c.cast("int") + 1)), " ")
+    text = (
+        F.when(form == 0, F.concat(F.lit("The hall "), size, F.lit(" theatre"))).when(form == 1, F.concat(F.lit("hall "), spelled)).when(form == 2, F.concat(F.lit("the hall "), digits))
+        .when(form == 3, F.concat((F.col("p_size") % 10).cast("string"), F.lit(":30"))).when(form == 4, F.concat(F.lit("25:"), size)).otherwise(F.lit("dontcare"))
+    )
+    slot = F.when(form < 3, F.lit("name")).otherwise(F.lit("leave at"))
+    asked = asked.unionByName(p.select((F.col("p_partkey") * 2 + 1).alias("id"), F.lit("y").alias("service"), slot.alias("slot"), text.alias("text")))
+    halls = p.select(F.lit("y").alias("service"), F.lit("name").alias("slot"), F.concat(F.lit("hall "), spelled).alias("value"))
+    values = n.select(F.lit("x").alias("service"), F.lit("name").alias("slot"), F.col("name").alias("value")).unionByName(halls).distinct()
     return L.canonical(asked, values).select("id", "canonical")
 
 
+@register("near_names", """
+with n as (select distinct lower(p_name) as a from part),
+t as (select a, left(a, 3) || substr(a, 5) as b from n)
+select a, b from t where round(200.0 * (length(a) - 1) / (2 * length(a) - 1)) >= 90
+""")
+def near_names(spark, sf_dir):
+    """J8, 4.3: part names without their fourth letter find the names again, through the index of letter pairs."""
+    n = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.lower("p_name").alias("a")).distinct()
+    t = n.select(F.concat(F.substring("a", 1, 3), F.expr("substring(a, 5)")).alias("b"), F.col("a").alias("own"))
+    return near_pairs(n, t, "a", "b").join(t, "b").where("a = own").select("a", "b")
+
+
 @register("intent_signatures", """
 with i as (select p_brand as service, p_partkey as position, p_size % 3 as sig from part)
 select service, position as first from (select *, row_number() over (partition by service, sig order by position) as k from i) where k = 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -143,9 +145,59 @@ def test_numbers_as_words():
 
     said = {0: "zero", 17: "seventeen", 40: "forty", 99: "ninety-nine", 100: "one hundred", 121: "one hundred and twenty-one", 1005: "one thousand and five", 1200: "one thousand, two hundred", 2_000_000: "two million"}
     assert {n: N.number_words(n) for n in said} == said
-    assert N.numerals("restaurant 17") == {"restaurant 17", "restaurant seventeen", "restaurant one seven"}
-    assert {"restaurant two two", "restaurant 2 two", "restaurant two 2"} <= N.numerals("restaurant 2 2")
-    assert {"acorn", "the acorn", "acorn guest house", "acorn hotel", "the acorn hotel"} <= set(N.names_of("the acorn guest house"))
+    assert {"acorn", "the acorn", "acorn guest house", "acorn hotel", "the acorn hotel"} <= set(N.writings("the acorn guest house"))
+    assert [v for v in ("restaurant 17", "restaurant seventeen", "restaurant one seven", "the restaurant seventeen hotel") if not N.is_written("restaurant 17", v)] == []
+    assert not N.is_written("restaurant seventeen", "restaurant 17") and not N.is_written("2 17", "two one seven 2") and not N.is_written("17 17", "seventeen one seven")
+    long = " ".join(str(x) for x in range(100, 140))  # of forty numerals any may be said
+    assert len(N.writings(long)) <= 3 * 22 and N.is_written(long, "the " + long.replace("120", "one hundred and twenty") + " hotel")
+
+
+def test_writings_are_all_that_can_be_listed():
+    """Against listing every way to say every subset of a name's numerals."""
+    from itertools import product
+
+    from dialoom.functions import aliases as N
+
+    rng = random.Random(3)
+    words = ["acorn", "the", "hotel", "house", "2", "17", "007", "guest", "two", "seventeen", "one", "seven"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 5))) for _ in range(120)]
+    for text in texts:
+        listed = set()
+        for stem in N.stems(text):
+            tokens = stem.split()
+            for say in N.SAY[1:]:
+                for flags in product(*[[0, 1] if N.is_numeral(t) else [0] for t in tokens]):
+                    listed.add(" ".join(say(t) if f else t for t, f in zip(tokens, flags)))
+            listed.add(stem)
+        for value in texts + sorted(listed):
+            assert N.is_written(text, value) == bool(listed & N.stems(value)), (text, value)
+            assert not N.is_written(text, value) or set(N.keys(text)) & set(N.keys(value)), (text, value)
+
+
+@pytest.mark.parametrize("least", [87, 90, 97])
+def test_near_pairs(spark, least):
+    """The index loses no pair: against comparing all."""
+    from dialoom.functions.fuzzy import ratio
+    from dialoom.operators.near import near_pairs
+
+    rng = random.Random(least)
+    base = ["".join(rng.choice("abc é") for _ in range(rng.randint(1, 24))) for _ in range(60)] + ["aaaaaaaa", "aaaaaaab", "abababab", "babababa", "", "a", "b"]
+
+    def changed(t):
+        for _ in range(rng.randint(1, 4)):
+            i = rng.randint(0, len(t))
+            t = t[:i] + rng.choice(["", "x", "ab", "é"]) + t[i + rng.randint(0, 2) :]
+        return t
+
+    right = base + [changed(rng.choice(base)) for _ in range(200)]
+    a = spark.createDataFrame([(i % 2, t) for i, t in enumerate(base)] + [(0, None)], "k int, a string")
+    b = spark.createDataFrame([(i % 2, t) for i, t in enumerate(right)] + [(1, None)], "k int, b string")
+    got = sorted(map(tuple, near_pairs(a, b, "a", "b", ["k"], least).collect()))
+    assert got == sorted({(i % 2, x, y, ratio(x, y)) for i, x in enumerate(base) for j, y in enumerate(right) if i % 2 == j % 2 and ratio(x, y) >= least})
+    plan = near_pairs(a, b, "a", "b", (), least)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    with pytest.raises(ValueError):
+        near_pairs(a, b, "a", "b", (), 86)
 
 
 def test_canonical(spark):
