@@ -5,6 +5,8 @@ from __future__ import annotations
 import json
 import re
 import string
+from bisect import bisect_left
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import fixed
 from dialoom.functions.fuzzy import ratio
+from dialoom.operators.near import lost
 
 _PUNCTUATION = str.maketrans("", "", string.punctuation)
 
@@ -20,16 +23,61 @@ def _key(x: str) -> str:
     return x.lower().translate(_PUNCTUATION).strip()
 
 
-def replace_fuzzy(text: str, value: str, replacement: str, least: int = 90) -> str:
+class Words:
+    """A text's words, and the line of them as it is compared, made once for all values that are looked for in it."""
+
+    def __init__(self, text: str):
+        self.text, self.words = text, text.split(" ")
+        self.line = text.lower().translate(_PUNCTUATION)
+
+    def starts(self, want: str, least: int) -> Iterable[int]:
+        """The words at which an n-gram near ``want`` can begin: those after which enough of its letter pairs stand near by.
+
+        An n-gram at ``least`` or more keeps all pairs of ``want`` but a bounded share, and isn't much longer.
+        """
+        if len(want) < 2 or least < 87:
+            return range(len(self.words))
+        share = (least - 0.5) / 100
+        needed = len(want) - 1 - int(len(want) * lost(least) + 1e-9)
+        reach = int(len(want) * (2 - share) / share + 1e-9)
+        line, hits = self.line, []
+        for pair in {want[i : i + 2] for i in range(len(want) - 1)}:
+            at = line.find(pair)
+            while at >= 0:
+                hits.append(at)
+                at = line.find(pair, at + 1)
+        if len(hits) < needed:
+            return ()
+        hits.sort()
+        # from each hit as far as an n-gram reaches there are enough: only n-grams that hold such a hit first are looked at
+        first = [a for k, a in enumerate(hits) if k + needed <= len(hits) and hits[k + needed - 1] < a + reach - 1]
+        if not first:
+            return ()
+        out, at, k = [], 0, 0
+        for i, word in enumerate(line.split(" ")):
+            if word:
+                while k < len(first) and first[k] < at:
+                    k += 1
+                if k == len(first):
+                    break
+                if bisect_left(hits, at + reach - 1) - bisect_left(hits, at) >= needed:
+                    out.append(i)
+            else:  # an n-gram that begins with nothing is the one after it, with a blank that goes
+                out.append(i)
+            at += len(word) + 1
+        return out
+
+
+def replace_fuzzy(text: str | Words, value: str, replacement: str, least: int = 90) -> str:
     """All places of the word n-gram that is nearest to ``value``, at ``least`` or more; the first of the nearest by start, then length.
 
     Places right after ``[value_`` stay. N-grams grow with their words, so each start ends where its n-gram has
     become too long for a better ratio, and those whose length rules it out otherwise aren't compared.
     """
-    want = _key(value)
-    words = text.split(" ")
+    index = text if isinstance(text, Words) else Words(text)
+    want, words = _key(value), index.words
     best, found = least - 1, None
-    for i in range(len(words)):
+    for i in index.starts(want, least):
         for stop in range(i + 1, len(words) + 1):
             gram = " ".join(words[i:stop])
             got = _key(gram)
@@ -40,8 +88,8 @@ def replace_fuzzy(text: str, value: str, replacement: str, least: int = 90) -> s
             if gram and (score := ratio(got, want)) > best:
                 best, found = score, gram
     if found is None:
-        return text
-    return re.sub(rf"(?<!\[value_){re.escape(found)}", lambda _: replacement, text)
+        return index.text
+    return re.sub(rf"(?<!\[value_){re.escape(found)}", lambda _: replacement, index.text)
 
 
 def name_of(slot: str, evaluation: bool = False) -> str:
@@ -60,9 +108,12 @@ def placeholders_fixed(text: str, evaluation: bool = False) -> str:
 
 def delexicalise(text: str, pairs: list[tuple[str, str]], evaluation: bool = False, least: int = 90) -> str:
     """Values of (slot, value) pairs replaced, longest first, then by slot and value."""
+    index = Words(text)
     for slot, value in sorted({(s, v) for s, v in pairs if v and s != "service"}, key=lambda p: (-len(p[1]), *p)):
-        text = replace_fuzzy(text, value, name_of(slot, evaluation), least)
-    return text
+        after = replace_fuzzy(index, value, name_of(slot, evaluation), least)
+        if after != index.text:
+            index = Words(after)
+    return index.text
 
 
 def _values(value: str | None) -> list[str]:

@@ -117,6 +117,25 @@ def test_rewriting():
     assert rewrite.name_of("entrance fee", True) == "[value_price]" and rewrite.name_of("parking", True) == "[parking]"
 
 
+def test_seeds_lose_no_place(monkeypatch):
+    """Against comparing every word n-gram: odd letters, blanks, punctuation, short and repeating values."""
+    rng = random.Random(8)
+    words = ["acorn", "guest", "House", "house,", "the", "", "-", "a", "aa", "aaa", "É", "İs", "[value_x]", "west", "Σς", "cheap.", "o'clock"]
+    rows = []
+    for _ in range(1500):
+        text = " ".join(rng.choice(words) for _ in range(rng.randint(0, 12)))
+        value = list(" ".join(rng.choice(words) for _ in range(rng.randint(1, 4))))
+        for _ in range(rng.randint(0, 3)):
+            value[rng.randint(0, len(value)) : rng.randint(0, len(value) + 1)] = rng.choice(["", "x", " "])
+        rows.append((text, "".join(value)))
+    for least in (90, 95):
+        seeded = [rewrite.replace_fuzzy(t, v, "[v]", least) for t, v in rows]
+        with monkeypatch.context() as m:
+            m.setattr(rewrite.Words, "starts", lambda self, want, least: range(len(self.words)))
+            assert seeded == [rewrite.replace_fuzzy(t, v, "[v]", least) for t, v in rows]
+        assert 50 < sum("[v]" in x for x in seeded) < 1400
+
+
 def test_delexicalised(spark):
     from pyspark.sql import functions as F
 
