@@ -1,8 +1,4 @@
-"""Retrieval: exact vector top-k, its distinct-key form, prompt injection, index growth.
-
-Queries are the small side and come in blocks: the frame of queries is broadcast only while it holds
-``MOST_QUERIES`` rows at most; larger ones are taken in that many at a time.
-"""
+"""Retrieval: exact vector top-k (by ``vectors``), its distinct-key form, prompt injection, index growth."""
 
 from __future__ import annotations
 
@@ -10,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MOST_QUERIES = 2000
+from dialoom.operators.vectors import Index, top_k
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -32,25 +28,7 @@ def mean_pooled(vectors: Column, mask: Column) -> Column:
     return normalised(F.transform(total, lambda x: x / count))
 
 
-def scores(queries: DataFrame, index: DataFrame, digits: int | None = None) -> DataFrame:
-    """(q, qv) and (id, v, ...) -> q, id, ..., score for all pairs, in blocks of queries."""
-    n = queries.count()
-    out = None
-    for part in range(max(1, -(-n // MOST_QUERIES))):
-        some = queries if n <= MOST_QUERIES else queries.where(F.pmod(F.xxhash64("q"), F.lit(-(-n // MOST_QUERIES))) == part)
-        s = dot(F.col("qv"), F.col("v"))
-        got = index.join(F.broadcast(some), F.lit(True)).withColumn("score", F.round(s, digits) if digits is not None else s).drop("qv", "v")
-        out = got if out is None else out.unionByName(got)
-    return out
-
-
-def top_k(queries: DataFrame, index: DataFrame, k: int, digits: int | None = None) -> DataFrame:
-    """q, id, ..., score, rank: the k best by inner product, ties to the smaller id; the whole pool if it is smaller."""
-    order = W.partitionBy("q").orderBy(F.desc("score"), "id")
-    return scores(queries, index, digits).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def distinct_top_k(queries: DataFrame, index: DataFrame, k: int, key: str, distinct: int | None = None, overfetch: int = 0, digits: int | None = None) -> DataFrame:
+def distinct_top_k(queries: DataFrame, index: DataFrame | Index, k: int, key: str, distinct: int | None = None, overfetch: int = 0, digits: int | None = None) -> DataFrame:
     """Top-k that first takes the best row of each of ``distinct`` unseen keys, then fills up in rank order.
 
     Only the ``max(overfetch, k)`` best rows are considered; fewer rows give a shorter answer.
