@@ -1,7 +1,9 @@
 """Prompts of the labelling stages: a call of the agent per turn, solved examples before the one to complete.
 
-A mode names the call's arguments in order; the last one is what the stage predicts. Examples show a whole
-call, the last call stops where its prediction begins, with the prefix that all predictions of the mode share.
+A mode names the call's arguments in order. A stage predicts the last one, with the prefix that all its predictions
+share; where that is a text which the stage is given (a noisy channel), it predicts the code before it, and only training
+completes the text, from its first character on. Examples show a whole call, the last call stops where its
+prediction begins.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# fixed values: mode -> arguments in order, the predicted one last
+# fixed values: mode -> arguments in order
 MODES = {
     "causal_dst": ("belief_state", "last_system_utterance", "user_utterance", "user_intent"),
     "noisy_channel_dst": ("belief_state", "last_system_utterance", "user_intent", "user_utterance"),
@@ -23,11 +25,20 @@ MODES = {
 CODE = ("belief_state", "user_intent", "db_result", "history", "system_acts")
 
 
-def completion_prefix(mode: str) -> str:
-    """What each completion of a mode begins with."""
-    if mode.endswith("dst"):
-        return "[agent."
-    return "" if mode.startswith("response_gen") else "["
+def is_channel(mode: str) -> bool:
+    return "noisy_channel" in mode
+
+
+def predicted(mode: str, training: bool = False) -> str:
+    """The argument that a mode's prompt leaves to complete."""
+    return MODES[mode][-2 if is_channel(mode) and not training else -1]
+
+
+def completion_prefix(mode: str, training: bool = False) -> str:
+    """What each completion of a mode begins with, which its prompt gives already."""
+    if training and is_channel(mode) or mode.startswith("response_gen"):
+        return ""
+    return "[agent." if predicted(mode) == "user_intent" else "["
 
 
 def quoted(text: Column) -> Column:
@@ -57,30 +68,32 @@ def example(mode: str, turn: Column, number: Column) -> Column:
     return call(number, [(k, turn[k]) for k in MODES[mode]])
 
 
-def prompt(mode: str, arguments: dict[str, Column], examples: Column | None = None, preamble: str = "") -> Column:
+def prompt(mode: str, arguments: dict[str, Column], examples: Column | None = None, preamble: str = "", training: bool = False) -> Column:
     """A mode's prompt: preamble, solved examples (an array of turns), and the turn up to what it predicts.
 
     Predictions from the history take no examples, and those given are left out.
     """
-    names, predicted = MODES[mode][:-1], MODES[mode][-1]
+    target = predicted(mode, training)
+    names = MODES[mode][: MODES[mode].index(target)]
     none = examples is None or mode == "causal_sys_act_policy_from_hist"
     shown = F.lit("") if none else F.array_join(F.transform(examples, lambda e, i: F.concat(example(mode, e, i + 1), F.lit("\n\n"))), "")
     number = F.lit(1) if none else F.size(examples) + 1
     own = [(k, arguments[k]) for k in names if k in arguments]
-    return F.concat(F.lit(f"{preamble}\n\n"), shown, call(number, own, predicted), F.lit(completion_prefix(mode)))
+    return F.concat(F.lit(f"{preamble}\n\n"), shown, call(number, own, target), F.lit(completion_prefix(mode, training)))
 
 
-def completion(mode: str, value: Column) -> Column:
-    """What the prompt of a mode leaves to complete, of the predicted argument's value."""
-    said = value if MODES[mode][-1] in CODE else quoted(value)
-    prefix = completion_prefix(mode)
-    return F.when(said.startswith(prefix), said.substr(F.lit(len(prefix) + 1), F.length(said)))
+def completion(mode: str, value: Column, training: bool = True) -> Column:
+    """What the prompt of a mode leaves to complete, of the predicted argument's value; a value that can't follow the prompt is an error."""
+    said = F.coalesce(value, F.lit("None")) if predicted(mode, training) in CODE else quoted(value)
+    prefix = completion_prefix(mode, training)
+    wrong = F.raise_error(F.concat(F.lit(f"{mode}: a completion must begin with {prefix}: "), said)).cast("string")
+    return F.when(said.startswith(prefix), said.substr(F.lit(len(prefix) + 1), F.length(said))).otherwise(wrong)
 
 
-def training_pairs(turns: DataFrame, mode: str, arguments: dict[str, Column], preamble: str = "") -> DataFrame:
-    """(prompt, completion) of turns, with the prompt that inference uses; values without the mode's prefix are left out."""
-    rows = turns.select(prompt(mode, arguments, preamble=preamble).alias("prompt"), completion(mode, arguments[MODES[mode][-1]]).alias("completion"))
-    return rows.where("completion is not null")
+def training_pairs(turns: DataFrame, mode: str, arguments: dict[str, Column], preamble: str = "", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(keep, prompt, completion) of all turns, with the prompt that inference uses (a noisy channel's goes on to the text)."""
+    target = arguments[predicted(mode, True)]
+    return turns.select(*keep, prompt(mode, arguments, preamble=preamble, training=True).alias("prompt"), completion(mode, target).alias("completion"))
 
 
 def weighed(pairs: dict[str, DataFrame], weights: dict[str, float]) -> dict[str, tuple[DataFrame, float]]:

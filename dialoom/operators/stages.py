@@ -58,19 +58,6 @@ def visible(turns: DataFrame, stage: str) -> DataFrame:
     return turns.select(*[c for c in VISIBLE[stage] if c in turns.columns])
 
 
-def prompt(task: str, arguments: dict[str, Column], examples: Column | None = None, instruction: str = "") -> Column:
-    """A stage's prompt: instruction, solved examples, then the turn's arguments as keywords of a call to complete."""
-    args = [F.concat(F.lit(f"    {k}="), F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2)) for k, v in arguments.items()]
-    call = F.concat(F.lit(f"{task}(\n"), F.concat_ws(",\n", *args), F.lit("\n)"))
-    shown = F.lit("") if examples is None else F.array_join(F.transform(examples, lambda e: F.concat(e, F.lit("\n"))), "")
-    return F.concat(F.lit(f"{instruction}\n" if instruction else ""), shown, call, F.lit(" -> "))
-
-
-def training_pairs(turns: DataFrame, task: str, arguments: dict[str, Column], completion: Column) -> DataFrame:
-    """(prompt, completion) instances with the prompt that inference would use."""
-    return turns.select(prompt(task, arguments).alias("prompt"), completion.alias("completion"))
-
-
 def index_rows(turns: DataFrame, predicted: str, schema: dict[str, list[str]] | None = None) -> DataFrame:
     """A stage's predictions as rows of its index: state, cleaned by the schema, and its change."""
     clean = (lambda c: S.clean_state(c, schema)) if schema else S.remove_blank_values

@@ -162,6 +162,70 @@ def stage_prompts(spark, sf_dir):
     return c.select("conv_id", "turn", F.md5(P.prompt("non_causal_sys_act_resp_only", {"system_response": F.col("before")}, examples, "# say it")).alias("prompt"))
 
 
+#: Of a turn's neighbours: the arguments of all modes, as columns and in SQL.
+_ARGUMENTS = {
+    "belief_state": """'{"' || role || '": ' || turn || '}'""",
+    "last_system_utterance": "before",
+    "user_utterance": "said",
+    "user_intent": """'[agent.find(' || turn || ')]'""",
+    "system_response": "after",
+    "system_acts": """'[Inform(' || turn % 3 || ')]'""",
+    "history": """'["' || turn || '"]'""",
+}
+_TURNS = f"""
+with c as (select conv_id, turn, role, '"' || {_LITERAL} || '"' as text from conversations),
+s as (select conv_id, turn, role, coalesce(text, 'None') as said, coalesce(lag(text) over w, 'None') as before, coalesce(lead(text) over w, 'None') as after from c window w as (partition by conv_id order by turn))
+"""
+
+
+def _prompt_sql(mode: str, target: str, prefix: str) -> str:
+    names = P.MODES[mode][: P.MODES[mode].index(target)]
+    said = "".join(f" || chr(10) || '        {k}=' || ({_ARGUMENTS[k]}) || ','" for k in names)
+    return f"'# do' || chr(10) || chr(10) || '    # Example 1' || chr(10) || '    response = agent.handle_turn('{said} || chr(10) || '        {target}={prefix}'"
+
+
+#: mode -> (what inference predicts, its prefix, what training completes, its prefix), stated apart from the operator.
+_TARGETS = {
+    "causal_dst": ("user_intent", "[agent.", "user_intent", "[agent."),
+    "noisy_channel_dst": ("user_intent", "[agent.", "user_utterance", ""),
+    "non_causal_sys_act_resp_only": ("system_acts", "[", "system_acts", "["),
+    "non_causal_sys_act_resp_only_noisy_channel": ("system_acts", "[", "system_response", ""),
+    "causal_sys_act_policy_from_hist": ("system_acts", "[", "system_acts", "["),
+    "causal_sys_act_policy_simple": ("system_acts", "[", "system_acts", "["),
+    "response_gen_simple": ("system_response", "", "system_response", ""),
+}
+
+
+def _arguments(spark, sf_dir):
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("before", F.lag("text").over(w)).withColumn("after", F.lead("text").over(w))
+    turn = F.col("turn").cast("string")
+    return c, {
+        "belief_state": F.concat(F.lit('{"'), "role", F.lit('": '), turn, F.lit("}")), "last_system_utterance": F.col("before"), "user_utterance": F.col("text"),
+        "user_intent": F.concat(F.lit("[agent.find("), turn, F.lit(")]")), "system_response": F.col("after"),
+        "system_acts": F.concat(F.lit("[Inform("), (F.col("turn") % 3).cast("string"), F.lit(")]")), "history": F.concat(F.lit('["'), turn, F.lit('"]')),
+    }
+
+
+@register("mode_prompts", _TURNS + " union all ".join(f"select conv_id, turn, '{m}' as mode, md5({_prompt_sql(m, target, prefix)}) as prompt from s" for m, (target, prefix, _, _) in _TARGETS.items()))
+def mode_prompts(spark, sf_dir):
+    """Each turn's prompt in all seven modes; a noisy channel asks for the code before the text."""
+    c, arguments = _arguments(spark, sf_dir)
+    prompts = F.array(*[F.struct(F.lit(m).alias("mode"), F.md5(P.prompt(m, arguments, preamble="# do")).alias("prompt")) for m in P.MODES])
+    return c.select("conv_id", "turn", F.explode(prompts).alias("p")).select("conv_id", "turn", "p.*")
+
+
+@register("mode_pairs", _TURNS + " union all ".join(f"select conv_id, turn, '{m}' as mode, md5({_prompt_sql(m, target, prefix)}) as prompt, md5(substr({_ARGUMENTS[target]}, {len(prefix) + 1})) as completion from s" for m, (_, _, target, prefix) in _TARGETS.items()))
+def mode_pairs(spark, sf_dir):
+    """G14, 2.18: training pairs of all turns in all seven modes; no mode loses a turn."""
+    c, arguments = _arguments(spark, sf_dir)
+    pairs = [P.training_pairs(c, m, arguments, "# do", ("conv_id", "turn")).withColumn("mode", F.lit(m)) for m in P.MODES]
+    out = pairs[0]
+    for more in pairs[1:]:
+        out = out.unionByName(more)
+    return out.select("conv_id", "turn", "mode", F.md5("prompt").alias("prompt"), F.md5("completion").alias("completion"))
+
+
 @register("prompt_histories", """
 with c as (select conv_id, turn, role, text from conversations)
 select conv_id, turn, (select array_to_string(list(h.text order by h.turn), '|') from c h where h.conv_id = c.conv_id and h.turn <= c.turn and h.turn > c.turn - 5) as history from c

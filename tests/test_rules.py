@@ -252,6 +252,19 @@ def test_random_k(spark):
     assert len(few) == 120 and random_k(q, pool.limit(0), "q", "p", 5).count() == 0
 
 
+def test_completions_that_cannot_follow_are_errors(spark):
+    from pyspark.errors import SparkRuntimeException
+    from pyspark.sql import functions as F
+
+    from dialoom.operators import prompts as P
+
+    row = spark.createDataFrame([("no call", "hi")], "code string, text string")
+    with pytest.raises(SparkRuntimeException, match="must begin with"):
+        row.select(P.completion("causal_dst", F.col("code"))).collect()
+    assert row.select(P.completion("noisy_channel_dst", F.col("text"))).first()[0] == '"hi"'
+    assert P.predicted("noisy_channel_dst") == "user_intent" and P.predicted("noisy_channel_dst", True) == "user_utterance"
+
+
 def test_prompts(spark):
     from pyspark.sql import functions as F
 
