@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dialoom.catalog import register
 from dialoom.operators import candidates as C
+from dialoom.operators.ngrams import Model, words
 
 _C = "with c as (select l_orderkey as item, 'part ' || l_partkey % 40 as completion, l_extendedprice as score, l_linenumber as line from lineitem)"
 
@@ -29,19 +30,67 @@ def chosen_candidate(spark, sf_dir):
     return C.best(candidates(spark, sf_dir).select("item", "completion", "score"))
 
 
-@register("reranked_candidates", _C + """
-, d as (select item, completion, max(score) as score from c group by 1, 2), m as (select *, count(*) over (partition by item) as n from d)
-select item, completion, round(case when n = 1 then score else -length('order' || item) / 10.0 - length(completion) / 10.0 end, 6)::double as score from m
+_GRAMS = """
+g as (select k, array_to_string(w[i - k + 1 : i - 1], ' ') as context, w[i] as word, count(*) as n from toks, (select unnest(range(3, 400)) as i) i, (select unnest([1, 2, 3]) as k) k where i <= len(w) group by all),
+tot as (select k, context, sum(n)::bigint as total from g group by all),
+v as (select count(*) as v from g where k = 1)"""
+_MIXED = "(coalesce({n}, 0) + 2.0::double * ({below})) / (coalesce({t}, 0) + 2.0::double)"
+
+
+@register("reranked_candidates", _C + f"""
+, toks as (select ['<s>', '<s>', 'part', (l_partkey % 40)::varchar, 'by', lower(l_returnflag || l_linestatus), '</s>'] as w from lineitem), {_GRAMS},
+d as (select item, completion, max(score) as score from c group by 1, 2), m as (select *, count(*) over (partition by item) as n from d),
+least as (select l_orderkey as item, lower(min(l_returnflag || l_linestatus)) as mode from lineitem group by 1),
+asked as (select distinct completion, mode from m join least using (item)),
+ends as (
+  select completion, mode, unnest([1, 2]) as place, unnest(['by', mode]) as word, unnest([split_part(completion, ' ', 2), 'by']) as one, unnest([completion, split_part(completion, ' ', 2) || ' by']) as two from asked),
+p as (
+  select e.*, ln({_MIXED.format(n="g3.n", t="t3.total", below=_MIXED.format(n="g2.n", t="t2.total", below=_MIXED.format(n="g1.n", t="t1.total", below="1.0::double / (v.v + 1)")))}) as p
+  from ends e cross join v
+  left join g g1 on g1.k = 1 and g1.word = e.word left join tot t1 on t1.k = 1
+  left join g g2 on g2.k = 2 and g2.context = e.one and g2.word = e.word left join tot t2 on t2.k = 2 and t2.context = e.one
+  left join g g3 on g3.k = 3 and g3.context = e.two and g3.word = e.word left join tot t3 on t3.k = 3 and t3.context = e.two),
+x as (select completion, mode, list_sum(list(p order by place)) as p from p group by 1, 2)
+select m.item, completion, round(case when n = 1 then score else x.p end, 6)::double as score from m join least using (item) join x using (completion, mode)
 """)
 def reranked_candidates(spark, sf_dir):
-    """Scores of the channel replace the candidates' own, each distinct text scored once."""
+    """How likely an order's least flags are after each candidate, by word trigrams of all lines, replaces the candidates' own scores."""
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    said = li.select(F.concat(F.lit("part "), (F.col("l_partkey") % 40).cast("string"), F.lit(" by "), F.lower(F.concat("l_returnflag", "l_linestatus"))).alias("text"))
+    least = li.groupBy(F.col("l_orderkey").alias("item")).agg(F.concat(F.lit(" by "), F.lower(F.min(F.concat("l_returnflag", "l_linestatus")))).alias("target"))
     c = candidates(spark, sf_dir).groupBy("item", "completion").agg(F.max("score").alias("score"))
-    target = F.concat(F.lit("order"), F.col("item").cast("string"), F.lit(" "), F.replace("completion", F.lit(" "), F.lit("_")))
-    texts = C.channel_texts(c.select("item", F.lit("p: ").alias("prompt"), "completion", target.alias("target")))
-    got = C.rerank(c, C.score_once(texts, C.mock_scorer))
+    texts = C.channel_texts(c.join(least, "item").select("item", F.lit("").alias("prompt"), "completion", "target"))
+    got = C.rerank(c, C.score_once(texts.withColumn("same", F.lit(False)), Model.count(said).score))
     return got.select("item", "completion", F.round("score", 6).alias("score"))
 
 
+@register("greedy_texts", f"""
+with recursive toks as (select list_concat(['<s>', '<s>'], list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> ''), ['</s>']) as w from conversations), {_GRAMS},
+p1 as (select g.word, {_MIXED.format(n="n", t="total", below="1.0::double / (v + 1)")} as p from g join tot using (k, context) cross join v where k = 1),
+b1 as (select word, p from p1 order by p desc, word limit 1),
+p2 as (select g.context, g.word, {_MIXED.format(n="g.n", t="tot.total", below="p1.p")} as p from g join tot using (k, context) join p1 using (word) where k = 2),
+b2 as (select context, word, p from (select *, row_number() over (partition by context order by p desc, word) as r from (
+  select * from p2 union all select context, b1.word, {_MIXED.format(n="0", t="total", below="b1.p")} from tot cross join b1 where k = 2)) where r = 1),
+p3 as (select g.context, g.word, {_MIXED.format(n="g.n", t="tot.total", below="p2.p")} as p from g join tot using (k, context) join p2 on p2.context = split_part(g.context, ' ', 2) and p2.word = g.word where k = 3),
+b3 as (select context, word from (select *, row_number() over (partition by context order by p desc, word) as r from (
+  select * from p3 union all select tot.context, b2.word, {_MIXED.format(n="0", t="tot.total", below="b2.p")} from tot join b2 on b2.context = split_part(tot.context, ' ', 2) where k = 3)) where r = 1),
+starts as (select conv_id, turn, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '')[1 : 1 + turn % 3] as w from conversations),
+walk as (
+  select conv_id, turn, list_concat(['<s>', '<s>'], w) as w, 0 as step, []::varchar[] as said from starts
+  union all
+  select conv_id, turn, list_append(w, next), step + 1, list_append(said, next) from (
+    select walk.*, coalesce(b3.word, b2.word, b1.word) as next from walk
+    left join b3 on b3.context = w[-2] || ' ' || w[-1] left join b2 on b2.context = w[-1] cross join b1 where step < 8) where next <> '</s>')
+select conv_id, turn, array_to_string(max_by(said, step), ' ') as completion from walk group by conv_id, turn
+""")
+def greedy_texts(spark, sf_dir):
+    """G1: each turn's first words completed greedily, by word trigrams of all turns."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    begun = F.array_join(F.slice(words(F.col("text")), F.lit(1), (F.col("turn") % 3 + 1).cast("int")), " ")
+    prompts = c.select(F.struct("conv_id", "turn").alias("id"), begun.alias("prompt"))
+    return Model.count(c).complete(prompts, 8).select("id.conv_id", "id.turn", "completion")
+
+
 @register("joint_texts", _C + """
 , d as (select distinct item, completion from c) select count(distinct completion || 'x') as texts, count(*) as asked from d
 """)
