@@ -264,12 +264,13 @@ def joined_success(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.length("text").alias("n")))), lambda x: x["n"]).alias("n"))
     at = lambda i: F.coalesce(F.try_element_at("n", F.lit(i)), F.lit(0))
     a, b, g = at(1) % 4, at(2) % 4, at(3) % 5
-    upto = lambda lo, hi: F.to_json(F.transform(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.expr("cast(array() as array<int>)")), lambda x: x.cast("string")))
-    turn = lambda slots, venues: F.concat(F.lit('{"slots": '), slots, F.lit(', "domains": ["hotel"], "venues": {"hotel": '), venues, F.lit("}}"))
-    first = turn(F.when(at(1) % 3 == 0, F.lit('["NAME", "PHONE"]')).otherwise(F.lit('["NAME"]')), upto(F.lit(1), a))
-    turns = F.concat(F.lit("["), first, F.lit(", "), turn(F.lit('["NAME"]'), upto(F.floor(a / 2).cast("int") + 1, b)), F.lit("]"))
-    goal = F.concat(F.lit('{"hotel": {"informable": {"area": "west"}, "requestable": ["PHONE"], "venues": '), upto(F.lit(1), g), F.lit("}}"))
-    return rates(judged(c.select(F.col("conv_id").cast("string").alias("dialogue"), turns.alias("turns"), goal.alias("goal"), F.lit("[[], []]").alias("booked"))))
+    upto = lambda lo, hi: F.transform(F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.expr("cast(array() as array<int>)")), lambda x: x.cast("string"))
+    turn = lambda slots, venues: F.struct(slots.alias("slots"), F.array(F.lit("hotel")).alias("domains"), F.create_map(F.lit("hotel"), venues).alias("venues"))
+    name = F.array(F.lit("NAME"))
+    first = turn(F.when(at(1) % 3 == 0, F.array(F.lit("NAME"), F.lit("PHONE"))).otherwise(name), upto(F.lit(1), a))
+    want = F.struct(F.create_map(F.lit("area"), F.lit("west")).alias("informable"), F.array(F.lit("PHONE")).alias("requestable"), upto(F.lit(1), g).alias("venues"))
+    turns, goal = F.array(first, turn(name, upto(F.floor(a / 2).cast("int") + 1, b))), F.create_map(F.lit("hotel"), want)
+    return rates(judged(c.select(F.col("conv_id").cast("string").alias("dialogue"), turns.alias("turns"), goal.alias("goal"), F.expr("array(cast(array() as array<string>), cast(array() as array<string>))").alias("booked"))))
 
 
 @register("venue_columns", "select p_partkey::varchar as id, lower(p_name) as name, p_size::varchar as arrive from part")

@@ -118,7 +118,20 @@ def has_predictions(spark, sf_dir):
     return e.groupBy("user_id").agg(F.bool_and(F.col("value").isNotNull()).alias("has_value"), F.bool_and(F.get_json_object("props", "$.k").isNotNull()).alias("has_k"))
 
 
-@register("active_domains")
+@register("active_domains", """
+with recursive c as (select conv_id, row_number() over (partition by conv_id order by turn) as i, role, (length(text) % 7)::varchar as v from conversations),
+s as (select conv_id, i, (select list({'r': r, 'v': v} order by r) from (select l.role as r, max_by(l.v, l.i) as v from c l where l.conv_id = c.conv_id and l.i <= c.i group by l.role)) as state from c),
+f as (
+  select conv_id, 0::bigint as i, []::varchar[][] as out, []::struct(r varchar, v varchar)[] as before, null::varchar as current, []::varchar[] as changed from c group by conv_id
+  union all
+  select conv_id, i, list_append(out, case when none then []::varchar[] else [next] end), case when none then before else state end, case when none then current else next end, case when none then changed else now end
+  from (select *, len(now) = 0 and current is null as none,
+      case when len(now) = 0 then case when len(changed) > 1 then coalesce(list_filter(changed, lambda d: d <> current)[1], current) else current end
+           when list_contains(now, current) then current else now[1] end as next
+    from (select f.conv_id, s.i, f.out, f.before, f.current, f.changed, s.state, list_transform(list_filter(s.state, lambda x: not list_contains(f.before, x)), lambda x: x.r) as now
+      from f join s on s.conv_id = f.conv_id and s.i = f.i + 1)))
+select conv_id, '[' || array_to_string(list_transform(max_by(out, i), lambda a: '[' || array_to_string(list_transform(a, lambda x: '"' || x || '"'), ',') || ']'), ',') || ']' as active from f group by conv_id
+""")
 def active_domains(spark, sf_dir):
     """Each conversation's active domains by turn (roles as domains, text lengths as slots)."""
     from dialoom.operators.folds import with_active_domains

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import plain_folds
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -83,26 +84,54 @@ def test_parsing():
 
 def test_active_domains():
     h, t = {"hotel": {"area": "west"}}, {"train": {"day": "monday", "to": "ely"}}
-    assert folds.active_domains([{}, h, h, {**h, **t}, {**h, **t}]) == [[], ["hotel"], ["hotel"], ["train"], ["train"]]
+    assert plain_folds.active_domains([{}, h, h, {**h, **t}, {**h, **t}]) == [[], ["hotel"], ["hotel"], ["train"], ["train"]]
     both = {"hotel": {"area": "west", "name": "x"}, "train": {"day": "monday"}}
-    assert folds.active_domains([both, both]) == [["hotel"], ["train"]]
-    assert folds.active_domains([{"b": {"x": "1"}, "a": {"x": "1"}}]) == [["a"]]
-    assert folds.active_domains([both] * 4) == [["hotel"], ["train"], ["train"], ["train"]]  # it moves on once
+    assert plain_folds.active_domains([both, both]) == [["hotel"], ["train"]]
+    assert plain_folds.active_domains([{"b": {"x": "1"}, "a": {"x": "1"}}]) == [["a"]]
+    assert plain_folds.active_domains([both] * 4) == [["hotel"], ["train"], ["train"], ["train"]]  # it moves on once
 
 
 def test_judge():
     goal = {"hotel": {"informable": {"area": "west"}, "requestable": ["REFERENCE"], "venues": ["1", "2"]}}
     turn = {"slots": ["NAME", "REFERENCE"], "domains": ["hotel"], "venues": {"hotel": ["1"]}}
-    assert folds.judge([turn], goal, [["hotel"]]) == {"hotel": (True, True)}
-    assert folds.judge([turn], goal, [[]]) == {"hotel": (True, False)}
-    assert folds.judge([turn | {"venues": {"hotel": ["3"]}}], goal, [["hotel"]]) == {"hotel": (False, False)}
+    assert plain_folds.judge([turn], goal, [["hotel"]]) == {"hotel": (True, True)}
+    assert plain_folds.judge([turn], goal, [[]]) == {"hotel": (True, False)}
+    assert plain_folds.judge([turn | {"venues": {"hotel": ["3"]}}], goal, [["hotel"]]) == {"hotel": (False, False)}
     # a mention that nothing meets withdraws the offer
-    assert folds.judge([turn, turn | {"venues": {"hotel": []}}], goal, [["hotel"], ["hotel"]]) == {"hotel": (False, False)}
-    assert folds.judge([turn, turn | {"venues": {"hotel": []}}, turn], goal, [["hotel"]] * 3) == {"hotel": (True, True)}
+    assert plain_folds.judge([turn, turn | {"venues": {"hotel": []}}], goal, [["hotel"], ["hotel"]]) == {"hotel": (False, False)}
+    assert plain_folds.judge([turn, turn | {"venues": {"hotel": []}}, turn], goal, [["hotel"]] * 3) == {"hotel": (True, True)}
     named = {"hotel": {"informable": {"name": "x"}, "requestable": [], "venues": []}}
-    assert folds.judge([], named, []) == {"hotel": (True, True)}
+    assert plain_folds.judge([], named, []) == {"hotel": (True, True)}
     train = {"train": {"informable": {}, "requestable": [], "venues": ["T1"]}}
-    assert folds.judge([], train, []) == {"train": (True, True)}
+    assert plain_folds.judge([], train, []) == {"train": (True, True)}
+
+
+def test_folds_as_expressions(spark):
+    """Against the plain versions, on random dialogues."""
+    rng = random.Random(6)
+    domains, slots = ["hotel", "train", "taxi", "area"], ["a", "b"]
+    state = lambda: {d: {s: rng.choice("xy") for s in slots if rng.random() < 0.6} for d in domains if rng.random() < 0.5}
+
+    def dialogue():
+        out = []
+        for _ in range(rng.randint(0, 7)):
+            out.append(out[-1] if out and rng.random() < 0.4 else {**(out[-1] if out else {}), **state()})
+        return out
+
+    many = [(i, dialogue()) for i in range(150)]
+    got = folds.with_active_domains(spark.createDataFrame(many, f"id int, states array<{folds.STATE}>")).collect()
+    assert {r.id: r.active for r in got} == {i: plain_folds.active_domains(x) for i, x in many}
+
+    some = lambda items, p=0.5: [x for x in items if rng.random() < p]
+    turn = lambda: {"slots": some(["NAME", "TRAINID", "PHONE", "REFERENCE", "AREA"]), "domains": some(domains), "venues": {d: some(["1", "2", "3"], 0.6) for d in some(domains, 0.8)}}
+    want = lambda: {"informable": {k: "x" for k in some(["name", "area"], 0.3)}, "requestable": some(["PHONE", "REFERENCE", "TRAINID"], 0.3), "venues": some(["1", "2", "3"], 0.8)}
+    rows = []
+    for i in range(200):
+        turns = [turn() for _ in range(rng.randint(0, 5))]
+        rows.append((str(i), turns, {d: want() for d in some(domains, 0.4)}, [some(domains) for _ in turns]))
+    frame = spark.createDataFrame(rows, f"dialogue string, turns array<{folds.TURN}>, goal {folds.GOAL}, booked array<array<string>>")
+    expected = {(i, d, *x) for i, t, g, b in rows for d, x in plain_folds.judge(t, g, b).items()}
+    assert {tuple(r) for r in folds.judged(frame).collect()} == expected and len({x[2:] for x in expected}) == 3
 
 
 def test_rewriting():
