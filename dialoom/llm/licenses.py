@@ -1,10 +1,10 @@
 """License scan: phrases in place, and an exact set-similarity join of text blocks with license notices.
 
-A block is the set of words of consecutive lines, as notices may be wrapped: of each line and all lines after
-it that a notice starting in it can reach, so the lines between the first and the last hold two words less
-than the notice at most; lines without words don't count. It meets a notice when it holds ``CONTAINMENT`` of the
-notice's distinct words at least. Only the notices' words can match, so a block is its words out of these, put in the order
-of their frequency over all documents, rarest first. The join then needs few candidates, and loses none:
+A block is a window of words: for a notice of n words, the 2n - 2 consecutive words of a text that begin with one of
+the notices' words, whatever lines they stand on; so a notice may be wrapped, prefixed or broken up by fewer words
+than it has, and words farther apart make no notice. A block meets a notice when it holds ``CONTAINMENT`` of the
+notice's distinct words at least. Only the notices' words can match, so a block is its words out of these, put in the order of their
+frequency over all documents, rarest first. The join then needs few candidates, and loses none:
 
 - length: a block holds at least the ``need`` words that the notice asks for;
 - prefix: if ``need`` words are shared, then one stands among the first ``size - need + 1`` words of either side;
@@ -53,6 +53,11 @@ def need(words: int, containment: float = CONTAINMENT) -> int:
     return math.ceil(containment * words - 1e-9)
 
 
+def reach(words: int) -> int:
+    """How many words of a text a notice can stand among."""
+    return max(words, 2 * words - 2)
+
+
 def _plain(text: Column) -> Column:
     """A text's words with one space between."""
     lowered = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
@@ -121,19 +126,17 @@ def scan(docs: DataFrame, phrases: dict[str, str] | None = None, notices=NOTICES
         F.when(enough, F.col("text")).alias("text"),
     )
     rows = cut(rows)
-    split = F.filter(F.transform(F.split("text", "\n"), lambda line: F.split(_plain(line), " ")), lambda ws: ws != F.array(F.lit("")))
-    lines = rows.where("text is not null").select("row", F.posexplode(split).alias("line", "words"))
-    # the words of a text before each line
-    before = F.sum(F.size("words")).over(Window.partitionBy("row").orderBy("line")) - F.size("words")
-    lines = lines.select("row", "line", F.size("words").alias("n"), before.alias("at"), F.array_intersect(_strings(order), "words").alias("known"))
-    after = Window.partitionBy("row").orderBy("line").rowsBetween(0, max(spans) - 1)
-    lines = lines.withColumn("next", F.collect_list(F.struct("at", "known")).over(after)).where(F.size("known") > 0)
-    lines = lines.withColumn("span", F.explode(F.array(*[F.lit(n) for n in sorted(set(spans))])))
-    run = F.filter("next", lambda x: x["at"] <= F.col("at") + F.col("n") + F.col("span") - 2)
-    together = F.flatten(F.transform(run, lambda x: x["known"]))
-    blocks = lines.select("row", "line", "span", F.array_intersect(_strings(order), together).alias("block")).withColumn("m", F.size("block"))
-    smallest = min(need(len(ws), containment) for _, ws in wanted)
-    pairs = blocks.where(F.col("m") >= smallest).select("row", "line", "span", "block", "m", F.posexplode(F.expr(f"slice(block, 1, m - {smallest} + 1)")).alias("j", "word")).join(F.broadcast(templates), ["word", "span"])
+    each = rows.where("text is not null").select("row", F.posexplode(F.split(_plain(F.col("text")), " ")).alias("at", "word")).where(F.col("word").isin(order))
+    after = Window.partitionBy("row").orderBy("at").rangeBetween(0, reach(max(spans)) - 1)
+    starts = each.select("row", "at", F.collect_list(F.struct("at", "word")).over(after).alias("next"))
+    least_of = {n: min(need(len(ws), containment) for (_, ws), m in zip(wanted, spans) if m == n) for n in spans}
+    starts = starts.where(F.size("next") >= min(least_of.values()))
+    windows = F.array(*[F.struct(F.lit(n).alias("span"), F.lit(reach(n)).alias("reach"), F.lit(m).alias("fewest")) for n, m in sorted(least_of.items())])
+    starts = starts.select("row", "at", "next", F.explode(windows).alias("w")).select("row", "at", "next", "w.*")
+    run = F.filter("next", lambda x: x["at"] < F.col("at") + F.col("reach"))
+    starts = starts.select("row", F.col("at").alias("line"), "span", "fewest", F.transform(run, lambda x: x["word"]).alias("run")).where(F.size("run") >= F.col("fewest"))
+    blocks = starts.select("row", "line", "span", "fewest", F.array_intersect(_strings(order), "run").alias("block")).withColumn("m", F.size("block")).where(F.col("m") >= F.col("fewest"))
+    pairs = blocks.select("row", "line", "span", "block", "m", F.posexplode(F.expr("slice(block, 1, m - fewest + 1)")).alias("j", "word")).join(F.broadcast(templates), ["word", "span"])
     pairs = pairs.where((F.col("m") >= F.col("least")) & (F.col("j") <= F.col("m") - F.col("least")) & (1 + F.least(F.col("size") - 1 - F.col("i"), F.col("m") - 1 - F.col("j")) >= F.col("least")))
     shared = F.size(F.array_intersect("block", "ws"))
     met = pairs.withColumn("shared", shared).where(F.col("shared") >= F.col("least")).groupBy("row").agg(F.array_sort(F.collect_set("label")).alias("met"), F.max(F.col("shared") / F.col("size")).alias("best"))
@@ -154,9 +157,9 @@ def _oracle() -> str:
         return f"regexp_extract_all(translate(coalesce({x}, ''), '{string.ascii_uppercase}', '{string.ascii_lowercase}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
     phrases = ", ".join(f"('{label}', {p.split()})" for p, label in PHRASES.items())
-    notices = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {need(len(set(t.split())))})" for k, (label, t) in enumerate(NOTICES))
+    notices = ", ".join(f"({k}, '{label}', {sorted(set(t.split()))}, {need(len(set(t.split())))}, {reach(len(t.split()))})" for k, (label, t) in enumerate(NOTICES))
     return f"""
-with phrases(label, ws) as (values {phrases}), notices(k, label, ws, least) as (values {notices}),
+with phrases(label, ws) as (values {phrases}), notices(k, label, ws, least, reach) as (values {notices}),
 texts as (select doc_id, text, {plain('text')} as words from documents),
 places as (
   select t.doc_id, p.label, i from texts t, phrases p, range(0, len(t.words)) r(i)
@@ -165,10 +168,13 @@ places as (
 base as (
   select doc_id, count(*) as n_base, min(i) as first_word, max(i) as last_word, list_sort(list(distinct label)) as base from places group by doc_id
 ),
-lines as (select doc_id, list_distinct({plain('line')}) as block from (select doc_id, unnest(string_split(text, chr(10))) as line from texts)),
+likely as (select doc_id, words, k from texts, notices where len(list_intersect(list_distinct(words), ws)) >= least),
+windows as (
+  select doc_id, k, list_distinct(words[i : i + reach - 1]) as block from (select *, unnest(range(1, len(words) + 1)) as i from likely) join notices using (k)
+  where list_contains(ws, words[i])),
 met as (
   select doc_id, list(distinct label) as met, max(len(list_intersect(block, ws))::double / len(ws)) as best
-  from lines, notices where len(list_intersect(block, ws)) >= least group by doc_id
+  from windows join notices using (k) where len(list_intersect(block, ws)) >= least group by doc_id
 )
 select t.doc_id, len(t.words)::bigint as n_words, coalesce(b.n_base, 0)::bigint as n_base, b.first_word::bigint as first_word, b.last_word::bigint as last_word,
        coalesce(array_to_string(b.base, ','), '') as base_labels,

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import col, text_bytes
+from dialoom.llm.common import col, free_name, text_bytes
 
 UNIT = 192
 PACKET = 5 * UNIT
@@ -176,12 +176,14 @@ def _encode(text: pd.Series) -> pd.Series:
 
 
 def _read(media: pd.Series) -> pd.DataFrame:
-    found = pd.DataFrame([read(bytes(x)) for x in media], columns=[x.split()[0] for x in READ_SCHEMA.split(", ")])
-    return found.astype({"n_bytes": "Int64"})
+    names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
+    rows = [dict.fromkeys(names) if x is None else read(bytes(x)) for x in media]
+    found = pd.DataFrame(rows, columns=names)
+    return found.astype({"n_bytes": "Int64", "payload_bytes": "Int64", "tail_crc32": "Int64", "media_bytes": "Int64", "intact": "boolean"})
 
 
 def _packets(media: pd.Series) -> pd.Series:
-    return media.map(lambda m: [{"serial": k, "packet": p, "granule": g, "seconds": g / RATE} for k, s in demux(bytes(m))[0].items() for p, g in s.packets])
+    return media.map(lambda m: [] if m is None else [{"serial": k, "packet": p, "granule": g, "seconds": g / RATE} for k, s in demux(bytes(m))[0].items() for p, g in s.packets])
 
 
 def media_column(text: str = "text") -> Column:
@@ -190,12 +192,16 @@ def media_column(text: str = "text") -> Column:
 
 
 def read_column(media: Column) -> Column:
-    """An Ogg column as a struct of ``READ_SCHEMA``."""
+    """An Ogg column as a struct of ``READ_SCHEMA``; of a null value all is null."""
     return F.pandas_udf(_read, READ_SCHEMA)(media)
 
 
 def packet_rows(df: DataFrame, media: str = "media") -> DataFrame:
-    """One row for each packet of each logical stream: the columns but ``media``, serial, packet, granule, seconds."""
+    """One row for each packet of each logical stream: the columns but ``media``, serial, packet, granule, seconds.
+
+    Null media has no packets. A new column whose name is taken gets underscores in front.
+    """
     rest = [c for c in df.columns if c != media]
     rows = F.pandas_udf(_packets, "array<struct<serial: long, packet: binary, granule: long, seconds: double>>")(col(media))
-    return df.select(*map(col, rest), F.inline(rows))
+    names = [free_name(df, c) for c in ("serial", "packet", "granule", "seconds")]
+    return df.select(*map(col, rest), F.inline(rows).alias(*names))

@@ -439,6 +439,34 @@ def test_wrapped_licenses(spark):
         assert all(label in r.labels.split(",") and r.score == 1.0 for r in licenses.scan(spark.createDataFrame(wrapped, "doc_id long, text string"), {}, licenses.NOTICES[k : k + 1]).collect())
 
 
+def test_scattered_words_are_no_notice(spark):
+    far = lambda notice, n: " ".join(w + " word" * n for w in notice.split())
+    gpl = "this work is licensed under the gnu general public license version 3"
+    torn = gpl.replace("under", "under" + " other" * 180)
+    rows = [(1, far("released under the mit license", 60)), (2, torn), (3, gpl), (4, "long " * 30_000 + gpl + " words" * 30_000), (5, far("released under the mit license", 60).replace(" ", "\n")), (6, None)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame([(*r, "k") for r in rows], "doc_id long, text string, labels string")).collect()}
+    assert got == {1: ("", 0.0), 2: ("", 0.0), 3: ("gpl", 1.0), 4: ("gpl", 1.0), 5: ("", 0.0), 6: ("", 0.0)}
+
+
+def test_line_breaks_do_not_matter(spark):
+    rows = []
+    for k, (_, notice) in enumerate(licenses.NOTICES):
+        words = [w for x in notice.split() for w in ([x, "other"] if rng.random() < 0.3 else [x]) if w == "other" or rng.random() < 0.97]
+        rows.append((2 * k, prose(20) + " " + " ".join(words) + " " + prose(20)))
+        rows.append((2 * k + 1, "".join(c if c != " " or rng.random() < 0.6 else "\n" for c in rows[-1][1])))
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[2 * k] == got[2 * k + 1] for k in range(len(licenses.NOTICES))) and sum(bool(x) for x, _ in got.values()) > len(licenses.NOTICES)
+
+
+def test_null_media(spark):
+    frame = spark.createDataFrame([(1, None, "s"), (2, "a text", "t")], "doc_id long, text string, serial string")
+    media = frame.select("doc_id", "serial", F.when(F.col("text").isNotNull(), ogg.media_column("text")).alias("media"))
+    got = {r.doc_id: r.m for r in media.select("doc_id", ogg.read_column(F.col("media")).alias("m")).collect()}
+    assert got[1].n_bytes is None and got[1].feature is None and got[2].n_bytes == 6 and got[2].intact
+    packets = ogg.packet_rows(media)
+    assert packets.columns == ["doc_id", "serial", "_serial", "packet", "granule", "seconds"] and {r.doc_id for r in packets.collect()} == {2}
+
+
 def test_toxicity(spark, monkeypatch):
     monkeypatch.setattr(toxicity, "EPOCHS", 30)
     bad = ["trash", "scummy", "idiotic"]
