@@ -64,6 +64,32 @@ def _pairs(entries) -> dict[str, str]:
     return {} if entries is None else {e["key"]: e["value"] for e in entries}
 
 
+def counts_of(predicted: Column, gold: Column) -> Column:
+    """A turn's counters (tp, fp, fn) of two sets; null is the empty set."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.struct(*[c.cast("long").alias(n) for n, c in zip(("tp", "fp", "fn"), set_counts(F.coalesce(predicted, none), F.coalesce(gold, none)))])
+
+
+def merged(counts: Column, over: W | None = None) -> Column:
+    """Counters added up: of a group, or of all rows up to each one with a window. Sums of sums are the same, so parts merge in any order."""
+    added = [F.sum(counts[n]) for n in ("tp", "fp", "fn")]
+    return F.struct(*[(c if over is None else c.over(over)).alias(n) for n, c in zip(("tp", "fp", "fn"), added)])
+
+
+def scores_of(counts: Column) -> Column:
+    """(precision, recall, f1) that counters stand for, 0 where nothing was predicted, or was there."""
+    safe = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
+    p, r = safe(counts["tp"], counts["tp"] + counts["fp"]), safe(counts["tp"], counts["tp"] + counts["fn"])
+    return F.struct(p.alias("precision"), r.alias("recall"), safe(2 * p * r, p + r).alias("f1"))
+
+
+def running_scores(turns: DataFrame, predicted: str, gold: str, by: list[str], order: list[str]) -> DataFrame:
+    """``turns`` with ``so_far``, the counters of its part of the corpus up to each turn, and ``scores``, what they stand for."""
+    upto = W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    rows = turns.withColumn("counts", counts_of(F.col(predicted), F.col(gold))).withColumn("so_far", merged(F.col("counts"), upto))
+    return rows.withColumn("scores", scores_of(F.col("so_far"))).drop("counts")
+
+
 def folded(predicted: Column, gold: Column, least: int = 90) -> Column:
     """The predicted set with each value that a gold one nearly holds, or is held in, replaced by it (the first gold one in order)."""
     import pandas as pd

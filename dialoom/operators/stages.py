@@ -13,6 +13,7 @@ from typing import Protocol
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.operators import acts as A
 from dialoom.operators import metrics as M
 from dialoom.operators import state as S
 
@@ -66,10 +67,18 @@ def index_rows(turns: DataFrame, predicted: str, schema: dict[str, list[str]] |
 
 
 def recorded(turns: DataFrame) -> DataFrame:
-    """(pred, gold, last states as maps) with delta, joint match of state and change; a missing prediction is the empty state."""
+    """(pred, gold, last states as maps) with delta, joint match of state and change, and ``failed``: a missing prediction, which counts as the empty state.
+
+    With ``pred_acts`` and ``gold_acts`` (act lists) also act_scores: precision, recall and f1 of the acts' slot values.
+    """
     p = F.coalesce(F.col("pred"), S.empty())
-    t = turns.withColumn("pred_delta", S.compute_delta(F.col("last"), p)).withColumn("gold_delta", S.compute_delta(F.col("last"), F.col("gold")))
-    return t.withColumn("jga", S.joint_match(p, F.col("gold"))).withColumn("turn_accuracy", S.joint_match(F.col("pred_delta"), F.col("gold_delta")))
+    t = turns.withColumn("failed", F.col("pred").isNull())
+    t = t.withColumn("pred_delta", S.compute_delta(F.col("last"), p)).withColumn("gold_delta", S.compute_delta(F.col("last"), F.col("gold")))
+    t = t.withColumn("jga", S.joint_match(p, F.col("gold"))).withColumn("turn_accuracy", S.joint_match(F.col("pred_delta"), F.col("gold_delta")))
+    if not {"pred_acts", "gold_acts"} <= set(turns.columns):
+        return t
+    said = lambda c: A.slot_values(F.coalesce(c, F.expr(f"cast(array() as array<{A.ACT}>)")))
+    return t.withColumn("act_scores", M.scores_of(M.counts_of(said(F.col("pred_acts")), said(F.col("gold_acts")))))
 
 
 def evaluate(turns: DataFrame | None = None, references: tuple[str, str] | None = None, words: str | None = None, judged: DataFrame | None = None, states: tuple[DataFrame, DataFrame, str] | None = None) -> dict[str, DataFrame]:

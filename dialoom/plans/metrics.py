@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from dialoom.catalog import register
@@ -30,6 +31,21 @@ def rule_f1(spark, sf_dir):
     return got.select("lang", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@register("running_scores", f"""
+with w as (select conv_id, turn, list_distinct({_TOKENS}) as p from conversations),
+s as (select conv_id, turn, p, coalesce(lag(p) over (partition by conv_id order by turn), []) as g from w),
+c as (select conv_id, turn, sum(len(list_intersect(p, g))) over w as tp, sum(len(p) - len(list_intersect(p, g))) over w as fp, sum(len(g) - len(list_intersect(p, g))) over w as fn from s window w as (partition by conv_id order by turn)),
+q as (select *, case when tp + fp > 0 then tp::double / (tp + fp) else 0.0 end as p, case when tp + fn > 0 then tp::double / (tp + fn) else 0.0 end as r from c)
+select conv_id, turn, tp::bigint as tp, fp::bigint as fp, fn::bigint as fn, round(p, 6)::double as precision, round(r, 6)::double as recall, round(case when p + r > 0 then 2 * p * r / (p + r) else 0.0 end, 6)::double as f1 from q
+""")
+def running_scores(spark, sf_dir):
+    """Each turn's words against the words of the turn before, counted up to each turn of a conversation."""
+    before = F.lag("p").over(W.partitionBy("conv_id").orderBy("turn"))
+    t = _turns(spark, sf_dir).withColumn("p", F.array_distinct("words")).withColumn("g", before)
+    rows = M.running_scores(t, "p", "g", ["conv_id"], ["turn"])
+    return rows.select("conv_id", "turn", "so_far.*", *[F.round(f"scores.{c}", 6).alias(c) for c in ("precision", "recall", "f1")])
+
+
 _MODES = "['rail', 'air', 'reg air', 'truck', 'mail', 'dontcare', 'ship', 'air mail']"
 
 

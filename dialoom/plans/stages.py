@@ -241,12 +241,19 @@ def prompt_histories(spark, sf_dir):
     return rows.select("conv_id", "turn", F.array_join(P.history(F.col("s"), F.col("u")), "|").alias("history"))
 
 
-@register("recorded_turns", "select event_id, event_id % 2 = 0 as jga, event_id % 2 = 0 as turn_accuracy from events")
+@register("recorded_turns", _STATES + """
+, n as (select s.event_id, s.event_id % 5 = 0 as failed, (select count(*) from a where a.event_id = s.event_id) as own, (select count(*) from d where d.event_id = s.event_id) as changed,
+  case when s.k <> '' then [s.k] else [] end as g, case when coalesce(s.pk, '') <> '' then [s.pk] else [] end as p from s),
+r as (select *, len(list_intersect(g, p)) as tp from n)
+select event_id, failed, case when failed then own = 0 else changed = 0 end as jga, case when failed then own = 0 else changed = 0 end as turn_accuracy,
+       case when len(p) > 0 then tp::double / len(p) else 0.0 end as act_precision, case when len(g) > 0 then tp::double / len(g) else 0.0 end as act_recall from r
+""")
 def recorded_turns(spark, sf_dir):
-    """A stage's predictions, scored; a failed one counts as the empty state."""
-    gold = _one("hotel", "area", F.col("k"))
-    e = _events(spark, sf_dir).select("event_id", F.when(F.col("event_id") % 2 == 0, gold).alias("pred"), gold.alias("gold"), S.empty().alias("last"))
-    return G.recorded(e).select("event_id", "jga", "turn_accuracy")
+    """The state and the acts of the event before as a stage's predictions, scored; each fifth failed and counts as the empty state."""
+    said = lambda state: F.when(state.isNull(), F.expr(f"cast(array() as array<{A.ACT}>)")).otherwise(F.filter(A.acts_of_delta(F.transform_values(state, lambda _, m: F.map_filter(m, lambda k, v: (k == "k") & (v != "")))), lambda a: F.size(a["entity"]) > 0))
+    s = snapshots(spark, sf_dir)
+    rows = s.select("event_id", F.when(F.col("event_id") % 5 != 0, F.coalesce("before", S.empty())).alias("pred"), F.col("after").alias("gold"), F.coalesce("before", S.empty()).alias("last"), said(F.col("before")).alias("pred_acts"), said(F.col("after")).alias("gold_acts"))
+    return G.recorded(rows).select("event_id", "failed", "jga", "turn_accuracy", F.col("act_scores.precision").alias("act_precision"), F.col("act_scores.recall").alias("act_recall"))
 
 
 @register("joined_success", """
@@ -282,10 +289,18 @@ def venue_columns(spark, sf_dir):
 
 
 @register("schema_rows", """
-select service, slot, vals from (values ('hotel', 'book day', 'mon,tue,dontcare'), ('hotel', 'parking', 'yes,no,dontcare')) t(service, slot, vals), (select count(*) as n from region)
+with p as (select (['hotel', 'train', 'bus', 'restaurant'])[p_size % 4 + 1] as service, p_size % 5 as kind, case when p_size % 5 = 1 then (['yes', 'no', 'free'])[p_partkey % 3 + 1] when p_size % 5 = 4 then (['yes', 'no'])[p_partkey % 2 + 1] else lower(p_brand) end as v, p_partkey from part),
+s as (select service, kind, list(distinct v order by v) as vals, count(*) as n from p where service <> 'bus' group by 1, 2)
+select service, (['book day', 'parking', 'price range', 'book people', 'internet'])[kind + 1] as slot,
+       array_to_string(list_append(case when kind = 1 and list_contains(vals, 'free') then ['yes', 'no'] else vals end, 'dontcare'), ',') as vals, n % 2 = 0 as is_categorical from s
 """)
 def schema_rows(spark, sf_dir):
-    """A service schema as slots."""
-    kind = "service_name string, slots array<struct<name: string, possible_values: array<string>, is_categorical: boolean>>"
-    schema = spark.createDataFrame([("hotel", [("hotel-bookday", ["mon", "tue"], True), ("hotel-parking", ["yes", "no", "free"], True)]), ("bus", [("bus-day", [], False)])], kind)
-    return L.slots_of(schema).select("service", "slot", F.array_join("possible_values", ",").alias("vals"))
+    """A service schema, of the parts' sizes and brands, as slots."""
+    pick = lambda items, by: F.element_at(F.array(*map(F.lit, items)), (by + 1).cast("int"))
+    kind = F.col("p_size") % 5
+    value = F.when(kind == 1, pick(("yes", "no", "free"), F.col("p_partkey") % 3)).when(kind == 4, pick(("yes", "no"), F.col("p_partkey") % 2)).otherwise(F.lower("p_brand"))
+    p = spark.read.parquet(f"{sf_dir}/part.parquet").select(pick(("hotel", "train", "bus", "restaurant"), F.col("p_size") % 4).alias("service_name"), pick(("bookday", "parking", "price range", "bookpeople", "internet"), kind).alias("slot"), value.alias("v"))
+    s = p.groupBy("service_name", "slot").agg(F.array_sort(F.collect_set("v")).alias("possible_values"), (F.count("*") % 2 == 0).alias("is_categorical"))
+    slot = F.struct(F.concat("service_name", F.lit("-"), "slot").alias("name"), "possible_values", "is_categorical")
+    schema = s.groupBy("service_name").agg(F.collect_list(slot).alias("slots"))
+    return L.slots_of(schema).select("service", "slot", F.array_join("possible_values", ",").alias("vals"), "is_categorical")
