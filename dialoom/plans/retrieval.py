@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dialoom.catalog import register
 from dialoom.operators import retrieve as R
+from dialoom.operators.encode import encoded
 from dialoom.operators.vectors import Index
 
 _SCORES = """
@@ -39,6 +40,37 @@ def vector_distinct_top_k(spark, sf_dir):
     return got.select("q", "id", F.col("label").cast("long").alias("label"), F.col("place").cast("long").alias("place"))
 
 
+@register("encoded_turns", """
+with t as (select conv_id, turn, coalesce(text, '') as text from conversations),
+g as (select conv_id, turn, (unicode(text[i]) * 961 + unicode(text[i + 1]) * 31 + unicode(text[i + 2])) % 256 as b from (select *, unnest(range(1, length(text) - 1)) as i from t)),
+c as (select conv_id, turn, b, count(*) as n from g group by all)
+select conv_id, turn, count(b)::bigint as buckets, coalesce(min_by(b, (-n, b)), -1)::bigint as best, round(coalesce(max(n) / sqrt(sum(n * n)), 0), 6)::double as share from t left join c using (conv_id, turn) group by conv_id, turn
+""")
+def encoded_turns(spark, sf_dir):
+    """R2, T5: turns as vectors of hashed character trigrams, by the worker's own encoder; how many buckets each has, and its largest."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "text")
+    v = encoded(c, "text")
+    top = F.array_max("v")
+    best = F.when(top > 0, F.array_position("v", top) - 1).otherwise(F.lit(-1))
+    return v.select("conv_id", "turn", F.size(F.filter("v", lambda x: x > 0)).cast("long").alias("buckets"), best.cast("long").alias("best"), F.round(F.coalesce(top, F.lit(0.0)), 6).alias("share"))
+
+
+@register("nearest_turns", """
+with t as (select conv_id * 1000 + turn as id, coalesce(text, '') as text from conversations),
+g as (select id, (unicode(text[i]) * 961 + unicode(text[i + 1]) * 31 + unicode(text[i + 2])) % 256 as b from (select *, unnest(range(1, length(text) - 1)) as i from t)),
+c as (select id, b, count(*) as n from g group by all), l as (select id, sqrt(sum(n * n)) as l from c group by id),
+s as (select a.id as q, b.id, round(sum(a.n * b.n) / (any_value(x.l) * any_value(y.l)), 6) as score from c a join c b on a.b = b.b and b.id % 3 = 0 join l x on x.id = a.id join l y on y.id = b.id where a.id % 20 = 1 group by a.id, b.id),
+z as (select q.id as q, i.id, coalesce(s.score, 0) as score from t q join t i on i.id % 3 = 0 left join s on s.q = q.id and s.id = i.id where q.id % 20 = 1)
+select q, round(sum(score), 4)::double as total from (select *, row_number() over (partition by q order by score desc, id) as r from z) where r <= 3 group by q
+""")
+def nearest_turns(spark, sf_dir):
+    """The three turns of an index whose encoded text is nearest to that of each twentieth turn."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    v = encoded(c, "text").drop("text")
+    near = R.top_k(v.where("id % 20 = 1").select(F.col("id").alias("q"), F.col("v").alias("qv")), v.where("id % 3 = 0"), 3, digits=6)
+    return near.groupBy("q").agg(F.round(F.sum("score"), 4).alias("total"))
+
+
 @register("vector_norms", "select vec_id, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double))), 6) as norm, 1.0::double as after from embeddings")
 def vector_norms(spark, sf_dir):
     """R2: lengths before and after normalisation."""
