@@ -148,24 +148,45 @@ def _prints(names: np.ndarray, start: np.ndarray, end: np.ndarray) -> list[pa.Ar
 SYMBOLS = -1
 
 
+#: Rules that a task holds before it hands on the distinct ones.
+HELD = 1_500_000
+
+
 def _names(level: int, seed: int):
-    """The distinct rules of a round in each chunk of text. Round 1 also names the words (level 0); the last also counts windows' symbols."""
+    """The distinct rules of a round that a task has seen. Round 1 also names the words (level 0); the last also counts windows' symbols."""
+
+    def told(held: dict[int, list]) -> Iterator[pa.RecordBatch]:
+        for k, parts in held.items():
+            name, other = (np.concatenate(x) for x in zip(*parts))
+            if k == SYMBOLS:
+                order = np.argsort(name)
+                name, other = name[order], other[order]
+                first = np.flatnonzero(np.concatenate((np.ones(min(1, len(name)), bool), name[1:] != name[:-1])))
+                yield _rule_rows(k, name[first], np.zeros(len(first), A.U), np.add.reduceat(other, first) if len(first) else other)
+            else:
+                yield _rule_rows(k, *_distinct(name, other), 1)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+        n = 0
         for batch in batches:
             for _, _, data, offsets in A.chunks(batch.column(2)):
                 names, bounds, starts, ends = _named(data, offsets, seed)
-                told: list = []
-                levels(names, bounds, level, told)
-                found = [(level, told[level - 1][0], _meaning(*told[level - 1][1:]))] if len(told) == level else []
+                rules: list = []
+                levels(names, bounds, level, rules)
+                found = [(level, *_distinct(rules[level - 1][0], _meaning(*rules[level - 1][1:])))] if len(rules) == level else []
                 if level == 1:
                     other = A.spans(A.prefix(_KEYS[seed][1][data], SECOND_BASE), starts, ends, SECOND_BASE)
-                    found.append((0, names, other + (ends - starts).astype(A.U)))
-                for k, name, meaning in found:
-                    yield _rule_rows(k, *_distinct(name, meaning), 1)
+                    found.append((0, *_distinct(names, other + (ends - starts).astype(A.U))))
                 if level == ROUNDS:
-                    key, count = np.unique(_chunk_stretches(names, bounds)[0], return_counts=True)
-                    yield _rule_rows(SYMBOLS, key, np.zeros(len(key), A.U), count)
+                    found.append((SYMBOLS, *np.unique(_chunk_stretches(names, bounds)[0], return_counts=True)))
+                for k, name, meaning in found:
+                    held.setdefault(k, []).append((name, meaning))
+                    n += len(name)
+                if n > HELD:
+                    yield from told(held)
+                    held, n = {}, 0
+        yield from told(held)
 
     return of
 
