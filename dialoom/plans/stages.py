@@ -9,6 +9,7 @@ from dialoom.catalog import register
 from dialoom.functions import text as X
 from dialoom.operators import acts as A
 from dialoom.operators import candidates as C
+from dialoom.operators import evaluation
 from dialoom.operators import lookup as L
 from dialoom.operators import prompts as P
 from dialoom.operators import stages as G
@@ -304,3 +305,27 @@ def schema_rows(spark, sf_dir):
     slot = F.struct(F.concat("service_name", F.lit("-"), "slot").alias("name"), "possible_values", "is_categorical")
     schema = s.groupBy("service_name").agg(F.collect_list(slot).alias("slots"))
     return L.slots_of(schema).select("service", "slot", F.array_join("possible_values", ",").alias("vals"), "is_categorical")
+
+
+@register("evaluation_turns", """
+select conv_id, turn, case when role is null or turn % 4 = 3 then 'it is the ' || role || ' of room ' || conv_id else 'it is the [value_area] of room ' || conv_id end as response,
+       case turn % 3 when 0 then 'hotel area=' || case when conv_id % 2 = 0 then 'centre' else 'east' end when 1 then case when conv_id % 2 = 0 then 'restaurant price range=cheap' else 'restaurant ' end else '' end as state,
+       array_to_string(list_sort(list_distinct(list_concat(case turn % 3 when 0 then ['Hotels'] when 1 then ['restaurant'] else ['submarine'] end, case when turn % 2 = 0 then ['taxi'] else [] end))), ',') as active
+from conversations
+""")
+def evaluation_turns(spark, sf_dir):
+    """Responses delexicalised again, states brought to the schema, active domains of states and acts together."""
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    even, r = F.col("conv_id") % 2 == 0, F.col("turn") % 3
+    one = lambda service, slot, value: F.create_map(F.lit(service), F.create_map(F.lit(slot), value))
+    state = (
+        F.when(r == 0, one("Hotels", "area:", F.when(even, F.lit("Centre!")).otherwise(F.lit("east "))))
+        .when(r == 1, one("restaurant", "price-range", F.when(even, F.lit("cheapp")).otherwise(F.lit("unheard of")))).otherwise(one("submarine", "area", F.lit("east")))
+    )
+    act = F.struct(F.lit("Inform").alias("type"), F.lit("hotel").alias("service"), F.create_map(F.lit("area"), F.col("role")).alias("entity"), F.expr("cast(null as array<string>)").alias("values"))
+    acts = F.when(F.col("turn") % 4 == 3, F.expr(f"cast(array() as array<{A.ACT}>)")).otherwise(F.array(act))
+    logs = c.select(F.col("conv_id").alias("dialogue_id"), F.col("turn").alias("turn_id"), F.concat(F.lit("it is the "), "role", F.lit(" of room "), F.col("conv_id").cast("string")).alias("response"), state.alias("state"), acts.alias("acts"), F.when(F.col("turn") % 2 == 0, F.array(F.lit("taxi"))).alias("active"))
+    slots = spark.createDataFrame([("hotel", "area", ["centre", "east"], True), ("restaurant", "price range", ["cheap", "dear"], True)], "service string, slot string, possible_values array<string>, is_categorical boolean")
+    got = evaluation.evaluation_turns(logs, slots)
+    said = F.array_join(F.transform(F.map_entries("state"), lambda e: F.concat(e["key"], F.lit(" "), F.array_join(F.transform(F.map_entries(e["value"]), lambda x: F.concat(x["key"], F.lit("="), x["value"])), ","))), ";")
+    return got.select(F.col("dialogue_id").alias("conv_id"), F.col("turn_id").alias("turn"), "response", said.alias("state"), F.array_join("active_domains", ",").alias("active"))
