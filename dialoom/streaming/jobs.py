@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from dialoom.operators.vectors import Index
+
 JOB = "job_id string, config string"
 
 
-def enqueue(jobs: DataFrame, folder: str) -> None:
-    """Jobs as JSON files of a source folder."""
-    jobs.write.mode("append").json(folder)
+def enqueue(jobs: DataFrame, folder: str, skip: DataFrame | None = None) -> int:
+    """Jobs as JSON files of a source folder, but for those whose job_id ``skip`` lists; how many there are."""
+    rows = jobs if skip is None else jobs.join(skip.select("job_id").distinct(), "job_id", "left_anti").select(*jobs.columns)
+    rows.write.mode("append").json(folder)
+    return rows.count()
 
 
 def drain(spark: SparkSession, folder: str, checkpoint: str, run: Callable[[DataFrame, int], None]) -> None:
@@ -84,3 +88,27 @@ def waves(turns: DataFrame, index: DataFrame, predict: Callable[[DataFrame, Data
         grown = index if done is None else index.unionByName(done.drop("wave"), allowMissingColumns=True)
         predict(turns.where(F.col(order) == t), grown).withColumn("wave", F.lit(t)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("wave").parquet(path)
     return spark.read.parquet(path)
+
+
+def indexed_waves(turns: DataFrame, index: Index, predict: Callable[[DataFrame, Index], DataFrame], path: str, order: str = "turn") -> DataFrame:
+    """As ``waves``, with a vector index that grows in its cells: a wave reads its predictions once, right after they are written.
+
+    ``index`` is a written one's start; predictions are rows as it has (id, v, ...). Its folder is ``path``/index, that of the
+    predictions ``path``/waves. Rows remember their wave, so a run that stopped between a wave's write and
+    its append goes on there: what the index lacks is appended first, and nothing twice.
+    """
+    from dialoom.sources.tables import optional
+
+    spark = turns.sparkSession
+    place, out = f"{path}/index", f"{path}/waves"
+    grown = Index.read(spark, place) if optional(spark, f"{place}/rows") is not None else Index(index.rows.withColumn("wave", F.lit(None).cast("int")), index.centroids).write(place)
+    before = optional(spark, out)
+    done = set() if before is None else {r[0] for r in before.select("wave").distinct().collect()}  # turn numbers of a dialogue
+    held = {r[0] for r in grown.rows.select("wave").distinct().collect()}
+    for t in [r[0] for r in turns.select(order).distinct().orderBy(order).collect()]:
+        own = f"{out}/wave={t}"
+        if t not in done:
+            predict(turns.where(F.col(order) == t), grown).write.mode("overwrite").parquet(own)
+        if t not in held:
+            grown = grown.append(spark.read.parquet(own).withColumn("wave", F.lit(t).cast("int")), place)
+    return spark.read.parquet(out)

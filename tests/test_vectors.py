@@ -76,3 +76,46 @@ def test_empty_index(spark):
     empty = spark.createDataFrame([], SCHEMA)
     asked = spark.createDataFrame([(1, [1.0])], "q long, qv array<float>")
     assert V.top_k(asked, empty, 3).count() == 0 and V.top_k(asked.limit(0), spark.createDataFrame(rows_of(9, 1), SCHEMA), 3).count() == 0
+
+
+def test_waves_grow_the_index_once(spark, tmp_path):
+    """Each turn's nearest row among the start and all waves before, resumed after a stop between write and append."""
+    from pyspark.sql import functions as F
+
+    from dialoom.streaming.jobs import indexed_waves
+
+    rows = rows_of(60, 5)
+    start, turns = rows[:20], [(i, (i - 20) // 10, v) for i, v, _ in rows[20:]]
+    frame = spark.createDataFrame(turns, "id long, turn int, v array<float>")
+    read = []
+
+    def predict(some, index):
+        read.append(index.rows.count())
+        near = V.top_k(some.select(F.col("id").alias("q"), F.col("v").alias("qv")), index, 1).select(F.col("q").alias("id"), F.col("id").cast("string").alias("label"))
+        return some.join(near, "id").select("id", "v", "label")
+
+    index = V.Index.fit(spark.createDataFrame(start, SCHEMA), cells=3)
+    path = str(tmp_path / "run")
+    half = indexed_waves(frame.where("turn < 2"), index, predict, path)
+    assert half.count() == 20 and read == [20, 30]
+    want, pool = {}, list(start)
+    for wave in range(4):
+        own = [(i, v) for i, t, v in turns if t == wave]
+        want |= {q: str(i) for q, i, *_ in plain(own, pool, 1)}
+        pool += [(i, v, "") for i, v in own]
+    # a wave that was written but not appended
+    predict(frame.where("turn = 2"), V.Index.read(spark, f"{path}/index")).write.parquet(f"{path}/waves/wave=2")
+    got = indexed_waves(frame, index, predict, path)
+    assert {r.id: r.label for r in got.collect()} == want and read == [20, 30, 40, 50]
+    grown = V.Index.read(spark, f"{path}/index")
+    assert grown.rows.count() == 60 == grown.rows.select("id").distinct().count()
+
+
+def test_jobs_on_the_skip_list_stay_out(spark, tmp_path):
+    from dialoom.streaming.jobs import JOB, drain, enqueue
+
+    jobs = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], JOB)
+    assert enqueue(jobs, str(tmp_path / "q"), spark.createDataFrame([("b",), ("b",)], "job_id string")) == 2
+    seen = []
+    drain(spark, str(tmp_path / "q"), str(tmp_path / "c"), lambda df, _: seen.extend(r.job_id for r in df.collect()))
+    assert sorted(seen) == ["a", "c"]
