@@ -117,23 +117,37 @@ def stop_trimmed(spark, sf_dir):
 
 
 @register("parsed_completions", """
-select e.event_id, 'Inform' as act, 'k' as slot, json_extract_string(props, '$.k') as value from events e
+with e as (select event_id, json_extract_string(props, '$.k') as k, event_type as t from events)
+select event_id, 'Inform' as act, 'k' as slot, k as value from e where event_id % 5 in (0, 1)
+union all select event_id, 'Inform', t, k from e where event_id % 5 = 2
+union all select event_id, 'Offer', 'other', t from e where event_id % 5 = 2
+union all select event_id, 'Inform', 'k', k || ', (' || t || ')' from e where event_id % 5 = 3
 """)
 def parsed_completions(spark, sf_dir):
-    """Completions read as calls; a repeated argument counts once, a missing bracket is closed."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    text = F.concat(F.lit("[Inform(k='"), F.get_json_object("props", "$.k"), F.lit("', k='again'"))
+    """Completions read as calls: a repeated argument counts once, a missing bracket is closed, brackets in texts are text, two calls are two acts, prose is none."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k"))
+    shape = F.col("event_id") % 5
+    text = (
+        F.when(shape == 0, F.concat(F.lit("[Inform(k='"), "k", F.lit("', k='again'"))).when(shape == 1, F.concat(F.lit("Inform(k='"), "k", F.lit("')]")))
+        .when(shape == 2, F.concat(F.lit("[Inform("), "event_type", F.lit("='"), "k", F.lit("'), Offer(other='"), "event_type", F.lit("')]")))
+        .when(shape == 3, F.concat(F.lit("[Inform(k='"), "k", F.lit(", ("), "event_type", F.lit(")')]"))).otherwise(F.concat(F.lit("no call but "), "k"))
+    )
     calls = F.from_json(C.parsed_acts(text), "array<struct<type: string, args: map<string, string>>>")
     return e.select("event_id", F.explode(calls).alias("c")).select("event_id", F.col("c.type").alias("act"), F.explode("c.args").alias("slot", "value"))
 
 
 @register("parsed_states", """
-select event_id, case when event_id % 3 = 0 then 'west' else json_extract_string(props, '$.k') end as area from events
+with e as (select event_id, json_extract_string(props, '$.k') as k, event_type as t from events)
+select event_id, case event_id % 5 when 0 then 'hotel.area=west' when 1 then 'hotel.area=' || k when 2 then 'hotel.area=west;train.arrive by=' || k when 3 then '' else 'hotel.area=west;hotel.name=' || t end as state from e
 """)
 def parsed_states(spark, sf_dir):
-    """The state after a completion; one that can't be read leaves the prior state."""
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
-    k = F.get_json_object("props", "$.k")
-    text = F.when(F.col("event_id") % 3 == 0, F.lit("find_hotel(area=")).otherwise(F.concat(F.lit("find_hotel(area='"), k, F.lit("')")))
-    prior = F.create_map(F.lit("hotel"), F.create_map(F.lit("area"), F.lit("west")))
-    return e.select("event_id", C.parsed_state(text, prior)["hotel"]["area"].alias("area"))
+    """The state after a completion that can't be read, changes a slot, adds a service, deletes a slot, or adds one."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", F.get_json_object("props", "$.k"))
+    shape = F.col("event_id") % 5
+    text = (
+        F.when(shape == 0, F.lit("find_hotel(area=")).when(shape == 1, F.concat(F.lit("find_hotel(area='"), "k", F.lit("')"))).when(shape == 2, F.concat(F.lit("[agent.find_train(arrive_by='"), "k", F.lit("')]")))
+        .when(shape == 3, F.lit("agent.find_hotel(area='[DELETE]')")).otherwise(F.concat(F.lit("book_hotel(name='"), "event_type", F.lit("'")))
+    )
+    state = C.parsed_state(text, F.create_map(F.lit("hotel"), F.create_map(F.lit("area"), F.lit("west"))))
+    pairs = F.flatten(F.transform(F.map_entries(state), lambda s: F.transform(F.map_entries(s["value"]), lambda p: F.concat(s["key"], F.lit("."), p["key"], F.lit("="), p["value"]))))
+    return e.select("event_id", F.array_join(F.array_sort(pairs), ";").alias("state"))

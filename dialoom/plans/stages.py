@@ -118,12 +118,19 @@ def normalised_states(spark, sf_dir):
     return L.normalise_states(rows, slots)
 
 
-@register("pruned_acts", "select event_id, 'book_day,name' as kept, 'service_name' as gone from events")
+_KEYS = (["name", "book_day", "service_name", "area"], ["values", "book day", "price_range"])
+
+
+@register("pruned_acts", f"""
+with e as (select event_id, [({_KEYS[0]})[event_id % 4 + 1], ({_KEYS[1]})[event_id % 3 + 1]] as ks from events)
+select event_id, array_to_string(list_sort(list_filter(ks, lambda k: list_contains(['name', 'book_day', 'book day', 'values'], k))), ',') as kept,
+       array_to_string(list_filter(ks, lambda k: not list_contains(['name', 'book_day', 'book day', 'values'], k)), ',') as gone from e
+""")
 def pruned_acts(spark, sf_dir):
-    """Act keys that aren't valid."""
+    """Act keys that aren't valid, of two keys that vary by event."""
     valid = L.valid_act_keys(["book day", "name"], ("service", "entity", "values"))
-    entity = F.create_map(F.lit("name"), F.col("k"), F.lit("book_day"), F.col("k"), F.lit("service_name"), F.col("k"))
-    kept, gone = L.prune_act_keys(entity, valid)
+    pick = lambda items: F.element_at(F.array(*map(F.lit, items)), (F.col("event_id") % len(items) + 1).cast("int"))
+    kept, gone = L.prune_act_keys(F.create_map(pick(_KEYS[0]), F.col("k"), pick(_KEYS[1]), F.col("k")), valid)
     return _events(spark, sf_dir).select("event_id", F.array_join(F.array_sort(F.map_keys(kept)), ",").alias("kept"), F.array_join(gone, ",").alias("gone"))
 
 
@@ -135,13 +142,30 @@ def normalised_values(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", X.normalise_value(v).alias("value"))
 
 
-@register("stage_inputs", "select conv_id::varchar as dialogue_id, turn as turn_id, 'dialogue_id,last_slot_values,turn_id,user_utterances' as seen from conversations")
+@register("stage_inputs", """
+with t as (select conv_id, turn, role, length(text) % 3 as n, lag(length(text) % 3) over (partition by conv_id order by turn) as before, md5(text) as said from conversations),
+s as (select * from (values ('act_tag', 9), ('dst', 6), ('policy', 6), ('response', 6)) v(stage, columns))
+select conv_id, turn, stage, columns::bigint as columns, said as user, case when stage = 'act_tag' and before is distinct from n then n::varchar end as change,
+       case when stage = 'act_tag' then said end as response from t, s
+""")
 def stage_inputs(spark, sf_dir):
-    """What state tracking sees of a turn."""
-    c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    t = c.select(F.col("conv_id").cast("string").alias("dialogue_id"), F.col("turn").alias("turn_id"), F.array("text").alias("user_utterances"), S.empty().alias("slot_values"), S.empty().alias("last_slot_values"), F.col("text").alias("system_response"))
-    seen = G.visible(t, "dst")
-    return seen.select("dialogue_id", "turn_id", F.lit(",".join(sorted(seen.columns))).alias("seen"))
+    """What each of the four stages sees of a turn: its columns, the user's words, and, in act tagging, the change of the state and the response."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    n = (F.length("text") % 3).cast("string")
+    c = spark.read.parquet(f"{sf_dir}/conversations.parquet").withColumn("n", n).withColumn("before", F.lag("n").over(w))
+    state = lambda v: F.when(v.isNull(), S.empty()).otherwise(F.create_map(F.lit("hotel"), F.create_map(F.lit("area"), v)))
+    none = F.expr("cast(array() as array<string>)")
+    t = c.select(
+        F.struct("conv_id", "turn").alias("dialogue_id"), F.col("turn").alias("turn_id"), F.array(F.md5("text")).alias("user_utterances"), none.alias("system_utterances"), state(F.col("n")).alias("slot_values"),
+        state(F.col("before")).alias("last_slot_values"), none.alias("last_system_response_acts"), none.alias("system_response_acts"), F.md5("text").alias("system_response"),
+    )
+    out = None
+    for stage in G.VISIBLE:
+        seen = G.visible(t, stage)
+        has = lambda c, of, seen=seen: of if c in seen.columns else F.lit(None).cast("string")
+        rows = seen.select("dialogue_id.*", F.lit(stage).alias("stage"), F.lit(len(seen.columns)).cast("long").alias("columns"), F.col("user_utterances")[0].alias("user"), has("turn_slot_values", F.try_element_at(F.try_element_at("turn_slot_values", F.lit("hotel")), F.lit("area")) if "turn_slot_values" in seen.columns else None).alias("change"), has("system_response", F.col("system_response")).alias("response"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
 _LITERAL = "replace(replace(replace(replace(text, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n'), chr(9), chr(92) || 't')"
