@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import columns, free_name
+from dialoom.llm.common import columns, free_name, worker_cache
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words and pieces, and pairs of tokens, that a worker remembers; those longer than LONG are not.
@@ -210,14 +210,9 @@ class Codec:
         return " ".join(map(self.names.__getitem__, array("I", ids)))
 
 
-_codecs: dict[str | None, Codec] = {}
-
-
 def codec(path: str | None = None) -> Codec:
     """This process's codec of a vocabulary, made once."""
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
+    return worker_cache(("bpe", path), lambda: Codec(path))
 
 
 def _column(of: Callable[[Codec, object], object], returns: str, path: str | None, source: str | Column) -> Column:

@@ -66,6 +66,17 @@ def release(*frames: DataFrame) -> None:
         delete(df.sparkSession, df._cut_path)
 
 
+_held: dict = {}
+
+
+def worker_cache(name, make):
+    """What one operator keeps in this worker between tasks; what another operator kept there goes, so workers don't fill up stage by stage."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = make()
+    return _held[name]
+
+
 def free_name(df: DataFrame, wanted: str) -> str:
     """``wanted``, or with underscores in front until no column of ``df`` is called so (in any case)."""
     taken = {c.lower() for c in df.columns}

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import cut
+from dialoom.llm.common import cut, worker_cache
 
 SEQUENCE, GROUP = 2048, 4096
 ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 6
@@ -92,9 +92,6 @@ class Encoder:
         return [(next(whole) if ps is None else b"".join(map(known.__getitem__, ps))) + END for ps in parts]
 
 
-_encoders: dict[str | None, Encoder] = {}
-
-
 def cuts(n: int) -> list[tuple[int, int]]:
     """(start, length) of a text's pieces."""
     first = (n - 1) % SEQUENCE + 1
@@ -106,9 +103,7 @@ def _pieces(path: str | None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        if path not in _encoders:
-            _encoders[path] = Encoder(path)
-        encode = _encoders[path]
+        encode = worker_cache(("packing", path), lambda: Encoder(path))
         for frame in frames:
             for lo in range(0, len(frame), 128):
                 part = frame.iloc[lo : lo + 128]

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialoom.llm import arrays as A
-from dialoom.llm.common import col, labelled_sample
+from dialoom.llm.common import col, labelled_sample, worker_cache
 
 DIM = 8
 SHORTEST, LONGEST = 3, 5
@@ -45,6 +45,8 @@ EPSILON = 1e-4
 SCALE = np.float32(30.0)
 #: Words whose number a worker keeps.
 KEPT_WORDS = 400_000
+#: Texts whose words are looked up together; some are very long.
+TEXTS = 32
 WORDS = re.compile(r"\w+")
 
 
@@ -203,12 +205,13 @@ def scored(docs: DataFrame, model: Model | None, score: str = "score", text: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS numbers
 
     def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        worker_cache("toxicity", dict)  # its words are kept by the task; what other stages kept in this worker goes
         numbers = _Numbers(shared.value)
         bias = shared.value.bias
         for batch in batches:
             out = np.empty(len(batch))
-            for lo in range(0, len(batch), 256):
-                found = [WORDS.findall(t.lower()) for t in batch.iloc[lo : lo + 256]]
+            for lo in range(0, len(batch), TEXTS):
+                found = [WORDS.findall(t.lower()) for t in batch.iloc[lo : lo + TEXTS]]
                 numbers.learn(found)
                 for i, words in enumerate(found, lo):
                     out[i] = bias + (sum(map(numbers.__getitem__, words)) / len(words) if words else 0.0)
