@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.sources.tables import settled
+
 BEGIN, END = "<s>", "</s>"
 
 
@@ -27,7 +29,7 @@ def words(text: Column) -> Column:
 class Model:
     """``counts`` (k, context, word, n) and ``totals`` (k, context, total) of k-grams up to ``order``; contexts are words joined by blanks.
 
-    What is read often is kept by ``keep`` (frame -> frame): persisted, so that what is lost is made anew, or as the caller says.
+    What is read often is kept by ``keep`` (frame -> frame): checkpointed, or as the caller says.
     """
 
     counts: DataFrame
@@ -39,7 +41,7 @@ class Model:
     @classmethod
     def count(cls, texts: DataFrame, text: str = "text", order: int = 3, mu: float = 2.0, keep=None) -> Model:
         """Of all texts."""
-        keep = keep or DataFrame.persist
+        keep = keep or settled
         padded = F.concat(F.array(*[F.lit(BEGIN)] * (order - 1)), words(F.col(text)), F.array(F.lit(END)))
         rows = texts.select(padded.alias("w"))
         places = F.sequence(F.lit(order), F.size("w"))
@@ -99,7 +101,7 @@ class Model:
 
     def complete(self, prompts: DataFrame, most: int = 8, keep=None) -> DataFrame:
         """(id, prompt) -> with completion: the likeliest next word, again and again, up to ``most`` words (a power of two) or the end."""
-        keep = keep or DataFrame.persist
+        keep = keep or settled
         best = self.best()
         contexts = best.select("context")
         onward = best.select("context", "word", F.concat_ws(" ", F.expr("nullif(context, '')"), "word").alias("on"))

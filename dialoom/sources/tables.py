@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import json
 from importlib import resources
 
@@ -147,3 +149,19 @@ def run_artifact(artifacts: DataFrame, run_id: str, step: str) -> DataFrame:
 
 def evaluated(schema: DataFrame) -> DataFrame:
     return schema.where(F.col("service_name").isin(*fixed.EVALUATED_SERVICES))
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` checkpointed in the folder that all executors share, so that what is built on it neither plans nor computes it again.
+
+    The folder is the session's; without one, a local session gets a temporary one, and any other is refused.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if context.master.split("[")[0] != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = "file://" + tempfile.mkdtemp(prefix="dialoom-")
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
