@@ -190,10 +190,29 @@ def normalise_value(text: Column) -> Column:
     return lookup(t, fixed.TEXT_VALUES)
 
 
+def state_text(state: Column) -> Column:
+    """A state as a sentence for each service, blank values left out: for hotel, the area is west, stars is 3 ."""
+    said = lambda slots: F.array_join(F.transform(F.filter(F.map_entries(slots), lambda e: F.coalesce(e["value"], F.lit("")) != ""), lambda e: F.concat(e["key"], F.lit(" is "), e["value"])), ", ")
+    each = F.filter(F.transform(F.map_entries(state), lambda s: F.struct(s["key"].alias("service"), said(s["value"]).alias("said"))), lambda x: x["said"] != "")
+    return F.coalesce(F.array_join(F.transform(each, lambda x: F.concat(F.lit("for "), x["service"], F.lit(", the "), x["said"], F.lit(" ."))), " "), F.lit(""))
+
+
 def encode_turn(context: Column, system: Column, user: Column) -> Column:
-    """What a turn is retrieved by; an utterance ``none`` counts as empty."""
-    said = lambda c: F.when(F.lower(F.coalesce(c, F.lit(""))) == "none", F.lit("")).otherwise(F.coalesce(c, F.lit("")))
-    return F.concat(F.lit("Context: "), F.coalesce(context, F.lit("")), F.lit(" \nSystem: "), said(system), F.lit(" \nUser: "), said(user))
+    """What a turn is retrieved by: context, the system's utterance (no line's text if it says ``none``), the user's."""
+    none = F.lit("")
+    system = F.when(F.coalesce(system, F.lit("none")) == "none", none).otherwise(F.concat(F.lit("System: "), system))
+    return F.concat(F.lit("Context: "), F.coalesce(context, none), F.lit("\n"), system, F.lit("\nUser: "), F.coalesce(user, none))
+
+
+def retrieval_input(kind: str, state: Column, system: Column, user: Column, response: Column) -> Column:
+    """A turn's text by one of three formats: ``context_system_user``, ``response``, ``user_response``."""
+    if kind == "context_system_user":
+        return encode_turn(state_text(state), system, user)
+    if kind == "response":
+        return response
+    if kind == "user_response":
+        return F.concat(F.lit("User: "), F.coalesce(user, F.lit("")), F.lit("\nSystem: "), F.coalesce(response, F.lit("")))
+    raise ValueError(f"no such format: {kind}")
 
 
 def short_hash(text: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from dialoom.catalog import register
-from dialoom.functions.text import clean_utterance, encode_turn
+from dialoom.functions.text import clean_utterance, retrieval_input
 from dialoom.operators import turns
 
 
@@ -137,12 +137,21 @@ def resume_turns(spark, sf_dir):
 
 @register(
     "turn_encoding",
-    """select conv_id, turn, md5('Context: ' || coalesce(p2, '') || ' ' || chr(10) || 'System: ' || case when lower(coalesce(p1, '')) = 'none' then '' else coalesce(p1, '') end || ' ' || chr(10) || 'User: ' || text) as encoding
-       from (select conv_id, turn, role, text, lag(text) over w as p1, lag(text, 2) over w as p2 from conversations window w as (partition by conv_id order by turn))
-       where role = 'user'""",
+    """with t as (select conv_id, turn, role, text, lag(text) over w as p1, lag(role) over w as r1, lag(text, 2) over w as p2, lag(role, 2) over w as r2, lead(text) over w as after from conversations window w as (partition by conv_id order by turn)),
+       s as (select *, list_filter([case when length(p1) % 4 <> 0 then 'for x' || r1 || ', the n is ' || length(p1) % 4 || ', said is ' || turn || ' .' else 'for x' || r1 || ', the said is ' || turn || ' .' end,
+              case when length(p2) % 4 <> 0 then 'for y' || r2 || ', the n is ' || length(p2) % 4 || ' .' end], lambda x: x is not null) as context from t where role = 'user')
+       select conv_id, turn, md5('Context: ' || array_to_string(context, ' ') || chr(10) || case when p1 is null or turn % 5 = 0 then '' else 'System: ' || p1 end || chr(10) || 'User: ' || text) as encoding,
+              md5(after) as response, md5('User: ' || text || chr(10) || 'System: ' || coalesce(after, '')) as both from s""",
 )
 def turn_encoding(spark, sf_dir):
-    """What a user turn is retrieved by."""
+    """What a user turn is retrieved by, in all three formats; blank slots and services without any are left out."""
     w = W.partitionBy("conv_id").orderBy("turn")
-    t = conversations(spark, sf_dir).withColumns({"p1": F.lag("text").over(w), "p2": F.lag("text", 2).over(w)}).where("role = 'user'")
-    return t.select("conv_id", "turn", F.md5(encode_turn(F.col("p2"), F.col("p1"), F.col("text"))).alias("encoding"))
+    t = conversations(spark, sf_dir).withColumns({"p1": F.lag("text").over(w), "r1": F.lag("role").over(w), "p2": F.lag("text", 2).over(w), "r2": F.lag("role", 2).over(w), "after": F.lead("text").over(w)}).where("role = 'user'")
+    n = lambda c: F.when(F.length(c) % 4 != 0, (F.length(c) % 4).cast("string")).otherwise(F.lit(""))
+    one = F.when(F.col("p1").isNotNull(), F.array(F.struct(F.concat(F.lit("x"), "r1").alias("key"), F.create_map(F.lit("n"), n("p1"), F.lit("said"), F.col("turn").cast("string")).alias("value"))))
+    two = F.when(F.col("p2").isNotNull(), F.array(F.struct(F.concat(F.lit("y"), "r2").alias("key"), F.create_map(F.lit("n"), n("p2")).alias("value"))))
+    none = F.expr("cast(array() as array<struct<key: string, value: map<string, string>>>)")
+    state = F.map_from_entries(F.concat(F.coalesce(one, none), F.coalesce(two, none)))
+    system = F.when(F.col("turn") % 5 == 0, F.lit("none")).otherwise(F.col("p1"))
+    kinds = {"encoding": "context_system_user", "response": "response", "both": "user_response"}
+    return t.select("conv_id", "turn", *[F.md5(retrieval_input(k, state, system, F.col("text"), F.col("after"))).alias(c) for c, k in kinds.items()])
