@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from dialoom import catalog
 from dialoom.catalog import register
 from dialoom.functions.text import tokens
 from dialoom.operators import metrics as M
+from dialoom.operators.stages import evaluate
 
 _TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9à-ÿ]+'), lambda x: x <> '')"
 
@@ -180,3 +182,15 @@ def folded_labels(spark, sf_dir):
     p = spark.read.parquet(f"{sf_dir}/part.parquet")
     predicted = F.array(F.expr("substr(lower(p_name), 1 + p_size % 4, 5)"), F.substring(F.lower("p_type"), 1, 6))
     return p.select("p_partkey", F.array_join(F.array_sort(F.array_distinct(M.folded(predicted, F.array(F.lower("p_brand"), F.lower("p_name"))))), ",").alias("labels"))
+
+
+@register("corpus_metrics", f"""
+select 'bleu' as metric, bleu as value from ({catalog._ORACLES["corpus_bleu"]})
+union all select unnest(['avg_tokens', 'unigrams', 'entropy']), unnest([avg_tokens, unigrams::double, entropy]) from ({catalog._ORACLES["lexical_richness"]})
+""")
+def corpus_metrics(spark, sf_dir):
+    """The metrics asked for of one corpus, by the evaluator."""
+    found = evaluate(_shortened(spark, sf_dir), references=("c", "r"), words="r")
+    bleu = found["bleu"].select(F.lit("bleu").alias("metric"), F.round("bleu", 6).alias("value"))
+    rich = F.array(*[F.struct(F.lit(c).alias("metric"), F.round(F.col(c).cast("double"), 6).alias("value")) for c in ("avg_tokens", "unigrams", "entropy")])
+    return bleu.unionByName(found["richness"].select(F.explode(rich).alias("m")).select("m.*"))
