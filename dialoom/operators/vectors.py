@@ -123,7 +123,7 @@ def reach(products: np.ndarray, norms: np.ndarray, counts: np.ndarray, radius: n
     return most >= sure[:, None] - margin
 
 
-def _asked(centroids: np.ndarray, cells: list[tuple[int, int, float]], k: int, margin: float, parts: int):
+def _asked(centroids: np.ndarray, cells: list[tuple[int, int, float]], k: int, margin: float):
     """(q, qv, part) -> a row for each block that may hold one of its k best."""
     own = np.array([c for c, _, _ in cells])
     counts, radius = np.array([n for _, n, _ in cells]), np.array([r for *_, r in cells])
@@ -190,7 +190,7 @@ def top_k(queries: DataFrame, index: DataFrame | Index, k: int, digits: int | No
     asked = asked.withColumn("part", F.pmod(F.xxhash64("q"), F.lit(parts)).cast("int"))
     dealt_schema = StructType([*asked.schema.fields, StructField("cell", IntegerType()), StructField("block", IntegerType())])
     margin = 0.0 if digits is None else 10.0**-digits
-    dealt = asked.mapInArrow(_asked(index.centroids, cells, k, margin, parts), dealt_schema)
+    dealt = asked.mapInArrow(_asked(index.centroids, cells, k, margin), dealt_schema)
     blocks = F.create_map(*[F.lit(x) for c, n, _ in cells for x in (c, -(-n // BLOCK))])
     rows = index.rows.drop("away").withColumn("block", F.pmod(F.xxhash64("id"), F.element_at(blocks, F.col("cell"))).cast("int"))
     rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

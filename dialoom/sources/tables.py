@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import json
+import tempfile
 from importlib import resources
 
 from pyspark.errors import AnalysisException
