@@ -102,7 +102,7 @@ class Model:
     def complete(self, prompts: DataFrame, most: int = 8, keep=None) -> DataFrame:
         """(id, prompt) -> with completion: the likeliest next word, again and again, up to ``most`` words (a power of two) or the end."""
         keep = keep or settled
-        best = self.best()
+        best = keep(self.best())  # read six times below
         contexts = best.select("context")
         onward = best.select("context", "word", F.concat_ws(" ", F.expr("nullif(context, '')"), "word").alias("on"))
         steps = self._longest(onward.where(F.col("word") != END), contexts, "on").select("context", F.array("word").alias("said"), "next")

@@ -71,3 +71,19 @@ def test_no_texts(spark):
     got = model.score(spark.createDataFrame([("a", "b c")], "prefix string, text string")).first().logprobs
     assert got == [0.0, 0.0]  # nothing is known, so the one unknown word has all
     assert model.complete(spark.createDataFrame([(1, "a")], "id int, prompt string"), 4).first().completion is None
+
+
+def test_completions_read_one_table_of_best_words(spark):
+    """The best words are counted once, not again wherever contexts are looked up."""
+    from dialoom.sources.tables import settled
+
+    plans = []
+
+    def keep(df):
+        plans.append(df._jdf.queryExecution().analyzed().toString().count("Aggregate"))
+        return settled(df)
+
+    model = Model.count(spark.createDataFrame([("a b",), ("a c",)], "text string"))
+    got = model.complete(spark.createDataFrame([(1, "a")], "id int, prompt string"), 4, keep)
+    assert got.first().completion == "b"
+    assert sum(n > 0 for n in plans) == 1 and "Aggregate" not in got._jdf.queryExecution().analyzed().toString()
