@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,6 +13,10 @@ from dialoom.functions.aliases import key_column, writings_column, written_colum
 from dialoom.functions.fuzzy import partial_column
 from dialoom.functions.text import canonical_value, database_slot, fuzzy_key, is_valid_time, minutes
 from dialoom.operators.near import near_pairs
+from dialoom.sources.tables import settled
+
+#: Ranges of bounds in which counts run.
+RANGES = 128
 
 
 def find(venues: DataFrame, domain: str, constraints: dict[str, str | None], least: int = 90) -> DataFrame:
@@ -66,6 +72,35 @@ def matching(queries: DataFrame, venues: DataFrame, equal: dict[str, str], upper
     return keyed.unionByName(any_).unionByName(none.join(venues, test(rest)))
 
 
+def matched(queries: DataFrame, venues: DataFrame, by: str, equal: tuple[str, str], lower: tuple[str, str], first: str) -> DataFrame:
+    """(by, n, first): how many pairs ``matching`` has for a query and their smallest ``first``; queries without any are left out.
+
+    No pairs are made. A query asks the venues of its own value and those of ``?``, or all if it leaves its value open. In
+    each such group all bounds are put in one order, from above, in which counts and minima run: within ranges of the
+    bound, and over the ranges' sums. ``lower`` (query column, venue column) are numbers.
+    """
+    (q, v), (least, bound) = equal, lower
+    group = lambda open_, key: F.struct(F.lit(open_).alias("open"), F.coalesce(key.cast("string"), F.lit("")).alias("key"))
+    own = F.array(group(False, F.col(q)), group(False, F.lit("?")))
+    asked = queries.select(by, F.col(least).alias("x"), F.explode(F.when(F.col(q).isNull(), F.array(group(True, F.lit("")))).otherwise(F.array_distinct(own))).alias("g"))
+    said = F.when(F.col(v).isNull(), F.array(group(True, F.lit("")))).otherwise(F.array(group(True, F.lit("")), group(False, F.col(v))))
+    held = venues.select(F.explode(said).alias("g"), F.col(bound).alias("x"), F.lit(1).alias("n"), F.col(first).alias("first"))
+    none = asked.select("g", "x").distinct().select("g", "x", F.lit(0).alias("n"), F.lit(None).cast(venues.schema[first].dataType).alias("first"))
+    steps = settled(held.unionByName(none).groupBy("g", "x").agg(F.sum("n").alias("n"), F.min("first").alias("first")))
+    edges = sorted(set(steps.select(F.col("x").cast("double").alias("x")).approxQuantile("x", [i / RANGES for i in range(1, RANGES)], 0.002)))
+    # nulls come last: no bound that is set is met by one, and an open bound by all
+    place = F.when(F.col("x").isNull(), -1).otherwise(F.pandas_udf(lambda x: pd.Series(np.searchsorted(edges, x, "right")), "int")(F.col("x").cast("double")))
+    steps = steps.withColumn("r", place)
+    sums = steps.groupBy("g", "r").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    above = W.partitionBy("g").orderBy(F.desc("r")).rowsBetween(W.unboundedPreceding, -1)  # at most ``RANGES`` + 1 rows
+    sums = sums.select("g", "r", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n_above"), F.min("first").over(above).alias("first_above"))
+    here = W.partitionBy("g", "r").orderBy(F.desc_nulls_last("x")).rowsBetween(W.unboundedPreceding, 0)
+    told = steps.join(sums, ["g", "r"]).select("g", "x", (F.col("n_above") + F.sum("n").over(here)).alias("n"), F.least("first_above", F.min("first").over(here)).alias("first"))
+    a, b = asked.alias("a"), told.alias("b")
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & F.col("a.x").eqNullSafe(F.col("b.x"))).select(F.col(f"a.{by}").alias(by), "b.n", "b.first")
+    return met.groupBy(by).agg(F.sum("n").alias("n"), F.min("first").alias("first")).where("n > 0")
+
+
 def request(constraints: Column) -> Column:
     """A constraint map without blanks, its slots named as the tables' columns."""
     return F.transform_keys(F.map_filter(constraints, lambda k, v: v.isNotNull() & (v != "")), lambda k, v: database_slot(k))

@@ -324,3 +324,20 @@ def test_canonical_completion(spark):
     assert bad == {0: False, 1: False, 2: False, 3: True, 4: False}
     state = spark.createDataFrame([({"hotel": {"cost": "1", "area": "x"}, "bus": {"cost": "2"}},)], f"s {S.STATE}")
     assert state.select(C.schema_names(F.col("s"), {"hotel": {"cost": "price range"}})).first()[0] == {"hotel": {"price range": "1", "area": "x"}, "bus": {"cost": "2"}}
+
+
+def test_matched_is_matching_without_pairs(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from dialoom.operators import lookup as L
+
+    rng = random.Random(5)
+    some = lambda: rng.choice([None, 0.0, -1.5, 2.25, float(rng.randint(-9, 9))])
+    q = spark.createDataFrame([(i % 290, rng.choice([None, "a", "b", "?", "z"]), some()) for i in range(300)], "c long, want string, least double")
+    v = spark.createDataFrame([(i, rng.choice([None, "a", "b", "?"]), some()) for i in range(200)], "s long, kind string, most double")
+    for venues in (v, v.where("kind = 'a'"), v.limit(0)):
+        pairs = L.matching(q, venues, {"want": "kind"}, lower={"least": "most"}).groupBy("c").agg(F.count("*").alias("n"), F.min("s").alias("first"))
+        got = L.matched(q, venues, "c", ("want", "kind"), ("least", "most"), "s")
+        assert sorted(map(tuple, got.select("c", "n", "first").collect())) == sorted(map(tuple, pairs.collect()))
