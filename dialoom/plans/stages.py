@@ -17,6 +17,7 @@ from dialoom.operators import state as S
 from dialoom.operators.folds import judged
 from dialoom.operators.metrics import rates
 from dialoom.plans.states import snapshots
+from dialoom.sources.tables import dealt
 
 
 def _events(spark, sf_dir):
@@ -79,7 +80,7 @@ select p_partkey, bool_or(levenshtein(w, v) <= most) as mentioned from w group b
 """)
 def value_mentions(spark, sf_dir):
     """Whether an utterance says a value nearly: a part's name as it is, with letters changed or put in, and its brand with one more."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("n", F.lower("p_name"))
+    p = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_type", "p_name", "p_brand"), "p_partkey").withColumn("n", F.lower("p_name"))
     k = F.col("p_partkey") % 4
     value = F.when(k == 0, F.col("n")).when(k == 1, F.concat(F.substring("n", 1, 3), F.lit("q"), F.substring("n", 6, 1000))).when(k == 2, F.concat(F.lit("x"), F.lower("p_brand"))).otherwise(F.replace("n", F.lit(" "), F.lit("xyz")))
     return p.select("p_partkey", S.mentions(F.concat_ws(" ", "p_type", "p_name", F.lit("of"), "p_brand"), value).alias("mentioned"))
@@ -93,7 +94,7 @@ select p_partkey, case when value = 'dontcare' then null when literal then case
 """)
 def value_references(spark, sf_dir):
     """Which other slot a value refers to: by the state's values, unless the turn says the value itself."""
-    p = spark.read.parquet(f"{sf_dir}/part.parquet").withColumn("name", F.lower("p_name")).withColumn("people", F.col("p_size").cast("string"))
+    p = dealt(spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name", "p_size"), "p_partkey").withColumn("name", F.lower("p_name")).withColumn("people", F.col("p_size").cast("string"))
     k = F.col("p_partkey") % 5
     state = F.create_map(F.lit("hotel"), F.create_map(F.lit("name"), F.col("p_name")), F.lit("train"), F.create_map(F.lit("people"), F.col("people")))
     value = F.when(k == 1, F.lit("Cold Widget")).when(k == 2, F.col("people")).when(k == 3, F.lit("dontcare")).otherwise(F.col("name"))

@@ -341,3 +341,33 @@ def test_matched_is_matching_without_pairs(spark):
         pairs = L.matching(q, venues, {"want": "kind"}, lower={"least": "most"}).groupBy("c").agg(F.count("*").alias("n"), F.min("s").alias("first"))
         got = L.matched(q, venues, "c", ("want", "kind"), ("least", "most"), "s")
         assert sorted(map(tuple, got.select("c", "n", "first").collect())) == sorted(map(tuple, pairs.collect()))
+
+
+def _mentions(s, v):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    most = 1 if len(v) < 6 else 2
+    return s != "" and any(edits(s[i : i + max(len(v) + d, 0)], v) <= most for d in (-1, 0, 1, 2) for i in range(max(1, len(s) - len(v) - d + 1)))
+
+
+def test_mentions_in_many_tasks(spark):
+    import random
+
+    from conftest import DATA
+    from dialoom import catalog
+    from dialoom.operators.state import mentions
+
+    rng = random.Random(6)
+    word = lambda n: "".join(rng.choice("ab c") for _ in range(n))
+    pairs = [(word(rng.randint(0, 14)), word(rng.randint(0, 9))) for _ in range(1500)]
+    rows = spark.createDataFrame([(i, s, v) for i, (s, v) in enumerate(pairs)], "i int, s string, v string")
+    got = {r.i: r.m for r in rows.select("i", mentions(rows.s, rows.v).alias("m")).collect()}
+    assert got == {i: _mentions(s, v) for i, (s, v) in enumerate(pairs)}
+    for name in ("value_mentions", "value_references"):  # one file of the table, but a task for each core and more
+        assert catalog.queries()[name](spark, DATA).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
