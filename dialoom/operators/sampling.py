@@ -59,10 +59,10 @@ def random_k(queries: DataFrame, pool: DataFrame, q: str, p: str, k: int, seed:
         place = Window.partitionBy(q).orderBy(portable_order(F.concat_ws(":", F.col(q), F.col(p)), seed), p)
         return each.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
     places = ranked(pool.select(p), p, seed, "_k").withColumn("_k", F.col("_k") - 1)
-    drawn = queries.select(q, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_j"))
-    drawn = drawn.withColumn("_k", F.conv(portable_order(F.concat_ws(":", F.col(q), F.col("_j")), seed), 16, 10).cast("long") % n)
-    first = drawn.groupBy(q, "_k").agg(F.min("_j").alias("_j")).withColumn("rank", F.row_number().over(Window.partitionBy(q).orderBy("_j"))).where(F.col("rank") <= k)
-    return first.join(places, "_k").select(q, p, "rank")
+    # drawn within a query's own row, in the order of draws, so that no task holds more than that
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(draws - 1)), lambda j: F.conv(portable_order(F.concat_ws(":", F.col(q), j), seed), 16, 10).cast("long") % n)
+    first = queries.select(q).distinct().select(q, F.posexplode(F.slice(F.array_distinct(drawn), 1, k)).alias("_at", "_k"))
+    return first.join(places, "_k").select(q, p, (F.col("_at") + 1).alias("rank"))
 
 
 def at_positions(df: DataFrame, positions: tuple[int, ...], *order: str) -> DataFrame:

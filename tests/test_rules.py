@@ -371,3 +371,14 @@ def test_mentions_in_many_tasks(spark):
     assert got == {i: _mentions(s, v) for i, (s, v) in enumerate(pairs)}
     for name in ("value_mentions", "value_references"):  # one file of the table, but a task for each core and more
         assert catalog.queries()[name](spark, DATA).rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
+
+
+def test_draws_stay_in_their_row(spark):
+    from dialoom.operators.sampling import random_k
+
+    q, pool = spark.range(50).selectExpr("id % 40 as q"), spark.range(1000).withColumnRenamed("id", "p")
+    got = random_k(q, pool, "q", "p", 5)
+    plan = got._jdf.queryExecution().analyzed().toString()
+    assert plan.count("row_number()") == 1 and "min(_j" not in plan  # the pool's places alone are ranked
+    rows = sorted((r.q, r["rank"], r.p) for r in got.collect())
+    assert [(a, b) for a, b, _ in rows] == [(i, k) for i in range(40) for k in range(1, 6)] and len({(a, p) for a, _, p in rows}) == 200
