@@ -119,3 +119,14 @@ def test_jobs_on_the_skip_list_stay_out(spark, tmp_path):
     seen = []
     drain(spark, str(tmp_path / "q"), str(tmp_path / "c"), lambda df, _: seen.extend(r.job_id for r in df.collect()))
     assert sorted(seen) == ["a", "c"]
+
+
+def test_vectors_move_once_a_block(spark):
+    """Small cells share a block, larger ones are split, and a query is dealt once to each block."""
+    assert V.tiled([(0, 5, 0.0), (1, V.BLOCK, 0.0), (2, 3, 0.0), (3, 2, 0.0), (5, 2 * V.BLOCK + 1, 0.0), (6, 1, 0.0)]) == [(0, 1), (1, 1), (2, 1), (2, 1), (3, 3), (6, 1)]
+    rows = spark.createDataFrame(rows_of(200, 3), SCHEMA)
+    index = V.Index.fit(rows, cells=8)
+    cells = index.cells()
+    asked = rows.selectExpr("id as q", "v as qv", "0 as part").where("qv is not null")
+    dealt = asked.mapInArrow(V._asked(index.centroids, cells, V.tiled(cells), 5, 0.0), "q long, qv array<float>, part int, block int")
+    assert len(cells) > 1 and dealt.count() == asked.count()
