@@ -163,8 +163,8 @@ def scores(model: Model, texts: list[bytes]) -> np.ndarray:
 
 def fit(documents: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     """Train on a sample of the labelled documents for which ``where`` (of doc_id) holds."""
-    got = labelled_sample(documents, labels.where(where), "quality", ROWS, text_bytes("text"))
-    return train(got["value"].to_pylist(), got["label"].to_numpy().astype(np.int64))
+    known, _, values = labelled_sample(documents, labels.where(where), "quality", ROWS, text_bytes("text"))
+    return train([text for _, text in sorted(values)], known)
 
 
 def scored(docs: DataFrame, model: Model | None, score: str = "score", text: str = "text") -> DataFrame:

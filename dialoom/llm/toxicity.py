@@ -6,8 +6,8 @@ was never seen shares vectors with the word that it distorts. Vectors and softma
 numpy on the driver, by cross-entropy. All n-grams of the training texts take part, each heard as far as its
 presence tells the classes apart (see ``trust``), so that what a few texts hold by chance isn't learned by heart.
 
-The sample has at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows, of any length; their bags are made where
-the texts are, so the driver gets at most ``BUCKETS`` numbers for a text. All texts are scored whole. With the
+The sample has at most ``TOXIC_ROWS`` and ``CLEAN_ROWS`` labelled rows, of any length; their bags are made in all tasks
+and read a few files at a time, so the driver gets at most ``BUCKETS`` buckets and shares for a text, and holds them once. All texts are scored whole. With the
 trained model a word adds one number; each worker keeps those of its recent words.
 
 Defined cases: null and wordless texts score as the trained bias alone; without labels of both classes
@@ -24,7 +24,6 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +42,8 @@ DOUBT = 5.0
 EPSILON = 1e-4
 #: Texts hold few telling words; their mean is scaled so that these are heard.
 SCALE = np.float32(30.0)
+#: Buckets of the sample's bags that a step of the driver handles.
+STRETCH = 1 << 18
 #: Words whose number a worker keeps.
 KEPT_WORDS = 400_000
 #: Texts whose words are looked up together; some are very long.
@@ -119,12 +120,19 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
 
 
 def _train(ids: np.ndarray, shares: np.ndarray, bounds: np.ndarray, labels: np.ndarray, seed: int = 7) -> Model:
-    used = np.flatnonzero(np.bincount(ids, minlength=BUCKETS))
+    """Numbers ``ids`` anew and weighs ``shares`` in place, a stretch at a time: they are most of what the driver holds."""
+    stretches = [slice(a, a + STRETCH) for a in range(0, len(ids), STRETCH)]
+    seen = np.zeros(BUCKETS, bool)
+    for part in stretches:
+        seen[ids[part]] = True
+    used = np.flatnonzero(seen)
     number = np.zeros(BUCKETS, np.int32)
     number[used] = np.arange(len(used))
-    ids = number[ids]
+    for part in stretches:
+        ids[part] = number[ids[part]]
     heard = trust(ids, bounds, labels, len(used))
-    shares = shares * heard[ids]
+    for part in stretches:
+        shares[part] *= heard[ids[part]]
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-0.01, 0.01, (len(used), DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -169,17 +177,16 @@ def _bags(texts: pd.Series) -> pd.Series:
 def fit(documents: DataFrame, labels: DataFrame, where: Column) -> Model | None:
     """Train on a sample of the labelled documents for which ``where`` (of doc_id) holds."""
     bags = F.pandas_udf(_bags, "binary")(F.coalesce(F.col("text"), F.lit("")))
-    got = labelled_sample(documents, labels.where(where), "toxic", (CLEAN_ROWS, TOXIC_ROWS), bags)
-    known = got["label"].to_numpy().astype(np.int64)
+    known, sizes, values = labelled_sample(documents, labels.where(where), "toxic", (CLEAN_ROWS, TOXIC_ROWS), bags)
     if not np.bincount(known, minlength=2).all():
         return None
-    data, offsets = A.binary(pa.concat_arrays(got["value"].chunks))
-    del got
-    half = np.diff(offsets) // 2
-    ids = np.concatenate([data[a : a + n] for a, n in zip(offsets, half)]).view(np.int32)
-    shares = np.concatenate([data[a + n : a + 2 * n] for a, n in zip(offsets, half)]).view(np.float32)
-    del data
-    return _train(ids, shares, np.concatenate(([0], np.cumsum(half // 4))), known)
+    bounds = np.concatenate(([0], np.cumsum(sizes // 8)))
+    ids, shares = np.empty(bounds[-1], np.int32), np.empty(bounds[-1], np.float32)
+    for i, value in values:
+        half = len(value) // 8
+        ids[bounds[i] : bounds[i + 1]] = np.frombuffer(value, np.int32, half)
+        shares[bounds[i] : bounds[i + 1]] = np.frombuffer(value, np.float32, half, 4 * half)
+    return _train(ids, shares, bounds, known)
 
 
 class _Numbers(dict):

@@ -18,7 +18,7 @@ import brute
 from conftest import DATA, rows_of
 
 from dialoom.llm import arrays as A
-from dialoom.llm import licenses, minhash, mixing, ogg, packing, quality, queries, recompression, suffixes, topk, toxicity
+from dialoom.llm import common, licenses, minhash, mixing, ogg, packing, quality, queries, recompression, suffixes, topk, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 rng = random.Random(5)
@@ -486,6 +486,35 @@ def test_toxicity(spark, monkeypatch):
     assert toxicity.train([toxicity.bag(texts[0])], np.array([1])) is None and toxicity.scored(df, None).first().score == 0.0
 
 
+def test_training_holds_its_sample_once():
+    """The driver's share: bags are numbered and weighed in place."""
+    import tracemalloc
+
+    g = np.random.default_rng(2)
+    ids = np.concatenate([np.sort(g.choice(toxicity.BUCKETS, 1000, replace=False)) for _ in range(4000)]).astype(np.int32)
+    shares, bounds, labels = np.full(len(ids), 0.001, np.float32), np.arange(4001) * 1000, np.arange(4000) % 2
+    tracemalloc.start()
+    toxicity._train(ids, shares, bounds, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < ids.nbytes + shares.nbytes
+
+
+def test_training_sample_comes_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(common, "SAMPLE_ROWS", 8)
+    texts = [prose(30) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 3 % 2) for i in range(60)], "doc_id long, toxic int")
+    paths = []
+    real = common.cut
+    monkeypatch.setattr(common, "cut", lambda df: paths.append(df.rdd.getNumPartitions()) or real(df))
+    known, sizes, values = common.labelled_sample(docs, labels, "toxic", (25, 15), common.text_bytes())
+    got = dict(values)
+    assert known.tolist() == [0] * 25 + [1] * 15 and sorted(got) == list(range(40)) and [len(got[i]) for i in range(40)] == sizes.tolist()
+    of = {t.encode(): i % 3 % 2 for i, t in enumerate(texts)}
+    assert [of[got[i]] for i in range(40)] == known.tolist() and len(set(got.values())) == 40 and paths == [5]
+
+
 def test_grams():
     words = ["a", "añb", "trash", "trassh", "x" * 40]
     found, bounds = toxicity.grams(words)
