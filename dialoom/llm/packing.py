@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences by a grouping genetic algorithm on islands.
 
 Tokens are those of a public byte-level BPE, by ``tokenizers``; each worker keeps the ids of recent pre-tokens,
-since the encoding of a text is that of its pre-tokens one after another. A text longer than
+since the encoding of a text is that of its pre-tokens one after another; those of many texts are cut and told apart together. A text longer than
 a sequence is cut into full pieces, of which the first may be shorter; full pieces are sequences already.
 
 The others are dealt by hash into groups of about ``GROUP`` pieces. A group's chromosome is a list of
@@ -22,13 +22,13 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from dialoom.llm import arrays as A
 from dialoom.llm.common import cut, worker_cache
 
 SEQUENCE, GROUP = 2048, 4096
@@ -36,20 +36,28 @@ ISLANDS, EPOCHS, POPULATION, CHILDREN = 2, 2, 4, 6
 #: Bins filled less than this are packed again.
 POOR = SEQUENCE - 16
 VOCABULARY, KEPT = "byte_bpe_50k.json", 800_000
+#: Texts that are encoded together.
+TEXTS = 512
 #: How the vocabulary's own library splits a text before merging bytes.
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: The same for texts in which \w and \s of the standard library mean the same (ASCII and Latin letters).
-PLAIN = r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+"
+#: Other characters than printable ASCII, its white space and Latin letters.
 ODD = r"[^\t\n\v\f\r\x20-\x7e\xc0-\xd6\xd8-\xf6\xf8-\u024f]"
 END = b"\0\0\0\0"
+#: Kinds of bytes of texts without odd characters: letters, digits, white space, others.
+LETTER, DIGIT, WHITE, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = LETTER
+KINDS[48:58] = DIGIT
+SPACES = b"\t\n\v\f\r "
+KINDS[[*SPACES]] = WHITE
 
 
 class Encoder:
     """Text -> token ids as little-endian 32-bit words, with id 0 at the end.
 
-    All ids are the tokenizer's. Texts are split here, which is faster, unless they hold a token that the
-    tokenizer adds to its vocabulary, or a character that it doesn't class as ``regex`` does: each character
-    out of the ordinary is tried when a worker first meets it. Such texts go to the tokenizer whole.
+    All ids are the tokenizer's. Texts are split here, which is faster, in numpy or, with odd characters, by ``regex``,
+    unless they hold a token that the tokenizer adds to its vocabulary, or a character that it doesn't class as
+    ``regex`` does: each odd one is tried when a worker first meets it. Such texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str | None = None):
@@ -59,8 +67,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.full, self.plain, self.odd = regex.compile(PRETOKEN).findall, re.compile(PLAIN).findall, re.compile(ODD)
-        self.known: dict[str, bytes] = {}
+        self.full, self.odd = regex.compile(PRETOKEN).findall, re.compile(ODD)
+        self.known: dict[bytes, bytes] = {}
         self.same: dict[str, bool] = {}
 
     def _classed(self, c: str) -> bool:
@@ -70,26 +78,96 @@ class Encoder:
             self.same[c] = all(len(split(x + c)) == len(self.full(x + c)) for x in "a1!")
         return self.same[c]
 
-    def _split(self, text: str) -> list[str] | None:
-        """A text's pre-tokens; None where the tokenizer has to find them."""
-        if any(a in text for a in self.added):
+    def _split(self, text: str) -> list[bytes] | None:
+        """The pre-tokens of a text with odd characters; None where the tokenizer has to find them."""
+        if any(a in text for a in self.added) or not all(map(self._classed, set(self.odd.findall(text)))):
             return None
-        if not self.odd.search(text):
-            return self.plain(text)
-        return self.full(text) if all(map(self._classed, set(self.odd.findall(text)))) else None
+        return [t.encode() for t in self.full(text)]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _ids(self, tokens: list[bytes]) -> list[bytes]:
+        """Of pre-tokens; new ones go to the tokenizer together."""
+        found = list(map(self.known.get, tokens))
+        gaps = [i for i, ids in enumerate(found) if ids is None]
+        new = list({tokens[i] for i in gaps})
+        self.known.update(zip(new, self._encode([t.decode() for t in new])))
+        for i in gaps:
+            found[i] = self.known[tokens[i]]
+        return found
+
+    def _stretch(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts' bytes, and how many there are before each offset: each distinct pre-token is looked up once."""
+        data = np.frombuffer(raw, np.uint8)
+        starts = pretokens(data, offsets)
+        ends = np.append(starts[1:], len(data))
+        _, at, which = np.unique(A.spans(A.prefix(A.BYTE_KEYS[data]), starts, ends), return_index=True, return_inverse=True)
+        moved = np.repeat(starts[at[which]] - starts, ends - starts)
+        moved += np.arange(len(data))
+        if not (np.array_equal((ends - starts)[at[which]], ends - starts) and np.array_equal(data[moved], data)):  # two share a fingerprint
+            at = which = np.arange(len(starts))
+        found = self._ids([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        own = size[which]
+        until = np.cumsum(own)
+        place = np.repeat((np.cumsum(size) - size)[which] - until + own, own)
+        place += np.arange(len(place))
+        return np.frombuffer(b"".join(found), np.uint32)[place], np.append(0, until)[np.searchsorted(starts, offsets)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Of texts without odd characters and added tokens, about ``A.CHUNK`` bytes at a time.
+
+        No pre-token holds a space behind another character than white space, so texts may be cut before such spaces.
+        """
+        parts = [t.encode() for t in texts]
+        raw, offsets = b"".join(parts), np.cumsum([0, *map(len, parts)])
+        out, bounds, done, lo = [], np.zeros(len(offsets), np.int64), 0, 0
+        while lo < len(raw):
+            hi = lo + A.CHUNK
+            while 0 < hi < len(raw) and (raw[hi] != 32 or raw[hi - 1] in SPACES):
+                hi = raw.find(b" ", hi + 1)
+            hi = len(raw) if hi < 0 else min(hi, len(raw))
+            inside = slice(*np.searchsorted(offsets, (lo, hi)))
+            ids, before = self._stretch(raw[lo:hi], np.array([0, *(offsets[inside] - lo), hi - lo]))
+            bounds[inside] = done + before[1:-1]
+            out.append(ids.tobytes())
+            done, lo = done + len(ids), hi
+        bounds[offsets == len(raw)] = done
+        ids, at = b"".join(out), (4 * bounds).tolist()
+        return [ids[a:b] for a, b in zip(at[:-1], at[1:])]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [self._split(t) for t in texts]
-        whole = iter(self._encode([t for t, ps in zip(texts, parts) if ps is None]))
-        known = self.known
-        if len(known) > KEPT:
-            known.clear()
-        new = list(set(chain.from_iterable(ps for ps in parts if ps is not None)).difference(known))
-        known.update(zip(new, self._encode(new)))
-        return [(next(whole) if ps is None else b"".join(map(known.__getitem__, ps))) + END for ps in parts]
+        if len(self.known) > KEPT:
+            self.known.clear()
+        plain = [not self.odd.search(t) and not any(a in t for a in self.added) for t in texts]
+        parts = [None if p else self._split(t) for t, p in zip(texts, plain)]
+        together = iter(self._plain([t for t, p in zip(texts, plain) if p]))
+        whole = iter(self._encode([t for t, p, ps in zip(texts, plain, parts) if not p and ps is None]))
+        return [(next(together) if p else next(whole) if ps is None else b"".join(self._ids(ps))) + END for p, ps in zip(plain, parts)]
+
+
+def pretokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Where the pre-tokens (``PRETOKEN``) of texts without odd characters begin in their bytes, of which all above 127 are letters'."""
+    kind = KINDS[data]
+    start = np.ones(len(data) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=start[1:-1])
+    start[offsets] = True
+    # white space before something else leaves its last character, which joins that if it is a space
+    some = start[:-1] & (kind != WHITE)
+    some[offsets[:-1][offsets[:-1] < len(data)]] = False
+    some = np.flatnonzero(some)
+    some = some[kind[some - 1] == WHITE]
+    start[some - 1] = True
+    start[some[data[some - 1] == 32]] = False
+    # an apostrophe that begins a pre-token takes the endings of PRETOKEN
+    quote = np.flatnonzero((data == 39) & start[:-1])
+    left = offsets[np.searchsorted(offsets, quote, "right")] - quote
+    one, two = (np.where(left > k, data[np.minimum(quote + k, len(data) - 1)], 0).astype(int) for k in (1, 2))
+    takes = np.isin(one, [*b"stmd"]) + 2 * np.isin(256 * one + two, [256 * x + y for x, y in (b"re", b"ve", b"ll")])
+    start[quote[takes > 0] + 1] = False
+    start[(quote + 1 + takes)[takes > 0]] = True
+    return np.flatnonzero(start[:-1])
 
 
 def cuts(n: int) -> list[tuple[int, int]]:
@@ -105,8 +183,8 @@ def _pieces(path: str | None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode = worker_cache(("packing", path), lambda: Encoder(path))
         for frame in frames:
-            for lo in range(0, len(frame), 128):
-                part = frame.iloc[lo : lo + 128]
+            for lo in range(0, len(frame), TEXTS):
+                part = frame.iloc[lo : lo + TEXTS]
                 out = []
                 for doc, uid, ids in zip(part["doc_id"], part["uid"], encode([t or "" for t in part["text"]])):
                     for k, (start, length) in enumerate(cuts(len(ids) // 4)):

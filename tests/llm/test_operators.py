@@ -322,6 +322,30 @@ def test_ids_are_the_tokenizers():
         assert [t for t, w, g in zip(part, want, encode(part)) if np.frombuffer(g, "<u4").tolist() != w.ids + [0]] == []
 
 
+def test_texts_are_split_as_one(monkeypatch):
+    """Texts of ordinary characters, cut and looked up together, get the library's ids; each pre-token goes there once."""
+    encode, draw = packing.Encoder(), random.Random(3)
+    pick = [" ", " ", "\n", "\t", "'", "'s", "'re", "'l", "'ll", "r", "e", "v", "t", "d", "m", "é", "1", "_", "!", "ab"]
+    texts = ["".join(draw.choices(pick, k=draw.randint(0, 12))) for _ in range(20_000)] + [a + b + c for a in pick for b in pick for c in pick]
+    sent = []
+    library = encode.tokenizer.encode_batch_fast
+    want = [e.ids + [0] for e in library(texts, add_special_tokens=False)]
+    pre = {t for text in texts for t in encode.full(text)}
+    real = packing.Encoder._encode
+    monkeypatch.setattr(packing.Encoder, "_encode", lambda self, new: sent.append(list(new)) or real(self, new))
+    assert [np.frombuffer(g, "<u4").tolist() for g in encode(texts)] == want
+    assert sorted(t for new in sent for t in new) == sorted(pre)
+    data = np.frombuffer(b"it's a\n b", np.uint8)
+    assert packing.pretokens(data, np.array([0, 0, 3, len(data), len(data)])).tolist() == [0, 2, 3, 4, 6, 7]
+    # texts cut at 100 bytes
+    monkeypatch.setattr(packing.A, "CHUNK", 100)
+    some = ["".join(texts[i : i + 40]) for i in range(0, 400, 40)] + ["", " ", "a" * 300, " " * 300, "a" * 99 + "  b"]
+    assert [np.frombuffer(g, "<u4").tolist() for g in encode(some)] == [e.ids + [0] for e in library(some, add_special_tokens=False)]
+    # equal fingerprints of different pre-tokens do no harm
+    monkeypatch.setattr(packing.A, "spans", lambda sums, start, end: np.zeros(len(start), np.uint64))
+    assert [np.frombuffer(g, "<u4").tolist() for g in packing.Encoder()(texts[:500])] == want[:500]
+
+
 def test_genetic_packing_covers_all():
     lengths = [rng.randint(1, 2047) for _ in range(400)]
     g = np.random.default_rng(1)
