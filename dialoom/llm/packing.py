@@ -52,6 +52,11 @@ SPACES = b"\t\n\v\f\r "
 KINDS[[*SPACES]] = WHITE
 
 
+#: The characters that the tokenizer's byte-level model has for bytes.
+SEEN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+CHARS = {b: chr(b) for b in SEEN} | {b: chr(256 + k) for k, b in enumerate(sorted({*range(256)} - {*SEEN}))}
+
+
 class Encoder:
     """Text -> token ids as little-endian 32-bit words, with id 0 at the end.
 
@@ -68,6 +73,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path or public_tokenizers.path(VOCABULARY))
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.full, self.odd = regex.compile(PRETOKEN).findall, re.compile(ODD)
+        self.model = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
         self.same: dict[str, bool] = {}
 
@@ -84,19 +90,28 @@ class Encoder:
             return None
         return [t.encode() for t in self.full(text)]
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _whole(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode(self, tokens: list[str]) -> list[bytes]:
+        """Of pre-tokens, by the tokenizer's model alone: nothing is left to split."""
+        model, space = self.model, CHARS[32]
+        seen = [t.replace(" ", space) if t.isascii() and t.isprintable() else t.encode().decode("latin-1").translate(CHARS) for t in tokens]
+        return [array("I", [x.id for x in model(t)]).tobytes() for t in seen]
+
     def _ids(self, tokens: list[bytes]) -> list[bytes]:
-        """Of pre-tokens; new ones go to the tokenizer together."""
+        """Of different pre-tokens."""
         found = list(map(self.known.get, tokens))
         gaps = [i for i, ids in enumerate(found) if ids is None]
-        new = list({tokens[i] for i in gaps})
-        self.known.update(zip(new, self._encode([t.decode() for t in new])))
-        for i in gaps:
-            found[i] = self.known[tokens[i]]
+        for i, ids in zip(gaps, self._encode([tokens[i].decode() for i in gaps])):
+            found[i] = self.known[tokens[i]] = ids
         return found
 
+    def _joined(self, tokens: list[bytes]) -> bytes:
+        """The ids of pre-tokens, some of which may be equal, one after another."""
+        some = list(dict.fromkeys(tokens))
+        return b"".join(map(dict(zip(some, self._ids(some))).__getitem__, tokens))
+
     def _stretch(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts' bytes, and how many there are before each offset: each distinct pre-token is looked up once."""
         data = np.frombuffer(raw, np.uint8)
@@ -106,7 +121,9 @@ class Encoder:
         moved = np.repeat(starts[at[which]] - starts, ends - starts)
         moved += np.arange(len(data))
         if not (np.array_equal((ends - starts)[at[which]], ends - starts) and np.array_equal(data[moved], data)):  # two share a fingerprint
-            at = which = np.arange(len(starts))
+            of: dict[bytes, int] = {}
+            which = np.array([of.setdefault(raw[a:b], len(of)) for a, b in zip(starts.tolist(), ends.tolist())], np.int64)
+            at = np.unique(which, return_index=True)[1]
         found = self._ids([raw[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist())])
         size = np.fromiter(map(len, found), np.int64, len(found)) // 4
         own = size[which]
@@ -116,7 +133,7 @@ class Encoder:
         return np.frombuffer(b"".join(found), np.uint32)[place], np.append(0, until)[np.searchsorted(starts, offsets)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        """Of texts without odd characters and added tokens, about ``A.CHUNK`` bytes at a time.
+        """Of texts without odd characters and added tokens, about twice ``A.CHUNK`` bytes at a time.
 
         No pre-token holds a space behind another character than white space, so texts may be cut before such spaces.
         """
@@ -124,7 +141,7 @@ class Encoder:
         raw, offsets = b"".join(parts), np.cumsum([0, *map(len, parts)])
         out, bounds, done, lo = [], np.zeros(len(offsets), np.int64), 0, 0
         while lo < len(raw):
-            hi = lo + A.CHUNK
+            hi = lo + 2 * A.CHUNK
             while 0 < hi < len(raw) and (raw[hi] != 32 or raw[hi - 1] in SPACES):
                 hi = raw.find(b" ", hi + 1)
             hi = len(raw) if hi < 0 else min(hi, len(raw))
@@ -143,8 +160,8 @@ class Encoder:
         plain = [not self.odd.search(t) and not any(a in t for a in self.added) for t in texts]
         parts = [None if p else self._split(t) for t, p in zip(texts, plain)]
         together = iter(self._plain([t for t, p in zip(texts, plain) if p]))
-        whole = iter(self._encode([t for t, p, ps in zip(texts, plain, parts) if not p and ps is None]))
-        return [(next(together) if p else next(whole) if ps is None else b"".join(self._ids(ps))) + END for p, ps in zip(plain, parts)]
+        whole = iter(self._whole([t for t, p, ps in zip(texts, plain, parts) if not p and ps is None]))
+        return [(next(together) if p else next(whole) if ps is None else self._joined(ps)) + END for p, ps in zip(plain, parts)]
 
 
 def pretokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

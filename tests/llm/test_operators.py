@@ -346,6 +346,16 @@ def test_texts_are_split_as_one(monkeypatch):
     assert [np.frombuffer(g, "<u4").tolist() for g in packing.Encoder()(texts[:500])] == want[:500]
 
 
+def test_pretokens_skip_what_splits_texts(monkeypatch):
+    """Pre-tokens go to the tokenizer's model at once, and get the ids that the tokenizer gives them."""
+    encode = packing.Encoder()
+    pre = [chr(c) for c in range(256)] + [f" {w}" for w in prose(900).split()] + ["'s", " '", " 12", " ?!", " é\u024f", "  ", "\n\n ", "\u0558", "\U0001f600"]
+    want = [e.ids for e in encode.tokenizer.encode_batch(pre, add_special_tokens=False)]
+    monkeypatch.setattr(encode, "_whole", lambda texts: [] if not texts else 1 / 0)
+    assert [np.frombuffer(g, "<u4").tolist() for g in encode._encode(pre)] == want
+    assert [np.frombuffer(g, "<u4").tolist() for g in encode(["  it's 12", "é"])] == [encode.tokenizer.encode(t, add_special_tokens=False).ids + [0] for t in ("  it's 12", "é")]
+
+
 def test_genetic_packing_covers_all():
     lengths = [rng.randint(1, 2047) for _ in range(400)]
     g = np.random.default_rng(1)
