@@ -93,31 +93,37 @@ def levels(names: np.ndarray, bounds: np.ndarray, rounds: int = ROUNDS, rules: l
     return out
 
 
-def anchors(names: np.ndarray, bounds: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def first_least(order: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """For each range [lo, hi) with a member, the first place of its least value: two ranges of the next lower power of two cover it."""
+    size, out = hi - lo, np.empty(len(lo), np.int64)
+    least, place, width = order, np.arange(len(order)), 1
+    while True:
+        at = np.flatnonzero((size >= width) & (size < 2 * width))
+        a, b = lo[at], hi[at] - width
+        out[at] = np.where(least[b] < least[a], place[b], place[a])
+        if 2 * width > size.max(initial=0):
+            return out
+        place = np.where(least[width:] < least[:-width], place[width:], place[:-width])
+        least, width = np.minimum(least[width:], least[:-width]), 2 * width
+
+
+def anchors(names: np.ndarray, bounds: np.ndarray, window: int = WINDOW, symbols: list | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts of the windows, the name of the symbol that each is handed to, and which symbol of the text that is.
 
-    A window that holds no context (it lies in a long run) is its own symbol.
+    A window that holds no context (it lies in a long run) is its own symbol. ``symbols``: of all levels, if they are known.
     """
     doc = A.ids(bounds)
     starts = np.flatnonzero(np.arange(len(names)) + window <= bounds[1:][doc])
     sums = A.prefix(names, WORD_BASE)
     key, node = np.zeros(len(starts), A.U), -1 - starts
     open_ = np.arange(len(starts))
-    for level, (h, cs, ce) in reversed(list(enumerate(levels(names, bounds)))):
+    for level, (h, cs, ce) in reversed(list(enumerate(levels(names, bounds) if symbols is None else symbols))):
         if not len(open_):
             break
         p = starts[open_]
         lo, hi = np.searchsorted(cs, p), np.searchsorted(ce, p + window, "right")
-        order = A.mix(h ^ _O[20])
-        best, chosen = np.full(len(p), ~A.U(0)), np.full(len(p), -1)
-        for k in range(int((hi - lo).max(initial=0))):
-            i = lo + k
-            live = np.flatnonzero(i < hi)
-            i = i[live]
-            less = (order[i] < best[live]) | (chosen[live] < 0)
-            best[live[less]], chosen[live[less]] = order[i[less]], i[less]
-        some = chosen >= 0
-        c = chosen[some]
+        some = hi > lo
+        c = first_least(A.mix(h ^ _O[20]), lo[some], hi[some])
         key[open_[some]] = A.spans(sums, cs[c], ce[c], WORD_BASE) + _O[21 + level]
         node[open_[some]] = c * ROUNDS + level
         open_ = open_[~some]
@@ -173,13 +179,13 @@ def _names(level: int, seed: int):
             for _, _, data, offsets in A.chunks(batch.column(2)):
                 names, bounds, starts, ends = _named(data, offsets, seed)
                 rules: list = []
-                levels(names, bounds, level, rules)
+                symbols = levels(names, bounds, level, rules)
                 found = [(level, *_distinct(rules[level - 1][0], _meaning(*rules[level - 1][1:])))] if len(rules) == level else []
                 if level == 1:
                     other = A.spans(A.prefix(_KEYS[seed][1][data], SECOND_BASE), starts, ends, SECOND_BASE)
                     found.append((0, *_distinct(names, other + (ends - starts).astype(A.U))))
                 if level == ROUNDS:
-                    found.append((SYMBOLS, *np.unique(_chunk_stretches(names, bounds)[0], return_counts=True)))
+                    found.append((SYMBOLS, *np.unique(_chunk_stretches(names, bounds, symbols)[0], return_counts=True)))
                 for k, name, meaning in found:
                     held.setdefault(k, []).append((name, meaning))
                     n += len(name)
@@ -232,9 +238,9 @@ def named(docs: DataFrame, rounds: int = ROUNDS) -> tuple[int, DataFrame]:
     raise RuntimeError("all sets of hashes give one name to two things")
 
 
-def _chunk_stretches(names: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
+def _chunk_stretches(names: np.ndarray, bounds: np.ndarray, symbols: list | None = None) -> tuple[np.ndarray, ...]:
     """(key, first window, windows, document) of the stretches."""
-    starts, key, node = anchors(names, bounds)
+    starts, key, node = anchors(names, bounds, symbols=symbols)
     first, n, doc = stretches(starts, node, bounds)
     return key[first], starts[first], n, doc
 

@@ -138,6 +138,22 @@ def test_repeated_ids(operator, plain, spark):
     assert [r[2] for r in got if r[0] is None] == [0]
 
 
+def test_symbols_of_windows_are_found_once(monkeypatch):
+    """The least symbol of each range is the first of its equals, and a task names the symbols of the last round once."""
+    import pyarrow as pa
+
+    draw = np.random.default_rng(4)
+    order = draw.integers(0, 9, 200).astype(A.U)
+    lo = draw.integers(0, 180, 500)
+    hi = np.minimum(lo + draw.integers(1, 70, 500), 200)
+    assert recompression.first_least(order, lo, hi).tolist() == [a + int(np.argmin(order[a:b])) for a, b in zip(lo, hi)]
+    assert recompression.first_least(order[:0], lo[:0], lo[:0]).tolist() == []
+    calls, real = [], recompression.levels
+    monkeypatch.setattr(recompression, "levels", lambda *x: calls.append(1) or real(*x))
+    batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([0]), pa.array([prose(300).encode()], pa.binary())], names=["doc_id", "tag", "text"])
+    assert sum(b.num_rows for b in recompression._names(recompression.ROUNDS, 0)(iter([batch]))) > 0 and len(calls) == 1
+
+
 def test_names_have_one_meaning(spark):
     rows = spark.createDataFrame([(1, 1, 2, 1), (1, 1, 2, 1), (1, 4, 2, 1), (1, 4, 5, 1), (0, 4, 9, 2)], "level int, name long, meaning long, m long")
     some = recompression._distinct(np.array([7, 8, 7, 7], A.U), np.array([1, 2, 1, 3], A.U))
