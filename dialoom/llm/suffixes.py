@@ -4,7 +4,8 @@ Every 100-byte window is handed to the least 24-byte gram in it (in a hash order
 a gram. Consecutive windows of one gram make a stretch; grams that stand in one stretch only, once, can't
 hold a repeated window and end here. The other stretches, with the bytes of their windows, are dealt to
 shards by gram, which brings equal windows together. In a shard, equal stretches collapse into the earliest,
-whose copies are repeats as a whole. The shard then
+whose copies are repeats as a whole. A stretch that is then alone with its gram, which stands in it once, holds
+no other repeat and is done. With the others the shard
 
 - sorts its suffixes by Larsson-Sadakane refinement: first by seven bytes, then each group of equal
   suffixes by the groups that stand 7, 14, 28, 56 bytes on, until prefixes of 100 bytes are told apart;
@@ -157,11 +158,11 @@ def common_prefixes(text: np.ndarray, ends: np.ndarray, order: np.ndarray, place
     most = np.minimum(ends[todo] - todo, ends[before[todo]] - before[todo])
     length = np.zeros(len(todo), np.int64)
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
-    packed = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    packed = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)).view(A.U).ravel()
     live = np.arange(len(todo))
     while len(live):
         a, b = todo[live] + length[live], before[todo[live]] + length[live]
-        x = np.ascontiguousarray(packed[a]).view(A.U).ravel() ^ np.ascontiguousarray(packed[b]).view(A.U).ravel()
+        x = packed[a] ^ packed[b]
         same = np.where(x == 0, 8, 0)
         some = np.flatnonzero(x)
         low = x[some] & (~x[some] + A.U(1))
@@ -210,6 +211,12 @@ def _ranks(*columns_: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return rank, by[new]
 
 
+def alone(key: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether no other stretch has a stretch's gram, nor that gram a second place in it: equal windows share a gram, as far from their start."""
+    _, which, count = np.unique(key, return_inverse=True, return_counts=True)
+    return (count[which] == 1) & (m == 1)
+
+
 def copies_of(text: np.ndarray, bounds: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
     """For each piece, the earliest one with the same windows and bytes (itself, if there is none before)."""
     size, here = np.diff(bounds), np.arange(len(n))
@@ -232,7 +239,8 @@ def _shard(table: pa.Table) -> pa.Table:
     table = table.combine_chunks()
     data, bounds = A.binary(table["bytes"].chunk(0) if table.num_rows else pa.array([], pa.binary()))
     text, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
-    doc, tag, at, n, key = (table[x].to_numpy() for x in ("doc_id", "tag", "at", "n", "key"))
+    doc, tag, at, n, m, key = (table[x].to_numpy() for x in ("doc_id", "tag", "at", "n", "m", "key"))
+    sub = table["sub"][0].as_py() if table.num_rows else 0
     dense, some = _ranks(doc, tag)
     place = (dense << 32) + at
     # equal pieces: the earliest stands for all, and all windows of a later one start earlier too
@@ -240,6 +248,8 @@ def _shard(table: pa.Table) -> pa.Table:
     copies = np.flatnonzero(place > place[lead])
     copied = np.repeat(place[copies] - np.cumsum(n[copies]) + n[copies], n[copies]) + np.arange(int(n[copies].sum()))
     kept = np.flatnonzero(lead == np.arange(len(n)))
+    if not sub:  # a hot gram's other stretches are in other shards
+        kept = kept[~alone(key[kept], m[kept])]
     raw, starts, stops = text.tobytes(), bounds[:-1][kept], bounds[1:][kept]
     text = np.frombuffer(b"".join([raw[a:b] for a, b in zip(starts.tolist(), stops.tolist())]), np.uint8)
     bounds = np.concatenate(([0], np.cumsum(stops - starts)))
@@ -253,7 +263,6 @@ def _shard(table: pa.Table) -> pa.Table:
     zero = np.zeros(len(first), np.int64)
     owner = some[r[first] >> 32]
     cols = [zero, zero, zero, zero, zero, doc[owner], tag[owner], r[first] & 0xFFFFFFFF, count]
-    sub = table["sub"][0].as_py() if table.num_rows else 0
     if sub:
         prints = [A.spans(A.prefix(A.mix(A.BYTE_KEYS[text] + A.U(k)), base), early, early + WINDOW, base) for k, base in enumerate((A.BASE, SECOND_BASE))]
         by = np.lexsort((prints[1], prints[0]))
@@ -305,7 +314,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = offsets[doc] + at
             bytes_ = pa.array([whole[x : x + y + WINDOW - 1] for x, y in zip(a.tolist(), n.tolist())], pa.binary())
             own = [batch.column(i).slice(lo, hi - lo).take(owner) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), flat.field(2), *own, flat.field(3), flat.field(4), bytes_], names=["shard", "sub", "key", "doc_id", "tag", "at", "n", "bytes"])
+            yield pa.RecordBatch.from_arrays([flat.field(0), flat.field(1), flat.field(2), *own, flat.field(3), flat.field(4), flat.field(5), bytes_], names=["shard", "sub", "key", "doc_id", "tag", "at", "n", "m", "bytes"])
 
 
 RANGES = "array<struct<at: int, n: int>>"
@@ -316,18 +325,18 @@ def repeats(docs: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null")
     marks = docs.mapInArrow(_stretches, "key long, doc_id long, tag long, at int, n int, m int")
     width = F.col("n") + F.lit(WINDOW - 1).cast("long")
-    twice = marks.groupBy("key").agg(F.sum("m").alias("m"), F.sum(width).alias("size")).where("m > 1").select("key", "size")
-    flagged = cut(marks.drop("m").join(twice, "key"))
+    twice = marks.groupBy("key").agg(F.sum("m").alias("total"), F.sum(width).alias("size")).where("total > 1").select("key", "size")
+    flagged = cut(marks.join(twice, "key"))
     size = flagged.agg(F.coalesce(F.sum(width), F.lit(0))).first()[0]
     shards = max(1, -(-size // SHARD_BYTES))
     hot = F.col("size") > SHARD_BYTES
     r = F.struct(
         F.when(hot, F.col("key")).otherwise(F.pmod("key", F.lit(shards))).alias("shard"),
         F.when(hot, F.pmod(F.xxhash64("doc_id", "tag", "at"), F.ceil(F.col("size") / SHARD_BYTES)) + 1).otherwise(F.lit(0)).cast("int").alias("sub"),
-        "key", "at", "n",
+        "key", "at", "n", "m",
     )
     todo = flagged.select("doc_id", "tag", r.alias("r")).groupBy("doc_id", "tag").agg(F.collect_list("r").alias("rows"))
-    pieces = docs.join(todo, ["doc_id", "tag"]).select("doc_id", "tag", "text", "rows").mapInArrow(_pieces, "shard long, sub int, key long, doc_id long, tag long, at int, n int, bytes binary")
+    pieces = docs.join(todo, ["doc_id", "tag"]).select("doc_id", "tag", "text", "rows").mapInArrow(_pieces, "shard long, sub int, key long, doc_id long, tag long, at int, n int, m int, bytes binary")
     found = cut(pieces.groupBy("shard", "sub").applyInArrow(_shard, OUT))
     release(flagged)
     hot_rows = found.where("kind = 1").select("key", "one", "two", "sub", "doc_id", "tag", "at").withColumn("part", F.pmod("one", F.lit(shards)))

@@ -220,6 +220,24 @@ def test_copies_are_compared():
     assert suffixes.copies_of(text[:0], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
 
 
+def test_lone_stretches_are_not_sorted(monkeypatch):
+    """Of stretches without another of their gram only those that hold it twice are sorted; hot shards sort all."""
+    import pyarrow as pa
+
+    assert suffixes.alone(np.array([5, 6, 6, 7]), np.array([1, 1, 1, 2])).tolist() == [True, False, False, False]
+    draw = random.Random(5)
+    a, b = (bytes(draw.choices(b"abcdefgh", k=130)) for _ in range(2))
+    c = b[20:] + b"x" * 9
+    rows = [(1, 1, a), (1, 2, a), (2, 3, b), (2, 4, c), (3, 5, b"xyz" * 50)]
+    sizes, real = [], suffixes.later_windows
+    monkeypatch.setattr(suffixes, "later_windows", lambda text, *x: sizes.append(len(text)) or real(text, *x))
+    for sub in (0, 1):
+        cols = {"key": [r[0] for r in rows], "doc_id": [r[1] for r in rows], "tag": [0] * 5, "at": [0] * 5, "n": [len(r[2]) - 99 for r in rows], "m": [1, 1, 1, 1, 2], "sub": [sub] * 5, "bytes": [r[2] for r in rows]}
+        got = suffixes._shard(pa.table({k: pa.array(v, pa.binary() if k == "bytes" else pa.int32() if k in ("at", "n", "m", "sub") else pa.int64()) for k, v in cols.items()})).to_pylist()
+        assert sorted((r["doc_id"], r["at"], r["n"]) for r in got if r["kind"] == 0) == [(2, 0, 31), (4, 0, 11), (5, 3, 48)]
+    assert sizes == [len(b) + len(c) + 150, len(a) + len(b) + len(c) + 150]
+
+
 def test_merging_shards():
     import pyarrow as pa
 
