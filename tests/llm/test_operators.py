@@ -154,6 +154,30 @@ def test_symbols_of_windows_are_found_once(monkeypatch):
     assert sum(b.num_rows for b in recompression._names(recompression.ROUNDS, 0)(iter([batch]))) > 0 and len(calls) == 1
 
 
+def test_components_end_with_stars(spark, monkeypatch):
+    from dialoom.llm import components
+
+    written, real = [], components.cut
+    monkeypatch.setattr(components, "cut", lambda df: written.append(1) or real(df))
+
+    def run(pairs):
+        written.clear()
+        found = components.components(spark.createDataFrame(pairs, "a long, b long")).collect()
+        assert len({r.id for r in found}) == len(found)
+        return {r.id: r.component for r in found}, len(written)
+
+    assert run([(5, 1), (1, 7), (9, 1), (1, 9), (4, 3), (8, 8)]) == ({1: 1, 5: 1, 7: 1, 9: 1, 3: 3, 4: 3}, 1)  # stars need no round
+    assert run([]) == ({}, 1)
+    draw = random.Random(6)
+    names = draw.sample(range(1000), 60)
+    pairs = list(zip(names[:40], names[1:40])) + [(draw.choice(names[40:50]), draw.choice(names[50:])) for _ in range(12)]
+    want = {x: x for p in pairs for x in p}
+    for _ in names:
+        for a, b in pairs:
+            want[a] = want[b] = min(want[a], want[b])
+    assert run(pairs)[0] == want
+
+
 def test_names_have_one_meaning(spark):
     rows = spark.createDataFrame([(1, 1, 2, 1), (1, 1, 2, 1), (1, 4, 2, 1), (1, 4, 5, 1), (0, 4, 9, 2)], "level int, name long, meaning long, m long")
     some = recompression._distinct(np.array([7, 8, 7, 7], A.U), np.array([1, 2, 1, 3], A.U))
