@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from dialoom.catalog import register
 from dialoom.operators import candidates as C
+from dialoom.operators import greedy
 from dialoom.operators.ngrams import Model, words
 
 _C = "with c as (select l_orderkey as item, 'part ' || l_partkey % 40 as completion, l_extendedprice as score, l_linenumber as line from lineitem)"
@@ -88,7 +89,7 @@ def greedy_texts(spark, sf_dir):
     c = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     begun = F.array_join(F.slice(words(F.col("text")), F.lit(1), (F.col("turn") % 3 + 1).cast("int")), " ")
     prompts = c.select(F.struct("conv_id", "turn").alias("id"), begun.alias("prompt"))
-    return Model.count(c).complete(prompts, 8).select("id.conv_id", "id.turn", "completion")
+    return greedy.complete(c, prompts, 8).select("id.conv_id", "id.turn", "completion")
 
 
 @register("joint_texts", _C + """
